@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +50,55 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> tuple[DataFrame, b
     """df with a broadcast hint if it has at most so many rows; df must be cheap to count (materialised)."""
     small = df.count() <= rows
     return (F.broadcast(df) if small else df), small
+
+
+#: Characters of the longest text that may serve as an example to learn from.
+LONGEST_EXAMPLE = 200_000
+
+
+def chance(*keys: str) -> Column:
+    """A number in [0, 1) drawn from the keys' hash: the same in every run and partitioning."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) / F.lit(1_000_003.0)
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, limit: int, inputs: list[str], parts: int = 5, doc: str = "doc_id"
+) -> list[dict]:
+    """About ``limit`` labelled rows to learn from, in an order that is the same in every run.
+
+    Only ids whose crc32 modulo ``parts`` is not 0 are drawn, each with the chance that makes up the
+    limit; rows of one id count once (the least of them), and the greatest of contradicting labels.
+    Very long texts are no examples. So the driver gets ``limit`` short rows, however large the tables.
+    """
+    usable = labels.filter(F.col(label).isNotNull() & F.col(doc).isNotNull() & (fold(doc, parts) != 0))
+    usable = usable.groupBy(doc).agg(F.max(label).alias("_label"))
+    rate = limit / max(1, usable.count())
+    chosen = usable.filter(chance(doc) < rate)
+    rows = (
+        docs.filter(F.coalesce(F.char_length("text"), F.lit(0)) <= LONGEST_EXAMPLE)
+        .select(doc, F.struct(*inputs).alias("_row"))
+        .join(F.broadcast(chosen), doc)  # about ``limit`` rows
+        .groupBy(doc, "_label")
+        .agg(F.min("_row").alias("_row"))
+    )
+    found = rows.select(F.col("_label").alias("label"), "_row.*", F.xxhash64(doc).alias("_at")).toArrow().to_pylist()
+    return sorted(found, key=lambda r: r["_at"])
+
+
+def held_out(doc: str = "doc_id", parts: int = 5, at: int = 0) -> Column:
+    """Whether the id is kept from learning: crc32 of its text modulo ``parts`` is ``at``."""
+    return fold(doc, parts) == at
+
+
+def slices(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in order, null as empty, in lists of about so many characters."""
+    some: list[str] = []
+    size = 0
+    for t in texts:
+        some.append(t or "")
+        size += len(some[-1])
+        if size >= chars:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some

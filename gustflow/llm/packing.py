@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Words that a worker remembers before it starts afresh; bounds its memory.
 REMEMBERED = 400_000
 
@@ -59,20 +61,6 @@ def _token_ids(path: str) -> TokenIds:
     return TokenIds(path)
 
 
-def slices(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
-    """The texts in order, null as empty, in lists of about so many characters."""
-    some: list[str] = []
-    size = 0
-    for t in texts:
-        some.append(t or "")
-        size += len(some[-1])
-        if size >= chars:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
 def token_ids(text: Column, path: str, closing_id: int) -> Column:
     """Ids of a text column with the closing id, as little-endian unsigned 32-bit binary."""
     end = closing_id.to_bytes(4, "little")

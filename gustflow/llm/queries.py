@@ -12,8 +12,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, chat_format, line_rules, mixing, packing
-from .common import table
+from . import bpe_count, chat_format, langid, line_rules, mixing, packing, quality_fm, toxicity
+from .common import held_out, table
+
+
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_fm.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_fm.classify(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +44,12 @@ def op4_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -60,11 +72,17 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.identify(docs, model).select("doc_id", held_out(parts=3, at=1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_rules, op3_bpe_count, op4_power_packing, op6_chat_format, op8_fair_mixing)
+    f.__name__: f for f in (op1_quality_fm, op2_line_rules, op3_bpe_count, op4_power_packing, op5_toxicity, op6_chat_format, op7_language_id, op8_fair_mixing)
 }
