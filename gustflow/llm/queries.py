@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, chat_format, langid, line_rules, mixing, near_dedup, packing, quality_fm, toxicity
+from . import bpe_count, chat_format, langid, line_rules, mixing, near_dedup, order_minhash, packing, quality_fm, toxicity
 from .common import held_out, table
 
 
@@ -83,10 +83,24 @@ def op8_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+    like = order_minhash.likeness
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.as_text(F.col("bins")).alias("fingerprint"),
+        order_minhash.as_text(F.col("edited_bins")).alias("edited_fingerprint"),
+        like(F.col("bins"), F.col("edited_bins")).alias("near_edited"),
+        like(F.col("bins"), F.col("next_bins")).alias("near_next"),
+    )
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_fm, op2_line_rules, op3_bpe_count, op4_power_packing, op5_toxicity, op6_chat_format, op7_language_id, op8_fair_mixing, op10_near_dedup)
+    f.__name__: f for f in (op1_quality_fm, op2_line_rules, op3_bpe_count, op4_power_packing, op5_toxicity, op6_chat_format, op7_language_id, op8_fair_mixing, op9_order_minhash, op10_near_dedup)
 }
