@@ -188,6 +188,15 @@ def near_duplicates(
     )
 
 
+def deduplicate(docs: DataFrame, percent: int = 85, words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows that ``near_duplicates`` does not keep; all columns stay.
+
+    Rows of one id are all kept or all gone, rows with a null id stay.
+    """
+    gone = near_duplicates(docs, percent, words, doc, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(doc) == F.col("_gone"), "left_anti")
+
+
 def _confirmed(docs: DataFrame, classes: DataFrame, percent: int, words: int, doc: str, text: str) -> DataFrame:
     """Links (a, b) between classes whose components are those of all links."""
     posted = classes.select(F.posexplode("coordinates").alias("at", "key"), "rep")
