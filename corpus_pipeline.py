@@ -12,18 +12,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustflow.llm import line_rules, mixing, packing
+from gustflow.llm import line_rules, mixing, near_dedup, packing, quality_fm
 from gustflow.llm.common import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labelled ones among them, takes for good."""
+    model = quality_fm.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_fm.classify(docs, model).filter("predicted = 1").select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules keep, without the lines above their host's limit."""
     kept = line_rules.apply_rules(docs).filter("kept")
     return kept.withColumns({"text": F.col("clean_text"), "n_chars": F.char_length("clean_text").cast("long")}).select(*COLUMNS)
 
 
+def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.deduplicate(docs).select(*COLUMNS)
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix holds them."""
     mixed = mixing.mix(docs).filter(F.col("copies") > 0)
@@ -36,7 +47,9 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
     ("quality_rules", quality_rules),
+    ("near_deduplication", near_deduplication),
     ("mixing", mixing_sources),
     ("packing", sequence_packing),
 ]

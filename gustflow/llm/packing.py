@@ -8,6 +8,8 @@ length share a bucket, which is what a trainer batches.
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,41 +20,78 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Words that a worker remembers before it starts afresh; bounds its memory.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Classes of Latin-1 bytes: letters and digits "a", white space " ", all else ".".
+_CLASSES = bytes(
+    b"a"[0] if chr(i).isalnum() else b" "[0] if chr(i).isspace() and not 0x1C <= i <= 0x1F else b"."[0] for i in range(256)
+)
+_WORD_AND_MARKS = re.compile(r"([a-z]+)([^\sa-zA-Z0-9']+)")
 
 
 class TokenIds:
-    """The ids of texts under a word-wise tokenizer file, as little-endian unsigned 32-bit bytes."""
+    """The ids of texts under a word-wise tokenizer file, as little-endian unsigned 32-bit bytes.
+
+    The tokenizer drops white space and no token spans it, so parts of a text between spaces or line
+    breaks are encoded once and looked up from then on. White space of other kinds stays inside a part
+    and is left to the tokenizer, as are the strings of special tokens.
+    """
 
     def __init__(self, path: str):
-        import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.array = np.array
-        self.words: dict[str, bytes] = {}
-
-    def _encoded(self, words: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            yield self.array(found.ids, dtype="<u4").tobytes()
+        self.merged = self.tokenizer.model.tokenize
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {c: byte_level(chr(c))[0][0] for c in range(128, 256) if chr(c).isalpha()}
+        self.known: dict[str, bytes] = {}
+
+    def _parts(self, text: str) -> list[str]:
+        """A text's parts. In a Latin-1 text without special tokens lower case is the tokenizer's; there,
+        if no two marks stand together, full stops and commas are parts, as they are tokens, of their own."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:
+            if "<|" not in text:
+                text = text.lower()
+                if b".." not in raw.translate(_CLASSES):
+                    text = text.replace(".", " . ").replace(",", " , ")
+        return text.replace("\n", " ").split(" ")
+
+    def _word(self, part: str) -> bytes:
+        merged = self.merged(part if part.isascii() else part.translate(self.letters))
+        return struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
+
+    def _encoded(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        other, marks = [], {}
+        for part in parts:
+            # lower-case Latin-1 letters are one run to the tokenizer: it would only merge their bytes
+            if part.isalpha() and part.islower() and max(part) < "\u0100":
+                yield part, self._word(part)
+            elif part.isascii() and (m := _WORD_AND_MARKS.fullmatch(part)):
+                marks.setdefault(m[2], []).append(m[1])
+            else:
+                other.append(part)
+        ids = self.tokenizer.encode_batch_fast(other + list(marks), add_special_tokens=False)
+        packed = [struct.pack(f"<{len(found.ids)}I", *found.ids) for found in ids]
+        yield from zip(other, packed, strict=False)
+        for (mark, words), after in zip(marks.items(), packed[len(other) :], strict=True):
+            for word in words:
+                yield word + mark, self._word(word) + after
 
     def of(self, texts: list[str]) -> list[bytes]:
-        """The tokenizer drops white space and no token spans it, so words are looked up one by one.
-
-        Words are parted at spaces and line breaks only; whatever other space there is stays inside
-        a word and is left to the tokenizer, as are the strings of special tokens.
-        """
-        parted = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.words
+        parted = list(map(self._parts, texts))
+        known = self.known
         new = list(set().union(*parted).difference(known))
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = list(set().union(*parted))
-        known.update(zip(new, self._encoded(new), strict=True))
-        found = [b"".join(map(known.__getitem__, words)) for words in parted]
-        for word in new:
-            if len(word) > 64:  # hardly comes twice
-                del known[word]
+        known.update(self._encoded(new))
+        found = [b"".join(map(known.__getitem__, parts)) for parts in parted]
+        for part in new:
+            if len(part) > 64:  # hardly comes twice
+                del known[part]
         return found
 
 
