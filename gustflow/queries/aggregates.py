@@ -155,11 +155,11 @@ def a17_seed_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(REGISTRY, f"""WITH {PANEL} SELECT day, count(*) AS n, round(sum(pred - y), 2) AS se, round(sum((pred - y) * (pred - y)), 2) AS see, round(sum(y), 2) AS sy, round(sum(y * y), 1) AS syy,
  count(*) FILTER (y >= 80000) AS n_high, round(sum(CASE WHEN y >= 80000 THEN pred - y ELSE 0 END), 2) AS se_high, round(sum(CASE WHEN y >= 80000 THEN (pred - y) * (pred - y) ELSE 0 END), 2) AS see_high,
- round(sum(greatest(0.9 * (y - pred), -0.1 * (y - pred))), 2) AS pin_90 FROM panel GROUP BY 1""")
+ round(sum(greatest(0.9 * (y - pred), -0.1 * (y - pred))), 5) AS pin_90 FROM panel GROUP BY 1""")
 def a19_day_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir).withColumn("e", F.col("pred") - F.col("y"))
     out = M.tail_sums(p, ["day"], "y", "e", {"high": 80000.0}, [0.9])
-    return rounded(rounded(rounded(out, "se", "sy", "se_high", places=2), "see", "see_high", "pin_90", places=2), "syy", places=1)
+    return rounded(rounded(rounded(out, "se", "sy", "se_high", places=2), "see", "see_high", places=2), "syy", places=1).withColumn("pin_90", F.round("pin_90", 5))
 
 
 @register(REGISTRY, f"""WITH {PANEL}, c AS (SELECT season, count(*) FILTER (y >= 60000 AND pred >= 60000) AS hits, count(*) FILTER (y >= 60000 AND pred < 60000) AS misses,
