@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("aggregates", "windows")
+MODULES = ("aggregates", "windows", "relations")
 
 
 def registered() -> tuple[dict, dict]:
