@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def block_sums(df: DataFrame, by: Sequence[str], block: str, y: str, error: str, q: float = 0.9) -> DataFrame:
@@ -101,7 +102,7 @@ def paired_effects(metrics: DataFrame, arm: str, units: Sequence[str], worse: st
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p of a normal z; null stays null. For tables of effects, which are small."""
     return z.map(lambda x: None if x is None or math.isnan(x) else math.erfc(abs(x) / math.sqrt(2))).astype("float64")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("aggregates", "windows", "relations")
+MODULES = ("aggregates", "windows", "relations", "spatial", "inference", "learning")
 
 
 def registered() -> tuple[dict, dict]:
