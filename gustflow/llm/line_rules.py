@@ -23,28 +23,18 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+"), lambda w: w != "")
 
 
-def n_repeat_words(words: Column) -> Column:
-    """Words that lie in a 3-word window which the text holds twice or more, first included.
-
-    Windows are compared by 64-bit hashes. They are sorted with their positions, so equal ones are
-    neighbours: n log n for n words, however often they repeat.
-    """
+def placed_windows(words: Column) -> Column:
+    """The 3-word windows of a text as structs (64-bit hash, position), sorted: equal ones are neighbours."""
     n = F.size(words)
     windows = F.slice(
-        F.arrays_zip(words.alias("a"), F.slice(words, 2, n).alias("b"), F.slice(words, 3, n).alias("c")),
-        1,
-        F.greatest(n - 2, F.lit(0)),
-    )
-    placed = F.sort_array(F.transform(windows, lambda w, i: F.struct(F.xxhash64(w).alias("h"), i.alias("p"))))
-    return F.aggregate(
-        F.array(placed),
-        F.lit(0).cast("long"),
-        lambda acc, s: acc + _covered(s),
+        F.arrays_zip(words.alias("a"), F.slice(words, 2, n).alias("b"), F.slice(words, 3, n).alias("c")), 1, F.greatest(n - 2, F.lit(0))
     )
+    return F.sort_array(F.transform(windows, lambda w, i: F.struct(F.xxhash64(w).alias("h"), i.alias("p"))))
 
 
-def _covered(s: Column) -> Column:
-    repeated = F.filter(s, lambda x, j: (x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"]))
+def covered_words(placed: Column) -> Column:
+    """Words that lie in a window which comes twice or more, first included (long)."""
+    repeated = F.filter(placed, lambda x, j: (x["h"] == F.get(placed, j - 1)["h"]) | (x["h"] == F.get(placed, j + 1)["h"]))
     return F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2))))).cast("long")
 
 
@@ -58,17 +48,26 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.lower(F.btrim(F.regexp_replace(line, f"{SPACE_CLASS}+", " "))))
 
 
-def document_measures(text: Column) -> dict[str, Column]:
-    """The measures on a document alone, by name (long)."""
-    whole = F.coalesce(text, F.lit(""))
-    lines = lines_of(whole)
-    return {
-        "n_words": word_count(text),
-        "word_chars": F.char_length(F.translate(whole, SPACES, "")).cast("long"),
-        "n_symbols": (F.char_length(whole) - F.char_length(F.translate(whole, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": n_repeat_words(words_of(whole)),
-    }
+def with_measures(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the measures on a document alone (long).
+
+    Words, windows and lines are columns of their own, each used more than once by what comes next, so
+    that Spark computes them once per row and does not inline them.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return (
+        docs.withColumns({"_words": words_of(F.col(text)), "_lines": lines_of(F.col(text))})
+        .withColumns({"n_words": F.size("_words").cast("long"), "_placed": placed_windows(F.col("_words"))})
+        .withColumns(
+            {
+                "word_chars": F.char_length(F.translate(whole, SPACES, "")).cast("long"),
+                "n_symbols": (F.char_length(whole) - F.char_length(F.translate(whole, SYMBOLS, ""))).cast("long"),
+                "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+                "n_repeat_words": covered_words(F.col("_placed")),
+            }
+        )
+        .drop("_words", "_lines", "_placed")
+    )
 
 
 def frequent_lines(docs: DataFrame, host: str, text: str, min_docs: int, share: float) -> DataFrame:
@@ -109,9 +108,7 @@ def apply_rules(
     are too large to broadcast; then documents are joined to them under salts.
     """
     frequent = materialise(frequent_lines(docs, host, text, min_docs, share))
-    found = document_measures(F.col(text))
-    made = [*found, "base_failed", "removed_words", "clean_text", "kept"]
-    base = docs.drop(*(c for c in made if c in docs.columns)).withColumns(found)
+    base = with_measures(docs, text)
     small, few = broadcast_if_small(frequent.select(F.col("host").alias("_host"), F.col("hashes").alias("_hashes")), 20_000)
     if few:
         joined = base.join(small, F.col(host).eqNullSafe(F.col("_host")), "left")
