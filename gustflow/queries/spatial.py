@@ -93,7 +93,7 @@ def x16_idw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(REGISTRY, f"""WITH {_POINTS}, {_STATIONS}, {_DAYS}, n AS (SELECT p.id AS point, day, v, sqrt((s.lat - p.lat) ** 2 + (s.lon - p.lon) ** 2) AS d, row_number() OVER (PARTITION BY p.id, day ORDER BY sqrt((s.lat - p.lat) ** 2 + (s.lon - p.lon) ** 2), s.id) AS k
- FROM points p CROSS JOIN days JOIN stations s USING (id) WHERE p.id <= 40) SELECT point, day, round(sum(v / greatest(d, 1e-10) ** 2) / sum(1 / greatest(d, 1e-10) ** 2), 5) AS v FROM n WHERE k <= 4 GROUP BY 1, 2""")
+ FROM points p CROSS JOIN days t JOIN stations s ON s.id = t.id WHERE p.id <= 40) SELECT point, day, round(sum(v / greatest(d, 1e-10) ** 2) / sum(1 / greatest(d, 1e-10) ** 2), 5) AS v FROM n WHERE k <= 4 GROUP BY 1, 2""")
 def x17_idw_valid_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir).filter("id <= 40").withColumnRenamed("id", "point")
     return rounded(G.idw_valid_only(p, station_days(spark, sf_dir), stations(spark, sf_dir).drop("cluster"), "point", "day", "v", 4), "v", places=5)
