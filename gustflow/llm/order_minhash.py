@@ -12,6 +12,8 @@ n log n for n units, however often one k-mer comes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,10 +117,10 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(bins == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / bins)
 
 
-def with_next(docs: DataFrame, doc: str, columns: list[str]) -> DataFrame:
-    """docs (doc_id, the columns) with ``next_<column>``: those of the next row by ascending id.
+def with_next(docs: DataFrame, doc: str, text: str, made: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """made(docs) with ``next_<column>`` for each of its columns named: those of the next row by ascending id.
 
-    After the last row comes the first; rows of one id are ordered by a hash of the columns, null ids
+    After the last row comes the first; rows of one id are ordered by a hash of the text, null ids
     come last. The id's range is cut into buckets, four times as many as shuffle partitions, finer
     where ids are dense; rows are ordered in their bucket, and the last of each gets the first of the
     next bucket from a table of one row per bucket.
@@ -135,27 +137,31 @@ def with_next(docs: DataFrame, doc: str, columns: list[str]) -> DataFrame:
         cells.withColumn("_fine", F.greatest(F.lit(1), F.ceil(F.col("_n") * buckets / F.sum("_n").over(total))).cast("double"))
     ).select(F.col("_cell").alias("_c"), "_fine")
     inside = (F.col(doc).cast("double") - F.lit(float(lo))) / F.lit(width) - F.col("_cell")
-    placed = (
-        docs.withColumn("_cell", cell)
-        .join(F.broadcast(fine), F.col("_cell").eqNullSafe(F.col("_c")), "left")
-        .withColumn("_sub", F.when(F.col("_cell").isNotNull(), F.floor(inside * F.col("_fine"))))
-        .drop("_c", "_fine")
-    )
-    order = [F.col(doc).asc_nulls_last(), F.xxhash64(columns[0])]
+
+    def where(df: DataFrame) -> DataFrame:
+        return (
+            df.withColumn("_cell", cell)
+            .join(F.broadcast(fine), F.col("_cell").eqNullSafe(F.col("_c")), "left")
+            .withColumn("_sub", F.when(F.col("_cell").isNotNull(), F.floor(inside * F.col("_fine"))))
+            .drop("_c", "_fine")
+        )
+
+    order = [F.col(doc).asc_nulls_last(), F.xxhash64(text)]
     within = Window.partitionBy("_cell", "_sub").orderBy(*order)
-    led = placed.withColumn("_next", F.lead(F.struct(*columns)).over(within))
+    led = where(made(docs)).withColumn("_next", F.lead(F.struct(*columns)).over(within))
     # one row per bucket: its first row's key, and the row that the bucket's last one goes on to
-    key = F.struct(F.col(doc).alias("id"), F.xxhash64(columns[0]).alias("h"))
-    ranked = F.struct(F.col(doc).isNull().alias("last"), F.col(doc).alias("id"), F.xxhash64(columns[0]).alias("h"))
-    heads = placed.groupBy("_cell", "_sub").agg(F.min(ranked).alias("_head"))
+    key = F.struct(F.col(doc).alias("id"), F.xxhash64(text).alias("h"))
+    ranked = F.struct(F.col(doc).isNull().alias("last"), F.col(doc).alias("id"), F.xxhash64(text).alias("h"))
+    heads = where(docs).groupBy("_cell", "_sub").agg(F.min(ranked).alias("_head"))
     by_place = Window.orderBy(F.col("_cell").asc_nulls_last(), F.col("_sub").asc_nulls_last())
     onward = materialise(
         heads.withColumn("_to", F.coalesce(F.lead("_head").over(by_place), F.first("_head").over(by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
         .select(F.col("_cell").alias("_c"), F.col("_sub").alias("_s"), F.struct("_to.id", "_to.h").alias("_to"))
     )
     wanted = onward.select(F.col("_to.id").alias("_id"), F.col("_to.h").alias("_h")).distinct()
+    few = docs.join(F.broadcast(wanted), F.col(doc).eqNullSafe(F.col("_id")) & (key["h"] == F.col("_h")), "left_semi")
     found = (
-        docs.join(F.broadcast(wanted), F.col(doc).eqNullSafe(F.col("_id")) & (key["h"] == F.col("_h")), "left_semi")
+        made(materialise(few.select(doc, text).distinct()))
         .select(key.alias("_k"), F.struct(*columns).alias("_first"))
         .groupBy("_k")
         .agg(F.first("_first").alias("_first"))
@@ -164,7 +170,7 @@ def with_next(docs: DataFrame, doc: str, columns: list[str]) -> DataFrame:
     return (
         led.join(F.broadcast(first_of_next), F.col("_cell").eqNullSafe(F.col("_c")) & F.col("_sub").eqNullSafe(F.col("_s")), "left")
         .withColumn("_next", F.when(F.col("_next").isNotNull(), F.col("_next")).otherwise(F.col("_first")))
-        .select(doc, *columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
+        .select(*made(docs).columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
     )
 
 
@@ -180,7 +186,7 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     way, so each text is fingerprinted once before and its edited text once after.
     """
     whole = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(with_fingerprint(whole, "text", "bins"), "doc_id", ["text", "bins"])
+    rows = with_next(whole, "doc_id", "text", lambda df: with_fingerprint(df, "text", "bins"), ["text", "bins"])
     counted = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = counted.withColumn(
