@@ -125,7 +125,7 @@ class TokenCounter:
     def _segment(self, text: str) -> int:
         # When words are parted by single spaces or line breaks only, no run reaches over such a
         # parting (a run takes one space before it at most), so words can be counted one by one.
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1:
+        if text.split() == text.replace("\n", " ").split(" "):
             first, *rest = text.replace("\n", " \n").split(" ")
             return self._plain(first) + sum(map(self.by_chunk.__getitem__, rest))
         return self._plain(text)
