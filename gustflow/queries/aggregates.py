@@ -153,13 +153,13 @@ def a17_seed_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.groupBy("model").agg(F.avg("sd").alias("mean_sd"), F.max("sd").alias("max_sd"), (F.max("sd") > 1e-9).alias("stochastic")), "mean_sd", "max_sd", places=6)
 
 
-@register(REGISTRY, f"""WITH {PANEL} SELECT day, count(*) AS n, round(sum(pred - y), 2) AS se, round(sum((pred - y) * (pred - y)), 1) AS see, round(sum(y), 2) AS sy, round(sum(y * y), 0) AS syy,
- count(*) FILTER (y >= 80000) AS n_high, round(sum(CASE WHEN y >= 80000 THEN pred - y ELSE 0 END), 2) AS se_high, round(sum(CASE WHEN y >= 80000 THEN (pred - y) * (pred - y) ELSE 0 END), 1) AS see_high,
+@register(REGISTRY, f"""WITH {PANEL} SELECT day, count(*) AS n, round(sum(pred - y), 6) AS se, round(sum((pred - y) * (pred - y)), 1) AS see, round(sum(y), 6) AS sy, round(sum(y * y), 0) AS syy,
+ count(*) FILTER (y >= 80000) AS n_high, round(sum(CASE WHEN y >= 80000 THEN pred - y ELSE 0 END), 6) AS se_high, round(sum(CASE WHEN y >= 80000 THEN (pred - y) * (pred - y) ELSE 0 END), 1) AS see_high,
  round(sum(greatest(0.9 * (y - pred), -0.1 * (y - pred))), 8) AS pin_90 FROM panel GROUP BY 1""")
 def a19_day_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir).withColumn("e", F.col("pred") - F.col("y"))
     out = M.tail_sums(p, ["day"], "y", "e", {"high": 80000.0}, [0.9])
-    return rounded(rounded(rounded(out, "se", "sy", "se_high", places=2), "see", "see_high", places=1), "syy", places=0).withColumn("pin_90", F.round("pin_90", 8))
+    return rounded(rounded(rounded(out, "se", "sy", "se_high", places=6), "see", "see_high", places=1), "syy", places=0).withColumn("pin_90", F.round("pin_90", 8))
 
 
 @register(REGISTRY, f"""WITH {PANEL}, c AS (SELECT season, count(*) FILTER (y >= 60000 AND pred >= 60000) AS hits, count(*) FILTER (y >= 60000 AND pred < 60000) AS misses,

@@ -13,9 +13,9 @@ REGISTRY: dict = {}
 #: Regular axes of the made-up grid: first value, step, number of nodes.
 LAT, LON = (-20.0, -0.5, 9), (-48.0, 0.5, 11)
 
-_POINTS = "points AS (SELECT c_custkey AS id, -20.0 - (c_custkey % 41) * 0.11 AS lat, -48.0 + (c_custkey % 53) * 0.1 AS lon FROM customer)"
-_GRID = "grid AS (SELECT i, j, -20.0 - 0.5 * i AS lat, -48.0 + 0.5 * j AS lon, CASE WHEN i = 4 AND j = 5 THEN NULL ELSE 10.0 * i + j + 0.25 * i * j END AS v FROM (SELECT unnest(range(9)) AS i) CROSS JOIN (SELECT unnest(range(11)) AS j))"
-_STATIONS = "stations AS (SELECT s_suppkey AS id, -20.0 - (s_suppkey % 13) / 3.0 AS lat, -48.0 + (s_suppkey % 17) / 3.0 AS lon, s_nationkey AS cluster FROM supplier)"
+_POINTS = "points AS (SELECT c_custkey AS id, -20.0::DOUBLE - (c_custkey % 41) * 0.11::DOUBLE AS lat, -48.0::DOUBLE + (c_custkey % 53) * 0.1::DOUBLE AS lon FROM customer)"
+_GRID = "grid AS (SELECT i, j, (-20.0 - 0.5 * i)::DOUBLE AS lat, (-48.0 + 0.5 * j)::DOUBLE AS lon, CASE WHEN i = 4 AND j = 5 THEN NULL ELSE (10.0 * i + j + 0.25 * i * j)::DOUBLE END AS v FROM (SELECT unnest(range(9)) AS i) CROSS JOIN (SELECT unnest(range(11)) AS j))"
+_STATIONS = "stations AS (SELECT s_suppkey AS id, -20.0::DOUBLE - (s_suppkey % 13) / 3.0::DOUBLE AS lat, -48.0::DOUBLE + (s_suppkey % 17) / 3.0::DOUBLE AS lon, s_nationkey AS cluster FROM supplier)"
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +50,12 @@ def j01_point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.assign_polygon(points(spark, sf_dir), polygons, "lon", "lat").select("id", "cluster")
 
 
-@register(REGISTRY, f"WITH {_POINTS}, {_GRID}, p AS (SELECT *, (lat + 20.0) / -0.5 AS a, (lon + 48.0) / 0.5 AS b FROM points) SELECT id, v FROM p LEFT JOIN grid ON i = floor(a + 0.5) AND j = floor(b + 0.5) AND a BETWEEN 0 AND 8 AND b BETWEEN 0 AND 10")
+@register(REGISTRY, f"WITH {_POINTS}, {_GRID}, p AS (SELECT *, (lat + 20.0::DOUBLE) / -0.5::DOUBLE AS a, (lon + 48.0::DOUBLE) / 0.5::DOUBLE AS b FROM points) SELECT id, v FROM p LEFT JOIN grid ON i = floor(a + 0.5) AND j = floor(b + 0.5) AND a BETWEEN 0 AND 8 AND b BETWEEN 0 AND 10")
 def j02_nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.nearest_values(points(spark, sf_dir), grid(spark), LAT, LON, ["v"]).select("id", "v")
 
 
-@register(REGISTRY, f"""WITH {_POINTS}, {_GRID}, p AS (SELECT *, (lat + 20.0) / -0.5 AS a, (lon + 48.0) / 0.5 AS b FROM points),
+@register(REGISTRY, f"""WITH {_POINTS}, {_GRID}, p AS (SELECT *, (lat + 20.0::DOUBLE) / -0.5::DOUBLE AS a, (lon + 48.0::DOUBLE) / 0.5::DOUBLE AS b FROM points),
 q AS (SELECT *, least(floor(a), 7) AS i0, least(floor(b), 9) AS j0 FROM p), c AS (SELECT id, a BETWEEN 0 AND 8 AND b BETWEEN 0 AND 10 AS ok, k, i0 + di AS i, j0 + dj AS j,
  (CASE WHEN di = 1 THEN a - i0 ELSE 1 - (a - i0) END) * (CASE WHEN dj = 1 THEN b - j0 ELSE 1 - (b - j0) END) AS w FROM q CROSS JOIN (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1)) t(k, di, dj)),
 m AS (SELECT c.id, c.ok, c.k, c.w, g.v FROM c LEFT JOIN grid g ON g.i = c.i AND g.j = c.j),
@@ -65,11 +65,11 @@ def j03_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.bilinear_values(points(spark, sf_dir), grid(spark), "id", LAT, LON, "v"), "v", places=6)
 
 
-@register(REGISTRY, f"""WITH {_STATIONS}, c AS (SELECT cluster, avg(lat) AS lat, avg(lon) AS lon FROM stations GROUP BY 1),
+@register(REGISTRY, f"""WITH {_STATIONS}, c AS (SELECT cluster, avg(lat) + cluster * 0.0137::DOUBLE AS lat, avg(lon) AS lon FROM stations GROUP BY 1),
 d AS (SELECT a.cluster, b.cluster AS other, row_number() OVER (PARTITION BY a.cluster ORDER BY round(sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2), 9), b.cluster) AS rank FROM c a JOIN c b ON a.cluster <> b.cluster)
 SELECT cluster, other, rank FROM d WHERE rank <= 3""")
 def j14_neighbour_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = stations(spark, sf_dir).groupBy("cluster").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    c = stations(spark, sf_dir).groupBy("cluster").agg((F.avg("lat") + F.col("cluster") * 0.0137).alias("lat"), F.avg("lon").alias("lon"))
     return G.neighbour_clusters(c, 3).select("cluster", "other", F.col("rank").cast("long").alias("rank"))
 
 
