@@ -5,7 +5,8 @@ most. A document's virtual finish time is the tokens of its source up to and wit
 source's weight. All queues are served in the order of finish times until the total budget is spent:
 documents go to ranges of virtual time, ranges before the one where the budget ends are taken whole,
 and only that one is sorted. A source that runs out leaves its share to the others in proportion to
-their weights, which is what the targets (water-filling under the caps) say as well.
+their weights, which is what the targets (water-filling under the caps) say as well. A source whose next
+document was too long to fit gets one that comes closest to what it lacks instead.
 """
 
 from __future__ import annotations
@@ -79,33 +80,51 @@ def mix(
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialise(source_targets(sizes, weights, share, epochs))
     ends = materialise(_ends(narrow, targets, share, epochs))
-    thresholds = targets.join(ends, _same(targets.source, ends.source), "left").select(
-        targets.source.alias("_source"),
-        "source_size",
-        "target",
-        *(F.col(f"end{e}").alias(f"_end{e}") for e in range(epochs)),
+    end = [f"_end{e}" for e in range(epochs)]
+    rounds = lambda key: sum(F.coalesce((key <= F.col(c)).cast("int"), F.lit(0)) for c in end)
+    cut = materialise(
+        targets.join(ends, _same(targets.source, ends.source), "left").select(
+            targets.source.alias("_source"), "source_size", "target", F.coalesce("_taken", F.lit(0)).alias("_taken"), *end
+        )
+    )
+    # what a source lacks, for its next document was too long, one other document may make up
+    lacking = cut.filter(F.col("_taken") < F.col("target"))
+    gap = F.col("target") - F.col("_taken")
+    off = F.abs(F.col("size") - gap)
+    fillers = (
+        _with_source(narrow, lacking, "source", F.col("key"))
+        .filter((rounds(F.col("key")) < epochs) & (off < gap))
+        .groupBy("source")
+        .agg(F.min(F.struct(off.alias("off"), F.col("key").alias("key"))).alias("_f"))
+        .select(F.col("source").alias("_fs"), F.col("_f.key").alias("_filler"))
+    )
+    chosen = materialise(
+        cut.join(fillers, _same(F.col("_source"), F.col("_fs")), "left").select("_source", "source_size", "target", "_filler", *end)
     )
     made = ("size", "source_size", "target", "copies", "taken")
     keyed = docs.drop(*(c for c in made if c in docs.columns)).withColumns({"size": word_count(F.col(text)), "_key": key})
-    small, few = broadcast_if_small(materialise(thresholds))
-    if few:
-        joined = keyed.join(small, _same(F.col(source), F.col("_source")), "left")
-    else:
-        salts = 64
-        salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = keyed.withColumn("_of", F.pmod("_key", F.lit(salts)).cast("int")).join(
-            salted, _same(F.col(source), F.col("_source")) & (F.col("_of") == F.col("_salt")), "left"
-        )
-    copies = sum(F.coalesce((F.col("_key") <= F.col(f"_end{e}")).cast("int"), F.lit(0)) for e in range(epochs))
+    filled = F.coalesce((F.col("_key") == F.col("_filler")).cast("int"), F.lit(0))
     return (
-        joined.withColumn("copies", copies.cast("int"))
+        _with_source(keyed, chosen, source, F.col("_key"), "left")
+        .withColumn("copies", (rounds(F.col("_key")) + filled).cast("int"))
         .withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-        .drop("_key", "_source", "_of", "_salt", *(f"_end{e}" for e in range(epochs)))
+        .drop("_key", "_filler", *end)
     )
 
 
+def _with_source(rows: DataFrame, sources: DataFrame, source: str, key: Column, how: str = "inner") -> DataFrame:
+    """rows with the columns of their source (``_source``): few sources are broadcast, many joined under salts."""
+    small, few = broadcast_if_small(sources)
+    if few:
+        return rows.join(small, _same(F.col(source), F.col("_source")), how).drop("_source")
+    salts = 64
+    salted = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    of = F.pmod(key, F.lit(salts)).cast("int")
+    return rows.withColumn("_of", of).join(salted, _same(F.col(source), F.col("_source")) & (F.col("_of") == F.col("_salt")), how).drop("_source", "_of", "_salt")
+
+
 def _ends(narrow: DataFrame, targets: DataFrame, share: float, epochs: int) -> DataFrame:
-    """source and, for each round, the greatest key that the budget reaches (null: none)."""
+    """source, _taken (words) and _end<round>: the greatest key that the budget reaches in it (null: none)."""
     docs = narrow.count()
     bits = max(1, min(40, (docs // BUCKET_ROWS).bit_length()))
     bucketed = narrow.withColumn("bucket", F.shiftright("key", 64 - bits))
@@ -141,7 +160,7 @@ def _ends(narrow: DataFrame, targets: DataFrame, share: float, epochs: int) -> D
     running = histogram.withColumn("_upto", F.sum("_sum").over(Window.orderBy("range")))
     last = running.filter(F.col("_upto") > budget).orderBy("range").limit(1).select("range", (F.col("_upto") - F.col("_sum")).alias("before")).first()
     if last is None:
-        taken = ranged.filter(F.lit(True))
+        taken = ranged
     else:
         crossing = (
             ranged.filter(F.col("range") == last["range"])
@@ -151,5 +170,5 @@ def _ends(narrow: DataFrame, targets: DataFrame, share: float, epochs: int) -> D
         )
         taken = ranged.filter(F.col("range") < last["range"]).unionByName(crossing)
     return taken.groupBy("source").agg(
-        *(F.max(F.when(F.col("round") == e, F.col("key"))).alias(f"end{e}") for e in range(epochs))
+        F.sum("size").alias("_taken"), *(F.max(F.when(F.col("round") == e, F.col("key"))).alias(f"_end{e}") for e in range(epochs))
     )

@@ -66,4 +66,26 @@ SELECT conv_id,
 FROM escaped GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op2_line_rules": LINE_RULES, "op6_chat_format": CHAT_FORMAT}
+NEAR_DEDUP = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)
+), reached AS (
+  SELECT doc_id AS id, doc_id AS r FROM docs UNION SELECT l.b, q.r FROM reached q JOIN links l ON l.a = q.id
+), least AS (
+  SELECT id, min(r) AS component_id FROM reached GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM docs d LEFT JOIN sizes USING (doc_id) JOIN least ON least.id = d.doc_id
+"""
+
+ORACLE_SQL = {"op2_line_rules": LINE_RULES, "op6_chat_format": CHAT_FORMAT, "op10_near_dedup": NEAR_DEDUP}
