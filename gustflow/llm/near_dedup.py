@@ -23,15 +23,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import broadcast_if_small, materialise
 
-#: Values of a signature; values of a coordinate; coordinates that documents are posted under.
-VALUES, RUN, COORDINATES = 96, 3, 16
-#: Equal values that a pair needs. A link of similarity 0.85 has 66 of 96 or more but for about one in
-#: 10^5, and shares none of 16 coordinates once in 10^6; of higher similarity less often still.
-MATCHES = 66
-#: Members of each list that all others of the list meet first.
-PIVOTS = 2
+#: Coordinates that documents are posted under, and MinHash values of each.
+COORDINATES, RUN = 16, 3
+#: MinHash values of the signatures that pairs are counted by.
+VALUES = 256
+#: Equal values that a pair needs. A link of similarity 0.85 has 192 of 256 or more but for about one in
+#: 10^5, and shares none of the 16 coordinates once in 10^6; of higher similarity less often still.
+MATCHES = 192
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -67,17 +67,17 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The least value of the shingles under each of VALUES permutations; bounded memory for long texts."""
-    a, b = _permutations()
-    least = np.full(VALUES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 2048):
-        least = np.minimum(least, (shingles[at : at + 2048, None] * a + b).min(axis=0))
-    return least
+def signature(shingles: np.ndarray, values: int) -> np.ndarray:
+    """The least value of the shingles under each of so many permutations; bounded memory for long texts."""
+    a, b = (x[:values] for x in _permutations())
+    least = np.full(values, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 1024):
+        least = np.minimum(least, (shingles[at : at + 1024, None] * a + b).min(axis=0))
+    return _mixed(least)
 
 
 def sketch(docs: DataFrame, words: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class (digest of the set; null if it is empty), values and coordinates."""
+    """doc_id, n_shingles, class (digest of the set; null if it is empty) and coordinates."""
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -87,9 +87,9 @@ def sketch(docs: DataFrame, words: int, doc: str = "doc_id", text: str = "text")
             for of, t in zip(rows["id"], rows["text"], strict=True):
                 found = shingle_hashes(t, words)
                 if not len(found):
-                    out.append((of, 0, None, None, None))
+                    out.append((of, 0, None, None))
                     continue
-                least = _mixed(signature(found))
+                least = signature(found, COORDINATES * RUN)
                 runs = np.arange(1, COORDINATES + 1, dtype=np.uint64)
                 for k in range(RUN):
                     runs = _mixed(runs * np.uint64(0x9E3779B97F4A7C15) + least[k : COORDINATES * RUN : RUN])
@@ -98,21 +98,20 @@ def sketch(docs: DataFrame, words: int, doc: str = "doc_id", text: str = "text")
                         of,
                         len(found),
                         hashlib.blake2b(found.tobytes(), digest_size=16).digest(),
-                        (least >> np.uint64(48)).astype(np.int32).tolist(),
                         runs.view(np.int64).tolist(),
                     )
                 )
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "class", "values", "coordinates"]).astype(
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "class", "coordinates"]).astype(
                 {"doc_id": "Int64", "n_shingles": "int64"}
             )
 
     return docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(
-        sketched, "doc_id long, n_shingles long, class binary, values array<int>, coordinates array<long>"
+        sketched, "doc_id long, n_shingles long, class binary, coordinates array<long>"
     )
 
 
 def _sets(docs: DataFrame, needed: DataFrame, words: int, doc: str, text: str) -> DataFrame:
-    """rep, set (array of shingle hashes) and n of the classes in ``needed`` (rep, class)."""
+    """rep, set (array of shingle hashes), n and values (signature) of the classes in ``needed`` (rep, class)."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -122,11 +121,14 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int, doc: str, text: str) -
             for rep, of, t in zip(rows["rep"], rows["class"], rows["text"], strict=True):
                 found = shingle_hashes(t, words)
                 if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == bytes(of):  # an id may have other texts
-                    out.append((rep, found.view(np.int64).tolist(), len(found)))
-            yield pd.DataFrame(out, columns=["rep", "set", "n"]).astype({"rep": "int64", "n": "int64"})
+                    values = (signature(found, VALUES) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+                    out.append((rep, found.view(np.int64).tolist(), len(found), values.tolist()))
+            yield pd.DataFrame(out, columns=["rep", "set", "n", "values"]).astype({"rep": "int64", "n": "int64"})
 
-    rows = docs.select(F.col(doc).cast("long").alias("rep"), F.col(text).alias("text")).join(needed, "rep")
-    return rows.mapInPandas(made, "rep long, set array<long>, n long").dropDuplicates(["rep"])
+    # few classes go to the texts, of many the texts go to the classes
+    few, _ = broadcast_if_small(needed)
+    rows = docs.select(F.col(doc).cast("long").alias("rep"), F.col(text).alias("text")).join(few, "rep")
+    return rows.mapInPandas(made, "rep long, set array<long>, n long, values array<smallint>").dropDuplicates(["rep"])
 
 
 def _equal_values(a: Column, b: Column) -> Column:
@@ -173,7 +175,7 @@ def near_duplicates(
     classes = materialise(
         drawn.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("class")
-        .agg(F.min("doc_id").alias("rep"), F.first("values").alias("values"), F.first("coordinates").alias("coordinates"))
+        .agg(F.min("doc_id").alias("rep"), F.first("coordinates").alias("coordinates"))
     )
     confirmed = _confirmed(docs, classes, percent, words, doc, text)
     label = components(confirmed)
@@ -200,17 +202,30 @@ def deduplicate(docs: DataFrame, percent: int = 85, words: int = 5, doc: str = "
 def _confirmed(docs: DataFrame, classes: DataFrame, percent: int, words: int, doc: str, text: str) -> DataFrame:
     """Links (a, b) between classes whose components are those of all links."""
     posted = classes.select(F.posexplode("coordinates").alias("at", "key"), "rep")
-    # counts first, summed before the shuffle: lists of one member, almost all, need no join
-    lists = posted.groupBy("key").agg(
-        F.count("*").alias("_n"),
-        F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("rep"))).alias("_p0"),
-        F.max(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("rep"))).alias("_p1"),
-    )
-    lists = lists.filter(F.col("_n") > 1).select("key", F.array("_p0.rep", "_p1.rep").alias("_pivots"))
-    members = materialise(posted.join(lists, "key").select("key", "at", "rep", "_pivots"))
-    needed = members.select("rep").distinct().join(classes.select("rep", "class", "values"), "rep")
+    # counts first, summed before the shuffle: almost all lists have one member and need no join
+    lists = posted.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    members = materialise(posted.join(lists, "key").select("key", "at", "rep"))
+    needed = materialise(members.select("rep").distinct().join(classes, "rep"))
     sets = materialise(_sets(docs, needed.select("rep", "class"), words, doc, text))
-    values = classes.select("rep", "values")
+    # shingles that no other member has bound every intersection; by 32 bits of the hash, so that two
+    # that fall together only loosen the bound
+    alone = (
+        sets.select("rep", F.explode("set").alias("_h"))
+        .groupBy(F.shiftright("_h", 32).cast("int").alias("_h"))
+        .agg(F.count("*").alias("_n"), F.min("rep").alias("rep"))
+        .filter("_n = 1")
+        .groupBy("rep")
+        .agg(F.count("*").alias("_alone"))
+    )
+    facts = materialise(
+        needed.join(sets.select("rep", "n", "values"), "rep")
+        .join(alone, "rep", "left")
+        .select("rep", "values", "coordinates", F.struct(F.col("n"), (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("most")).alias("size"))
+    )
+
+    def possible(a: Column, b: Column) -> Column:
+        most = F.least(a["most"], b["most"])
+        return 100 * most >= percent * (a["n"] + b["n"] - most)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("rep").alias("a"), F.col("set").alias("_sa"), F.col("n").alias("_na"))
@@ -224,36 +239,45 @@ def _confirmed(docs: DataFrame, classes: DataFrame, percent: int, words: int, do
             .select("a", "b")
         )
 
+    # two pivots a list: the member with the least share of shingles of its own, and one by hash
+    sized = members.join(facts.select("rep", "size"), "rep")
+    one = F.struct("rep", "size")
+    pivots = sized.groupBy("key").agg(
+        F.min(F.struct((1 - F.col("size.most") / F.col("size.n")).alias("own"), one.alias("p"))).alias("_p0"),
+        F.min(F.struct(F.xxhash64("rep", "key").alias("h"), one.alias("p"))).alias("_p1"),
+    )
     to_pivots = (
-        members.select("rep", F.explode("_pivots").alias("pivot"))
-        .filter("rep <> pivot")
-        .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+        sized.join(pivots.select("key", F.array("_p0.p", "_p1.p").alias("_pivots")), "key")
+        .select("rep", "size", F.explode("_pivots").alias("_p"))
+        .filter((F.col("rep") != F.col("_p.rep")) & possible(F.col("size"), F.col("_p.size")))
+        .select(F.least("rep", "_p.rep").alias("a"), F.greatest("rep", "_p.rep").alias("b"))
         .distinct()
     )
-    near = (
-        to_pivots.join(values.select(F.col("rep").alias("a"), F.col("values").alias("_va")), "a")
-        .join(values.select(F.col("rep").alias("b"), F.col("values").alias("_vb")), "b")
+    near = materialise(
+        to_pivots.join(facts.select(F.col("rep").alias("a"), F.col("values").alias("_va")), "a")
+        .join(facts.select(F.col("rep").alias("b"), F.col("values").alias("_vb")), "b")
         .filter(_equal_values(F.col("_va"), F.col("_vb")) >= MATCHES)
         .select("a", "b")
     )
     first = materialise(confirm(near))
     label = components(first)
-    now = members.select("key", "at", "rep").join(label, F.col("rep") == F.col("id"), "left").select(
+    now = members.join(label, F.col("rep") == F.col("id"), "left").select(
         "key", "at", "rep", F.coalesce("component", "rep").alias("of")
     )
     sizes = now.groupBy("key", "of").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("of", F.struct("n", "of")).alias("main"))
     open_lists = largest.filter(F.col("groups") > 1).select("key", "main")
     rows = materialise(
-        now.join(open_lists, "key").join(classes.select("rep", "values", "coordinates"), "rep").select("key", "at", "rep", "of", "main", "values", "coordinates")
+        now.join(open_lists, "key").join(facts, "rep").select("key", "at", "rep", "of", "main", "size", "values", "coordinates")
     )
     rest = rows.filter("of <> main").select(
-        "key", "at", F.col("rep").alias("r"), F.col("of").alias("r_of"), F.col("values").alias("rv"), F.col("coordinates").alias("rc")
+        "key", "at", F.col("rep").alias("r"), F.col("of").alias("r_of"), F.col("size").alias("rz"), F.col("values").alias("rv"), F.col("coordinates").alias("rc")
     )
-    other = rows.select("key", F.col("rep").alias("o"), F.col("of").alias("o_of"), F.col("main").alias("o_main"), F.col("values").alias("ov"), F.col("coordinates").alias("oc"))
+    other = rows.select("key", F.col("rep").alias("o"), F.col("of").alias("o_of"), F.col("main").alias("o_main"), F.col("size").alias("oz"), F.col("values").alias("ov"), F.col("coordinates").alias("oc"))
     met = rest.join(other, "key").filter(
         (F.col("r_of") != F.col("o_of"))
         & ((F.col("o_of") == F.col("o_main")) | (F.col("r") < F.col("o")))
+        & possible(F.col("rz"), F.col("oz"))
         & (F.array_position(F.zip_with("rc", "oc", lambda x, y: x == y), F.lit(True)) == F.col("at") + 1)
         & (_equal_values(F.col("rv"), F.col("ov")) >= MATCHES)
     )
