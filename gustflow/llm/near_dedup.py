@@ -76,13 +76,20 @@ def signature(shingles: np.ndarray, values: int) -> np.ndarray:
     return _mixed(least)
 
 
+def _chunks(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """Batches in parts of a few rows, so that a task holds the results of those only."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def sketch(docs: DataFrame, words: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class (digest of the set; null if it is empty) and coordinates."""
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        for rows in batches:
+        for rows in _chunks(batches):
             out: list[tuple] = []
             for of, t in zip(rows["id"], rows["text"], strict=True):
                 found = shingle_hashes(t, words)
@@ -98,7 +105,7 @@ def sketch(docs: DataFrame, words: int, doc: str = "doc_id", text: str = "text")
                         of,
                         len(found),
                         hashlib.blake2b(found.tobytes(), digest_size=16).digest(),
-                        runs.view(np.int64).tolist(),
+                        runs.view(np.int64),
                     )
                 )
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "class", "coordinates"]).astype(
@@ -116,13 +123,13 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int, doc: str, text: str) -
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        for rows in batches:
+        for rows in _chunks(batches):
             out = []
             for rep, of, t in zip(rows["rep"], rows["class"], rows["text"], strict=True):
                 found = shingle_hashes(t, words)
                 if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == bytes(of):  # an id may have other texts
                     values = (signature(found, VALUES) >> np.uint64(48)).astype(np.uint16).view(np.int16)
-                    out.append((rep, found.view(np.int64).tolist(), len(found), values.tolist()))
+                    out.append((rep, found.view(np.int64), len(found), values))
             yield pd.DataFrame(out, columns=["rep", "set", "n", "values"]).astype({"rep": "int64", "n": "int64"})
 
     # few classes go to the texts, of many the texts go to the classes
