@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 # The template's control strings. All begin with "<|", which never stands in an escaped text.
 TURN, NEXT, END = "<|turn|>", "<|next|>", "<|end|>\n"
 
@@ -129,7 +131,7 @@ def format_conversations(
 
 
 def _blocks_of(one: Column) -> Column:
-    return _blocks(F.sort_array(F.collect_list(one)))
+    return let(F.sort_array(F.collect_list(one)), _blocks)
 
 
 def read_back(formatted: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,3 +102,12 @@ def slices(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]
             some, size = [], 0
     if some:
         yield some
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once per row, however often ``use`` refers to it.
+
+    A column that lambdas refer to is computed again for every element where the optimizer puts its
+    expression in its place (it does below a filter); a lambda's own variable never is.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))

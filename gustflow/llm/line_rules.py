@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_CLASS, broadcast_if_small, materialise, word_count
+from .common import SPACE_CLASS, WORD_CLASS, broadcast_if_small, let, materialise, word_count
 
 #: The symbols that n_symbols counts, and the white space between words.
 SYMBOLS = "#*$%&|<>"
@@ -49,24 +49,24 @@ def line_hash(line: Column) -> Column:
 
 
 def with_measures(docs: DataFrame, text: str) -> DataFrame:
-    """docs with the measures on a document alone (long).
-
-    Words, windows and lines are columns of their own, each used more than once by what comes next, so
-    that Spark computes them once per row and does not inline them.
-    """
+    """docs with the measures on a document alone (long)."""
     whole = F.coalesce(F.col(text), F.lit(""))
+    of_words = let(
+        words_of(F.col(text)),
+        lambda w: F.struct(F.size(w).cast("long").alias("n"), let(placed_windows(w), covered_words).alias("repeated")),
+    )
     return (
-        docs.withColumns({"_words": words_of(F.col(text)), "_lines": lines_of(F.col(text))})
-        .withColumns({"n_words": F.size("_words").cast("long"), "_placed": placed_windows(F.col("_words"))})
+        docs.withColumn("_words", of_words)
         .withColumns(
             {
+                "n_words": F.col("_words.n"),
                 "word_chars": F.char_length(F.translate(whole, SPACES, "")).cast("long"),
                 "n_symbols": (F.char_length(whole) - F.char_length(F.translate(whole, SYMBOLS, ""))).cast("long"),
-                "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-                "n_repeat_words": covered_words(F.col("_placed")),
+                "n_dup_lines": let(lines_of(F.col(text)), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+                "n_repeat_words": F.col("_words.repeated"),
             }
         )
-        .drop("_words", "_lines", "_placed")
+        .drop("_words")
     )
 
 
