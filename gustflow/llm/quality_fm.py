@@ -24,7 +24,7 @@ from .common import labelled_sample
 #: Buckets of hashed words; structure statistics and metadata come after them.
 BUCKETS = 1 << 15
 #: Words that a worker remembers before it starts afresh; bounds its memory.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _CLASS = np.zeros((256, 9))
 for _k, _chars in enumerate(

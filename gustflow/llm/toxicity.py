@@ -123,9 +123,12 @@ def fit(
     model = SubwordModel(rng.normal(0, 0.1, (BUCKETS, width)), rng.normal(0, 0.3, (width, 2)), np.array([1.0, -1.0]))
     vocabulary: dict[str, int] = {}
     tokens = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], dtype=np.int64) for t in texts]
-    flat, owners = ngrams(list(vocabulary)) if vocabulary else (np.zeros(0, dtype=np.int64),) * 2
-    flat = flat[np.argsort(owners, kind="stable")]
-    length = np.bincount(owners, minlength=len(vocabulary))
+    words, parts, lengths = list(vocabulary), [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+    for at in range(0, len(words), 20_000):
+        rows, owners = ngrams(words[at : at + 20_000])
+        parts.append(rows[np.argsort(owners, kind="stable")].astype(np.int32))
+        lengths.append(np.bincount(owners))
+    flat, length = np.concatenate(parts), np.concatenate(lengths)
     begin = np.cumsum(length) - length
     seen_e, seen_w, seen_b = np.full(BUCKETS, 1e-8), np.full((width, 2), 1e-8), np.full(2, 1e-8)
     usable = np.array([i for i, t in enumerate(tokens) if len(t)], dtype=np.int64)
