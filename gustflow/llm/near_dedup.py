@@ -15,6 +15,7 @@ joins two classes that are connected without it, so components are those of all
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,13 +26,31 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialise
 
-#: Coordinates that documents are posted under, and MinHash values of each.
-COORDINATES, RUN = 16, 3
+#: MinHash values of a coordinate.
+RUN = 3
 #: MinHash values of the signatures that pairs are counted by.
 VALUES = 256
-#: Equal values that a pair needs. A link of similarity 0.85 has 192 of 256 or more but for about one in
-#: 10^5, and shares none of the 16 coordinates once in 10^6; of higher similarity less often still.
-MATCHES = 192
+
+
+def coordinates_of(percent: int) -> int:
+    """Coordinates that documents are posted under: 16 at 85 percent, 21 at 80.
+
+    A link of just that similarity shares none of them less than once in 10^6; of higher similarity
+    less often still. A low percent needs many.
+    """
+    alike = (percent / 100) ** RUN
+    return 1 if alike >= 1 else math.ceil(math.log(4e-7) / math.log1p(-alike))
+
+
+def matches_of(percent: int) -> int:
+    """Equal values that a pair needs: 192 of 256 at 85 percent, 176 at 80.
+
+    4.5 standard deviations below the mean of a link of just that similarity, which has fewer about
+    once in 10^5; of higher similarity less often still.
+    """
+    p = percent / 100
+    return max(0, round(VALUES * p - 4.5 * math.sqrt(VALUES * p * (1 - p))))
+
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -61,15 +80,17 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(rolled)
 
 
-@lru_cache(maxsize=1)
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def _permutations(values: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    return rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
+    n = max(VALUES, values)
+    a, b = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    return a[:values], b[:values]
 
 
 def signature(shingles: np.ndarray, values: int) -> np.ndarray:
     """The least value of the shingles under each of so many permutations; bounded memory for long texts."""
-    a, b = (x[:values] for x in _permutations())
+    a, b = _permutations(values)
     least = np.full(values, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), 1024):
         least = np.minimum(least, (shingles[at : at + 1024, None] * a + b).min(axis=0))
@@ -83,8 +104,9 @@ def _chunks(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.Dat
             yield batch.iloc[at : at + rows]
 
 
-def sketch(docs: DataFrame, words: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def sketch(docs: DataFrame, words: int, doc: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, class (digest of the set; null if it is empty) and coordinates."""
+    coordinates = coordinates_of(percent)
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -96,10 +118,10 @@ def sketch(docs: DataFrame, words: int, doc: str = "doc_id", text: str = "text")
                 if not len(found):
                     out.append((of, 0, None, None))
                     continue
-                least = signature(found, COORDINATES * RUN)
-                runs = np.arange(1, COORDINATES + 1, dtype=np.uint64)
+                least = signature(found, coordinates * RUN)
+                runs = np.arange(1, coordinates + 1, dtype=np.uint64)
                 for k in range(RUN):
-                    runs = _mixed(runs * np.uint64(0x9E3779B97F4A7C15) + least[k : COORDINATES * RUN : RUN])
+                    runs = _mixed(runs * np.uint64(0x9E3779B97F4A7C15) + least[k : coordinates * RUN : RUN])
                 out.append(
                     (
                         of,
@@ -176,9 +198,9 @@ def near_duplicates(
     component_id is the least id reachable over links. kept: the id is its component's. Documents
     without words (null and empty texts) are linked with nothing. Rows of one id count as one document
     in the linking; a null id is linked with nothing, its component is null, and it is kept. The
-    thresholds of the signatures are set for 85 percent; a lower one loses links.
+    coordinates and the threshold of the signatures follow from ``percent``.
     """
-    drawn = materialise(sketch(docs, words, doc, text))
+    drawn = materialise(sketch(docs, words, doc, text, percent))
     classes = materialise(
         drawn.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("class")
@@ -208,6 +230,7 @@ def deduplicate(docs: DataFrame, percent: int = 85, words: int = 5, doc: str = "
 
 def _confirmed(docs: DataFrame, classes: DataFrame, percent: int, words: int, doc: str, text: str) -> DataFrame:
     """Links (a, b) between classes whose components are those of all links."""
+    matches = matches_of(percent)
     posted = classes.select(F.posexplode("coordinates").alias("at", "key"), "rep")
     # counts first, summed before the shuffle: almost all lists have one member and need no join
     lists = posted.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
@@ -263,7 +286,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, percent: int, words: int, do
     near = materialise(
         to_pivots.join(facts.select(F.col("rep").alias("a"), F.col("values").alias("_va")), "a")
         .join(facts.select(F.col("rep").alias("b"), F.col("values").alias("_vb")), "b")
-        .filter(_equal_values(F.col("_va"), F.col("_vb")) >= MATCHES)
+        .filter(_equal_values(F.col("_va"), F.col("_vb")) >= matches)
         .select("a", "b")
     )
     first = materialise(confirm(near))
@@ -286,7 +309,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, percent: int, words: int, do
         & ((F.col("o_of") == F.col("o_main")) | (F.col("r") < F.col("o")))
         & possible(F.col("rz"), F.col("oz"))
         & (F.array_position(F.zip_with("rc", "oc", lambda x, y: x == y), F.lit(True)) == F.col("at") + 1)
-        & (_equal_values(F.col("rv"), F.col("ov")) >= MATCHES)
+        & (_equal_values(F.col("rv"), F.col("ov")) >= matches)
     )
     pairs = met.select(F.least("r", "o").alias("a"), F.greatest("r", "o").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     return first.union(confirm(pairs))

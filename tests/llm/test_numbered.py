@@ -258,6 +258,22 @@ def test_near_duplicates_are_all_found(spark, docs):
     assert near_dedup.near_duplicates(docs.filter("false")).count() == 0
 
 
+def test_links_at_the_edge_of_eighty_percent_are_found(spark):
+    def pair(k, n):  # one word changed in the middle: n - 5 of n + 5 shingles are shared
+        words = [f"p{k}w{j}" for j in range(n + 4)]
+        return " ".join(words), " ".join(words[: n // 2] + [f"e{k}"] + words[n // 2 + 1 :])
+
+    rows = [(2 * k + j, t) for k in range(400) for j, t in enumerate(pair(k, (45, 46, 48, 50)[k % 4]))]  # 0.8 to 0.82
+    rows += [(800 + j, t) for j, t in enumerate(pair("low", 44))]  # 39 of 49: under 0.8
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    sets = {i: shingles(t) for i, t in rows}
+    linked = [100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2)]
+    assert linked == [True] * 400 + [False]
+    got = near_dedup.near_duplicates(df, percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 if linked[i // 2] else i for i, _ in rows}
+    assert near_dedup.matches_of(85) == 192 and near_dedup.coordinates_of(85) == 16
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(200, k) for k in range(201, 260)] + [(5, 3), (3, 5), (7, 7)]
     got = {r["id"]: r["component"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -58,5 +58,15 @@ def test_numbered_queries_are_their_sql(spark, name):
     assert rows([tuple(r) for r in found.collect()], found.columns) == rows(wanted.fetchall(), wanted.columns)
 
 
+def test_near_deduplication_links_at_eighty_percent(spark):
+    words = [f"w{j}" for j in range(60)]
+    near = [*words[:30], "other", *words[31:]]  # 51 of 61 shingles shared: 0.836
+    far = [*words[:20], "x", *words[21:40], "y", *words[41:]]  # 46 of 66: 0.697
+    rows = [(k, " ".join(w), "en", "s", len(" ".join(w))) for k, w in enumerate((words, near, far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_deduplication(spark, docs, SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 2]
+
+
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
