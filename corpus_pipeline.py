@@ -25,8 +25,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line rules keep, without the lines above their host's limit."""
-    kept = line_rules.apply_rules(docs).filter("kept")
+    """Documents that the line rules keep, without the lines that more than 20 documents of their host hold."""
+    kept = line_rules.apply_rules(docs, share=None).filter("kept")
     return kept.withColumns({"text": F.col("clean_text"), "n_chars": F.char_length("clean_text").cast("long")}).select(*COLUMNS)
 
 

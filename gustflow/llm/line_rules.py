@@ -16,6 +16,11 @@ from .common import SPACE_CLASS, WORD_CLASS, broadcast_if_small, let, materialis
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Lines that a host's list may have, and pairs of host and line that all lists may hold, to be sent to
+#: every task; beyond them the pairs go back to the documents by joins.
+LISTED, PAIRS = 1_000, 200_000
+#: Parts that the documents of a line are dealt over where pairs are too many to broadcast.
+SALTS = 16
 
 
 def words_of(text: Column) -> Column:
@@ -70,23 +75,47 @@ def with_measures(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def frequent_lines(docs: DataFrame, host: str, text: str, min_docs: int, share: float) -> DataFrame:
-    """host, hashes: for each host that has any, the lines held by more of its documents than its limit.
+def held_lines(docs: DataFrame, host: str, text: str, *more: Column) -> DataFrame:
+    """host, line (hash) and more: each document gives each of its lines once."""
+    lines = F.explode(F.array_distinct(F.transform(lines_of(F.col(text)), line_hash)))
+    return docs.select(F.col(host).alias("host"), *more, lines.alias("line"))
 
-    The limit is ``share`` of the host's documents, ``min_docs`` at least. Since lines over a share s
-    of the documents can be 1/s times the mean number of lines of a document at most, a host's list
-    does not grow with its documents. Each document gives each of its lines once, and counts are
-    summed before the shuffle, so a very common line is a row per task.
+
+def frequent_lines(docs: DataFrame, host: str, text: str, min_docs: int, share: float | None) -> DataFrame:
+    """host, line: the lines held by more of a host's documents than its limit.
+
+    The limit is ``min_docs``; with a ``share``, that share of the host's documents if it is more.
+    Counts are summed before the shuffle, so a very common line is a row per task.
     """
-    held = docs.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(lines_of(F.col(text)), line_hash))).alias("line"))
-    counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
+    counts = held_lines(docs, host, text).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
+    if share is None:
+        return counts.select("host", "line")
     hosts = docs.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("_docs"))
-    return (
-        counts.join(hosts, F.col("host").eqNullSafe(F.col("_host")))
-        .filter(F.col("n") > F.col("_docs") * F.lit(share))
-        .groupBy("host")
-        .agg(F.sort_array(F.collect_list("line")).alias("hashes"))
-    )
+    over = counts.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("n") > F.col("_docs") * F.lit(share))
+    return over.select("host", "line")
+
+
+def with_frequent(docs: DataFrame, frequent: DataFrame, host: str, text: str) -> DataFrame:
+    """docs with their measures and _hashes: frequent lines of the host, all that the document holds among them.
+
+    Short lists are broadcast, one a host. Otherwise each document gets the lines that it holds itself,
+    under a hash of its row: rows whose hashes are equal share a list, which changes nothing, since a
+    list has frequent lines of the host only.
+    """
+    lists = frequent.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n").alias("longest"), F.sum("n").alias("pairs")).first()
+    if (lists["longest"] or 0) <= LISTED and (lists["pairs"] or 0) <= PAIRS:
+        listed = frequent.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_list("line")).alias("_hashes"))
+        return with_measures(docs, text).join(F.broadcast(listed), F.col(host).eqNullSafe(F.col("_host")), "left")
+    kinds = [c for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant"))]
+    docs = docs.withColumn("_row", F.xxhash64(*(F.col(f"`{c}`") for c in kinds)))
+    held = held_lines(docs, host, text, F.col("_row"))
+    pairs, few = broadcast_if_small(frequent.select(F.col("host").alias("_host"), F.col("line").alias("_line")), PAIRS)
+    same = F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line"))
+    if not few:  # a very common line has a row for each document
+        pairs = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same &= F.pmod(F.col("_row"), F.lit(SALTS)) == F.col("_salt")
+    own = held.join(pairs, same).groupBy("_host", F.col("_row").alias("_own")).agg(F.collect_set("line").alias("_hashes"))
+    return with_measures(docs, text).join(own.hint("shuffle_hash"), F.col(host).eqNullSafe(F.col("_host")) & (F.col("_row") == F.col("_own")), "left")
 
 
 def apply_rules(
@@ -94,30 +123,22 @@ def apply_rules(
     host: str = "source",
     text: str = "text",
     min_docs: int = 20,
-    share: float = 0.1,
+    share: float | None = 0.1,
     least_left: float = 0.3,
 ) -> DataFrame:
     """docs with the document measures, base_failed, removed_words, clean_text and kept.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows.
-    clean_text: the text without lines (and lines without words stay) that are above the host's limit;
-    removed_words: the words of those. kept: not base_failed, and at least ``least_left`` of the words
-    left. Null and empty texts have no words and fail the base rules; a null host is a host; every row
-    counts as a document, so repeated rows count again. An empty table gives no rows. Columns of docs
-    named like the new ones give way. No text is shuffled unless hosts are so many that their lists
-    are too large to broadcast; then documents are joined to them under salts.
+    clean_text: the text without lines (and lines without words stay) that are above the host's limit:
+    ``min_docs`` documents or, with a ``share``, that share of the host's if it is more; removed_words:
+    the words of those. kept: not base_failed, and at least ``least_left`` of the words left. Null and
+    empty texts have no words and fail the base rules; a null host is a host; every row counts as a
+    document, so repeated rows count again. An empty table gives no rows. Columns of docs named like
+    the new ones give way. No text is shuffled unless a host's list or all pairs of host and line are
+    too many to broadcast; then each text is shuffled once, to meet its own lines.
     """
     frequent = materialise(frequent_lines(docs, host, text, min_docs, share))
-    base = with_measures(docs, text)
-    small, few = broadcast_if_small(frequent.select(F.col("host").alias("_host"), F.col("hashes").alias("_hashes")), 20_000)
-    if few:
-        joined = base.join(small, F.col(host).eqNullSafe(F.col("_host")), "left")
-    else:
-        salts = 64
-        salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = base.withColumn("_of", F.pmod(F.xxhash64(text), F.lit(salts)).cast("int")).join(
-            salted, F.col(host).eqNullSafe(F.col("_host")) & (F.col("_of") == F.col("_salt")), "left"
-        )
+    joined = with_frequent(docs, frequent, host, text)
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     over = lambda x: x.rlike(WORD_CLASS) & F.array_contains(F.col("_hashes"), line_hash(x))
     clean = F.when(F.col("_hashes").isNull(), F.col(text)).otherwise(
@@ -134,5 +155,5 @@ def apply_rules(
         .withColumn(
             "kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.col("n_words") * F.lit(least_left))
         )
-        .drop("_host", "_hashes", "_of", "_salt")
+        .drop("_host", "_hashes", "_row", "_own")
     )

@@ -143,6 +143,24 @@ def test_line_rules_measures_and_limits(spark, docs):
     assert line_rules.apply_rules(docs.filter("false")).count() == 0
 
 
+def test_line_limit_does_not_grow_and_joins_give_what_lists_give(spark, docs, monkeypatch):
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    hosts = [(None, 250), ("a", 400), ("b", 60)]
+    shared = lambda k: "".join(f"shared  line {j}\n" for j in range(40) if k >= j and k < j + 25)
+    rows = [(k, shared(k) + own(k), "en", h, 0) for h, n in hosts for k in range(n)]
+    df = spark.createDataFrame(rows + rows[:30], SCHEMA).unionByName(docs)
+    for share, of_large in ((0.1, 0), (None, 75)):  # document 30 holds lines 6 to 30, three words each
+        ways = []
+        for listed, pairs in ((1_000, 200_000), (0, 200_000), (0, 0)):
+            monkeypatch.setattr(line_rules, "LISTED", listed)
+            monkeypatch.setattr(line_rules, "PAIRS", pairs)
+            got = line_rules.apply_rules(df, share=share)
+            ways.append(sorted(tuple(map(str, r)) for r in got.select(*sorted(got.columns)).collect()))
+            at = got.filter("doc_id = 30 AND source IS NOT NULL").collect()
+            assert {r["source"]: r["removed_words"] for r in at} == {"a": of_large, "b": 75}
+        assert ways[0] == ways[1] == ways[2] and len(ways[0]) == df.count()
+
+
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "", None, "&amp;lt; &lt;|turn|> <|end|>\n<|next|>", "plain & simple <b>", "<|im_start|>user\n", "é" * 3000]
     rows = [(c, t, r, random.choice(said)) for c in (1, 2, None) for t, r in enumerate(random.choices(["user", "assistant", "sys<|tem\nx", None], k=9))]

@@ -58,6 +58,15 @@ def test_numbered_queries_are_their_sql(spark, name):
     assert rows([tuple(r) for r in found.collect()], found.columns) == rows(wanted.fetchall(), wanted.columns)
 
 
+def test_quality_rules_remove_a_line_of_few_documents_of_a_large_host(spark):
+    texts = [("Same footer here\n" if k < 25 else "") + " ".join(f"d{k}w{j}" for j in range(60)) for k in range(400)]
+    docs = spark.createDataFrame(
+        [(k, t, "en", "large", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, docs, SF).collect()}
+    assert out == {k: t.removeprefix("Same footer here\n") for k, t in enumerate(texts)}
+
+
 def test_near_deduplication_links_at_eighty_percent(spark):
     words = [f"w{j}" for j in range(60)]
     near = [*words[:30], "other", *words[31:]]  # 51 of 61 shingles shared: 0.836
