@@ -21,19 +21,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialise(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage in the shared checkpoint folder.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a
-    single machine) a temporary folder is chosen.
+    The folder is the cluster's ``spark.checkpoint.dir``. Where that is unset, a single machine
+    (tests) takes a temporary folder, a cluster a folder in the warehouse, which its nodes share.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gustflow-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="gustflow-checkpoint-")
+        context.setCheckpointDir(folder or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)
 
 
-def replaced(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with these columns; a column of the same name that df had before gives way."""
-    return df.withColumns(columns)
+def private(df: DataFrame) -> str:
+    """A beginning that no column of df has, for columns of one's own beside them."""
+    names = [c.lower() for c in df.columns]
+    prefix = "_own_"
+    while any(c.startswith(prefix) for c in names):
+        prefix = "_" + prefix
+    return prefix
+
+
+def columns_of(df: DataFrame, but: tuple[str, ...] = ()) -> list[Column]:
+    """df's columns but those named ``but`` (in any case), whatever characters their names have."""
+    left_out = {b.lower() for b in but}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in left_out]
+
+
+#: Keys that are dealt over several tasks in ``salted_join``, and over how many.
+HEAVY, SALTS = 4096, 32
+
+
+def heavy_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """The HEAVY most frequent keys: any other has at most one part in HEAVY of all rows."""
+    return counts.orderBy(F.desc(n)).limit(HEAVY).select(F.col(key).alias("_heavy"))
+
+
+def salted_join(rows: DataFrame, lists: DataFrame, key: str, heavy: DataFrame, how: str = "inner", by: str | None = None) -> DataFrame:
+    """rows joined with lists by a key (not null) that may be very frequent in rows.
+
+    Rows of heavy keys (a column ``_heavy``, HEAVY of them at most, so they are broadcast) are dealt over SALTS
+    parts by a hash of ``by`` (default: of all their columns), and the rows of lists with such keys stand in
+    each part. Columns of the two but the key must differ.
+    """
+    few = F.broadcast(heavy)
+    salt = F.pmod(F.xxhash64(*([by] if by else rows.columns)), F.lit(SALTS)).cast("int")
+    dealt = rows.join(few, rows[key] == few["_heavy"], "left").withColumn(
+        "_salt", F.when(F.col("_heavy").isNotNull(), salt).otherwise(F.lit(0))
+    ).drop("_heavy")
+    everywhere = F.when(F.col("_heavy").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = lists.join(few, lists[key] == few["_heavy"], "left").withColumn("_salt", F.explode(everywhere)).drop("_heavy")
+    return dealt.join(copied, [key, "_salt"], how).drop("_salt")
 
 
 def fold(key: str, parts: int) -> Column:
@@ -52,30 +90,27 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> tuple[DataFrame, b
     return (F.broadcast(df) if small else df), small
 
 
-#: Characters of the longest text that may serve as an example to learn from.
-LONGEST_EXAMPLE = 200_000
-
-
 def chance(*keys: str) -> Column:
     """A number in [0, 1) drawn from the keys' hash: the same in every run and partitioning."""
     return F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, limit: int, inputs: list[str], parts: int = 5, doc: str = "doc_id"
+    docs: DataFrame, labels: DataFrame, label: str, limit: int, longest: int, inputs: list[str], parts: int = 5, doc: str = "doc_id"
 ) -> list[dict]:
     """About ``limit`` labelled rows to learn from, in an order that is the same in every run.
 
     Only ids whose crc32 modulo ``parts`` is not 0 are drawn, each with the chance that makes up the
     limit; rows of one id count once (the least of them), and the greatest of contradicting labels.
-    Very long texts are no examples. So the driver gets ``limit`` short rows, however large the tables.
+    Texts of more than ``longest`` characters are no examples. So the driver gets about ``limit`` rows
+    of so many characters at most, however large the tables.
     """
     usable = labels.filter(F.col(label).isNotNull() & F.col(doc).isNotNull() & (fold(doc, parts) != 0))
     usable = usable.groupBy(doc).agg(F.max(label).alias("_label"))
     rate = limit / max(1, usable.count())
     chosen = usable.filter(chance(doc) < rate)
     rows = (
-        docs.filter(F.coalesce(F.char_length("text"), F.lit(0)) <= LONGEST_EXAMPLE)
+        docs.filter(F.coalesce(F.char_length("text"), F.lit(0)) <= longest)
         .select(doc, F.struct(*inputs).alias("_row"))
         .join(F.broadcast(chosen), doc)  # about ``limit`` rows
         .groupBy(doc, "_label")

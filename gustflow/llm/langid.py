@@ -2,8 +2,9 @@
 
 Pieces of a fixed public vocabulary have a probability in each language. A word's probability is the
 sum over all its segmentations into pieces of the products of their probabilities, which the forward
-algorithm sums in one pass; a text's is the product over its words. Probabilities are fitted by
-expectation maximisation over all segmentations, on a bounded sample of labelled rows.
+algorithm sums in one pass, however long the word is: it goes on block by block and keeps as many places
+as the longest piece has characters. A text's probability is the product over its words. Probabilities
+are fitted by expectation maximisation over all segmentations, on a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONGEST_EXAMPLE, chance, fold, slices
+from .common import chance, columns_of, fold, private, slices
 
 #: Words that a worker remembers before it starts afresh; bounds its memory.
 REMEMBERED = 250_000
-#: Longer words are parted into runs of so many characters; their segmentations are summed run by run.
-RUN = 24
+#: Characters of a block, after which the forward sums are scaled anew; so few that none gets too small.
+BLOCK = 24
 #: What a text has when it is null or has no letter.
 UNDETERMINED = "und"
 
@@ -91,15 +92,8 @@ class Lattice:
             number[rest[same]] = self.values[slot[rest[same]] + k]
         return hit, number
 
-    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows (run, start, end, piece) sorted by end then run; each run's length and word."""
-        runs: list[str] = []
-        owner: list[int] = []
-        for k, w in enumerate(words):
-            marked = "▁" + (w.strip(_EDGES) or w)
-            for at in range(0, len(marked), RUN):
-                runs.append(marked[at : at + RUN])
-                owner.append(k)
+    def edges(self, runs: list[str]) -> np.ndarray:
+        """Rows (run, start, end, piece) of all pieces in the runs of characters, sorted by end then run."""
         lengths = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
         codes = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         of = np.repeat(np.arange(len(runs)), lengths)
@@ -121,43 +115,71 @@ class Lattice:
             parts.append(np.stack([of[alive[some]], place[alive[some]], place[alive[some]] + n, number[some]], axis=1))
             alive, rolling = alive[hit], rolling[hit]
         table = np.concatenate(parts) if parts else np.zeros((0, 4), dtype=np.int64)
-        order = np.argsort(table[:, 2] * (len(runs) + 1) + table[:, 0], kind="stable")
-        return table[order], np.array([lengths, owner], dtype=np.int64)
+        return table[np.argsort(table[:, 2] * (len(runs) + 1) + table[:, 0], kind="stable")]
 
-    def forward(self, edges: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """(runs, places, languages): the probability of what comes before each place."""
-        n = len(lengths)
-        alpha = np.zeros((n, int(lengths.max(initial=0)) + 1, p.shape[1]))
-        alpha[:, 0] = 1.0
+    def forward(self, alpha: np.ndarray, edges: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """alpha (runs, places, languages), the probability of what comes before each place, filled in along the edges."""
         for end, some in _by(edges[:, 2]):
-            word, start, piece = edges[some, 0], edges[some, 1], edges[some, 3]
-            where = np.flatnonzero(np.diff(word, prepend=-1))
-            alpha[word[where], end] = np.add.reduceat(alpha[word, start] * p[piece], where, axis=0)
+            run, start, piece = edges[some, 0], edges[some, 1], edges[some, 3]
+            where = np.flatnonzero(np.diff(run, prepend=-1))
+            alpha[run[where], end] = np.add.reduceat(alpha[run, start] * p[piece], where, axis=0)
         return alpha
 
     def log_probability(self, words: list[str], p: np.ndarray) -> np.ndarray:
-        """(words, languages): log probabilities, all segmentations summed."""
-        edges, (lengths, runs) = self.edges(words)
-        alpha = self.forward(edges, lengths, p)
-        logs = np.log(alpha[np.arange(len(lengths)), lengths])
-        return np.stack([np.bincount(runs, weights=logs[:, k], minlength=len(words)) for k in range(p.shape[1])], axis=1)
-
-    def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """(pieces, languages): how often each piece is expected in words that come counts (words, languages) times."""
-        edges, (lengths, runs) = self.edges(words)
-        alpha = self.forward(edges, lengths, p)
+        """(words, languages): log probabilities, all segmentations of each whole word summed.
+
+        The forward sums of the places before a block that a piece may reach back to are carried into it,
+        scaled to one for each word and language.
+        """
+        marked = list(map(_marked, words))
+        lengths = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+        out = np.zeros((len(words), p.shape[1]))
+        back = max(1, self.longest)
+        now, at = np.arange(len(words)), 0
+        carried = np.zeros((len(now), back + 1, p.shape[1]))
+        carried[:, back] = 1.0
+        scale = np.zeros((len(now), p.shape[1]))
+        while len(now):
+            before = min(at, back - 1)
+            edges = self.edges([marked[i][at - before : at + BLOCK] for i in now])
+            edges = edges[edges[:, 2] > before] + np.array([0, back - before, back - before, 0])
+            alpha = np.zeros((len(now), back + BLOCK + 1, p.shape[1]))
+            alpha[:, : back + 1] = carried
+            self.forward(alpha, edges, p)
+            ends = lengths[now] <= at + BLOCK
+            out[now[ends]] = np.log(alpha[ends, back + lengths[now[ends]] - at]) + scale[ends]
+            carried = alpha[~ends, BLOCK : BLOCK + back + 1]
+            most = carried.max(axis=1)
+            carried = carried / most[:, None]
+            scale = scale[~ends] + np.log(most)
+            now, at = now[~ends], at + BLOCK
+        return out
+
+    def expected(self, runs: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """(pieces, languages): how often each piece is expected in runs of at most BLOCK characters that come
+        counts (runs, languages) times."""
+        edges = self.edges(runs)
+        lengths = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+        alpha = np.zeros((len(runs), int(lengths.max(initial=0)) + 1, p.shape[1]))
+        alpha[:, 0] = 1.0
+        self.forward(alpha, edges, p)
         beta = np.zeros_like(alpha)
-        beta[np.arange(len(lengths)), lengths] = 1.0
+        beta[np.arange(len(runs)), lengths] = 1.0
         back = edges[np.lexsort((edges[:, 0], -edges[:, 1]))]
         for start, some in _by(-back[:, 1]):
-            word, end, piece = back[some, 0], back[some, 2], back[some, 3]
-            where = np.flatnonzero(np.diff(word, prepend=-1))
-            beta[word[where], -start] = np.add.reduceat(beta[word, end] * p[piece], where, axis=0)
-        word, start, end, piece = edges.T
-        share = alpha[word, start] * p[piece] * beta[word, end] / alpha[word, lengths[word]] * counts[runs[word]]
+            run, end, piece = back[some, 0], back[some, 2], back[some, 3]
+            where = np.flatnonzero(np.diff(run, prepend=-1))
+            beta[run[where], -start] = np.add.reduceat(beta[run, end] * p[piece], where, axis=0)
+        run, start, end, piece = edges.T
+        share = alpha[run, start] * p[piece] * beta[run, end] / alpha[run, lengths[run]] * counts[run]
         return np.stack([np.bincount(piece, weights=share[:, k], minlength=self.size) for k in range(p.shape[1])], axis=1)
 
 
+def _marked(word: str) -> str:
+    """A word as the vocabulary writes it: marked at its beginning, without punctuation around it."""
+    return "▁" + (word.strip(_EDGES) or word)
+
+
 def _by(keys: np.ndarray):
     """(key, slice) of each run of equal keys."""
     if len(keys):
@@ -186,13 +208,17 @@ def fit(
 ) -> LanguageModel:
     """Piece probabilities by expectation maximisation, from even ones; deterministic.
 
-    docs_of: how many documents each language has, for its prior (default: as in the examples).
+    docs_of: how many documents each language has, for its prior (default: as in the examples). What is
+    learned from are runs of BLOCK characters at most: longer words of the examples are parted.
     """
     languages = sorted(set(langs))
     place = {x: k for k, x in enumerate(languages)}
     counted: dict[str, Counter] = {x: Counter() for x in languages}
     for text, lang in zip(texts, langs, strict=True):
-        counted[lang].update(words_of(text))
+        for word, n in Counter(words_of(text)).items():
+            marked = _marked(word)
+            for at in range(0, len(marked), BLOCK):
+                counted[lang][marked[at : at + BLOCK]] += n
     words = sorted(set().union(*counted.values())) if counted else []
     counts = np.zeros((len(words), len(languages)))
     for x, c in counted.items():
@@ -228,7 +254,11 @@ class Identifier:
             some = new[at : at + 10_000]
             self.known.update(zip(some, range(len(self.logs), len(self.logs) + len(some)), strict=True))
             self.logs = np.concatenate([self.logs, self.lattice.log_probability(some, self.model.p)])
-        return [self._named(words) for words in parted]
+        named = [self._named(words) for words in parted]
+        for word in new:
+            if len(word) > 64:  # hardly comes twice
+                del self.known[word]
+        return named
 
     def _named(self, words: list[str]) -> tuple[str, float]:
         if not words or not self.model.languages:
@@ -240,31 +270,44 @@ class Identifier:
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
-#: Rows of each language that the model is fitted on, about.
-EXAMPLES = 600
+#: Rows of each language that the model is fitted on, about; rows of all languages together; characters of
+#: the longest of them; languages that are learned.
+EXAMPLES, ROWS, LONGEST_EXAMPLE, LANGUAGES = 600, 12_000, 20_000, 200
 _naming: tuple[LanguageModel | None, Identifier | None] = (None, None)
 
 
-def learn(docs: DataFrame, path: str, examples: int = EXAMPLES, parts: int = 3, at: int = 1) -> LanguageModel:
+def learn(
+    docs: DataFrame,
+    path: str,
+    examples: int = EXAMPLES,
+    parts: int = 3,
+    at: int = 1,
+    rows: int = ROWS,
+    longest: int = LONGEST_EXAMPLE,
+    languages: int = LANGUAGES,
+) -> LanguageModel:
     """The model fitted on about ``examples`` rows of each language whose id is not held out.
 
-    Rows without a language and very long texts are no examples; rows of one id and language count
-    once. Counts of documents by language, for the priors, are over all rows that may be learned from.
+    Bounds of the sample: ``rows`` rows in all, of ``longest`` characters at most, of the ``languages`` most
+    frequent languages. Rows without a language are no examples; rows of one id and language count once.
+    Counts of documents by language, for the priors, are over all rows that may be learned from.
     """
     usable = docs.filter(F.col("lang").isNotNull() & (fold("doc_id", parts) != at)).select("doc_id", "lang", "text")
-    found = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    found = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    each = min(examples, rows / max(1, len(found)))
     rate = F.lit(0.0)
     for lang, n in found.items():
-        rate = F.when(F.col("lang") == lang, F.lit(examples / n)).otherwise(rate)
-    rows = (
-        usable.filter((chance("doc_id") < rate) & (F.coalesce(F.char_length("text"), F.lit(0)) <= LONGEST_EXAMPLE))
+        rate = F.when(F.col("lang") == lang, F.lit(each / n)).otherwise(rate)
+    sample = (
+        usable.filter((chance("doc_id") < rate) & (F.coalesce(F.char_length("text"), F.lit(0)) <= longest))
         .groupBy("doc_id", "lang")
         .agg(F.min("text").alias("text"))
         .toArrow()
         .to_pylist()
     )
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"]))
-    return fit([r["text"] or "" for r in rows], [r["lang"] for r in rows], pieces_of(path), found)
+    sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"]))
+    return fit([r["text"] or "" for r in sample], [r["lang"] for r in sample], pieces_of(path), found)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -272,9 +315,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     Only the text is looked at, all of it; a null text or one without a letter is ``und`` with score
     0, as is every text under a model that learned no language. Every row is named, repeated ones
-    alike; columns of docs named like the results give way. Nothing is shuffled.
+    alike; of languages that are equally likely the first by name is taken. An empty table gives no rows.
+    Columns of docs named like the results give way. Nothing is shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    named_as = private(docs) + "named"
 
     @F.pandas_udf("lang_pred string, score double")
     def named(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -286,6 +331,5 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             pairs = [x for some in slices(texts.tolist()) for x in identifier.name(some)]
             yield pd.DataFrame(pairs, columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": "float64"})
 
-    return docs.withColumn("_named", named(F.col("text"))).withColumns(
-        {"lang_pred": F.col("_named.lang_pred"), "score": F.col("_named.score")}
-    ).drop("_named")
+    kept = columns_of(docs, ("lang_pred", "score"))
+    return docs.select(*kept, named(F.col("text")).alias(named_as)).select(*kept, f"{named_as}.lang_pred", f"{named_as}.score")

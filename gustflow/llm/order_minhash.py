@@ -1,176 +1,128 @@
 """Document fingerprints by order MinHash, in DataFrame functions only.
 
-A text is cut into units (words, long ones in runs of eight characters); a k-mer is two units in a row.
-Each occurrence of a k-mer gets a number, and (k-mer, number) a hash. The hash's range is cut into
-bins; from each bin the two smallest hashes are taken, put back into their order in the text, and
-hashed as a tuple. So a fingerprint tells texts apart that have the same k-mers in another order, and
-its likeness falls with the edit distance, not only with the change of a set.
-
-Hashes and positions share a 64-bit number (40 and 24 bits), so that plain sorts of longs do the work:
-n log n for n units, however often one k-mer comes.
+A text is cut into units: words, and every letter of a script that is written without spaces by itself.
+A k-mer is a run of so many units. Each occurrence of a k-mer gets a number, counted from the text's
+start, so that k-mers that repeat count as often as they come. A fingerprint has a fixed number of places;
+each has a hash function of its own over (k-mer, number). At a place the two occurrences with the least
+hashes are selected, put back into the order that they have in the text, and hashed as a tuple. So a
+fingerprint tells texts apart that have the same k-mers in another order, and its likeness falls with the
+edit distance, not only with the change of a set.
+
+Hashes have 64 bits, positions are numbers of their own, and no step costs more than n log n for n units.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import let, materialise
 
-#: Bins, as a power of two.
-BITS = 5
-#: Bits of a tuple's hash in a fingerprint; the bin's number stands above them.
-_HASH = 40
-_PLACE = 24
-_POSITION = (1 << _PLACE) - 1
+#: Places of a fingerprint, and units of a k-mer.
+PLACES, UNITS = 32, 2
+#: Rows of a range of ids that is put in order by one task, about.
+RANGE_ROWS = 250_000
 
+# Code points of scripts without spaces between words (Thai and Lao, Myanmar, Khmer, kana, Han).
+_ALONE = r"฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\x{20000}-\x{3FFFF}"
+_UNIT = rf"[^\x20\x09-\x0D{_ALONE}]+|[{_ALONE}]"
 
-def _tagged(hash_: Column, position: Column) -> Column:
-    """40 bits of a hash over 24 bits of a position, as a number that is not negative."""
-    return F.shiftrightunsigned(hash_, 1).bitwiseAND(F.lit(((1 << 63) - 1) & ~_POSITION)).bitwiseOR(
-        position.cast("long").bitwiseAND(F.lit(_POSITION))
-    )
 
+def _kmers(text: Column, units: int) -> Column:
+    """(hash, position) of each k-mer of a text, sorted: equal ones are neighbours, in text order."""
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with ``out``: an array of numbers, one for each bin that is filled, in order: the bin's
-    number above its tuple's hash.
+    def of(found: Column) -> Column:
+        first = F.sequence(F.lit(0), F.greatest(F.size(found) - units, F.lit(0)))
+        made = F.transform(first, lambda i: F.struct(F.xxhash64(*(F.get(found, i + k) for k in range(units))).alias("h"), i.alias("at")))
+        return F.when(F.size(found) > 0, F.sort_array(made)).otherwise(F.slice(F.sort_array(made), 1, 0))
 
-    A null text counts as empty; an empty text fills no bin. Equal texts have equal results.
+    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_UNIT), F.lit(0)), of)
 
-    Steps are columns of their own, each used more than once by the next, so that Spark computes
-    every step once per row instead of inlining it into the lambdas that look at it.
-    """
-    units, sorted_, repeats, picked = (f"_{out}_{k}" for k in ("units", "sorted", "repeats", "picked"))
-    kmer = lambda x: F.shiftright(x, _PLACE)
-    place = lambda x: x.bitwiseAND(F.lit(_POSITION))
-    df = df.withColumn(units, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,8}"), F.lit(0)))
-    n = F.size(units)
-    pairs = F.arrays_zip(F.col(units).alias("a"), F.slice(F.col(units), 2, F.greatest(n, F.lit(1))).alias("b"))
-    df = df.withColumn(sorted_, F.sort_array(F.transform(pairs, lambda p, i: _tagged(F.xxhash64(p), i)))).drop(units)
-    # occurrences after a k-mer's first stand behind it; with their first ones gone, a run's r-th is number r
-    df = df.withColumn(
-        repeats, F.filter(sorted_, lambda x, j: F.coalesce(kmer(x) == kmer(F.get(F.col(sorted_), j - 1)), F.lit(False)))
-    )
-    begins = F.filter(
-        F.sequence(F.lit(0), F.size(repeats) - 1),
-        lambda j: F.coalesce(kmer(F.get(F.col(repeats), j)) != kmer(F.get(F.col(repeats), j - 1)), F.lit(True)),
-    )
-    df = df.withColumn(f"{repeats}_at", F.when(F.size(repeats) > 0, begins).otherwise(F.array().cast("array<int>")))
-    at = F.col(f"{repeats}_at")
-    numbered = F.flatten(
-        F.transform(
-            at,
-            lambda b, r: F.transform(
-                F.sequence(b, F.coalesce(F.get(at, r + 1), F.size(repeats)) - 1),
-                lambda j: _tagged(F.xxhash64(kmer(F.get(F.col(repeats), j)), j - b + 1), place(F.get(F.col(repeats), j))),
-            ),
+
+def _numbered(kmers: Column) -> Column:
+    """Structs (x, at): the hash of each k-mer with its occurrence's number, and its position."""
+
+    def runs(begin: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                begin,
+                lambda b, r: F.transform(
+                    F.slice(kmers, b + 1, F.coalesce(F.get(begin, r + 1), F.size(kmers)) - b),
+                    lambda k, number: F.struct(F.xxhash64(k["h"], number).alias("x"), k["at"].alias("at")),
+                ),
+            )
         )
-    )
-    firsts = F.transform(
-        F.filter(sorted_, lambda x, j: F.coalesce(kmer(x) != kmer(F.get(F.col(sorted_), j - 1)), F.lit(True))),
-        lambda x: _tagged(F.xxhash64(kmer(x), F.lit(0)), place(x)),
-    )
-    df = df.withColumn(sorted_, F.sort_array(F.concat(firsts, numbered))).drop(repeats, f"{repeats}_at")
-    bin_of = lambda x: F.shiftright(x, 63 - BITS)
-    # the two smallest of each bin: those whose second-last neighbour lies in another one
-    df = df.withColumn(
-        picked, F.filter(sorted_, lambda x, j: F.coalesce(bin_of(x) != bin_of(F.get(F.col(sorted_), j - 2)), F.lit(True)))
-    ).drop(sorted_)
-    # a bin's first one stands behind another bin's; the one after it is its second, if of the same bin
-    first = F.filter(
-        F.transform(
-            F.col(picked),
-            lambda x, j: F.struct(
-                bin_of(x).alias("bin"),
-                x.alias("x"),
-                F.get(F.col(picked), j + 1).alias("y"),
-                F.coalesce(bin_of(x) != bin_of(F.get(F.col(picked), j - 1)), F.lit(True)).alias("leads"),
-            ),
-        ),
-        lambda t: t["leads"],
-    )
-    in_text_order = lambda t: F.when(
-        F.coalesce(bin_of(t["y"]) == t["bin"], F.lit(False)),
-        F.when(place(t["x"]) <= place(t["y"]), F.xxhash64(kmer(t["x"]), kmer(t["y"]))).otherwise(
-            F.xxhash64(kmer(t["y"]), kmer(t["x"]))
-        ),
-    ).otherwise(F.xxhash64(kmer(t["x"])))
-    return df.withColumn(
-        out,
-        F.transform(
-            first, lambda t: F.shiftleft(t["bin"], _HASH).bitwiseOR(in_text_order(t).bitwiseAND(F.lit((1 << _HASH) - 1)))
-        ),
-    ).drop(picked)
 
+    places = F.transform(kmers, lambda k, j: F.when((j == 0) | (F.get(kmers, j - 1)["h"] != k["h"]), j))
+    return let(F.array_compact(places), runs)
 
-def as_text(fingerprint: Column) -> Column:
-    """A fingerprint as a string: its numbers in hexadecimal, parted by points; empty for no bins."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.hex(x))), ".")
 
+def _place(kmers: Column, at: Column, hashes: Column) -> Column:
+    """The hash of the two occurrences with the least of ``hashes``, in text order (of one where there is but one)."""
 
-def likeness(a: Column, b: Column) -> Column:
-    """Bins of equal tuples among the bins that are filled in either fingerprint (1 if none is)."""
-    bins = F.size(F.array_distinct(F.concat(F.transform(a, lambda x: F.shiftright(x, _HASH)), F.transform(b, lambda x: F.shiftright(x, _HASH)))))
-    return F.when(bins == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / bins)
+    def tuple_of(h: Column, least: Column) -> Column:
+        found = lambda value: (F.array_position(h, value) - 1).cast("int")
+        return let(F.struct(found(least).alias("one"), found(F.array_min(F.array_remove(h, least))).alias("other")), ordered)
+
+    def ordered(two: Column) -> Column:
+        one, other = two["one"], two["other"]
+        first, second = F.get(kmers, one), F.get(kmers, other)
+        return (
+            F.when(other.isNull(), F.xxhash64(first))
+            .when(F.get(at, one) < F.get(at, other), F.xxhash64(first, second))
+            .otherwise(F.xxhash64(second, first))
+        )
+
+    return let(hashes, lambda h: let(F.array_min(h), lambda least: tuple_of(h, least)))
 
 
-def with_next(docs: DataFrame, doc: str, text: str, made: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
-    """made(docs) with ``next_<column>`` for each of its columns named: those of the next row by ascending id.
+def fingerprint(text: Column, places: int = PLACES, units: int = UNITS) -> Column:
+    """An array of ``places`` numbers, empty for a text without units; null counts as empty.
 
-    After the last row comes the first; rows of one id are ordered by a hash of the text, null ids
-    come last. The id's range is cut into buckets, four times as many as shuffle partitions, finer
-    where ids are dense; rows are ordered in their bucket, and the last of each gets the first of the
-    next bucket from a table of one row per bucket.
+    Equal texts have equal fingerprints. A text of fewer units than a k-mer's is one k-mer.
     """
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    span = docs.agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")).first()
-    lo, hi = (span["lo"] or 0, span["hi"] or 0)
-    width = (hi - lo + 1) / buckets
-    cell = F.floor((F.col(doc).cast("double") - F.lit(float(lo))) / F.lit(width))
-    cells = docs.groupBy(cell.alias("_cell")).agg(F.count("*").alias("_n"))
-    total = Window.partitionBy()
-    fine = materialise(
-        cells.withColumn("_fine", F.greatest(F.lit(1), F.ceil(F.col("_n") * buckets / F.sum("_n").over(total))).cast("double"))
-    ).select(F.col("_cell").alias("_c"), "_fine")
-    inside = (F.col(doc).cast("double") - F.lit(float(lo))) / F.lit(width) - F.col("_cell")
-
-    def where(df: DataFrame) -> DataFrame:
-        return (
-            df.withColumn("_cell", cell)
-            .join(F.broadcast(fine), F.col("_cell").eqNullSafe(F.col("_c")), "left")
-            .withColumn("_sub", F.when(F.col("_cell").isNotNull(), F.floor(inside * F.col("_fine"))))
-            .drop("_c", "_fine")
+
+    def of(kmers: Column, at: Column) -> Column:
+        drawn = F.transform(
+            F.sequence(F.lit(1), F.lit(places)), lambda j: _place(kmers, at, F.transform(kmers, lambda x: F.xxhash64(x, j)))
         )
+        return F.when(F.size(kmers) > 0, drawn).otherwise(F.array().cast("array<bigint>"))
 
-    order = [F.col(doc).asc_nulls_last(), F.xxhash64(text)]
-    within = Window.partitionBy("_cell", "_sub").orderBy(*order)
-    led = where(made(docs)).withColumn("_next", F.lead(F.struct(*columns)).over(within))
-    # one row per bucket: its first row's key, and the row that the bucket's last one goes on to
-    key = F.struct(F.col(doc).alias("id"), F.xxhash64(text).alias("h"))
-    ranked = F.struct(F.col(doc).isNull().alias("last"), F.col(doc).alias("id"), F.xxhash64(text).alias("h"))
-    heads = where(docs).groupBy("_cell", "_sub").agg(F.min(ranked).alias("_head"))
-    by_place = Window.orderBy(F.col("_cell").asc_nulls_last(), F.col("_sub").asc_nulls_last())
-    onward = materialise(
-        heads.withColumn("_to", F.coalesce(F.lead("_head").over(by_place), F.first("_head").over(by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-        .select(F.col("_cell").alias("_c"), F.col("_sub").alias("_s"), F.struct("_to.id", "_to.h").alias("_to"))
-    )
-    wanted = onward.select(F.col("_to.id").alias("_id"), F.col("_to.h").alias("_h")).distinct()
-    few = docs.join(F.broadcast(wanted), F.col(doc).eqNullSafe(F.col("_id")) & (key["h"] == F.col("_h")), "left_semi")
-    found = (
-        made(materialise(few.select(doc, text).distinct()))
-        .select(key.alias("_k"), F.struct(*columns).alias("_first"))
-        .groupBy("_k")
-        .agg(F.first("_first").alias("_first"))
-    )
-    first_of_next = materialise(onward.join(found, F.col("_to").eqNullSafe(F.col("_k"))).select("_c", "_s", "_first"))
+    apart = let(let(_kmers(text, units), _numbered), lambda n: F.struct(n["x"].alias("x"), n["at"].alias("at")))
+    return let(apart, lambda n: let(n["x"], lambda x: let(n["at"], lambda at: of(x, at))))
+
+
+def as_text(bins: Column) -> Column:
+    """A fingerprint as a string: its numbers in hexadecimal, parted by points; empty for none."""
+    return F.array_join(F.transform(bins, lambda x: F.lower(F.hex(x))), ".")
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """The share of places at which two fingerprints agree (1 if both are empty, 0 if one is)."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))), F.lit(0), lambda n, x: n + x)
+    most = F.greatest(F.size(a), F.size(b))
+    return F.when(most == 0, F.lit(1.0)).otherwise(same / most)
+
+
+def _successors(keys: DataFrame, order: list[str]) -> DataFrame:
+    """keys (distinct rows) with ``_to``: a struct of the next row's columns in order, the first one's after the last.
+
+    Rows are dealt over ranges of about RANGE_ROWS rows by their quantiles, whatever the gaps between them; each
+    range is put in order by itself, and its last row goes on with the first one of the next range. The
+    table of those has one row for each range.
+    """
+    parts = max(1, -(-keys.count() // RANGE_ROWS))
+    ranged = materialise(keys.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    one = F.struct(*order)
+    heads = ranged.groupBy("_range").agg(F.min(one).alias("_head"))
+    by_range = Window.orderBy("_range")
+    everything = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    onward = heads.select("_range", F.coalesce(F.lead("_head").over(by_range), F.first("_head").over(everything)).alias("_onward"))
+    following = F.lead(one).over(Window.partitionBy("_range").orderBy(*order))
     return (
-        led.join(F.broadcast(first_of_next), F.col("_cell").eqNullSafe(F.col("_c")) & F.col("_sub").eqNullSafe(F.col("_s")), "left")
-        .withColumn("_next", F.when(F.col("_next").isNotNull(), F.col("_next")).otherwise(F.col("_first")))
-        .select(*made(docs).columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
+        ranged.withColumn("_to", following)
+        .join(F.broadcast(onward), "_range")
+        .select(*keys.columns, F.when(F.col("_to").isNotNull(), F.col("_to")).otherwise(F.col("_onward")).alias("_to"))
     )
 
 
@@ -179,18 +131,44 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
 
     ``edited`` is the text with its last floor(n_chars / 4) code points replaced by the first as many
     (or all) of the next document's, by ascending id, the first one's after the last. Null texts count
-    as empty, and an empty text fills no bins. A single document is its own next; an empty table gives
-    no rows. Other columns are left out, whatever their names.
+    as empty, and an empty text has an empty fingerprint. Null ids come last; rows of one id are ordered by a
+    hash of the text, so that repeated rows follow each other. A single document is its own next; an empty
+    table gives no rows. Other columns are left out, whatever their names.
 
-    A text is shuffled once, to its neighbours by id. The next document's fingerprint comes the same
-    way, so each text is fingerprinted once before and its edited text once after.
+    A whole text is shuffled once, by its key. What goes on to the document before is no more of a text than
+    that document's edit takes, and the fingerprint. Each text is fingerprinted once before and its
+    edited text once after.
     """
-    whole = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(whole, "doc_id", "text", lambda df: with_fingerprint(df, "text", "bins"), ["text", "bins"])
-    counted = rows.withColumn("n_chars", F.char_length("text").cast("long"))
+    zero = F.lit("0").cast(docs.schema[doc].dataType)
+    rows = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(
+        "*",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.col("doc_id").isNull().alias("_null"),
+        F.coalesce("doc_id", zero).alias("_id"),
+        F.xxhash64("text").alias("_h"),
+    )
+    key = ["_null", "_id", "_h"]
+    after = _successors(rows.select(*key, F.floor(F.col("n_chars") / 4).cast("int").alias("_cut")).distinct(), key)
+    # the first of some equal rows is followed by the next document, any other one by its like
+    asked = materialise(
+        after.select(*(F.col(f"_to.{k}").alias(k) for k in key), F.lit(1).alias("_copy"), "_cut", F.struct(*key).alias("_by"))
+    )
+    # both sides of the join below read one exchange of this
+    keyed = rows.select(*key, "text", "n_chars", fingerprint(F.col("text")).alias("bins")).withColumn(
+        "_copy", F.row_number().over(Window.partitionBy(*key).orderBy("n_chars"))
+    )
+    given = keyed.join(asked, [*key, "_copy"]).select(
+        *(F.col(f"_by.{k}").alias(k) for k in key),
+        F.lit(1).alias("_copy"),
+        F.substring("text", F.lit(1), F.col("_cut")).alias("_begin"),
+        F.col("bins").alias("next_bins"),
+    )
     cut = F.floor(F.col("n_chars") / 4).cast("int")
-    edited = counted.withColumn(
-        "edited",
-        F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut)),
-    ).drop("next_text")
-    return with_fingerprint(edited, "edited", "edited_bins")
+    met = (
+        keyed.join(given, [*key, "_copy"], "left")
+        .withColumn("_begin", F.coalesce("_begin", F.substring("text", F.lit(1), cut)))
+        .withColumn("next_bins", F.coalesce("next_bins", "bins"))
+        .withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), "_begin"))
+        .withColumn("doc_id", F.when(~F.col("_null"), F.col("_id")))
+    )
+    return met.select("doc_id", "text", "n_chars", "edited", "bins", fingerprint(F.col("edited")).alias("edited_bins"), "next_bins")

@@ -31,7 +31,7 @@ for _k, _chars in enumerate(
     (bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b" \t\r\x0b\x0c", b"\n", b"#*$%&|<>", b".,;:!?", b"!", b"|")
 ):
     _CLASS[list(_chars), _k] = 1
-STATISTICS = 14
+STATISTICS = 15
 
 
 class Features:
@@ -80,7 +80,8 @@ class Features:
                 len(buckets) / max(1, n) * 2,
                 math.log1p(n) / 4,
                 min(len(raw) / max(1, n) / 8, 3),
-                math.log1p(max(0.0, known)) / 8 + (len(lines) - len(set(lines))) / max(1, len(lines)),
+                math.log1p(max(0.0, known)) / 8,
+                (len(lines) - len(set(lines))) / max(1, len(lines)),
             ]
         )
         weight = np.log1p(counts)
@@ -157,14 +158,22 @@ def fit(
     return model
 
 
-#: Labelled rows that the model is fitted on, about.
-EXAMPLES = 6000
+#: Labelled rows that the model is fitted on, about, and the characters of the longest of them.
+EXAMPLES, LONGEST_EXAMPLE = 6000, 50_000
 _scoring: tuple[FactorisationMachine | None, Features] = (None, Features())
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, label: str = "quality") -> FactorisationMachine:
-    """The model fitted on about ``examples`` labelled rows whose id is not held out."""
-    rows = labelled_sample(docs, labels, label, examples, ["text", "n_chars"])
+def learn(
+    docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, label: str = "quality", longest: int = LONGEST_EXAMPLE
+) -> FactorisationMachine:
+    """The model fitted on about ``examples`` labelled rows whose id is not held out, of ``longest`` characters at most.
+
+    A null length counts as the text's own, as does a table without n_chars. Contradicting labels of one id count as
+    the greatest, repeated ids once, null ids and null labels not at all. Without usable rows the model is even.
+    """
+    if "n_chars" not in docs.columns:
+        docs = docs.withColumn("n_chars", F.lit(None).cast("long"))
+    rows = labelled_sample(docs, labels, label, examples, longest, ["text", "n_chars"])
     features = Features()
     return fit([features.of(r["text"], r["n_chars"]) for r in rows], np.array([float(r["label"] > 0) for r in rows]))
 
