@@ -49,19 +49,65 @@ def unescaped(text: Column) -> Column:
 def _blocks(turns: Column) -> Column:
     """Sorted turns as an array of (role, texts), one for each run of one role."""
     n = F.size(turns)
+
+    def of(starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda s, k: F.struct(
+                F.get(turns, s)["role"].alias("role"),
+                F.transform(F.slice(turns, s + 1, F.coalesce(F.get(starts, k + 1), n) - s), lambda t: t["text"]).alias("texts"),
+            ),
+        )
+
     # positions where a run begins: the role differs from that of the turn before
-    starts = F.filter(
-        F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(turns, i - 1)["role"] != F.get(turns, i - 2)["role"])
-    )
-    return F.transform(
-        starts,
-        lambda s, k: F.struct(
-            F.get(turns, s - 1)["role"].alias("role"),
-            F.transform(
-                F.slice(turns, s, F.coalesce(F.get(starts, k + 1), n + 1) - s), lambda t: t["text"]
-            ).alias("texts"),
-        ),
+    begins = F.transform(turns, lambda t, i: F.when((i == 0) | (F.get(turns, i - 1)["role"] != t["role"]), i))
+    return let(F.array_compact(begins), of)
+
+
+#: Strings of a conversation that are measured together; starts are summed within such a part, then over parts.
+PART = 64
+_PART_TYPE = "struct<chars:bigint,bytes:bigint,spans:array<struct<start:bigint,length:bigint,first_byte:bigint,bytes:bigint>>>"
+
+
+def _measured(part: Column) -> Column:
+    """Characters and bytes of a few strings, and the spans of the learned ones among them."""
+
+    def further(acc: Column, p: Column) -> Column:
+        chars, size = F.char_length(p["s"]).cast("long"), F.octet_length(p["s"]).cast("long")
+        span = F.struct(acc["chars"].alias("start"), chars.alias("length"), acc["bytes"].alias("first_byte"), size.alias("bytes"))
+        spans = F.when(p["learned"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        return F.struct((acc["chars"] + chars).alias("chars"), (acc["bytes"] + size).alias("bytes"), spans.alias("spans"))
+
+    return F.aggregate(part, F.from_json(F.lit('{"chars":0,"bytes":0,"spans":[]}'), _PART_TYPE), further)
+
+
+def _spans(pieces: Column) -> Column:
+    """(start, length, first_byte, bytes) of the learned strings in the whole, counted from 0.
+
+    Each part's strings are folded by themselves, then the parts' lengths; a fold copies what it has found,
+    so folding all strings at once would cost the square of their number.
+    """
+    parts = F.transform(
+        F.sequence(F.lit(0), (F.size(pieces) / PART).cast("int")), lambda k: _measured(F.slice(pieces, k * PART + 1, F.lit(PART)))
     )
+    zero = F.array(F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("bytes")))
+    last = lambda acc: F.element_at(acc, -1)
+
+    def shifted(measured: Column) -> Column:
+        begins = F.aggregate(
+            measured,
+            zero,
+            lambda acc, m: F.concat(
+                acc, F.array(F.struct((last(acc)["chars"] + m["chars"]).alias("chars"), (last(acc)["bytes"] + m["bytes"]).alias("bytes")))
+            ),
+        )
+        moved = lambda begin: lambda s: F.struct(
+            (s["start"] + begin["chars"]).alias("start"), s["length"].alias("length"),
+            (s["first_byte"] + begin["bytes"]).alias("first_byte"), s["bytes"].alias("bytes"),
+        )
+        return let(begins, lambda at: F.flatten(F.transform(measured, lambda m, k: F.transform(m["spans"], moved(F.get(at, k))))))
+
+    return let(parts, shifted)
 
 
 def format_conversations(
@@ -74,11 +120,12 @@ def format_conversations(
 ) -> DataFrame:
     """One row per conversation: its id, ``formatted`` and ``loss_spans``.
 
-    loss_spans holds structs (start, length) in code points of ``formatted``, counted from 0: one for
-    each text of the learned role, in order. Turns are ordered by turn (null first), equal ones by
-    role and text, so repeated rows and ties give one defined result; a null role is the empty role,
-    a null text the empty text, a null conversation id is a conversation. Other columns are ignored.
-    An empty table gives no rows. A conversation is one output row, so its turns meet in one task.
+    loss_spans holds structs, one for each text of the learned role, in order: start and length in code
+    points of ``formatted``, first_byte and bytes in its UTF-8 form, counted from 0. Turns are ordered by
+    turn (null first), equal ones by role and text, so repeated rows and ties give one defined result; a
+    null role is the empty role, a null text the empty text, a null conversation id is a conversation.
+    Other columns are ignored. An empty table gives no rows. A conversation is one output row, so its
+    turns meet in one task; the work on them is near linear in their number.
     """
     one = F.struct(
         F.col(turn).alias("turn"),
@@ -106,27 +153,10 @@ def format_conversations(
         )
     )
     with_pieces = blocks.select(conversation, pieces.alias("_pieces"))
-    # running start of each string; folds over one conversation's strings
-    begun = F.aggregate(
-        F.col("_pieces"),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.char_length(p["s"])).alias("at"),
-            F.when(
-                p["learned"],
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct(acc["at"].alias("start"), F.char_length(p["s"]).cast("long").alias("length"))),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-    )["spans"]
     return with_pieces.select(
         conversation,
         F.concat_ws("", F.transform("_pieces", lambda p: p["s"])).alias("formatted"),
-        begun.alias("loss_spans"),
+        let(F.col("_pieces"), _spans).alias("loss_spans"),
     )
 
 
@@ -154,11 +184,13 @@ def read_back(formatted: Column) -> Column:
 
 
 def under_mask(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, joined with nothing between."""
-    return F.concat_ws(
-        "",
-        F.transform(
-            spans,
-            lambda s: unescaped(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))),
+    """All text under the loss mask, unescaped, joined with nothing between; cut by bytes, so no span is searched for."""
+    return let(
+        formatted.cast("binary"),
+        lambda raw: F.concat_ws(
+            "",
+            F.transform(
+                spans, lambda s: unescaped(F.substring(raw, (s["first_byte"] + 1).cast("int"), s["bytes"].cast("int")).cast("string"))
+            ),
         ),
     )

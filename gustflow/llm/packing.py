@@ -14,10 +14,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import columns_of, let, private, slices
 
 #: Words that a worker remembers before it starts afresh; bounds its memory.
 REMEMBERED = 300_000
@@ -128,7 +128,7 @@ def cuts(n: Column, longest: int) -> Column:
             F.when(
                 rest.bitwiseAND(p) != 0,
                 # before this piece come the long ones and the larger powers of the rest
-                F.struct((n - rest + rest - rest % (2 * p)).alias("start"), F.lit(p).cast("long").alias("length")),
+                F.struct((n - rest % (2 * p)).alias("start"), F.lit(p).cast("long").alias("length")),
             )
             for p in powers
         )
@@ -136,6 +136,10 @@ def cuts(n: Column, longest: int) -> Column:
     return F.concat(long_pieces, F.array_compact(short_pieces))
 
 
+#: A bucket's pieces are dealt over so many cells, and numbered in each; bits of a piece's number in its cell.
+CELLS, _NUMBER = 1 << 20, 37
+
+
 def pack(docs: DataFrame, path: str, closing_id: int = 1, longest: int = 2048, text: str = "text") -> DataFrame:
     """One row per piece of each document.
 
@@ -143,26 +147,45 @@ def pack(docs: DataFrame, path: str, closing_id: int = 1, longest: int = 2048, t
     the piece's ids as little-endian unsigned 32-bit), bucket (log2 of length), sequence_id (one per
     piece, ordered by bucket, unique) and offset (0: a piece begins its sequence). Columns of docs
     with these names give way. A null or empty text is the closing id alone: one piece of length 1.
-    Repeated rows are packed as often as they come. ``longest`` must be a power of two.
+    Repeated rows are packed as often as they come; an empty table gives no rows. ``longest`` must be a
+    power of two.
 
-    There is no shuffle: each task tokenizes its rows once, and ids are numbered by task and row.
+    A document's ids are cut before its pieces become rows, so work and memory grow with its length. One
+    shuffle brings pieces of one length together: each bucket is parted by a hash of the piece into
+    cells, and a piece's number is its place in its cell, the same however rows were dealt before.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     made = ("start", "length", "doc_tokens", "input_ids", "bucket", "sequence_id", "offset")
-    kept = [c for c in docs.columns if c not in made and c != text]
-    ids = docs.select(*kept, token_ids(F.col(text), path, closing_id).alias("_ids"))
-    counted = ids.withColumn("doc_tokens", (F.octet_length("_ids") / 4).cast("long"))
-    pieces = counted.select(*kept, "_ids", "doc_tokens", F.explode(cuts(F.col("doc_tokens"), longest)).alias("_piece"))
+    own = private(docs)
+    kept = columns_of(docs, (*made, text))
+    ids, hashed, cell = f"{own}ids", f"{own}hash", f"{own}cell"
+    # maps have no hash and variants none either; rows that differ in those alone are numbered as they come
+    by = [c for c, kind in docs.dtypes if c.lower() not in made and c != text and not re.search("map<|variant", kind)]
+    tokens = docs.select(*kept, token_ids(F.col(text), path, closing_id).alias(ids)).withColumn(
+        "doc_tokens", (F.octet_length(ids) / 4).cast("long")
+    )
+    # let: a column's bytes would be copied for each piece, a variable's are not
+    cut = let(
+        F.col(ids),
+        lambda raw: F.transform(
+            cuts(F.col("doc_tokens"), longest),
+            lambda c: F.struct(
+                c["start"].alias("start"),
+                c["length"].alias("length"),
+                F.substring(raw, (c["start"] * 4 + 1).cast("int"), (c["length"] * 4).cast("int")).alias("input_ids"),
+            ),
+        ),
+    )
+    pieces = tokens.select(*kept, "doc_tokens", F.inline(cut))
     bucket = sum((F.col("length") >= (1 << k)).cast("int") for k in range(1, longest.bit_length()))
+    keyed = pieces.withColumn("bucket", bucket.cast("int")).withColumn(
+        hashed, F.xxhash64(*(F.col("`" + c.replace("`", "``") + "`") for c in by), "start", "input_ids")
+    )
+    place = F.row_number().over(Window.partitionBy("bucket", cell).orderBy(hashed)) - 1
+    number = F.shiftleft(F.col("bucket").cast("long"), 57) + F.shiftleft(F.col(cell), _NUMBER) + place
     return (
-        pieces.select(*kept, F.col("_piece.start"), F.col("_piece.length"), "doc_tokens", "_ids")
-        .withColumn(
-            "input_ids",
-            F.expr("substring(_ids, cast(4 * start + 1 as int), cast(4 * length as int))"),
-        )
-        .withColumn("bucket", bucket.cast("int"))
-        .withColumn("sequence_id", F.col("bucket").cast("long") * F.lit(1 << 56) + F.monotonically_increasing_id())
-        .withColumn("offset", F.lit(0).cast("long"))
-        .drop("_ids")
+        keyed.withColumn(cell, F.pmod(hashed, F.lit(CELLS)))
+        .withColumn("sequence_id", number)
+        .select(*kept, "start", "length", "doc_tokens", "input_ids", "bucket", "sequence_id", F.lit(0).cast("long").alias("offset"))
     )

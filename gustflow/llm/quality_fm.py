@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import columns_of, labelled_sample
 
 #: Buckets of hashed words; structure statistics and metadata come after them.
 BUCKETS = 1 << 15
@@ -183,7 +183,8 @@ def classify(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.
 
     Only the text and its recorded length (n_chars; the text's own length where null or missing) are
     looked at. Null and empty texts are scored by the statistics of an empty text. Every row is scored,
-    repeated ones alike; columns of docs named like the results give way. Nothing is shuffled.
+    repeated ones alike; a score at the threshold is predicted 1; an empty table gives no rows. Columns of
+    docs named like the results give way. Nothing is shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -197,6 +198,7 @@ def classify(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.
             yield pd.Series([known.score(*features.of(t, n)) for t, n in zip(texts, lengths, strict=True)], dtype="float64")
 
     length = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
-    return docs.withColumn("score", scored(F.col("text"), length.cast("double"))).withColumn(
+    kept = columns_of(docs, ("score", "predicted"))
+    return docs.select(*kept, scored(F.col("text"), length.cast("double")).alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int")
     )
