@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_CLASS, broadcast_if_small, let, materialise, word_count
+from .common import SPACE_CLASS, WORD_CLASS, broadcast_if_small, columns_of, let, materialise, private, word_count
 
 #: The symbols that n_symbols counts, and the white space between words.
 SYMBOLS = "#*$%&|<>"
@@ -56,66 +56,74 @@ def line_hash(line: Column) -> Column:
 def with_measures(docs: DataFrame, text: str) -> DataFrame:
     """docs with the measures on a document alone (long)."""
     whole = F.coalesce(F.col(text), F.lit(""))
+    words = f"{private(docs)}words"
     of_words = let(
         words_of(F.col(text)),
         lambda w: F.struct(F.size(w).cast("long").alias("n"), let(placed_windows(w), covered_words).alias("repeated")),
     )
     return (
-        docs.withColumn("_words", of_words)
+        docs.withColumn(words, of_words)
         .withColumns(
             {
-                "n_words": F.col("_words.n"),
+                "n_words": F.col(f"{words}.n"),
                 "word_chars": F.char_length(F.translate(whole, SPACES, "")).cast("long"),
                 "n_symbols": (F.char_length(whole) - F.char_length(F.translate(whole, SYMBOLS, ""))).cast("long"),
                 "n_dup_lines": let(lines_of(F.col(text)), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-                "n_repeat_words": F.col("_words.repeated"),
+                "n_repeat_words": F.col(f"{words}.repeated"),
             }
         )
-        .drop("_words")
+        .drop(words)
     )
 
 
 def held_lines(docs: DataFrame, host: str, text: str, *more: Column) -> DataFrame:
-    """host, line (hash) and more: each document gives each of its lines once."""
+    """host, line (hash) and more: each row gives each of its lines once."""
     lines = F.explode(F.array_distinct(F.transform(lines_of(F.col(text)), line_hash)))
     return docs.select(F.col(host).alias("host"), *more, lines.alias("line"))
 
 
-def frequent_lines(docs: DataFrame, host: str, text: str, min_docs: int, share: float | None) -> DataFrame:
-    """host, line: the lines held by more of a host's documents than its limit.
+def frequent_lines(docs: DataFrame, host: str, text: str, doc: str, min_docs: int, share: float | None) -> DataFrame:
+    """host, line: the lines held by more of a host's distinct documents than its limit.
 
-    The limit is ``min_docs``; with a ``share``, that share of the host's documents if it is more.
-    Counts are summed before the shuffle, so a very common line is a row per task.
+    The limit is ``min_docs``; with a ``share``, that share of the host's documents if it is more. Rows of
+    one id are one document; rows without an id are one if their texts are equal. Counts are of two
+    steps, distinct documents by (host, line, document) and then sums before the shuffle, so a very common
+    line is dealt over all tasks first and a row per task then.
     """
-    counts = held_lines(docs, host, text).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
+    of = F.xxhash64(F.col(doc), F.when(F.col(doc).isNull(), F.col(text))).alias("of")
+    held = held_lines(docs, host, text, of).distinct()
+    counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
     if share is None:
         return counts.select("host", "line")
-    hosts = docs.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("_docs"))
+    hosts = docs.select(F.col(host).alias("_host"), of).distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
     over = counts.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("n") > F.col("_docs") * F.lit(share))
     return over.select("host", "line")
 
 
-def with_frequent(docs: DataFrame, frequent: DataFrame, host: str, text: str) -> DataFrame:
-    """docs with their measures and _hashes: frequent lines of the host, all that the document holds among them.
+def with_frequent(docs: DataFrame, frequent: DataFrame, host: str, text: str, hashes: str) -> DataFrame:
+    """docs with their measures and ``hashes``: frequent lines of the host, all that the document holds among them.
 
     Short lists are broadcast, one a host. Otherwise each document gets the lines that it holds itself,
     under a hash of its row: rows whose hashes are equal share a list, which changes nothing, since a
     list has frequent lines of the host only.
     """
+    own = private(docs)
+    of, row, mine = f"{own}host", f"{own}row", f"{own}mine"
     lists = frequent.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n").alias("longest"), F.sum("n").alias("pairs")).first()
     if (lists["longest"] or 0) <= LISTED and (lists["pairs"] or 0) <= PAIRS:
-        listed = frequent.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_list("line")).alias("_hashes"))
-        return with_measures(docs, text).join(F.broadcast(listed), F.col(host).eqNullSafe(F.col("_host")), "left")
+        listed = frequent.groupBy(F.col("host").alias(of)).agg(F.sort_array(F.collect_list("line")).alias(hashes))
+        return with_measures(docs, text).join(F.broadcast(listed), F.col(host).eqNullSafe(F.col(of)), "left").drop(of)
     kinds = [c for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant"))]
-    docs = docs.withColumn("_row", F.xxhash64(*(F.col(f"`{c}`") for c in kinds)))
-    held = held_lines(docs, host, text, F.col("_row"))
-    pairs, few = broadcast_if_small(frequent.select(F.col("host").alias("_host"), F.col("line").alias("_line")), PAIRS)
-    same = F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line"))
+    docs = docs.withColumn(row, F.xxhash64(*(F.col("`" + c.replace("`", "``") + "`") for c in kinds)))
+    held = held_lines(docs, host, text, F.col(row).alias("row"))
+    pairs, few = broadcast_if_small(frequent.select(F.col("host").alias(of), F.col("line").alias("_line")), PAIRS)
+    same = F.col("host").eqNullSafe(F.col(of)) & (F.col("line") == F.col("_line"))
     if not few:  # a very common line has a row for each document
         pairs = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        same &= F.pmod(F.col("_row"), F.lit(SALTS)) == F.col("_salt")
-    own = held.join(pairs, same).groupBy("_host", F.col("_row").alias("_own")).agg(F.collect_set("line").alias("_hashes"))
-    return with_measures(docs, text).join(own.hint("shuffle_hash"), F.col(host).eqNullSafe(F.col("_host")) & (F.col("_row") == F.col("_own")), "left")
+        same &= F.pmod(F.col("row"), F.lit(SALTS)) == F.col("_salt")
+    found = held.join(pairs, same).groupBy(of, F.col("row").alias(mine)).agg(F.collect_set("line").alias(hashes))
+    met = F.col(host).eqNullSafe(F.col(of)) & (F.col(row) == F.col(mine))
+    return with_measures(docs, text).join(found.hint("shuffle_hash"), met, "left").drop(of, row, mine)
 
 
 def apply_rules(
@@ -123,37 +131,49 @@ def apply_rules(
     host: str = "source",
     text: str = "text",
     min_docs: int = 20,
-    share: float | None = 0.1,
+    share: float | None = None,
     least_left: float = 0.3,
+    doc: str = "doc_id",
 ) -> DataFrame:
     """docs with the document measures, base_failed, removed_words, clean_text and kept.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows.
     clean_text: the text without lines (and lines without words stay) that are above the host's limit:
-    ``min_docs`` documents or, with a ``share``, that share of the host's if it is more; removed_words:
-    the words of those. kept: not base_failed, and at least ``least_left`` of the words left. Null and
-    empty texts have no words and fail the base rules; a null host is a host; every row counts as a
-    document, so repeated rows count again. An empty table gives no rows. Columns of docs named like
-    the new ones give way. No text is shuffled unless a host's list or all pairs of host and line are
-    too many to broadcast; then each text is shuffled once, to meet its own lines.
+    ``min_docs`` distinct documents or, with a ``share``, that share of the host's if it is more;
+    removed_words: the words of those. kept: not base_failed, and at least ``least_left`` of the words left.
+    Null and empty texts have no words and fail the base rules; a null host is a host; repeated rows of one
+    id count as one document and are all judged. A line held by just as many documents as the limit
+    stays. An empty table gives no rows. Columns of docs named like the new ones give way. No text is
+    shuffled unless a host's list or all pairs of host and line are too many to broadcast; then each text
+    is shuffled once, to meet its own lines.
     """
-    frequent = materialise(frequent_lines(docs, host, text, min_docs, share))
-    joined = with_frequent(docs, frequent, host, text)
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    over = lambda x: x.rlike(WORD_CLASS) & F.array_contains(F.col("_hashes"), line_hash(x))
-    clean = F.when(F.col("_hashes").isNull(), F.col(text)).otherwise(
-        F.when(F.col(text).isNotNull(), F.array_join(F.filter(lines, lambda x: ~over(x)), "\n"))
-    )
-    removed = F.when(F.col("_hashes").isNull(), F.lit(0).cast("long")).otherwise(
-        F.aggregate(F.filter(lines, over), F.lit(0).cast("long"), lambda acc, x: acc + word_count(x))
-    )
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "clean_text", "kept")
+    docs = docs.select(*columns_of(docs, made))
+    hashes, judged = f"{private(docs)}hashes", f"{private(docs)}judged"
+    frequent = materialise(frequent_lines(docs, host, text, doc, min_docs, share))
+    joined = with_frequent(docs, frequent, host, text, hashes)
+    whole = F.coalesce(F.col(text), F.lit(""))
+
+    def judge(lines: Column) -> Column:
+        """Words of the lines that go, and the lines that stay; each line is hashed and looked up once."""
+        marked = F.transform(
+            lines, lambda x: F.struct(x.alias("line"), (x.rlike(WORD_CLASS) & F.array_contains(F.col(hashes), line_hash(x))).alias("over"))
+        )
+        return let(
+            marked,
+            lambda m: F.struct(
+                F.aggregate(F.filter(m, lambda x: x["over"]), F.lit(0).cast("long"), lambda n, x: n + word_count(x["line"])).alias("removed"),
+                F.array_join(F.transform(F.filter(m, lambda x: ~x["over"]), lambda x: x["line"]), "\n").alias("clean"),
+            ),
+        )
+
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    left = F.col("n_words") - F.col("removed_words") >= F.col("n_words") * F.lit(least_left)
     return (
-        joined.withColumn("base_failed", failed)
-        .withColumn("removed_words", removed)
-        .withColumn("clean_text", clean)
-        .withColumn(
-            "kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.col("n_words") * F.lit(least_left))
-        )
-        .drop("_host", "_hashes", "_row", "_own")
+        joined.withColumn(judged, F.when(F.col(hashes).isNotNull(), let(F.split(whole, "\n"), judge)))
+        .withColumn("base_failed", failed)
+        .withColumn("removed_words", F.coalesce(F.col(f"{judged}.removed"), F.lit(0).cast("long")))
+        .withColumn("clean_text", F.when(F.col(text).isNotNull(), F.coalesce(F.col(f"{judged}.clean"), F.col(text))))
+        .withColumn("kept", ~F.col("base_failed") & left)
+        .drop(hashes, judged)
     )

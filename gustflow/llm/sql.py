@@ -16,18 +16,15 @@ WITH docs AS (
   SELECT rid, count(DISTINCT p) AS n_repeat_words
   FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY rid
 ), lines AS (
-  SELECT rid, source, unnest(string_split(t, chr(10))) AS line FROM docs
+  SELECT rid, doc_id, source, unnest(string_split(t, chr(10))) AS line FROM docs
 ), worded AS (
-  SELECT rid, source, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS norm,
+  SELECT rid, doc_id, source, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS norm,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dups AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY rid
-), hosts AS (
-  SELECT source, count(*) AS docs FROM docs GROUP BY source
 ), frequent AS (
-  SELECT source, norm FROM (SELECT source, norm, count(DISTINCT rid) AS held FROM worded GROUP BY source, norm)
-  JOIN hosts h USING (source) WHERE held > 20 AND held > h.docs * 0.1
+  SELECT source, norm FROM worded GROUP BY source, norm HAVING count(DISTINCT doc_id) > 20
 ), removed AS (
   SELECT rid, sum(n)::BIGINT AS removed_words FROM worded JOIN frequent USING (source, norm) GROUP BY rid
 ), measured AS (
