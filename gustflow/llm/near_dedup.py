@@ -1,16 +1,22 @@
 """MinHash near-deduplication by a signature-coordinate inverted join.
 
 Every document's set of word shingles gets a MinHash signature; documents with equal sets are one
-class from then on. Classes are posted under coordinate-value pairs, a coordinate being a run of three
-MinHash values, so that passages which many documents share hardly fill a list. Pairs that meet in a
-list are counted: a pair is looked at in the first list only that both stand in (prefix), pairs that
-are known to be connected already are skipped, and pairs with too few equal values go. What remains is
-confirmed on the full sets, and components come from the confirmed links.
+class from then on. Classes are posted under each pair of a coordinate and its value. Two classes that are
+similar enough have at least ``matches_of(percent)`` values in common (collisions).
+
+Prefix: postings are ordered by the length of their list, shortest first, and a class goes on with the first
+SIGNATURE - matches + 1 of its postings only; any two with enough collisions meet in one of those lists.
+Lists of one member are the shortest of all, so text of a class's own uses the prefix up, and passages
+that many documents share hardly ever get into it. Skip: collisions in the longer lists, behind the
+prefix, are not merged but counted by looking at the two signatures, in the first common list only;
+pairs that are known to be connected, or that too many shingles of their own keep apart, are skipped.
+What has enough collisions is confirmed on the full sets, and components come from the confirmed links.
 
 No list is ever paired with itself as a whole. First each of its members meets the list's pivots only.
 That connects almost all of a large group of near copies; then only members outside the largest
 component of their list meet the others of that list, in other components. A link that this leaves out
-joins two classes that are connected without it, so components are those of all links.
+joins two classes that are connected without it, so components are those of all links. Lists that hold a
+large part of all postings are dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -21,35 +27,30 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
-
-#: MinHash values of a coordinate.
-RUN = 3
-#: MinHash values of the signatures that pairs are counted by.
-VALUES = 256
-
-
-def coordinates_of(percent: int) -> int:
-    """Coordinates that documents are posted under: 16 at 85 percent, 21 at 80.
+from .common import broadcast_if_small, columns_of, heavy_keys, materialise, private, salted_join
 
-    A link of just that similarity shares none of them less than once in 10^6; of higher similarity
-    less often still. A low percent needs many.
-    """
-    alike = (percent / 100) ** RUN
-    return 1 if alike >= 1 else math.ceil(math.log(4e-7) / math.log1p(-alike))
+#: MinHash values of a signature, which are its coordinates.
+SIGNATURE = 64
+#: How often a link of just the least similarity may have too few collisions.
+MISSED = 1e-5
 
 
 def matches_of(percent: int) -> int:
-    """Equal values that a pair needs: 192 of 256 at 85 percent, 176 at 80.
+    """Collisions that a pair needs: 41 of 64 at 85 percent, 36 at 80.
 
-    4.5 standard deviations below the mean of a link of just that similarity, which has fewer about
-    once in 10^5; of higher similarity less often still.
+    The greatest number that a link of just that similarity falls short of less often than MISSED, by the
+    binomial distribution; links of higher similarity do so less often still.
     """
-    p = percent / 100
-    return max(0, round(VALUES * p - 4.5 * math.sqrt(VALUES * p * (1 - p))))
+    p, below, at = percent / 100, 0.0, 0
+    while at < SIGNATURE:
+        below += math.comb(SIGNATURE, at) * p**at * (1 - p) ** (SIGNATURE - at)
+        if below > MISSED:
+            break
+        at += 1
+    return at
 
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -80,21 +81,21 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(rolled)
 
 
-@lru_cache(maxsize=4)
-def _permutations(values: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    n = max(VALUES, values)
-    a, b = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
-    return a[:values], b[:values]
+    a, b = (rng.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) for _ in range(2))
+    return a * np.uint64(2) + np.uint64(1), b
 
 
-def signature(shingles: np.ndarray, values: int) -> np.ndarray:
-    """The least value of the shingles under each of so many permutations; bounded memory for long texts."""
-    a, b = _permutations(values)
-    least = np.full(values, np.iinfo(np.uint64).max, dtype=np.uint64)
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The least value of the shingles under each permutation, mixed with its coordinate's number: equal
+    numbers are equal coordinate-value pairs. Memory is bounded for long texts."""
+    a, b = _permutations()
+    least = np.full(SIGNATURE, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), 1024):
         least = np.minimum(least, (shingles[at : at + 1024, None] * a + b).min(axis=0))
-    return _mixed(least)
+    return _mixed(_mixed(least) + np.arange(SIGNATURE, dtype=np.uint64))
 
 
 def _chunks(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
@@ -104,9 +105,8 @@ def _chunks(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.Dat
             yield batch.iloc[at : at + rows]
 
 
-def sketch(docs: DataFrame, words: int, doc: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, class (digest of the set; null if it is empty) and coordinates."""
-    coordinates = coordinates_of(percent)
+def sketch(docs: DataFrame, words: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class (digest of the set; null if it is empty) and coordinates (the signature)."""
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -118,18 +118,7 @@ def sketch(docs: DataFrame, words: int, doc: str = "doc_id", text: str = "text",
                 if not len(found):
                     out.append((of, 0, None, None))
                     continue
-                least = signature(found, coordinates * RUN)
-                runs = np.arange(1, coordinates + 1, dtype=np.uint64)
-                for k in range(RUN):
-                    runs = _mixed(runs * np.uint64(0x9E3779B97F4A7C15) + least[k : coordinates * RUN : RUN])
-                out.append(
-                    (
-                        of,
-                        len(found),
-                        hashlib.blake2b(found.tobytes(), digest_size=16).digest(),
-                        runs.view(np.int64),
-                    )
-                )
+                out.append((of, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), signature(found).view(np.int64)))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "class", "coordinates"]).astype(
                 {"doc_id": "Int64", "n_shingles": "int64"}
             )
@@ -140,7 +129,7 @@ def sketch(docs: DataFrame, words: int, doc: str = "doc_id", text: str = "text",
 
 
 def _sets(docs: DataFrame, needed: DataFrame, words: int, doc: str, text: str) -> DataFrame:
-    """rep, set (array of shingle hashes), n and values (signature) of the classes in ``needed`` (rep, class)."""
+    """rep, set (array of shingle hashes) and n of the classes in ``needed`` (rep, class)."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -150,23 +139,25 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int, doc: str, text: str) -
             for rep, of, t in zip(rows["rep"], rows["class"], rows["text"], strict=True):
                 found = shingle_hashes(t, words)
                 if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == bytes(of):  # an id may have other texts
-                    values = (signature(found, VALUES) >> np.uint64(48)).astype(np.uint16).view(np.int16)
-                    out.append((rep, found.view(np.int64), len(found), values))
-            yield pd.DataFrame(out, columns=["rep", "set", "n", "values"]).astype({"rep": "int64", "n": "int64"})
+                    out.append((rep, found.view(np.int64), len(found)))
+            yield pd.DataFrame(out, columns=["rep", "set", "n"]).astype({"rep": "int64", "n": "int64"})
 
     # few classes go to the texts, of many the texts go to the classes
     few, _ = broadcast_if_small(needed)
     rows = docs.select(F.col(doc).cast("long").alias("rep"), F.col(text).alias("text")).join(few, "rep")
-    return rows.mapInPandas(made, "rep long, set array<long>, n long, values array<smallint>").dropDuplicates(["rep"])
+    return rows.mapInPandas(made, "rep long, set array<long>, n long").dropDuplicates(["rep"])
 
 
-def _equal_values(a: Column, b: Column) -> Column:
+def _collisions(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, component (the least id reachable) of the ids in ``links`` (a, b).
 
+    Links may come twice, in either direction or from an id to itself; the last say nothing, and an id that has
+    no other link has no row. No links give no rows. Ids are not null.
+
     Edges are contracted round by round: every id goes to its least neighbour, edges inside a group
     vanish, and the rest is contracted again; the number of groups halves at least each round.
     """
@@ -197,24 +188,24 @@ def near_duplicates(
     Documents are linked if 100 * intersection >= percent * union of their sets of shingles;
     component_id is the least id reachable over links. kept: the id is its component's. Documents
     without words (null and empty texts) are linked with nothing. Rows of one id count as one document
-    in the linking; a null id is linked with nothing, its component is null, and it is kept. The
-    coordinates and the threshold of the signatures follow from ``percent``.
+    in the linking; a null id is linked with nothing, its component is null, and it is kept. An empty table
+    gives no rows. The collisions that are needed follow from ``percent``.
     """
-    drawn = materialise(sketch(docs, words, doc, text, percent))
+    drawn = materialise(sketch(docs, words, doc, text))
+    named = drawn.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialise(
-        drawn.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("class")
-        .agg(F.min("doc_id").alias("rep"), F.first("coordinates").alias("coordinates"))
-    )
-    confirmed = _confirmed(docs, classes, percent, words, doc, text)
-    label = components(confirmed)
-    of_class = classes.select("class", "rep").join(label, F.col("rep") == F.col("id"), "left").select(
-        "class", F.coalesce("component", "rep").alias("_of")
+        named.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("coordinates").alias("coordinates"))
     )
+    label = components(_confirmed(docs, classes, percent, words, doc, text))
+    # a class of one that is linked with nothing has its id for a component; only the others go back to their documents
+    of_class = classes.join(label, F.col("rep") == F.col("id"), "left").filter((F.col("copies") > 1) | F.col("component").isNotNull())
+    back = materialise(of_class.select("class", "copies", F.coalesce("component", "rep").alias("of")))
+    often = materialise(heavy_keys(back, "class", "copies"))
+    met = salted_join(named.select("doc_id", "n_shingles", "class"), back.drop("copies"), "class", often, "left", by="doc_id")
+    others = drawn.filter(F.col("class").isNull() | F.col("doc_id").isNull())
     return (
-        drawn.select("doc_id", "n_shingles", "class")
-        .join(of_class, "class", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_of", "doc_id")).alias("component_id"))
+        met.select("doc_id", "n_shingles", F.coalesce("of", "doc_id").alias("component_id"))
+        .unionByName(others.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
@@ -222,94 +213,113 @@ def near_duplicates(
 def deduplicate(docs: DataFrame, percent: int = 85, words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that ``near_duplicates`` does not keep; all columns stay.
 
-    Rows of one id are all kept or all gone, rows with a null id stay.
+    Rows of one id are all kept or all gone, rows with a null id and texts without words stay. An empty table
+    gives no rows.
     """
-    gone = near_duplicates(docs, percent, words, doc, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc) == F.col("_gone"), "left_anti")
+    of = f"{private(docs)}gone"
+    gone = near_duplicates(docs, percent, words, doc, text).filter(~F.col("kept")).select(F.col("doc_id").alias(of)).distinct()
+    return docs.join(gone, F.col(doc).cast("long") == F.col(of), "left_anti").select(*columns_of(docs))
+
+
+def _postings(classes: DataFrame, matches: int) -> DataFrame:
+    """rep and prefix: the keys of the lists, shortest first, in which a class meets those with enough collisions."""
+    posted = classes.select(F.explode("coordinates").alias("key"), "rep")
+    # counts first, summed before the shuffle: almost all lists have one member and need no join
+    lists = materialise(posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    often = materialise(heavy_keys(lists, "key", "n"))
+    shared = salted_join(posted, lists, "key", often, by="rep").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("lists"))
+    # the lists of one come first: what they leave of the prefix
+    left = F.size("lists") - F.lit(matches - 1)
+    prefix = F.transform(F.slice("lists", 1, F.greatest(left, F.lit(0))), lambda x: x["key"])
+    return shared.filter(left > 0).select("rep", prefix.alias("prefix"))
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, percent: int, words: int, doc: str, text: str) -> DataFrame:
     """Links (a, b) between classes whose components are those of all links."""
     matches = matches_of(percent)
-    posted = classes.select(F.posexplode("coordinates").alias("at", "key"), "rep")
-    # counts first, summed before the shuffle: almost all lists have one member and need no join
-    lists = posted.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
-    members = materialise(posted.join(lists, "key").select("key", "at", "rep"))
-    needed = materialise(members.select("rep").distinct().join(classes, "rep"))
-    sets = materialise(_sets(docs, needed.select("rep", "class"), words, doc, text))
+    postings = materialise(_postings(classes, matches))
+    known = materialise(postings.join(classes, "rep").select("rep", "class", "prefix", "coordinates"))
+    sets = materialise(_sets(docs, known.select("rep", "class"), words, doc, text))
     # shingles that no other member has bound every intersection; by 32 bits of the hash, so that two
     # that fall together only loosen the bound
     alone = (
-        sets.select("rep", F.explode("set").alias("_h"))
-        .groupBy(F.shiftright("_h", 32).cast("int").alias("_h"))
-        .agg(F.count("*").alias("_n"), F.min("rep").alias("rep"))
-        .filter("_n = 1")
+        sets.select("rep", F.explode("set").alias("h"))
+        .groupBy(F.shiftright("h", 32).cast("int").alias("h"))
+        .agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+        .filter("n = 1")
         .groupBy("rep")
-        .agg(F.count("*").alias("_alone"))
+        .agg(F.count("*").alias("alone"))
     )
     facts = materialise(
-        needed.join(sets.select("rep", "n", "values"), "rep")
+        known.join(sets.select("rep", "n"), "rep")
         .join(alone, "rep", "left")
-        .select("rep", "values", "coordinates", F.struct(F.col("n"), (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("most")).alias("size"))
+        .withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+        .filter(100 * F.col("most") >= percent * F.col("n"))
+        .select("rep", "prefix", "coordinates", F.struct("n", "most").alias("size"))
     )
+    members = facts.select("rep", F.explode("prefix").alias("key"))
+    lengths = materialise(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    often = materialise(heavy_keys(lengths, "key", "n"))
+    members = materialise(salted_join(members, lengths.select("key"), "key", often, by="rep"))
 
     def possible(a: Column, b: Column) -> Column:
         most = F.least(a["most"], b["most"])
         return 100 * most >= percent * (a["n"] + b["n"] - most)
 
+    def side(name: str, *columns: str) -> DataFrame:
+        return facts.select(F.col("rep").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("rep").alias("a"), F.col("set").alias("_sa"), F.col("n").alias("_na"))
-        right = sets.select(F.col("rep").alias("b"), F.col("set").alias("_sb"), F.col("n").alias("_nb"))
-        both = F.size(F.array_intersect("_sa", "_sb"))
+        left = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"), F.col("n").alias("na"))
+        right = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"), F.col("n").alias("nb"))
+        both = F.size(F.array_intersect("sa", "sb"))
         return (
             pairs.join(left, "a")
             .join(right, "b")
-            .withColumn("_both", both)
-            .filter(100 * F.col("_both") >= percent * (F.col("_na") + F.col("_nb") - F.col("_both")))
+            .withColumn("both", both)
+            .filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))
             .select("a", "b")
         )
 
     # two pivots a list: the member with the least share of shingles of its own, and one by hash
-    sized = members.join(facts.select("rep", "size"), "rep")
-    one = F.struct("rep", "size")
+    sized = members.join(facts.select("rep", (1 - F.col("size.most") / F.col("size.n")).alias("own")), "rep")
     pivots = sized.groupBy("key").agg(
-        F.min(F.struct((1 - F.col("size.most") / F.col("size.n")).alias("own"), one.alias("p"))).alias("_p0"),
-        F.min(F.struct(F.xxhash64("rep", "key").alias("h"), one.alias("p"))).alias("_p1"),
+        F.min(F.struct("own", "rep")).alias("central"), F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep")).alias("any")
     )
+    met = salted_join(members, pivots.select("key", F.array("central.rep", "any.rep").alias("pivots")), "key", often, by="rep")
     to_pivots = (
-        sized.join(pivots.select("key", F.array("_p0.p", "_p1.p").alias("_pivots")), "key")
-        .select("rep", "size", F.explode("_pivots").alias("_p"))
-        .filter((F.col("rep") != F.col("_p.rep")) & possible(F.col("size"), F.col("_p.size")))
-        .select(F.least("rep", "_p.rep").alias("a"), F.greatest("rep", "_p.rep").alias("b"))
+        met.select("rep", F.explode("pivots").alias("p"))
+        .filter(F.col("rep") != F.col("p"))
+        .select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
         .distinct()
     )
     near = materialise(
-        to_pivots.join(facts.select(F.col("rep").alias("a"), F.col("values").alias("_va")), "a")
-        .join(facts.select(F.col("rep").alias("b"), F.col("values").alias("_vb")), "b")
-        .filter(_equal_values(F.col("_va"), F.col("_vb")) >= matches)
+        to_pivots.join(side("a", "coordinates", "size"), "a")
+        .join(side("b", "coordinates", "size"), "b")
+        .filter(possible(F.col("a_size"), F.col("b_size")) & (_collisions(F.col("a_coordinates"), F.col("b_coordinates")) >= matches))
         .select("a", "b")
     )
     first = materialise(confirm(near))
-    label = components(first)
-    now = members.join(label, F.col("rep") == F.col("id"), "left").select(
-        "key", "at", "rep", F.coalesce("component", "rep").alias("of")
-    )
+    now = members.join(components(first), F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("of"))
     sizes = now.groupBy("key", "of").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("of", F.struct("n", "of")).alias("main"))
-    open_lists = largest.filter(F.col("groups") > 1).select("key", "main")
-    rows = materialise(
-        now.join(open_lists, "key").join(facts, "rep").select("key", "at", "rep", "of", "main", "size", "values", "coordinates")
-    )
+    unsettled = materialise(largest.filter("groups > 1").select("key", "main"))
+    rows = materialise(salted_join(now, unsettled, "key", often, by="rep").join(facts, "rep"))
     rest = rows.filter("of <> main").select(
-        "key", "at", F.col("rep").alias("r"), F.col("of").alias("r_of"), F.col("size").alias("rz"), F.col("values").alias("rv"), F.col("coordinates").alias("rc")
+        "key", F.col("rep").alias("r"), F.col("of").alias("r_of"), *(F.col(c).alias(f"r_{c}") for c in ("size", "prefix", "coordinates"))
     )
-    other = rows.select("key", F.col("rep").alias("o"), F.col("of").alias("o_of"), F.col("main").alias("o_main"), F.col("size").alias("oz"), F.col("values").alias("ov"), F.col("coordinates").alias("oc"))
-    met = rest.join(other, "key").filter(
-        (F.col("r_of") != F.col("o_of"))
-        & ((F.col("o_of") == F.col("o_main")) | (F.col("r") < F.col("o")))
-        & possible(F.col("rz"), F.col("oz"))
-        & (F.array_position(F.zip_with("rc", "oc", lambda x, y: x == y), F.lit(True)) == F.col("at") + 1)
-        & (_equal_values(F.col("rv"), F.col("ov")) >= matches)
+    first_common = F.get(F.array_intersect("prefix", "r_prefix"), F.lit(0))
+    pairs = (
+        salted_join(rows, rest, "key", often, by="rep")
+        .filter(
+            (F.col("r_of") != F.col("of"))
+            & ((F.col("of") == F.col("main")) | (F.col("r") < F.col("rep")))
+            & possible(F.col("size"), F.col("r_size"))
+            & (_collisions(F.col("coordinates"), F.col("r_coordinates")) >= matches)
+            & (first_common == F.col("key"))
+        )
+        .select(F.least("r", "rep").alias("a"), F.greatest("r", "rep").alias("b"))
+        .distinct()
+        .join(near, ["a", "b"], "left_anti")
     )
-    pairs = met.select(F.least("r", "o").alias("a"), F.greatest("r", "o").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     return first.union(confirm(pairs))
