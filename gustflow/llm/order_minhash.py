@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import let, materialise
 
 #: Places of a fingerprint, and units of a k-mer.
-PLACES, UNITS = 32, 2
+PLACES, UNITS = 16, 2
 #: Rows of a range of ids that is put in order by one task, about.
 RANGE_ROWS = 250_000
 
@@ -40,21 +40,30 @@ def _kmers(text: Column, units: int) -> Column:
 
 
 def _numbered(kmers: Column) -> Column:
-    """Structs (x, at): the hash of each k-mer with its occurrence's number, and its position."""
-
-    def runs(begin: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                begin,
-                lambda b, r: F.transform(
-                    F.slice(kmers, b + 1, F.coalesce(F.get(begin, r + 1), F.size(kmers)) - b),
-                    lambda k, number: F.struct(F.xxhash64(k["h"], number).alias("x"), k["at"].alias("at")),
-                ),
-            )
+    """Structs (x, at): the hash of each k-mer with its occurrence's number, and its position.
+
+    Almost all k-mers come once; those that come again are put beside each other first, so that the r-th of a
+    run has number r.
+    """
+    number = lambda k, r: F.struct(F.xxhash64(k["h"], r).alias("x"), k["at"].alias("at"))
+    differs = lambda some, k, j: F.coalesce(F.get(some, j - 1)["h"] != k["h"], F.lit(True))
+
+    def later(again: Column) -> Column:
+        begins = F.filter(F.transform(again, lambda k, j: F.when(differs(again, k, j), j)), lambda j: j.isNotNull())
+        runs = lambda begin: F.transform(
+            begin,
+            lambda b, r: F.transform(
+                F.slice(again, b + 1, F.coalesce(F.get(begin, r + 1), F.size(again)) - b), lambda k, n: number(k, n + 1)
+            ),
         )
+        return F.flatten(let(begins, runs))
+
+    def both(marked: Column) -> Column:
+        firsts = F.transform(F.filter(marked, lambda k: k["first"]), lambda k: number(k, F.lit(0)))
+        return F.concat(firsts, let(F.filter(marked, lambda k: ~k["first"]), later))
 
-    places = F.transform(kmers, lambda k, j: F.when((j == 0) | (F.get(kmers, j - 1)["h"] != k["h"]), j))
-    return let(F.array_compact(places), runs)
+    marked = F.transform(kmers, lambda k, j: F.struct(k["h"].alias("h"), k["at"].alias("at"), differs(kmers, k, j).alias("first")))
+    return let(marked, both)
 
 
 def _place(kmers: Column, at: Column, hashes: Column) -> Column:

@@ -17,6 +17,7 @@ import public_tokenizers
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -325,12 +326,50 @@ def test_fingerprints_know_order_and_occurrences(spark):
     words = [f"w{k}" for k in range(300)]
     texts = {"same": words, "shuffled": words[150:] + words[:150], "doubled": words * 2, "other": [f"v{k}" for k in range(300)]}
     df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "name string, text string")
-    f = order_minhash.with_fingerprint(df, "text", "f").drop("text")
+    f = df.select("name", order_minhash.fingerprint(F.col("text"), 64).alias("f"))
     base = f.filter("name = 'same'").select(F.col("f").alias("g"))
     got = {r["name"]: r["x"] for r in f.crossJoin(base).select("name", order_minhash.likeness(F.col("f"), F.col("g")).alias("x")).collect()}
     assert got["same"] == 1.0 and got["other"] == 0.0 and 0.1 < got["shuffled"] < 0.9 and got["doubled"] < 0.9
 
 
+def test_fingerprints_are_the_minima_of_each_place(spark, docs):
+    """Brute force: k-mers as rows, numbered by a window, and each place's order sorted whole."""
+    random.seed(12)
+    texts = [t or "" for t in TEXTS[:8]] + [" ".join(random.choices("abc", k=n)) for n in (2, 3, 40, 200)] + ["漢字テスト漢字 x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    rows = []
+    for k, t in enumerate(texts):
+        units = re.findall(order_minhash._UNIT.replace(r"\x{20000}-\x{3FFFF}", "\U00020000-\U0003FFFF"), t)
+        width = min(2, len(units))
+        rows += [(k, i, *(units[i : i + width] + [None])[:2]) for i in range(len(units) - width + 1)] if units else []
+    kmers = spark.createDataFrame(rows, "k int, at int, a string, b string").withColumn("h", F.xxhash64("a", "b"))
+    number = F.row_number().over(Window.partitionBy("k", "h").orderBy("at")) - 1
+    placed = kmers.withColumn("x", F.xxhash64("h", number)).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    rank = F.row_number().over(Window.partitionBy("k", "j").orderBy(F.xxhash64("x", "j")))
+    two = placed.withColumn("rank", rank).filter("rank <= 2").groupBy("k", "j").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("t"))
+    hashed = F.when(F.size("t") == 1, F.xxhash64(F.col("t")[0]["x"])).otherwise(F.xxhash64(F.col("t")[0]["x"], F.get("t", F.lit(1))["x"]))
+    want = {}
+    for r in two.select("k", "j", hashed.alias("v")).collect():
+        want.setdefault(r["k"], {})[r["j"]] = r["v"]
+    for r in df.select("k", order_minhash.fingerprint(F.col("text"), 8).alias("f")).collect():
+        assert r["f"] == [v for _, v in sorted(want.get(r["k"], {}).items())]
+
+
+def test_next_documents_in_ranges(spark, monkeypatch):
+    """Far ids, null ids, repeated rows and ids with several texts, over many ranges."""
+    monkeypatch.setattr(order_minhash, "RANGE_ROWS", 7)
+    random.seed(4)
+    rows = [(random.choice([k, k * 10**12, k - 50]), f"text {random.randint(0, 99)} of {k}") for k in range(100)]
+    rows += rows[:9] + [(None, "n" * k) for k in range(9)] + [(3, "other text of three"), (None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = order_minhash.fingerprints(df).collect()
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]]))
+    edited = lambda t, nxt: t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+    want = Counter((i, t, edited(t, nxt)) for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True))
+    assert Counter((r["doc_id"], r["text"], r["edited"]) for r in got) == want
+
+
 def corpus(spark, n=900):
     """Made-up texts in three languages; some of low quality, some toxic with inflected stems."""
     random.seed(3)
@@ -412,8 +451,34 @@ def test_forward_sums_all_segmentations():
 
     words = ["ab", "abab", "bz", "aab", "zz"]
     assert np.allclose(lattice.log_probability(words, p), [np.log(all_ways("▁" + w)) for w in words])
-    counts = np.array([[1.0, 2.0]] * len(words))
-    assert np.allclose(lattice.expected(words, counts, p).sum() > 0, True)
+    # expected counts: for each piece the slope of the log probability by the piece's own
+    runs, counts = ["▁" + w for w in words], np.arange(1.0, 11.0).reshape(5, 2)
+    got = lattice.expected(runs, counts, p)
+    for k in range(lattice.size):
+        up = p.copy()
+        up[k] *= 1 + 1e-6
+        slope = (lattice.log_probability(words, up) - lattice.log_probability(words, p)) / 1e-6
+        assert np.allclose(got[k], (counts * slope).sum(axis=0), atol=1e-3)
+
+
+def test_long_words_are_summed_whole():
+    lattice = langid.Lattice(["▁", "a", "b", "ab", "▁a", "ba", "▁ab", "abab", "babab"])
+    p = np.random.default_rng(7).random((lattice.size, 2)) / 10
+    random.seed(2)
+
+    def by_places(word):
+        logs = np.zeros((len(word) + 1, 2))
+        for end in range(1, len(word) + 1):
+            ways = []
+            for n in range(1, min(5, end) + 1):
+                piece = word[end - n : end]
+                if piece in lattice.number or n == 1:
+                    ways.append(logs[end - n] + np.log(p[lattice.number.get(piece, lattice.size - 1)]))
+            logs[end] = np.logaddexp.reduce(ways)
+        return logs[-1]
+
+    words = ["".join(random.choices("abz", k=n)) for n in (1, 22, 23, 24, 25, 47, 48, 49, 300, 5000)]
+    assert np.allclose(lattice.log_probability(words, p), [by_places("▁" + w) for w in words], rtol=1e-9)
 
 
 def test_digests_of_texts_are_utf8(spark):
