@@ -95,6 +95,32 @@ def harmonic_climatology(df: DataFrame, key: str, day: str, value: str, harmonic
     return fitted.withColumn("doy", F.explode(F.sequence(F.lit(1), F.lit(366)))).select(key, "doy", curve.alias("clim"))
 
 
+def population_climatology(df: DataFrame, key: str, day: str, value: str, harmonics: int = HARMONICS) -> DataFrame:
+    """key, doy (1 to 366), clim: a least-squares fit to the means of each day of the year, all stations of a key together.
+
+    Each day of the year that has values counts once. As many harmonics are fitted as the days support,
+    (days - 1) // 2 at most; with fewer than three days the climatology is their mean. A key has 366 means at
+    most, so the fit is one small call per key.
+    """
+    means = df.filter(F.col(value).isNotNull()).groupBy(key, F.dayofyear(day).alias("doy")).agg(F.avg(value).alias("m"))
+    per_key = means.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("doy", "m"))).alias("obs"))
+
+    @F.pandas_udf("array<double>")
+    def fitted(days: pd.Series, obs: pd.Series) -> pd.Series:
+        def terms(doy: np.ndarray, n: int) -> np.ndarray:
+            angle = 2 * np.pi * np.asarray(doy, dtype=float)[:, None] / 365.25 * np.arange(1, n + 1)
+            return np.hstack([np.ones((len(doy), 1)), np.cos(angle), np.sin(angle)])
+
+        out = []
+        for doy, m in zip(days, obs, strict=True):
+            n = min(harmonics, max(0, (len(doy) - 1) // 2))
+            out.append(terms(np.arange(1, 367), n) @ np.linalg.lstsq(terms(doy, n), np.asarray(m), rcond=None)[0])
+        return pd.Series(out)
+
+    curve = per_key.select(key, fitted(F.col("obs.doy"), F.col("obs.m")).alias("curve"))
+    return curve.select(key, F.posexplode("curve").alias("at", "clim")).select(key, (F.col("at") + 1).alias("doy"), "clim")
+
+
 def first_harmonic(df: DataFrame, key: str, theta: Column, value: str) -> DataFrame:
     """key, c0, c1, s1 of a least-squares fit of one harmonic, by Cramer's rule on sums alone."""
     rows = df.filter(F.col(value).isNotNull()).select(key, F.cos(theta).alias("c"), F.sin(theta).alias("s"), F.col(value).alias("y"))

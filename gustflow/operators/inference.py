@@ -15,28 +15,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def block_sums(df: DataFrame, by: Sequence[str], block: str, y: str, error: str, q: float = 0.9) -> DataFrame:
-    """Sums per group and block: n, squares, and the tail's (y at least its quantile over all rows)."""
+def block_sums(df: DataFrame, by: Sequence[str], block: str, y: str, error: str, q: float = 0.9, row: Sequence[str] = ()) -> DataFrame:
+    """Sums per group and block over the rows with a known error: n, squares, observations, and the tail's.
+
+    The tail is y at least its quantile over all rows. ``rows`` tells sets of rows (by the columns ``row``)
+    apart, so that two groups can be compared on the same rows only.
+    """
     cut = df.agg(F.percentile(y, F.lit(q)).alias("_cut"))
     e = F.col(error)
     tail = F.col(y) >= F.col("_cut")
-    return df.crossJoin(F.broadcast(cut)).groupBy(*by, block).agg(  # one row
+    return df.filter(e.isNotNull() & ~F.isnan(e)).crossJoin(F.broadcast(cut)).groupBy(*by, block).agg(  # one row
         F.count("*").cast("double").alias("n"),
         F.sum(e * e).alias("see"),
+        F.sum(y).alias("sy"),
+        F.sum(F.col(y) * F.col(y)).alias("syy"),
         F.count_if(tail).cast("double").alias("n_tail"),
         F.sum(F.when(tail, e).otherwise(0.0)).alias("se_tail"),
         F.sum(F.when(tail, e * e).otherwise(0.0)).alias("see_tail"),
+        F.bit_xor(F.xxhash64(*row) if row else F.lit(0).cast("long")).alias("rows"),
     )
 
 
 def drawn_metrics(sums: DataFrame, draws: DataFrame, by: Sequence[str], block: str) -> DataFrame:
-    """by, b, rmse, bias_p90, rmse_p90 of each draw; draws: (b, block, c), c how often a block is drawn."""
+    """by, b, rmse, bias_p90, rmse_p90, r2 and rows of each draw; draws: (b, block, c), c how often a block is drawn.
+
+    Sums have a row for each group and block; they and the draws are computed once.
+    """
+    draws = draws.persist()
     s = lambda c: F.sum(F.col("c") * F.col(c))
     none = F.lit(0.0)
-    return sums.join(F.broadcast(draws) if draws.limit(1_000_001).count() <= 1_000_000 else draws, block).groupBy(*by, "b").agg(
+    spread = s("syy") - s("sy") * s("sy") / F.nullif(s("n"), none)
+    return sums.join(F.broadcast(draws) if draws.count() <= 1_000_000 else draws, block).groupBy(*by, "b").agg(
         F.sqrt(s("see") / F.nullif(s("n"), none)).alias("rmse"),
         (s("se_tail") / F.nullif(s("n_tail"), none)).alias("bias_p90"),
         F.sqrt(s("see_tail") / F.nullif(s("n_tail"), none)).alias("rmse_p90"),
+        (1 - s("see") / F.nullif(spread, none)).alias("r2"),
+        F.bit_xor("rows").alias("rows"),
     )
 
 
@@ -73,23 +87,29 @@ def stationary_draws(spark: SparkSession, days: int, mean_length: float, n: int,
     return spark.createDataFrame(rows, "b int, block int, c int")
 
 
-def paired_effects(metrics: DataFrame, arm: str, units: Sequence[str], worse: str, better: str, metric: str) -> DataFrame:
-    """One row: effect (worse minus better, mean over units of draw 0), its error and interval, z and p.
+def paired_effects(metrics: DataFrame, arm: str, tag: str, model: str, worse: str, better: str, metric: str) -> DataFrame:
+    """One row: effect (mean over models in a tag, then over tags, of draw 0), its error and interval, z and p.
 
-    The error has two parts: over draws of the mean over units, and over units. Units (models, seeds)
-    that one side lacks are left out. Bias counts by its size.
+    Errors are worse minus better; r2 and bias, which keeps its sign, are better minus worse. The error has two
+    parts: over draws, and over tags (replicates; 0 for a single one). Pairs of a tag and a model that one side
+    lacks, or whose two sides cover different rows, are left out.
     """
-    value = F.abs(F.col(metric)) if metric.startswith("bias") else F.col(metric)
-    both = metrics.filter(F.col(arm).isin(worse, better)).groupBy(*units, "b").agg(
-        F.max(F.when(F.col(arm) == worse, value)).alias("_w"), F.max(F.when(F.col(arm) == better, value)).alias("_b")
+    side = lambda of, c: F.max(F.when(F.col(arm) == of, F.col(c)))
+    gain = side(worse, metric) - side(better, metric)
+    both = metrics.filter(F.col(arm).isin(worse, better)).groupBy(tag, model, "b").agg(
+        (gain if metric.startswith("rmse") else -gain).alias("d"), (side(worse, "rows") == side(better, "rows")).alias("same")
     )
-    each = both.withColumn("d", F.col("_w") - F.col("_b")).filter(F.col("d").isNotNull())
-    drawn = each.groupBy("b").agg(F.avg("d").alias("d"))
+    usable = both.filter("b = 0 AND same").select(tag, model)
+    by_tag = both.join(usable, [tag, model], "left_semi").groupBy(tag, "b").agg(F.avg("d").alias("d"))
+    drawn = by_tag.groupBy("b").agg(F.avg("d").alias("d"))
     boot = drawn.agg(F.max(F.when(F.col("b") == 0, F.col("d"))).alias("effect"), F.stddev_samp(F.when(F.col("b") > 0, F.col("d"))).alias("se_boot"))
-    rep = each.filter("b = 0").agg(F.count("*").alias("n_units"), (F.stddev_samp("d") / F.sqrt(F.count("*"))).alias("se_rep"))
-    se = F.sqrt(F.col("se_boot") * F.col("se_boot") + F.coalesce(F.col("se_rep") * F.col("se_rep"), F.lit(0.0)))
+    rep = by_tag.filter("b = 0").agg(
+        F.count("*").alias("n_replicates"), F.coalesce(F.stddev_samp("d") / F.sqrt(F.count("*")), F.lit(0.0)).alias("se_rep")
+    )
+    models = usable.agg(F.count_distinct(model).alias("n_models"))
+    se = F.sqrt(F.col("se_boot") * F.col("se_boot") + F.col("se_rep") * F.col("se_rep"))
     return (
-        boot.crossJoin(rep)  # one row each
+        boot.crossJoin(rep).crossJoin(models)  # one row each
         .withColumn("se", se)
         .withColumns(
             {
@@ -102,6 +122,18 @@ def paired_effects(metrics: DataFrame, arm: str, units: Sequence[str], worse: st
     )
 
 
+def paired_interval(metrics: DataFrame, arm: str, units: Sequence[str], worse: str, better: str, metric: str, level: float = 0.95) -> DataFrame:
+    """units, effect, ci_lo, ci_hi: the paired difference (worse minus better) with a percentile interval over draws."""
+    side = lambda of: F.max(F.when(F.col(arm) == of, F.col(metric)))
+    each = metrics.filter(F.col(arm).isin(worse, better)).groupBy(*units, "b").agg((side(worse) - side(better)).alias("d"))
+    drawn = F.when(F.col("b") > 0, F.col("d"))
+    return each.groupBy(*units).agg(
+        F.max(F.when(F.col("b") == 0, F.col("d"))).alias("effect"),
+        F.percentile(drawn, F.lit((1 - level) / 2)).alias("ci_lo"),
+        F.percentile(drawn, F.lit((1 + level) / 2)).alias("ci_hi"),
+    )
+
+
 @F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p of a normal z; null stays null. For tables of effects, which are small."""
@@ -119,18 +151,50 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), out: str =
     return raw.withColumn(out, F.when(known, F.least(least, F.lit(1.0)))).drop("_raw", "_rank")
 
 
-def verdict(lo: Column, hi: Column, q: Column, sesoi: Column, alpha: float = 0.05) -> Column:
-    """adds, harms, no information (the interval within the smallest effect of interest), inconclusive;
-    indeterminate without an interval."""
+def verdict(lo: Column, hi: Column, se: Column, sesoi: Column) -> Column:
+    """Against the smallest effect of interest: adds if the interval lies above it, harms if below its negative,
+    no information if between the two, else inconclusive; indeterminate without a finite error or such an effect."""
+    finite = lambda c: c.isNotNull() & (F.abs(c.cast("double")) < F.lit(float("inf")))
     return (
-        F.when(lo.isNull() | hi.isNull(), "indeterminate")
-        .when((lo > 0) & (q <= alpha), "adds")
-        .when((hi < 0) & (q <= alpha), "harms")
+        F.when(~(finite(se) & finite(sesoi)), "indeterminate")
+        .when(lo > sesoi, "adds")
+        .when(hi < -sesoi, "harms")
         .when((lo >= -sesoi) & (hi <= sesoi), "no information")
         .otherwise("inconclusive")
     )
 
 
+def _beta_tail(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function I_x(a, b) by its continued fraction (x below (a + 1) / (a + b + 2))."""
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1))
+    value = d
+    for m in range(1, 400):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / (1.0 + term * d)
+            c = 1.0 + term / c
+            value *= c * d
+        if abs(c * d - 1.0) < 1e-14:
+            break
+    return front * value
+
+
+def student_two_sided(t: float, df: float) -> float:
+    """Two-sided p of Student's t."""
+    x = df / (df + t * t)
+    if t == 0:
+        return 1.0
+    a, b = df / 2, 0.5
+    return _beta_tail(a, b, x) if x < (a + 1) / (a + b + 2) else 1.0 - _beta_tail(b, a, 1.0 - x)
+
+
+@F.pandas_udf(DoubleType())
+def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p of t with df degrees of freedom; null stays null. For tables of results, which are small."""
+    known = lambda v: v is not None and not math.isnan(v)
+    return pd.Series([student_two_sided(x, n) if known(x) and n > 0 else None for x, n in zip(t, df, strict=True)], dtype="float64")
+
+
 def loss_differential(df: DataFrame, day: str, arm: str, units: Sequence[str], error: str, worse: str, better: str) -> DataFrame:
     """day, d: squared error of worse minus that of better, mean over stations, then over units."""
     e2 = F.col(error) * F.col(error)
@@ -141,11 +205,13 @@ def loss_differential(df: DataFrame, day: str, arm: str, units: Sequence[str], e
 
 
 def diebold_mariano(d: DataFrame, day: str, value: str, max_lag: int = 5) -> DataFrame:
-    """One row: n, mean, dm with Bartlett weights and the small-sample correction.
+    """One row: n, mean, dm with Bartlett weights and the small-sample correction for horizon 1, p by Student's t.
 
-    Autocovariances pair rows ``lag`` places apart, if they lie in one run of consecutive days. The
-    series has one row per day, so its windows over all rows stay small.
+    Autocovariances pair rows ``lag`` places apart, if they lie in one run of consecutive days. Days without a
+    value are left out. With fewer than 10 days mean, dm and p are null. The series has one row per day, so its
+    windows over all rows stay small.
     """
+    d = d.filter(F.col(value).isNotNull() & ~F.isnan(value))
     at = Window.orderBy(day)
     gap = F.when(F.datediff(F.col(day), F.lag(day).over(at)) > 1, 1).otherwise(0)
     numbered = d.select(day, F.col(value).alias("_x")).withColumn("_g", gap).withColumn("_run", F.sum("_g").over(at))
@@ -157,6 +223,7 @@ def diebold_mariano(d: DataFrame, day: str, value: str, max_lag: int = 5) -> Dat
     gamma = F.sum(F.col("_c") * F.col("_c")) / n
     for k in range(1, max_lag + 1):
         gamma = gamma + 2 * (1 - k / (max_lag + 1)) * F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)) / n
-    h = max_lag + 1
-    small = F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
-    return lagged.agg(n.alias("n"), F.avg("_x").alias("mean"), (F.avg("_x") / F.sqrt(gamma / n) * small).alias("dm"))
+    dm = F.avg("_x") / F.sqrt(F.greatest(gamma, F.lit(1e-12)) / n) * F.sqrt((n - 1) / n)
+    enough = n >= 10
+    out = lagged.agg(n.alias("n"), F.when(enough, F.avg("_x")).alias("mean"), F.when(enough, dm).alias("dm"))
+    return out.withColumn("p", student_p("dm", (F.col("n") - 1).cast("double")))

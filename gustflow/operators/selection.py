@@ -87,11 +87,11 @@ def common_dates(df: DataFrame, by: Sequence[str], combo: Sequence[str], day: st
 
 def decision(df: DataFrame, feature: str, season: str, gain: str, control: str) -> DataFrame:
     """feature, mean_gain, seasons_up, decision: keep if the mean gain is over the noise floor (the
-    greatest seasonal mean of the control) and positive in 3 seasons; discard if neither; else open."""
+    greatest seasonal mean of the control) and positive in 3 seasons, open if over the floor only; else discard."""
     seasonal = df.groupBy(feature, season).agg(F.avg(gain).alias("_g"))
     floor = seasonal.filter(F.col(feature) == control).agg(F.max("_g").alias("_floor"))
     summed = seasonal.filter(F.col(feature) != control).groupBy(feature).agg(F.avg("_g").alias("mean_gain"), F.count_if(F.col("_g") > 0).alias("seasons_up"))
     over, steady = F.col("mean_gain") > F.col("_floor"), F.col("seasons_up") >= 3
     return summed.crossJoin(F.broadcast(floor)).select(  # one row
-        feature, "mean_gain", "seasons_up", F.when(over & steady, "keep").when(~over & ~steady, "discard").otherwise("open").alias("decision")
+        feature, "mean_gain", "seasons_up", F.when(over & steady, "keep").when(over, "open").otherwise("discard").alias("decision")
     )

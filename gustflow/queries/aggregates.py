@@ -75,8 +75,9 @@ def a06_first_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(REGISTRY)
 def a07_population_climatology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = panel(spark, sf_dir).filter(F.col("station") % 5 != 0).withColumn("fold", F.lit(0))
-    return X.harmonic_climatology(train, "fold", "day", "y", least=7)
+    """For each of five folds, from the stations of the other four."""
+    train = panel(spark, sf_dir).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).filter(F.col("station") % 5 != F.col("fold"))
+    return X.population_climatology(train, "fold", "day", "y")
 
 
 @register(REGISTRY, f"""WITH {PANEL}, q AS (SELECT station, quantile_cont(y, 0.1) AS p10, quantile_cont(y, 0.5) AS p50, quantile_cont(y, 0.9) AS p90 FROM panel GROUP BY 1)
@@ -247,7 +248,7 @@ def a31_value_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(REGISTRY, f"""WITH {PANEL}, g AS (SELECT cluster, season, avg(proxy - pred + 150) AS g FROM panel GROUP BY 1, 2), f AS (SELECT max(g) AS floor FROM g WHERE cluster = 0),
 s AS (SELECT cluster, avg(g) AS mean_gain, count(*) FILTER (g > 0) AS seasons_up FROM g WHERE cluster <> 0 GROUP BY 1)
-SELECT cluster, round(mean_gain, 4) AS mean_gain, seasons_up, CASE WHEN mean_gain > floor AND seasons_up >= 3 THEN 'keep' WHEN NOT mean_gain > floor AND NOT seasons_up >= 3 THEN 'discard' WHEN mean_gain > floor OR seasons_up >= 3 THEN 'open' ELSE 'open' END AS decision FROM s CROSS JOIN f""")
+SELECT cluster, round(mean_gain, 4) AS mean_gain, seasons_up, CASE WHEN mean_gain > floor AND seasons_up >= 3 THEN 'keep' WHEN mean_gain > floor THEN 'open' ELSE 'discard' END AS decision FROM s CROSS JOIN f""")
 def a32_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir).withColumn("gain", F.col("proxy") - F.col("pred") + 150)
     return rounded(S.decision(p.withColumn("cluster", F.col("cluster")), "cluster", "season", "gain", 0), "mean_gain")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,56 +12,84 @@ from .tables import PANEL, panel, register, rounded
 
 REGISTRY: dict = {}
 
-_RESID = f"""{PANEL}, resid AS (SELECT arm, model, station, day, year(day) * 100 + month(day) AS block, y, y * a + proxy * b - y AS e FROM panel
- CROSS JOIN (VALUES ('base', 'm1', 0.0, 1.05), ('base', 'm2', 0.1, 0.95), ('full', 'm1', 0.2, 0.8), ('full', 'm2', 0.15, 0.9)) t(arm, model, a, b) WHERE month(day) IN (1, 4, 7, 10)),
+#: Draws of the bootstrap.
+DRAWS = 2000
+_ARMS = [("base", "m1", 0.0, 1.05), ("base", "m2", 0.1, 0.95), ("full", "m1", 0.2, 0.8), ("full", "m2", 0.15, 0.9)]
+
+_RESID = f"""{PANEL}, resid AS (SELECT arm, model, tag, station, day, year(day) * 100 + month(day) AS block, y, y * a + proxy * (b + 0.0193 * tag) - y AS e FROM panel
+ CROSS JOIN (VALUES {', '.join(map(str, _ARMS))}) t(arm, model, a, b) CROSS JOIN (VALUES (0), (1)) r(tag) WHERE month(day) IN (1, 4, 7, 10)),
 cut AS (SELECT quantile_cont(y, 0.9) AS cut FROM resid),
-sums AS (SELECT arm, model, block, count(*)::DOUBLE AS n, sum(e * e) AS see, count(*) FILTER (y >= cut)::DOUBLE AS n_tail, sum(CASE WHEN y >= cut THEN e ELSE 0 END) AS se_tail, sum(CASE WHEN y >= cut THEN e * e ELSE 0 END) AS see_tail FROM resid CROSS JOIN cut GROUP BY 1, 2, 3),
-draws AS (SELECT b, block, CASE WHEN b = 0 THEN 1 ELSE ((b * 7919 + block * 104729 + b * block * 31) % 101) % 3 END AS c FROM (SELECT DISTINCT block FROM sums) CROSS JOIN (SELECT unnest(range(41)) AS b))"""
+sums AS (SELECT arm, model, tag, block, count(*)::DOUBLE AS n, sum(e * e) AS see, sum(y) AS sy, sum(y * y) AS syy, count(*) FILTER (y >= cut)::DOUBLE AS n_tail, sum(CASE WHEN y >= cut THEN e ELSE 0 END) AS se_tail, sum(CASE WHEN y >= cut THEN e * e ELSE 0 END) AS see_tail FROM resid CROSS JOIN cut GROUP BY 1, 2, 3, 4),
+draws AS (SELECT b, block, CASE WHEN b = 0 THEN 1 ELSE ((b * 7919 + block * 104729 + b * b * 31 + b * block * 17) % 10007) % 3 END AS c FROM (SELECT DISTINCT block FROM sums) CROSS JOIN (SELECT unnest(range({DRAWS + 1})) AS b))"""
 
 
 def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arms = [("base", "m1", 0.0, 1.05), ("base", "m2", 0.1, 0.95), ("full", "m1", 0.2, 0.8), ("full", "m2", 0.15, 0.9)]
-    kinds = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.lit(m).alias("model"), F.lit(x).alias("a"), F.lit(b).alias("b")) for a, m, x, b in arms)))
+    """Residuals of two arms, two models and two replicates (tags); of four months a year, as the test split is."""
+    kinds = F.explode(
+        F.array(
+            *(
+                F.struct(F.lit(a).alias("arm"), F.lit(m).alias("model"), F.lit(t).alias("tag"), F.lit(x).alias("a"), F.lit(b).alias("b"))
+                for a, m, x, b in _ARMS
+                for t in (0, 1)
+            )
+        )
+    )
     p = panel(spark, sf_dir).filter(F.month("day").isin(1, 4, 7, 10)).withColumn("_k", kinds)
-    e = F.col("y") * F.col("_k.a") + F.col("proxy") * F.col("_k.b") - F.col("y")
-    return p.select("_k.arm", "_k.model", "station", "day", (F.year("day") * 100 + F.month("day")).alias("block"), "y", e.alias("e"))
+    e = F.col("y") * F.col("_k.a") + F.col("proxy") * (F.col("_k.b") + 0.0193 * F.col("_k.tag")) - F.col("y")
+    return p.select("_k.arm", "_k.model", "_k.tag", "station", "day", (F.year("day") * 100 + F.month("day")).alias("block"), "y", e.alias("e"))
 
 
 def sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.block_sums(residuals(spark, sf_dir), ["arm", "model"], "block", "y", "e")
+    """A row for each arm, model, replicate and year-month, computed once."""
+    return I.block_sums(residuals(spark, sf_dir), ["arm", "model", "tag"], "block", "y", "e", row=["station", "day"]).persist()
+
+
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sums(spark, sf_dir)
+    return I.drawn_metrics(s, draws(s), ["arm", "model", "tag"], "block")
 
 
 def draws(s: DataFrame) -> DataFrame:
     b, block = F.col("b"), F.col("block").cast("long")
-    c = F.when(b == 0, 1).otherwise(((b * 7919 + block * 104729 + b * block * 31) % 101) % 3)
-    return s.select("block").distinct().withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(40).cast("long")))).select("b", "block", c.alias("c"))
+    c = F.when(b == 0, 1).otherwise(((b * 7919 + block * 104729 + b * b * 31 + b * block * 17) % 10007) % 3)
+    return s.select("block").distinct().withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DRAWS).cast("long")))).select("b", "block", c.alias("c"))
 
 
-@register(REGISTRY, f"WITH {_RESID} SELECT arm, model, block, n, round(see, 0) AS see, n_tail, round(se_tail, 2) AS se_tail FROM sums")
+@register(REGISTRY, f"WITH {_RESID} SELECT arm, model, tag, block, n, round(see, 0) AS see, round(sy, 2) AS sy, round(syy, 0) AS syy, n_tail, round(se_tail, 1) AS se_tail FROM sums")
 def a18_block_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sums(spark, sf_dir).select("arm", "model", F.col("block").cast("long").alias("block"), "n", "see", "n_tail", "se_tail")
-    return rounded(rounded(s, "see", places=0), "se_tail", places=2)
+    s = sums(spark, sf_dir).select("arm", "model", "tag", F.col("block").cast("long").alias("block"), "n", "see", "sy", "syy", "n_tail", "se_tail")
+    return rounded(rounded(rounded(s, "see", "syy", places=0), "sy", places=2), "se_tail", places=1)
 
 
-_METRICS = "metrics AS (SELECT arm, model, b, sqrt(sum(c * see) / nullif(sum(c * n), 0)) AS rmse, sum(c * se_tail) / nullif(sum(c * n_tail), 0) AS bias_p90, sqrt(sum(c * see_tail) / nullif(sum(c * n_tail), 0)) AS rmse_p90 FROM sums JOIN draws USING (block) GROUP BY 1, 2, 3)"
+_METRICS = """metrics AS (SELECT arm, model, tag, b, sqrt(sum(c * see) / nullif(sum(c * n), 0)) AS rmse, sum(c * se_tail) / nullif(sum(c * n_tail), 0) AS bias_p90, sqrt(sum(c * see_tail) / nullif(sum(c * n_tail), 0)) AS rmse_p90,
+ 1 - sum(c * see) / nullif(sum(c * syy) - sum(c * sy) * sum(c * sy) / nullif(sum(c * n), 0), 0) AS r2 FROM sums JOIN draws USING (block) GROUP BY 1, 2, 3, 4)"""
 
 
-@register(REGISTRY, f"WITH {_RESID}, {_METRICS} SELECT arm, model, b, round(rmse, 4) AS rmse, round(bias_p90, 4) AS bias_p90, round(rmse_p90, 4) AS rmse_p90 FROM metrics")
+@register(REGISTRY, f"WITH {_RESID}, {_METRICS} SELECT arm, model, tag, b, round(rmse, 4) AS rmse, round(bias_p90, 4) AS bias_p90, round(rmse_p90, 4) AS rmse_p90, round(r2, 6) AS r2 FROM metrics")
 def x02_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sums(spark, sf_dir)
-    return rounded(I.drawn_metrics(s, draws(s), ["arm", "model"], "block"), "rmse", "bias_p90", "rmse_p90")
+    return rounded(rounded(drawn(spark, sf_dir).drop("rows"), "rmse", "bias_p90", "rmse_p90"), "r2", places=6)
 
 
-_EFFECT = f"""WITH {_RESID}, {_METRICS}, d AS (SELECT model, b, max(rmse) FILTER (arm = 'base') - max(rmse) FILTER (arm = 'full') AS d FROM metrics GROUP BY 1, 2),
-m AS (SELECT b, avg(d) AS d FROM d GROUP BY 1), boot AS (SELECT max(d) FILTER (b = 0) AS effect, stddev_samp(d) FILTER (b > 0) AS se_boot FROM m),
-rep AS (SELECT count(*) AS n_units, stddev_samp(d) / sqrt(count(*)) AS se_rep FROM d WHERE b = 0), e AS (SELECT *, sqrt(se_boot * se_boot + coalesce(se_rep * se_rep, 0)) AS se FROM boot CROSS JOIN rep)"""
+_EFFECT = f"""WITH {_RESID}, {_METRICS}, v AS (SELECT arm, model, tag, b, unnest(['rmse', 'rmse_p90', 'r2', 'bias_p90']) AS metric, unnest([rmse, rmse_p90, r2, bias_p90]) AS value FROM metrics),
+d AS (SELECT metric, tag, model, b, (max(value) FILTER (arm = 'base') - max(value) FILTER (arm = 'full')) * CASE WHEN metric IN ('rmse', 'rmse_p90') THEN 1 ELSE -1 END AS d FROM v GROUP BY 1, 2, 3, 4),
+t AS (SELECT metric, tag, b, avg(d) AS d FROM d GROUP BY 1, 2, 3), m AS (SELECT metric, b, avg(d) AS d FROM t GROUP BY 1, 2),
+boot AS (SELECT metric, max(d) FILTER (b = 0) AS effect, stddev_samp(d) FILTER (b > 0) AS se_boot FROM m GROUP BY 1),
+rep AS (SELECT metric, count(*) AS n_replicates, stddev_samp(d) / sqrt(count(*)) AS se_rep FROM t WHERE b = 0 GROUP BY 1),
+e AS (SELECT *, 2::BIGINT AS n_models, sqrt(se_boot * se_boot + se_rep * se_rep) AS se FROM boot JOIN rep USING (metric))"""
 
 
-@register(REGISTRY, _EFFECT + " SELECT round(effect, 4) AS effect, round(se, 4) AS se, n_units, round(effect - 1.96 * se, 4) AS ci_lo, round(effect + 1.96 * se, 4) AS ci_hi, round(effect / nullif(se, 0), 4) AS z FROM e")
+@register(REGISTRY, _EFFECT + " SELECT metric, round(effect, 4) AS effect, round(se, 4) AS se, n_replicates, n_models, round(effect - 1.96 * se, 4) AS ci_lo, round(effect + 1.96 * se, 4) AS ci_hi, round(effect / nullif(se, 0), 3) AS z FROM e")
 def x03_x07_paired_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sums(spark, sf_dir)
-    e = I.paired_effects(I.drawn_metrics(s, draws(s), ["arm", "model"], "block"), "arm", ["model"], "base", "full", "rmse")
-    return rounded(e.select("effect", "se", "n_units", "ci_lo", "ci_hi", "z"), "effect", "se", "ci_lo", "ci_hi", "z")
+    m = drawn(spark, sf_dir).persist()
+    each = [I.paired_effects(m, "arm", "tag", "model", "base", "full", c).withColumn("metric", F.lit(c)) for c in ("rmse", "rmse_p90", "r2", "bias_p90")]
+    e = reduce(DataFrame.unionByName, each).select("metric", "effect", "se", "n_replicates", "n_models", "ci_lo", "ci_hi", "z")
+    return rounded(rounded(e, "effect", "se", "ci_lo", "ci_hi"), "z", places=3)
+
+
+@register(REGISTRY, f"""WITH {_RESID}, {_METRICS}, d AS (SELECT model, tag, b, max(rmse) FILTER (arm = 'base') - max(rmse) FILTER (arm = 'full') AS d FROM metrics GROUP BY 1, 2, 3)
+SELECT model, tag, round(max(d) FILTER (b = 0), 4) AS effect, round(quantile_cont(d, 0.025) FILTER (b > 0), 4) AS ci_lo, round(quantile_cont(d, 0.975) FILTER (b > 0), 4) AS ci_hi FROM d GROUP BY 1, 2""")
+def x43_paired_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(I.paired_interval(drawn(spark, sf_dir), "arm", ["model", "tag"], "base", "full", "rmse"), "effect", "ci_lo", "ci_hi")
 
 
 _PS = "ps AS (SELECT s_suppkey AS k, s_nationkey % 3 AS family, CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE ((s_suppkey * 7919) % 1000) / 1000.0 END AS p FROM supplier)"
@@ -76,41 +106,40 @@ def x04_t07_benjamini_hochberg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(I.benjamini_hochberg(ps, "p", ["family"]).select("k", "family", "q"), "q", places=9)
 
 
-@register(REGISTRY, """WITH e AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE s_acctbal / 10000 - 0.3 END AS lo, s_acctbal / 10000 AS hi, (s_suppkey % 10) / 50.0 AS q FROM supplier)
-SELECT k, CASE WHEN lo IS NULL THEN 'indeterminate' WHEN lo > 0 AND q <= 0.05 THEN 'adds' WHEN hi < 0 AND q <= 0.05 THEN 'harms' WHEN lo >= -0.25 AND hi <= 0.25 THEN 'no information' ELSE 'inconclusive' END AS verdict FROM e""")
+@register(REGISTRY, """WITH e AS (SELECT s_suppkey AS k, s_acctbal / 10000 - 0.3 AS lo, s_acctbal / 10000 AS hi, CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE 0.1 END AS se FROM supplier)
+SELECT k, CASE WHEN se IS NULL THEN 'indeterminate' WHEN lo > 0.25 THEN 'adds' WHEN hi < -0.25 THEN 'harms' WHEN lo >= -0.25 AND hi <= 0.25 THEN 'no information' ELSE 'inconclusive' END AS verdict FROM e""")
 def x05_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tables import table
 
     k = F.col("s_suppkey")
-    lo = F.when(k % 11 != 0, F.col("s_acctbal") / 10000 - 0.3)
-    return table(spark, sf_dir, "supplier").select(k.alias("k"), I.verdict(lo, F.col("s_acctbal") / 10000, (k % 10) / 50.0, F.lit(0.25)).alias("verdict"))
+    hi, se = F.col("s_acctbal") / 10000, F.when(k % 10 != 0, F.lit(0.1))
+    return table(spark, sf_dir, "supplier").select(k.alias("k"), I.verdict(hi - 0.3, hi, se, F.lit(0.25)).alias("verdict"))
 
 
-_DIFF = f"""WITH {_RESID}, s AS (SELECT model, day, avg(e * e) FILTER (arm = 'base') - avg(e * e) FILTER (arm = 'full') AS d FROM resid GROUP BY 1, 2), diff AS (SELECT day, avg(d) AS d FROM s GROUP BY 1)"""
+_DIFF = f"""WITH {_RESID}, s AS (SELECT model, tag, day, avg(e * e) FILTER (arm = 'base') - avg(e * e) FILTER (arm = 'full') AS d FROM resid GROUP BY 1, 2, 3), diff AS (SELECT day, avg(d) AS d FROM s GROUP BY 1)"""
 
 
 @register(REGISTRY, _DIFF + " SELECT day, round(d, 2) AS d FROM diff")
 def x08_loss_differential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(I.loss_differential(residuals(spark, sf_dir), "day", "arm", ["model"], "e", "base", "full"), "d", places=2)
+    return rounded(I.loss_differential(residuals(spark, sf_dir), "day", "arm", ["model", "tag"], "e", "base", "full"), "d", places=2)
 
 
 @register(REGISTRY, _DIFF + """, g AS (SELECT *, sum(n) OVER (ORDER BY day) AS run FROM (SELECT *, CASE WHEN day - lag(day) OVER (ORDER BY day) > 1 THEN 1 ELSE 0 END AS n FROM diff)),
 c AS (SELECT day, run, d, d - avg(d) OVER () AS c FROM g), l AS (SELECT d, c, """ + ", ".join(f"CASE WHEN lag(run, {k}) OVER (ORDER BY day) = run THEN c * lag(c, {k}) OVER (ORDER BY day) END AS p{k}" for k in range(1, 6)) + """ FROM c)
-SELECT count(*) AS n, round(avg(d), 0) AS mean, round(avg(d) / sqrt((sum(c * c)""" + "".join(f" + 2 * (1 - {k} / 6.0) * coalesce(sum(p{k}), 0)" for k in range(1, 6)) + ") / count(*) / count(*)) * sqrt((count(*) + 1 - 12 + 30.0 / count(*)) / count(*)), 5) AS dm FROM l")
+SELECT count(*) AS n, CASE WHEN count(*) >= 10 THEN round(avg(d), 0) END AS mean, CASE WHEN count(*) >= 10 THEN round(avg(d) / sqrt(greatest((sum(c * c)""" + "".join(f" + 2 * (1 - {k} / 6.0) * coalesce(sum(p{k}), 0)" for k in range(1, 6)) + ") / count(*), 1e-12) / count(*)) * sqrt((count(*) - 1) / count(*)), 5) END AS dm FROM l")
 def x09_diebold_mariano(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = I.loss_differential(residuals(spark, sf_dir), "day", "arm", ["model"], "e", "base", "full")
-    return rounded(rounded(I.diebold_mariano(d, "day", "d"), "mean", places=0), "dm", places=5)
+    d = I.loss_differential(residuals(spark, sf_dir), "day", "arm", ["model", "tag"], "e", "base", "full")
+    return rounded(rounded(I.diebold_mariano(d, "day", "d").drop("p"), "mean", places=0), "dm", places=5)
 
 
-@register(REGISTRY, f"WITH {_RESID}, {_METRICS} SELECT arm, model, round(quantile_cont(rmse, 0.025), 4) AS ci_lo, round(quantile_cont(rmse, 0.975), 4) AS ci_hi FROM metrics WHERE b > 0 GROUP BY 1, 2")
+@register(REGISTRY, f"WITH {_RESID}, {_METRICS} SELECT arm, model, tag, round(quantile_cont(rmse, 0.025), 4) AS ci_lo, round(quantile_cont(rmse, 0.975), 4) AS ci_hi FROM metrics WHERE b > 0 GROUP BY 1, 2, 3")
 def x36_x40_percentile_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sums(spark, sf_dir)
-    m = I.drawn_metrics(s, draws(s), ["arm", "model"], "block").filter("b > 0")
-    return rounded(m.groupBy("arm", "model").agg(F.percentile("rmse", F.lit(0.025)).alias("ci_lo"), F.percentile("rmse", F.lit(0.975)).alias("ci_hi")), "ci_lo", "ci_hi")
+    m = drawn(spark, sf_dir).filter("b > 0").groupBy("arm", "model", "tag")
+    return rounded(m.agg(F.percentile("rmse", F.lit(0.025)).alias("ci_lo"), F.percentile("rmse", F.lit(0.975)).alias("ci_hi")), "ci_lo", "ci_hi")
 
 
 @register(REGISTRY)
 def x06_seeded_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sums(spark, sf_dir)
     blocks = sorted(r["block"] for r in s.select("block").distinct().collect())  # year-months
-    return I.drawn_metrics(s, I.seeded_draws(spark, blocks, 100, 42), ["arm", "model"], "block")
+    return I.drawn_metrics(s, I.seeded_draws(spark, blocks, DRAWS, 42), ["arm", "model", "tag"], "block").drop("rows")

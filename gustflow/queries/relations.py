@@ -29,15 +29,15 @@ def j05_many_to_one_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joined.select("station", "day", (F.col("y") - F.col("clim")).alias("anomaly")), "anomaly")
 
 
-_TWO = """a AS (SELECT user_id AS station, CAST(ts AS DATE) AS day, max(value) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2),
-b AS (SELECT user_id AS station, CAST(ts AS DATE) AS day, min(value) AS v FROM events WHERE event_id % 3 = 1 AND ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2)"""
+_TWO = """a AS (SELECT user_id AS station, CAST(ts AS DATE) AS day, max(value) AS v FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2),
+b AS (SELECT user_id AS station, CAST(ts AS DATE) AS day, min(value) AS v FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY 1, 2)"""
 
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     key = [F.col("user_id").alias("station"), "day"]
-    a = e.filter("event_id % 3 = 0").groupBy(*key).agg(F.max("value").alias("v"))
-    b = e.filter("event_id % 3 = 1 AND ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'").groupBy(*key).agg(F.min("value").alias("v"))
+    a = e.filter("event_type IN ('view', 'click')").groupBy(*key).agg(F.max("value").alias("v"))
+    b = e.filter("event_type NOT IN ('view', 'click')").groupBy(*key).agg(F.min("value").alias("v"))
     return a, b
 
 
@@ -135,11 +135,11 @@ def j20_donor_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.with_donors(s, donors, "station", ["static"])
 
 
-@register(REGISTRY, """WITH v AS (SELECT l_suppkey AS model, avg(l_tax) AS a FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), t AS (SELECT l_suppkey AS model, avg(l_tax) AS b FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 9 <> 0 GROUP BY 1)
+@register(REGISTRY, """WITH v AS (SELECT l_suppkey AS model, avg(l_tax) AS a FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), t AS (SELECT l_suppkey AS model, avg(l_tax) AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
 SELECT model, round(a, 6) AS val, round(b, 6) AS test, round(100 * (b - a) / nullif(a, 0), 4) AS gap FROM v LEFT JOIN t USING (model)""")
 def j21_j22_leaderboard_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = lambda f, n: table(spark, sf_dir, "lineitem").filter(f).groupBy(F.col("l_suppkey").alias("model")).agg(F.avg("l_tax").alias(n))
-    j = mean("l_returnflag = 'A'", "val").join(mean("l_returnflag = 'R' AND l_suppkey % 9 <> 0", "test"), "model", "left")
+    j = mean("l_returnflag = 'A'", "val").join(mean("l_returnflag = 'R'", "test"), "model", "left")
     gap = 100 * (F.col("test") - F.col("val")) / F.nullif(F.col("val"), F.lit(0.0))
     return rounded(rounded(j.withColumn("gap", gap), "val", "test", places=6), "gap")
 
@@ -273,9 +273,9 @@ def u01_union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@register(REGISTRY, "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0")
+@register(REGISTRY, "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
 def u04_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select("o_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").select("o_custkey"))
 
 
 @register(REGISTRY, "SELECT CAST(ts AS DATE) AS day FROM events UNION SELECT CAST(o_orderdate AS DATE) FROM orders")

@@ -170,12 +170,12 @@ def w18_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly(spark, sf_dir).withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
 
 
-@register(REGISTRY, """WITH s AS (SELECT o_custkey % 50 AS pipeline, CASE o_orderstatus WHEN 'O' THEN 'test' WHEN 'F' THEN 'common_test' ELSE 'val' END AS split, count(*) AS n FROM orders WHERE o_orderkey % 7 < 4 OR o_orderstatus <> 'F' GROUP BY 1, 2),
+@register(REGISTRY, """WITH s AS (SELECT o_custkey AS pipeline, CASE o_orderstatus WHEN 'O' THEN 'test' WHEN 'F' THEN 'common_test' ELSE 'val' END AS split, count(*) AS n FROM orders GROUP BY 1, 2),
 p AS (SELECT *, CASE split WHEN 'common_test' THEN '0' WHEN 'test' THEN '1' ELSE '2' || split END AS o FROM s) SELECT pipeline, split, n FROM (SELECT *, min(o) OVER (PARTITION BY pipeline) AS m FROM p) WHERE o = m""")
 def w19_preferred_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 7 < 4 OR o_orderstatus <> 'F'")
+    o = table(spark, sf_dir, "orders")
     split = F.when(F.col("o_orderstatus") == "O", "test").when(F.col("o_orderstatus") == "F", "common_test").otherwise("val")
-    s = o.groupBy((F.col("o_custkey") % 50).alias("pipeline"), split.alias("split")).agg(F.count("*").alias("n"))
+    s = o.groupBy(F.col("o_custkey").alias("pipeline"), split.alias("split")).agg(F.count("*").alias("n"))
     return S.preferred_split(s, ["pipeline"])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,11 +152,67 @@ def test_permutation_keeps_values(spark):
 
 
 def test_effects_find_a_known_gain(spark):
-    rows = [(a, "m", b, 10.0, e * 10, 1.0, e, e) for a, e in (("base", 4.0), ("full", 1.0)) for b in range(8)]
-    sums = spark.createDataFrame(rows, "arm string, model string, block int, n double, see double, n_tail double, se_tail double, see_tail double")
+    kinds = "arm string, tag int, model string, block int, n double, see double, sy double, syy double, n_tail double, se_tail double, see_tail double, rows long"
+    errors = {("base", 0): 4.0, ("full", 0): 1.0, ("base", 1): 9.0, ("full", 1): 1.0}  # mean squares of each replicate
+    rows = [(a, t, "m", b, 10.0, e * 10, 20.0 + b, 400.0, 1.0, e, e, b) for (a, t), e in errors.items() for b in range(8)]
+    rows += [("base", 1, "half", b, 10.0, 10.0, 20.0, 400.0, 1.0, 1.0, 1.0, b) for b in range(8)]
+    rows += [("full", 1, "half", b, 10.0, 10.0, 20.0, 400.0, 1.0, 1.0, 1.0, b) for b in range(7)]  # other rows: left out
     draws = I.seeded_draws(spark, list(range(8)), 50, 1)
-    r = I.paired_effects(I.drawn_metrics(sums, draws, ["arm", "model"], "block"), "arm", ["model"], "base", "full", "rmse").first()
-    assert r["effect"] == pytest.approx(1.0) and r["ci_lo"] <= 1.0 <= r["ci_hi"]
+    m = I.drawn_metrics(spark.createDataFrame(rows, kinds), draws, ["arm", "tag", "model"], "block")
+    r = I.paired_effects(m, "arm", "tag", "model", "base", "full", "rmse").first()
+    assert r["effect"] == pytest.approx(1.5) and r["n_replicates"] == 2 and r["n_models"] == 1  # (2 - 1 and 3 - 1)
+    assert r["se_rep"] == pytest.approx(0.5) and r["ci_lo"] <= 1.5 <= r["ci_hi"]
+    one = I.paired_effects(m.filter("tag = 0"), "arm", "tag", "model", "base", "full", "bias_p90").first()
+    assert one["effect"] == pytest.approx(1.0 - 4.0) and one["se_rep"] == 0.0  # with its sign: better minus worse
+
+
+def test_verdicts_stand_against_the_effect_of_interest(spark):
+    cases = [(0.3, 0.5, 0.1, 0.2, "adds"), (0.1, 0.5, 0.1, 0.2, "inconclusive"), (-0.5, -0.3, 0.1, 0.2, "harms"),
+             (-0.2, 0.2, 0.1, 0.2, "no information"), (0.3, 0.5, None, 0.2, "indeterminate"), (0.3, 0.5, 0.1, float("nan"), "indeterminate")]
+    df = spark.createDataFrame(cases, "lo double, hi double, se double, s double, want string")
+    c = F.col
+    assert df.filter(I.verdict(c("lo"), c("hi"), c("se"), c("s")) != c("want")).count() == 0
+
+
+def test_diebold_mariano_by_hand(spark):
+    for days in (9, 40):
+        x = [1.0 + math.sin(k) for k in range(days)]
+        df = spark.createDataFrame(list(enumerate(x)), "k int, d double").withColumn("day", F.expr("date_add(DATE '2020-01-01', k)"))
+        r = I.diebold_mariano(df, "day", "d").first()
+        if days < 10:
+            assert r["dm"] is None and r["p"] is None and r["n"] == 9
+            continue
+        z = np.array(x) - np.mean(x)
+        var = z @ z / days + sum(2 * (1 - k / 6) * (z[k:] @ z[:-k]) / days for k in range(1, 6))
+        assert r["dm"] == pytest.approx(np.mean(x) / math.sqrt(var / days) * math.sqrt((days - 1) / days))
+    # table values of Student's t
+    for t, n, p in ((2.228, 10, 0.05), (1.0, 1, 0.5), (2.0, 2, 0.18350342), (0.0, 5, 1.0), (12.0, 2863, 2.2e-32)):
+        assert I.student_two_sided(t, n) == pytest.approx(p, rel=0.05)
+
+
+def test_decisions_below_the_floor_are_to_discard(spark):
+    gains = {"control": [0.1, 0.2, 0.3, 0.5], "kept": [1.0, 1.0, 1.0, -0.1], "open": [5.0, 1.0, -1.0, -1.0], "steady": [0.1, 0.1, 0.1, 0.1], "low": [-1.0] * 4}
+    rows = [(f, s, g) for f, gs in gains.items() for s, g in enumerate(gs)]
+    got = S.decision(spark.createDataFrame(rows, "f string, s int, g double"), "f", "s", "g", "control").collect()
+    assert {r["f"]: r["decision"] for r in got} == {"kept": "keep", "open": "open", "steady": "discard", "low": "discard"}
+
+
+def test_population_climatology_fits_the_days_means(spark):
+    rng = np.random.default_rng(4)
+    days = {"much": sorted(rng.choice(np.arange(1, 366), 60, replace=False)), "few": [10, 100, 200, 300], "one": [5]}
+    rows = [(k, int(d), float(rng.normal())) for k, ds in days.items() for d in ds for _ in range(int(rng.integers(1, 5)))]
+    df = spark.createDataFrame(rows, "k string, doy int, v double").withColumn("day", F.expr("date_add(DATE '2021-01-01', doy - 1)"))
+    got = {}
+    for r in X.population_climatology(df, "k", "day", "v").collect():
+        got.setdefault(r["k"], {})[r["doy"]] = r["clim"]
+    for k, n in (("much", 3), ("few", 1), ("one", 0)):
+        means = {d: np.mean([v for key, e, v in rows if key == k and e == d]) for d in days[k]}
+        design = lambda ds: np.column_stack([np.ones(len(ds))] + [f(2 * np.pi * j * np.array(ds) / 365.25) for j in range(1, n + 1) for f in (np.cos, np.sin)])  # noqa: B023, E731
+        c = np.linalg.lstsq(design(list(means)), np.array(list(means.values())), rcond=None)[0]
+        assert np.allclose(design(range(1, 367)) @ c, [got[k][d] for d in range(1, 367)])
+
+
+def test_draws_of_days(spark):
     for made in (I.moving_block_draws(spark, 30, 5, 3, 1), I.stationary_draws(spark, 30, 4.0, 3, 1)):
         assert {x["s"] for x in made.groupBy("b").agg(F.sum("c").alias("s")).collect()} == {30}
 
