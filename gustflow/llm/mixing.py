@@ -14,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise, word_count
+from .common import broadcast_if_small, columns_of, materialise, private, word_count
 
 #: Ranges of virtual time; the work of the last sort is a part of so many of the whole.
 RANGES = 4096
 #: Documents of a bucket of a source's shuffled order, about; no task sorts a whole source.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epochs: int) -> DataFrame:
@@ -67,9 +67,10 @@ def mix(
 
     size: words of the text (null: 0). copies: how often the mix holds the document (0 to ``epochs``);
     taken: copies * size. Documents are shuffled by a hash of id and text, so reruns agree; rows alike
-    in both are taken alike. A null source is a source of its own, after the others. An empty table
-    gives no rows; a table without words takes nothing of it but empty texts' copies of size 0.
-    Columns of docs with these names give way.
+    in both are taken alike. A null source is a source of its own, after the others; a null id is hashed like
+    any other. Entries that finish together are served by source, hash and round. An empty table gives no
+    rows; a table without words takes nothing of it but empty texts' copies of size 0. Columns of docs with
+    these names give way.
 
     Only (source, hash, size) is shuffled, never a text, and a hot source is cut into buckets of its
     shuffled order. What comes back to the documents is one row per source: the hash up to which each
@@ -101,26 +102,33 @@ def mix(
     chosen = materialise(
         cut.join(fillers, _same(F.col("_source"), F.col("_fs")), "left").select("_source", "source_size", "target", "_filler", *end)
     )
-    made = ("size", "source_size", "target", "copies", "taken")
-    keyed = docs.drop(*(c for c in made if c in docs.columns)).withColumns({"size": word_count(F.col(text)), "_key": key})
-    filled = F.coalesce((F.col("_key") == F.col("_filler")).cast("int"), F.lit(0))
+    own = private(docs)
+    mine = f"{own}key"
+    renamed = chosen.select(
+        F.col("_source").alias(f"{own}source"), "source_size", "target", F.col("_filler").alias(f"{own}filler"), *(F.col(c).alias(f"{own}{c}") for c in end)
+    )
+    kept = columns_of(docs, ("size", "source_size", "target", "copies", "taken"))
+    keyed = docs.select(*kept, word_count(F.col(text)).alias("size"), key.alias(mine))
+    served = sum(F.coalesce((F.col(mine) <= F.col(f"{own}{c}")).cast("int"), F.lit(0)) for c in end)
+    filled = F.coalesce((F.col(mine) == F.col(f"{own}filler")).cast("int"), F.lit(0))
     return (
-        _with_source(keyed, chosen, source, F.col("_key"), "left")
-        .withColumn("copies", (rounds(F.col("_key")) + filled).cast("int"))
+        _with_source(keyed, renamed, source, F.col(mine), "left", own)
+        .withColumn("copies", (served + filled).cast("int"))
         .withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-        .drop("_key", "_filler", *end)
+        .select(*kept, "size", "source_size", "target", "copies", "taken")
     )
 
 
-def _with_source(rows: DataFrame, sources: DataFrame, source: str, key: Column, how: str = "inner") -> DataFrame:
-    """rows with the columns of their source (``_source``): few sources are broadcast, many joined under salts."""
+def _with_source(rows: DataFrame, sources: DataFrame, source: str, key: Column, how: str = "inner", own: str = "_") -> DataFrame:
+    """rows with the columns of their source (named ``own`` and source): few sources are broadcast, many joined under salts."""
     small, few = broadcast_if_small(sources)
+    named, of, salt = f"{own}source", f"{own}of", f"{own}salt"
     if few:
-        return rows.join(small, _same(F.col(source), F.col("_source")), how).drop("_source")
+        return rows.join(small, _same(F.col(source), F.col(named)), how).drop(named)
     salts = 64
-    salted = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    of = F.pmod(key, F.lit(salts)).cast("int")
-    return rows.withColumn("_of", of).join(salted, _same(F.col(source), F.col("_source")) & (F.col("_of") == F.col("_salt")), how).drop("_source", "_of", "_salt")
+    salted = sources.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn(of, F.pmod(key, F.lit(salts)).cast("int"))
+    return dealt.join(salted, _same(F.col(source), F.col(named)) & (F.col(of) == F.col(salt)), how).drop(named, of, salt)
 
 
 def _ends(narrow: DataFrame, targets: DataFrame, share: float, epochs: int) -> DataFrame:

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -77,5 +78,29 @@ def test_near_deduplication_links_at_eighty_percent(spark):
     assert sorted(r["doc_id"] for r in kept) == [0, 2]
 
 
+def test_stages_stand_edge_cases_and_foreign_columns(spark):
+    """Nulls, empty texts, ties, repeated rows, empty tables, missing and clashing columns in every stage."""
+    body = " ".join(f"w{j}" for j in range(70))
+    rows = [(1, body, "s"), (1, body, "s"), (2, None, "s"), (3, "", None), (None, body + " x", None), (None, None, None), (4, "y " * 300, "t")]
+    rows += [(10 + k, " ".join(f"d{k}w{j}" for j in range(80)), "t") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    own = ["score", "predicted", "kept", "_words", "_host", "_hashes", "_gone", "size", "_key", "_source", "_filler", "copies", "component_id", "_own_x", "a.b`c"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for df in (docs, docs.withColumns({c: F.lit(c) for c in own}).select("`a.b``c`", "*").drop("lang").select("*")):
+            df = df.select(*dict.fromkeys("`" + c.replace("`", "``") + "`" for c in df.columns[-len(own) - 3 :]))
+            got = stage(spark, df, SF)
+            assert got.columns == df.columns, name
+            out = got.collect()
+            assert all(r[c] == c for r in out for c in df.columns if c in own), name
+            if name == "near_deduplication":
+                assert sum(r["doc_id"] == 1 for r in out) == 2 and sum(r["doc_id"] is None for r in out) == 2
+            if name == "quality_rules":
+                assert {r["doc_id"] for r in out} == {1, None, *range(10, 15)}
+        assert stage(spark, docs.filter("false"), SF).count() == 0
+    packed = corpus_pipeline.sequence_packing(spark, docs.withColumns({c: F.lit(c) for c in ("_ids", "_own_ids", "bucket")}), SF).collect()
+    assert {r["_ids"] + r["_own_ids"] for r in packed} == {"_ids_own_ids"} and sum(r["length"] for r in packed if r["doc_id"] in (2, 3)) == 2
+    assert len({r["sequence_id"] for r in packed}) == len(packed)
+
+
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
