@@ -273,9 +273,9 @@ def u01_union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@register(REGISTRY, "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@register(REGISTRY, "SELECT user_id AS station FROM events EXCEPT SELECT s_suppkey FROM supplier")
 def u04_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("station")).subtract(table(spark, sf_dir, "supplier").select("s_suppkey"))
 
 
 @register(REGISTRY, "SELECT CAST(ts AS DATE) AS day FROM events UNION SELECT CAST(o_orderdate AS DATE) FROM orders")
