@@ -13,6 +13,8 @@ Hashes have 64 bits, positions are numbers of their own, and no step costs more
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,13 +162,15 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     after = _successors(rows.select(*key, F.floor(F.col("n_chars") / 4).cast("int").alias("_cut")).distinct(), key)
     # the first of some equal rows is followed by the next document, any other one by its like
     asked = materialise(
-        after.select(*(F.col(f"_to.{k}").alias(k) for k in key), F.lit(1).alias("_copy"), "_cut", F.struct(*key).alias("_by"))
+        after.select(*(F.col(f"_to.{k}").alias(k) for k in key), F.lit(1).alias("_given"), "_cut", F.struct(*key).alias("_by"))
     )
     # both sides of the join below read one exchange of this
     keyed = rows.select(*key, "text", "n_chars", fingerprint(F.col("text")).alias("bins")).withColumn(
         "_copy", F.row_number().over(Window.partitionBy(*key).orderBy("n_chars"))
     )
-    given = keyed.join(asked, [*key, "_copy"]).select(
+    one = asked.select(*(F.col(k).alias(f"_of{k}") for k in key), "_given", "_cut", "_by")
+    met = reduce(Column.__and__, (F.col(k) == F.col(f"_of{k}") for k in key))
+    given = keyed.join(one, met & (F.col("_copy") <= F.col("_given"))).select(
         *(F.col(f"_by.{k}").alias(k) for k in key),
         F.lit(1).alias("_copy"),
         F.substring("text", F.lit(1), F.col("_cut")).alias("_begin"),
