@@ -1,28 +1,41 @@
 """Points, polygons and grids: containment, nearest and bilinear lookup, inverse-distance weighting.
 
-Reference sets (polygons, stations, centroids) are small and their size is checked: they travel as one
-broadcast array, and each row looks through it, so no pair of rows is ever made. Grids are joined by
-their node's coordinates, an equality, whatever their size.
+A reference set (polygons, stations, centroids) whose size is checked and small travels as one broadcast
+array that each row looks through. Larger ones meet the points by equality of grid cells, at the level
+of a quadtree that suits the place, with the same results. Grids are joined by their node's coordinates.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import direction_from_vector, vector_from_direction
 
-#: Rows that a reference set may have to be sent to every task as one array.
-REFERENCE_ROWS = 50_000
+#: Rows of a reference set that is sent to every task as one array; larger sets are joined by cells.
+REFERENCE_ROWS = 2_000
+
+#: Levels that halve the cells, at most: beyond it cells are smaller than a millimetre on the globe.
+DEEPEST = 36
+
 
+def is_small(df: DataFrame, limit: int) -> bool:
+    return df.limit(limit + 1).count() <= limit
 
-def as_array(df: DataFrame, out: str, limit: int = REFERENCE_ROWS) -> DataFrame:
-    """One row with all rows of a small table as an array of structs; ValueError if it has more than ``limit``."""
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"a reference set of more than {limit} rows needs a join by grid cells instead")
+
+def as_array(df: DataFrame, out: str) -> DataFrame:
+    """One row with all rows of a small table as a sorted array of structs; check its size first."""
     return df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(out))
 
 
+def cell(value: Column, origin: float, size: float, level: Column) -> Column:
+    """Index of the cell of a level; a cell of level n + 1 is half as wide as one of level n."""
+    return F.floor((value - origin) / (F.lit(size) / F.pow(F.lit(2.0), level))).cast("long")
+
+
 def inside_ring(x: Column, y: Column, ring: Column) -> Column:
     """Whether (x, y) lies inside a closed ring of (x, y) structs, by ray casting; points on an edge are outside."""
     edges = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("p"), F.slice(ring, 2, F.size(ring) - 1).alias("q"))
@@ -37,15 +50,44 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
     return (F.size(F.filter(edges, crosses)) % 2 == 1) & ~F.exists(edges, on_edge)
 
 
-def assign_polygon(points: DataFrame, polygons: DataFrame, x: str, y: str, out: str = "cluster", none: int = -1) -> DataFrame:
-    """points with the id of the first polygon (id, ring) that a point lies within, -1 for none."""
-    held = as_array(polygons.select(F.col("id"), F.col("ring")), "_polygons")
-    found = F.filter("_polygons", lambda p: inside_ring(F.col(x), F.col(y), p["ring"]))
+def assign_polygon(points: DataFrame, polygons: DataFrame, x: str, y: str, out: str = "cluster", none: int = -1, limit: int = REFERENCE_ROWS) -> DataFrame:
+    """points with the least id of the polygons (id, ring) that a point lies within, -1 for none.
+
+    Beyond ``limit`` polygons, each is posted in the cells, four at most, that its bounding box touches at
+    the level whose cells are as wide as the box, and a place looks into one cell of each level in use.
+    """
+    if is_small(polygons, limit):
+        held = as_array(polygons.select("id", "ring"), "_polygons")
+        found = F.filter("_polygons", lambda p: inside_ring(F.col(x), F.col(y), p["ring"]))
+        return (
+            points.crossJoin(F.broadcast(held))  # one row
+            .withColumn(out, F.coalesce(F.get(found, F.lit(0))["id"], F.lit(none)))
+            .drop("_polygons")
+        )
+    edge = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    boxed = polygons.select(
+        "id", "ring", edge(F.array_min, "x").alias("_x0"), edge(F.array_max, "x").alias("_x1"), edge(F.array_min, "y").alias("_y0"), edge(F.array_max, "y").alias("_y1")
+    )
+    box = boxed.agg(*(f(c).alias(c) for c, f in (("_x0", F.min), ("_x1", F.max), ("_y0", F.min), ("_y1", F.max)))).first()
+    size = max(box["_x1"] - box["_x0"], box["_y1"] - box["_y0"]) or 1.0
+    wide = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(size * 2.0**-DEEPEST))
+    level = F.floor(F.log2(F.lit(size) / wide)).cast("int")
+    across = lambda low, high, origin: F.explode(F.sequence(cell(F.col(low), origin, size, F.col("_l")), cell(F.col(high), origin, size, F.col("_l"))))
+    posted = (
+        boxed.withColumn("_l", level)
+        .withColumn("_i", across("_x0", "_x1", box["_x0"]))
+        .withColumn("_j", across("_y0", "_y1", box["_y0"]))
+        .select("_l", "_i", "_j", "id", "ring")
+    )
+    levels = as_array(posted.select("_l").distinct(), "_levels")  # DEEPEST + 1 rows at most
+    places = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
+    looking = places.crossJoin(F.broadcast(levels)).select("_x", "_y", F.explode("_levels._l").alias("_l"))
+    met = looking.withColumns({"_i": cell(F.col("_x"), box["_x0"], size, F.col("_l")), "_j": cell(F.col("_y"), box["_y0"], size, F.col("_l"))}).join(posted, ["_l", "_i", "_j"])
+    first = met.filter(inside_ring(F.col("_x"), F.col("_y"), F.col("ring"))).groupBy("_x", "_y").agg(F.min("id").alias("_in"))
     return (
-        points.crossJoin(F.broadcast(held))  # one row
-        .withColumn("_in", found)
-        .withColumn(out, F.coalesce(F.get("_in", F.lit(0))["id"], F.lit(none)))
-        .drop("_in", "_polygons")
+        points.join(first, (points[x] == first["_x"]) & (points[y] == first["_y"]), "left")
+        .withColumn(out, F.coalesce("_in", F.lit(none)))
+        .drop("_x", "_y", "_in")
     )
 
 
@@ -88,14 +130,74 @@ def bilinear_values(points: DataFrame, grid: DataFrame, key: str, lat: tuple[flo
     )
 
 
-def k_nearest(points: DataFrame, stations: DataFrame, k: int, out: str = "near") -> DataFrame:
-    """points (lat, lon) with the k nearest stations (id, lat, lon), as structs (d, id), d in degrees, ties by id."""
-    held = as_array(stations.select("id", "lat", "lon"), "_stations")
-    away = F.transform(
-        "_stations",
-        lambda s: F.struct(F.sqrt(F.pow(s["lat"] - F.col("lat"), 2) + F.pow(s["lon"] - F.col("lon"), 2)).alias("d"), s["id"].alias("id")),
-    )
-    return points.crossJoin(F.broadcast(held)).withColumn(out, F.slice(F.sort_array(away), 1, k)).drop("_stations")  # one row
+def away(lat: Column, lon: Column) -> Column:
+    """Distance in degrees from a place (_lat, _lon)."""
+    return F.sqrt(F.pow(lat - F.col("_lat"), 2) + F.pow(lon - F.col("_lon"), 2))
+
+
+def k_nearest(points: DataFrame, stations: DataFrame, k: int, out: str = "near", by: Sequence[str] = (), limit: int = REFERENCE_ROWS) -> DataFrame:
+    """points (lat, lon) with the k nearest stations (id, lat, lon) as structs (d, id): d in degrees, ties by id.
+
+    With ``by``, columns of both tables, stations count for points of the same values only (null equals
+    nothing). Stations without coordinates count nowhere; points without them, or that no station is there
+    for, get an empty list. Places that several points share are looked up once.
+    """
+    by = list(by)
+    known = stations.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(*by, "id", "lat", "lon").distinct()
+    # of stations at one place, k can be among the k nearest
+    one_place = Window.partitionBy(*by, "lat", "lon").orderBy("id")
+    known = known.withColumn("_r", F.row_number().over(one_place)).filter(F.col("_r") <= k).drop("_r")
+    places = points.select(*by, F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).dropna(subset=["_lat", "_lon"]).distinct()
+    if not by and is_small(known, limit):
+        held = as_array(known, "_stations")
+        every = F.transform("_stations", lambda s: F.struct(away(s["lat"], s["lon"]).alias("d"), s["id"].alias("id")))
+        found = places.crossJoin(F.broadcast(held)).select("_lat", "_lon", F.slice(F.sort_array(every), 1, k).alias(out))  # one row
+    else:
+        found = nearest_by_cells(places, known, k, by, out)
+    found = found.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = [points[c] == found[f"_by_{c}"] for c in by]
+    joined = points.join(found, [*same, points["lat"] == found["_lat"], points["lon"] == found["_lon"]], "left")
+    others = [points[c] for c in points.columns if c != out]
+    return joined.select(*others, F.coalesce(found[out], F.array().cast(found.schema[out].dataType)).alias(out))
+
+
+def nearest_by_cells(places: DataFrame, stations: DataFrame, k: int, by: list[str], out: str) -> DataFrame:
+    """by, _lat, _lon and the k nearest stations of each place, by equality of cells alone.
+
+    A place takes the deepest level at which its cell and the eight around it hold k stations. The k-th is
+    then less than three cells away, so the seven by seven cells around it hold all that can count. Where
+    the stations are fewer than k, the one cell of level 0 holds them all.
+    """
+    ends = lambda df, lat, lon: df.agg(*(f(c).alias(n) for n, f, c in (("a", F.min, lat), ("b", F.max, lat), ("c", F.min, lon), ("d", F.max, lon))), F.count("*").alias("n")).first()
+    s, p = ends(stations, "lat", "lon"), ends(places, "_lat", "_lon")
+    nothing = F.array().cast("array<struct<d: double, id: %s>>" % stations.schema["id"].dataType.simpleString())
+    if not s["n"] or not p["n"]:
+        return places.select(*by, "_lat", "_lon", nothing.alias(out))
+    lat0, lon0 = min(s["a"], p["a"]), min(s["c"], p["c"])
+    size = max(max(s["b"], p["b"]) - lat0, max(s["d"], p["d"]) - lon0) * 1.001 or 1.0
+    inner = max(s["b"] - s["a"], s["d"] - s["c"]) or size
+    deepest = min(DEEPEST, max(0, math.ceil(math.log2(size / inner))) + max(0, math.ceil(math.log2(s["n"] / k) / 2)) + 2)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(deepest)))
+    placed = lambda df, lat, lon: df.withColumn("_l", levels).withColumns({"_i": cell(F.col(lat), lat0, size, F.col("_l")), "_j": cell(F.col(lon), lon0, size, F.col("_l"))})
+    at = [*by, "_l", "_i", "_j"]
+
+    def around(df: DataFrame, rings: int) -> DataFrame:
+        """df once for each cell within so many rings of its own; _i and _j are that cell's."""
+        step = F.sequence(F.lit(-rings), F.lit(rings))
+        return df.withColumn("_di", F.explode(step)).withColumn("_dj", F.explode(step)).withColumns({"_i": F.col("_i") + F.col("_di"), "_j": F.col("_j") + F.col("_dj")}).drop("_di", "_dj")
+
+    posted = placed(stations, "lat", "lon")
+    counts = posted.groupBy(*at).agg(F.count("*").alias("_n"))
+    filled = around(counts, 1).groupBy(*at).agg(F.sum("_n").alias("_n")).filter((F.col("_n") >= k) | (F.col("_l") == 0)).drop("_n")
+    seen = placed(places, "_lat", "_lon")
+    own = seen.join(filled, at, "left_semi").groupBy(*by, "_lat", "_lon").agg(F.max(F.struct("_l", "_i", "_j")).alias("_c"))
+    own = own.select(*by, "_lat", "_lon", "_c._l", F.col("_c._i").alias("_ci"), F.col("_c._j").alias("_cj"))
+    wanted = around(own.select(*by, "_l", "_ci", "_cj").distinct().withColumns({"_i": F.col("_ci"), "_j": F.col("_cj")}), 3)
+    candidates = wanted.join(posted, at).select(*by, "_l", "_ci", "_cj", "id", "lat", "lon")
+    met = own.join(candidates, [*by, "_l", "_ci", "_cj"]).select(*by, "_lat", "_lon", away(F.col("lat"), F.col("lon")).alias("d"), "id")
+    first = Window.partitionBy(*by, "_lat", "_lon").orderBy("d", "id")
+    best = met.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k)
+    return best.groupBy(*by, "_lat", "_lon").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias(out))
 
 
 def idw_weights(near: DataFrame, key: str, power: float = 2.0, column: str = "near") -> DataFrame:
@@ -115,26 +217,19 @@ def idw(weights: DataFrame, values: DataFrame, key: str, day: str, value: str) -
 
 
 def idw_valid_only(points: DataFrame, values: DataFrame, stations: DataFrame, key: str, day: str, value: str, k: int = 8, power: float = 2.0) -> DataFrame:
-    """key, day, value: as idw, but the k nearest are chosen each day among stations with a value."""
-    daily = (
-        values.filter(F.col(value).isNotNull())
-        .join(stations, "id")
-        .groupBy(day)
-        .agg(F.collect_list(F.struct("id", "lat", "lon", F.col(value).alias("v"))).alias("_s"))
-    )
-    away = F.transform(
-        "_s",
-        lambda s: F.struct(
-            F.sqrt(F.pow(s["lat"] - F.col("lat"), 2) + F.pow(s["lon"] - F.col("lon"), 2)).alias("d"), s["id"].alias("id"), s["v"].alias("v")
-        ),
-    )
-    w = lambda s: 1 / F.pow(F.greatest(s["d"], F.lit(1e-10)), power)
-    total = lambda f: F.aggregate("_n", F.lit(0.0), lambda acc, s: acc + f(s))
-    return (
-        daily.join(points.select(key, "lat", "lon"))
-        .withColumn("_n", F.slice(F.sort_array(away), 1, k))
-        .select(key, day, (total(lambda s: w(s) * s["v"]) / total(w)).alias(value))
-    )
+    """key, day, value: as idw, but the k nearest are chosen each day among stations with a value.
+
+    Every day that has a value meets every place once, as the result holds both; stations are found by cells.
+    """
+    known = values.filter(F.col(value).isNotNull()).select("id", day, value)
+    here = known.join(stations.select("id", "lat", "lon"), "id")
+    days = here.select(day).distinct()
+    places = points.select("lat", "lon").dropna().distinct().crossJoin(F.broadcast(days) if is_small(days, 100_000) else days)
+    near = k_nearest(places, here.select(day, "id", "lat", "lon"), k, "_n", by=[day])
+    w = (1 / F.pow(F.greatest(F.col("_m.d"), F.lit(1e-10)), power)).alias("_w")
+    spread = near.select(day, "lat", "lon", F.explode("_n").alias("_m")).select(day, "lat", "lon", F.col("_m.id").alias("id"), w)
+    mean = (F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(value)
+    return spread.join(known, ["id", day]).groupBy(day, "lat", "lon").agg(mean).join(points.select(key, "lat", "lon"), ["lat", "lon"]).select(key, day, value)
 
 
 def idw_direction(weights: DataFrame, values: DataFrame, key: str, day: str, degrees: str) -> DataFrame:

@@ -34,12 +34,14 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("id"), (-20.0 - (k % 13) / 3.0).alias("lat"), (-48.0 + (k % 17) / 3.0).alias("lon"), F.col("s_nationkey").alias("cluster"))
 
 
-def station_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.to_date("l_shipdate")
-    return table(spark, sf_dir, "lineitem").filter(F.year("l_shipdate") == 1997).groupBy(F.col("l_suppkey").alias("id"), day.alias("day")).agg(F.max("l_quantity").alias("v"))
+def station_days(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """id, day, v: the greatest quantity of a station's lines (null: none fits); a month's first day stands for it."""
+    fits = F.when(F.expr(where), F.col("l_quantity"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id"), F.trunc("l_shipdate", "month").alias("day")).agg(F.max(fits).alias("v"))
 
 
-_DAYS = "days AS (SELECT l_suppkey AS id, CAST(l_shipdate AS DATE) AS day, max(l_quantity) AS v FROM lineitem WHERE year(l_shipdate) = 1997 GROUP BY 1, 2)"
+_DAYS = "days AS (SELECT l_suppkey AS id, CAST(date_trunc('month', l_shipdate) AS DATE) AS day, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+_FLAGGED = "l_returnflag = 'R' AND l_linenumber = 1"
 
 
 @register(REGISTRY, f"WITH {_POINTS} SELECT id, CASE WHEN lon > -47.0 AND lon < -45.0 AND lat > -22.0 AND lat < -21.0 THEN 1 WHEN lon > -45.0 AND lon < -44.0 AND lat > -24.0 AND lat < -22.0 THEN 2 ELSE -1 END AS cluster FROM points")
@@ -74,11 +76,11 @@ def j14_neighbour_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAR = """near AS (SELECT p.id AS point, s.id, sqrt((s.lat - p.lat) ** 2 + (s.lon - p.lon) ** 2) AS d, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((s.lat - p.lat) ** 2 + (s.lon - p.lon) ** 2), s.id) AS k
- FROM points p CROSS JOIN stations s WHERE p.id <= 300)"""
+ FROM points p CROSS JOIN stations s)"""
 
 
 def _weights(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    p = points(spark, sf_dir).filter("id <= 300").withColumnRenamed("id", "point")
+    p = points(spark, sf_dir).withColumnRenamed("id", "point")
     return G.idw_weights(G.k_nearest(p, stations(spark, sf_dir), k), "point")
 
 
@@ -92,11 +94,13 @@ def x16_idw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.idw(_weights(spark, sf_dir), station_days(spark, sf_dir), "point", "day", "v"), "v", places=5)
 
 
-@register(REGISTRY, f"""WITH {_POINTS}, {_STATIONS}, {_DAYS}, n AS (SELECT p.id AS point, day, v, sqrt((s.lat - p.lat) ** 2 + (s.lon - p.lon) ** 2) AS d, row_number() OVER (PARTITION BY p.id, day ORDER BY sqrt((s.lat - p.lat) ** 2 + (s.lon - p.lon) ** 2), s.id) AS k
- FROM points p CROSS JOIN days t JOIN stations s ON s.id = t.id WHERE p.id <= 40) SELECT point, day, round(sum(v / greatest(d, 1e-10) ** 2) / sum(1 / greatest(d, 1e-10) ** 2), 5) AS v FROM n WHERE k <= 4 GROUP BY 1, 2""")
+@register(REGISTRY, f"""WITH {_POINTS}, {_STATIONS}, days AS (SELECT l_suppkey AS id, CAST(date_trunc('month', l_shipdate) AS DATE) AS day, max(l_quantity) AS v FROM lineitem WHERE {_FLAGGED} GROUP BY 1, 2),
+ n AS (SELECT p.id AS point, day, v, sqrt((s.lat - p.lat) ** 2 + (s.lon - p.lon) ** 2) AS d, row_number() OVER (PARTITION BY p.id, day ORDER BY sqrt((s.lat - p.lat) ** 2 + (s.lon - p.lon) ** 2), s.id) AS k
+ FROM points p CROSS JOIN days t JOIN stations s ON s.id = t.id) SELECT point, day, round(sum(v / greatest(d, 1e-10) ** 2) / sum(1 / greatest(d, 1e-10) ** 2), 5) AS v FROM n WHERE k <= 4 GROUP BY 1, 2""")
 def x17_idw_valid_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir).filter("id <= 40").withColumnRenamed("id", "point")
-    return rounded(G.idw_valid_only(p, station_days(spark, sf_dir), stations(spark, sf_dir).drop("cluster"), "point", "day", "v", 4), "v", places=5)
+    p = points(spark, sf_dir).withColumnRenamed("id", "point")
+    flagged = station_days(spark, sf_dir, _FLAGGED)
+    return rounded(G.idw_valid_only(p, flagged, stations(spark, sf_dir).drop("cluster"), "point", "day", "v", 4), "v", places=5)
 
 
 @register(REGISTRY, f"""WITH {_POINTS}, {_STATIONS}, {_NEAR}, {_DAYS}, m AS (SELECT point, day, sum(-sin(radians(v * 7)) / greatest(d, 1e-10) ** 2) / sum(1 / greatest(d, 1e-10) ** 2) AS u, sum(-cos(radians(v * 7)) / greatest(d, 1e-10) ** 2) / sum(1 / greatest(d, 1e-10) ** 2) AS w

@@ -95,8 +95,62 @@ def test_polygons_leave_out_their_edges(spark):
     polygons = spark.createDataFrame([(7, ring)], "id int, ring array<struct<x: double, y: double>>")
     pts = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (3.0, 3.0)], "x double, y double")
     assert [r["cluster"] for r in G.assign_polygon(pts, polygons, "x", "y").orderBy("x").collect()] == [7, -1, -1]
-    with pytest.raises(ValueError):
-        G.as_array(pts, "a", limit=2)
+
+
+def test_polygons_by_cells_are_those_by_array(spark):
+    rng = np.random.default_rng(3)
+    shapes = []
+    for n in range(60):
+        (x, y), w = rng.uniform(-50, 50, 2), 10 ** rng.uniform(-3, 1.5)
+        corners = [(x, y), (x + w, y), (x + w, y + w / 3), (x + w / 2, y + w), (x, y + w / 2), (x, y)]
+        shapes.append((n, [(float(a), float(b)) for a, b in corners]))
+    polygons = spark.createDataFrame(shapes, "id int, ring array<struct<x: double, y: double>>")
+    at = [(n, float(a), float(b)) for n, (a, b) in enumerate(rng.uniform(-60, 60, (400, 2)))] + [(1000, None, 1.0), (1001, -999.0, 0.0)]
+    at += [(2000 + n, ring[0][0] + 1e-4, ring[0][1] + 1e-4) for n, ring in shapes] * 2
+    pts = spark.createDataFrame(at, "n int, x double, y double")
+    found = [sorted(map(tuple, G.assign_polygon(pts, polygons, "x", "y", limit=limit).select("n", "cluster").collect())) for limit in (100, 0)]
+    assert found[0] == found[1] and len(found[0]) == len(at) and len(set(found[0])) > 60
+    assert [r["cluster"] for r in G.assign_polygon(pts.limit(2), polygons.filter("false"), "x", "y").collect()] == [-1, -1]
+
+
+def nearest_of(place, stations, k):
+    return sorted((math.sqrt((s[1] - place[0]) ** 2 + (s[2] - place[1]) ** 2), s[0]) for s in stations if None not in s)[:k]
+
+
+def test_k_nearest_by_cells_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(5)
+    city = [(n, 10 + float(a) * 1e-4, 10 + float(b) * 1e-4) for n, (a, b) in enumerate(rng.uniform(0, 1, (150, 2)))]
+    land = [(200 + n, float(a), float(b)) for n, (a, b) in enumerate(rng.uniform(-40, 40, (50, 2)))]
+    copies = [(300 + n, 1.5, 2.5) for n in range(40)] + [(400, None, 1.0), (300, 1.5, 2.5)]
+    held = city + land + copies
+    places = [(float(a), float(b)) for a, b in rng.uniform(-60, 60, (60, 2))] + [(10.00005, 10.00005), (1.5, 2.5), (1.5, 2.5), (10.0, 10.4), (4000.0, -900.0)]
+    pts = spark.createDataFrame([(n, *p) for n, p in enumerate(places)] + [(999, None, 0.0)], "n int, lat double, lon double")
+    stations = spark.createDataFrame(held, "id int, lat double, lon double")
+    for k, limit in ((1, 0), (7, 0), (7, 1000), (500, 0)):
+        found = {r["n"]: [(round(s["d"], 9), s["id"]) for s in r["near"]] for r in G.k_nearest(pts, stations, k, limit=limit).collect()}
+        assert found.pop(999) == []
+        assert found == {n: [(round(d, 9), s) for d, s in nearest_of(p, set(held), k)] for n, p in enumerate(places)}
+    for limit in (0, 1000):
+        assert [r["near"] for r in G.k_nearest(pts.limit(2), stations.filter("false"), 2, limit=limit).collect()] == [[], []]
+
+
+def test_idw_of_valid_stations_is_that_of_brute_force(spark):
+    rng = np.random.default_rng(6)
+    held = [(n, float(a), float(b)) for n, (a, b) in enumerate(rng.uniform(0, 5, (30, 2)))]
+    values = [(s[0], day(d), float(rng.uniform(0, 9)) if rng.uniform() < 0.4 else None) for s in held for d in range(3)]
+    places = [(1, 0.5, 0.5), (2, 4.0, 1.0), (3, held[0][1], held[0][2]), (4, 0.5, 0.5)]
+    got = G.idw_valid_only(
+        spark.createDataFrame(places, "p int, lat double, lon double"),
+        spark.createDataFrame(values, "id int, day date, v double"),
+        spark.createDataFrame(held, "id int, lat double, lon double"), "p", "day", "v", 4,
+    )
+    wanted = {}
+    for p, *at in places:
+        for d in range(3):
+            v = {i: x for i, when, x in values if when == day(d) and x is not None}
+            near = [(1 / max(away, 1e-10) ** 2, v[i]) for away, i in nearest_of(at, [s for s in held if s[0] in v], 4)]
+            wanted[p, day(d)] = round(sum(w * x for w, x in near) / sum(w for w, _ in near), 9)
+    assert {(r["p"], r["day"]): round(r["v"], 9) for r in got.collect()} == wanted
 
 
 def test_idw_directions_cross_north(spark):
