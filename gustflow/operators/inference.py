@@ -134,6 +134,18 @@ def paired_interval(metrics: DataFrame, arm: str, units: Sequence[str], worse: s
     )
 
 
+def ranked_intervals(metrics: DataFrame, by: Sequence[str], metric: str, level: float = 0.95) -> DataFrame:
+    """by, metric, ci_lo, ci_hi, rank: draw 0, a percentile interval over the others, the place from the least error.
+
+    There is a row for each predictor (groups alone, noise, the raw proxy), so its window stays small.
+    """
+    drawn = F.when(F.col("b") > 0, F.col(metric))
+    each = metrics.groupBy(*by).agg(
+        F.max(F.when(F.col("b") == 0, F.col(metric))).alias("_v"), F.percentile(drawn, F.lit((1 - level) / 2)).alias("ci_lo"), F.percentile(drawn, F.lit((1 + level) / 2)).alias("ci_hi")
+    )
+    return each.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("_v"), *by))).withColumnRenamed("_v", metric)
+
+
 @F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p of a normal z; null stays null. For tables of effects, which are small."""

@@ -68,20 +68,51 @@ def ablation_importance(df: DataFrame, predict, features: Sequence[str], y: str)
     return wide.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("delta_rmse")) for f in features))).alias("_x")).select("_x.*")
 
 
-def permutation_importance(df: DataFrame, predict, blocks: dict[str, Sequence[str]], keys: Sequence[str], y: str, repeats: int = 3, seed: int = 0) -> DataFrame:
-    """block, repeat, delta_rmse when the block's columns come from other rows (one permutation for all)."""
-    from .relations import permuted
+def permutation_importance(
+    df: DataFrame, predict, blocks: dict[str, Sequence[str]], keys: Sequence[str], y: str, repeats: int = 3, seed: int = 0, by: Sequence[str] = (), q: float = 0.9
+) -> DataFrame:
+    """by, block, repeat, delta_rmse, delta_rmse_p90 when the block's columns come from other rows.
+
+    One permutation of all rows in each repeat gives every row its partner; each block then takes the partner's
+    values of its columns only, and all blocks are scored in one aggregation. The tail is y at least its quantile.
+    """
+    from .relations import with_partner
 
     features = list(dict.fromkeys(c for b in blocks.values() for c in b))
-    error = lambda p: F.sqrt(F.avg((p - F.col(y)) * (p - F.col(y))))
-    p = predict({c: F.col(c) for c in features})
-    base = df.agg(error(p).alias("_base"))
+    cut = df.agg(F.percentile(y, F.lit(q)).alias("_cut"))
+    rows = df.crossJoin(F.broadcast(cut))  # one row
+    tail = F.col(y) >= F.col("_cut")
+
+    def errors(swapped: Sequence[str]) -> tuple[Column, Column]:
+        p = predict({c: F.col(f"_o.{c}") if c in swapped else F.col(c) for c in features})
+        e2 = (p - F.col(y)) * (p - F.col(y))
+        return F.sqrt(F.avg(e2)), F.sqrt(F.avg(F.when(tail, e2)))
+
+    base = errors(())
     out = None
-    for name, columns in blocks.items():
-        for r in range(repeats):
-            part = permuted(df, keys, columns, seed + 2 * r).agg(error(p).alias("_e")).crossJoin(base)  # one row each
-            part = part.select(F.lit(name).alias("block"), F.lit(r).alias("repeat"), (F.col("_e") - F.col("_base")).alias("delta_rmse"))
-            out = part if out is None else out.unionByName(part)
+    for r in range(repeats):
+        scores = []
+        for name, columns in blocks.items():
+            whole, high = errors(columns)
+            scores.append(F.struct(F.lit(name).alias("block"), (whole - base[0]).alias("delta_rmse"), (high - base[1]).alias("delta_rmse_p90")))
+        summed = with_partner(rows, keys, features, seed + r, "_o").groupBy(*by).agg(F.array(*scores).alias("_s"))
+        part = summed.select(*by, F.explode("_s").alias("_s")).select(*by, "_s.block", F.lit(r).alias("repeat"), "_s.delta_rmse", "_s.delta_rmse_p90")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def hour_bands(variables: dict[str, Sequence[str]], width: int = 4) -> dict[str, list[str]]:
+    """Blocks "name 04-07h" of the columns <name>_h<hour>; ValueError unless width divides 24.
+
+    Variables without all 24 hours have no daily cycle and are left out.
+    """
+    if 24 % width:
+        raise ValueError(f"a band of {width} hours does not divide the day")
+    out = {}
+    for name, columns in variables.items():
+        at = {int(c.rsplit("_h", 1)[1]): c for c in columns if c.rsplit("_h", 1)[-1].isdigit()}
+        if len(at) == 24:
+            out |= {f"{name} {h:02d}-{h + width - 1:02d}h": [at[k] for k in range(h, h + width)] for h in range(0, 24, width)}
     return out
 
 

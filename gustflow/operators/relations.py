@@ -35,12 +35,21 @@ def override_on_common(first: DataFrame, second: DataFrame, on: Sequence[str], c
     return combine_first(keep(first), keep(second), on, columns)
 
 
-def fetched_rows(rows: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The rows of the keys; ValueError if a key has none or several."""
-    found = rows.join(keys.select(*on), list(on))
-    if found.count() != keys.count() or not repeated_keys(found, on).isEmpty():
-        raise ValueError("some keys have no row, or more than one")
-    return found
+def fetched_rows(rows: DataFrame, keys: DataFrame, on: Sequence[str], missing: str = "error") -> DataFrame:
+    """The rows of the keys. A key without a row fails, or with ``missing="null"`` has nulls; one with several fails.
+
+    The checks are part of the plan: they run with it, and rows are read once.
+    """
+    if missing not in ("error", "null"):
+        raise ValueError("missing is error or null")
+    on = list(on)
+    found = keys.select(*on).distinct().join(rows.withColumn("_there", F.lit(True)), on, "left")
+    many = F.count("*").over(Window.partitionBy(*on)) > 1
+    wrong = F.when(many, F.raise_error("a key has more than one row").cast("boolean"))
+    if missing == "error":
+        wrong = wrong.when(F.col("_there").isNull(), F.raise_error("a key has no row").cast("boolean"))
+    checked = found.withColumn("_wrong", F.coalesce(wrong, F.lit(False)))
+    return checked.filter(~F.col("_wrong")).select(*(c for c in rows.columns))
 
 
 def sequences_at(rows: DataFrame, keys: DataFrame, station: str, ts: str, value: str, hours: int) -> DataFrame:
@@ -128,15 +137,64 @@ def noise_columns(df: DataFrame, order: Sequence[str], seed: int, out: str = "no
     return df.withColumn(out, F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(2)))
 
 
-def permuted(df: DataFrame, keys: Sequence[str], columns: Sequence[str], seed: int, places: int = 64) -> DataFrame:
-    """df with the columns of another row in each row: one permutation for all of them.
+#: Buckets that numbered rows are counted in: as many as the one row of offsets can hold.
+BUCKETS = 1 << 14
+
+
+def numbered(df: DataFrame, order: Column, ties: Sequence[str], out: str) -> DataFrame:
+    """df with the place, from 0, of each row in the order of a hash.
+
+    Rows are numbered within the hash's leading bits; what lies before each bucket comes from its counts, a
+    table of ``BUCKETS`` rows at most, so that no sort goes over all rows.
+    """
+    low = F.shiftrightunsigned(order, 64 - BUCKETS.bit_length() + 1)
+    rows = df.withColumn("_h", order).withColumn("_k", low)
+    before = F.sum("_n").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy("_k").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_k", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_k").orderBy("_h", *ties)) - 1
+    return rows.withColumn("_at", place).join(F.broadcast(offsets), "_k").withColumn(out, F.col("_before") + F.col("_at")).drop("_h", "_k", "_at", "_before")
+
+
+def with_partner(df: DataFrame, keys: Sequence[str], columns: Sequence[str], seed: int, out: str = "partner") -> DataFrame:
+    """df with a struct of the columns of another row: one permutation of the whole table, by hashes of the keys.
+
+    Rows are placed in two hash orders and meet by place, so every row is the partner of exactly one.
+    """
+    first = numbered(df, F.xxhash64(*keys, F.lit(seed)), keys, "_place")
+    second = numbered(df.select(*dict.fromkeys([*keys, *columns])), F.xxhash64(*keys, F.lit(seed), F.lit("partner")), keys, "_place")
+    return first.join(second.select("_place", F.struct(*columns).alias(out)), "_place").drop("_place")
+
+
+def permuted(df: DataFrame, keys: Sequence[str], columns: Sequence[str], seed: int) -> DataFrame:
+    """df with the columns of another row in each row: one permutation of the table for all of them."""
+    return with_partner(df, keys, columns, seed, "_o").withColumns({c: F.col(f"_o.{c}") for c in columns}).drop("_o")
+
+
+def overlap(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """key, in_first, in_second of the keys that two selections hold."""
+    side = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    both = side(first, "in_first").join(side(second, "in_second"), key, "full_outer")
+    return both.select(key, *(F.coalesce(c, F.lit(False)).alias(c) for c in ("in_first", "in_second")))
+
+
+def snapped(df: DataFrame, axis: str, reference: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """df with the axis set to the reference axis' value at most ``tolerance`` away (the nearest one).
 
-    Rows are dealt by hash to groups and each takes the columns of the one after it, in the order of
-    another hash, so no sort goes over all rows.
+    Whoever reads the axis of a row that has none gets an error when the plan runs. Reference values are posted in their own cell of that
+    width and its neighbours, so the join is an equality. Nulls have none.
     """
-    deal = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(places))
-    w = Window.partitionBy("_g").orderBy(F.xxhash64(*keys, F.lit(seed + 1)), *keys)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = df.withColumn("_g", deal).withColumn("_s", F.struct(*columns))
-    other = rows.withColumn("_o", F.coalesce(F.lead("_s").over(w), F.first("_s").over(whole)))
-    return other.withColumns({c: F.col(f"_o.{c}") for c in columns}).drop("_g", "_s", "_o")
+    at = lambda c: F.floor(F.col(c) / tolerance)
+    posted = reference.select(F.col(axis).alias("_r")).distinct().withColumn("_c", F.explode(F.sequence(at("_r") - 1, at("_r") + 1)))
+    values = df.select(F.col(axis).alias("_v")).distinct().withColumn("_c", at("_v"))
+    far = F.abs(F.col("_v") - F.col("_r"))
+    near = values.join(posted, "_c").filter(far <= tolerance).groupBy("_v").agg(F.min_by("_r", F.struct(far, "_r")).alias("_r"))
+    message = F.concat(F.lit(f"{axis} is not on the reference grid: "), F.coalesce(F.col(axis).cast("string"), F.lit("null")))
+    joined = df.join(near, df[axis] == near["_v"], "left")
+    return joined.withColumn(axis, F.coalesce("_r", F.raise_error(message).cast("double"))).drop("_v", "_r")
+
+
+def masked(df: DataFrame, mask: DataFrame, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """df with the columns null where the mask (on, inside) is not true."""
+    held = mask.filter("inside").select(*on).distinct().withColumn("_in", F.lit(True))
+    return df.join(held, list(on), "left").withColumns({c: F.when(F.col("_in"), F.col(c)) for c in columns}).drop("_in")

@@ -51,6 +51,34 @@ def champion(df: DataFrame, by: Sequence[str], slack: float = 0.05) -> DataFrame
     return winners(close, by, "rmse_p90", ["model"])
 
 
+#: Rules that champion_rules compares.
+CHAMPION_RULES = ("r2", "rmse_p90", "r2_slack_then_rmse_p90")
+
+
+def champion_rules(scores: DataFrame, by: Sequence[str], slack: float = 0.05) -> DataFrame:
+    """by, rule, model, test_r2, test_rmse_p90: each rule's choice by validation scores, with its test scores.
+
+    scores: by, model, split (val, test), r2, rmse_p90. Rows without both scores are no candidates; a choice
+    without a test row is left out; ties go to the model's name.
+    """
+    val = scores.filter((F.col("split") == "val") & F.col("r2").isNotNull() & F.col("rmse_p90").isNotNull())
+    best = F.max("r2").over(Window.partitionBy(*by))
+    close = val.withColumn("_close", F.col("r2") >= best - slack)
+    order = {"r2": [F.desc("r2")], "rmse_p90": [F.asc("rmse_p90")], "r2_slack_then_rmse_p90": [F.desc("_close"), F.asc("rmse_p90")]}
+    ranks = {rule: F.row_number().over(Window.partitionBy(*by).orderBy(*order[rule], "model")) for rule in CHAMPION_RULES}
+    chosen = F.filter(F.array(*(F.when(rank == 1, F.lit(rule)) for rule, rank in ranks.items())), lambda r: r.isNotNull())
+    picks = close.withColumn("_rules", chosen).select(*by, "model", F.explode("_rules").alias("rule"))
+    test = scores.filter("split = 'test'").select(*by, "model", F.col("r2").alias("test_r2"), F.col("rmse_p90").alias("test_rmse_p90"))
+    return picks.join(test, [*by, "model"]).select(*by, "rule", "model", "test_r2", "test_rmse_p90")
+
+
+def rule_summary(picks: DataFrame) -> DataFrame:
+    """rule, n, n_models and the mean test scores of what each rule chose."""
+    return picks.groupBy("rule").agg(
+        F.count("*").alias("n"), F.count_distinct("model").alias("n_models"), F.avg("test_r2").alias("test_r2"), F.avg("test_rmse_p90").alias("test_rmse_p90")
+    )
+
+
 def top_models(df: DataFrame, by: Sequence[str], k: int, slack: float = 0.05, same_r2: float = 0.002, same_p90: float = 0.01) -> DataFrame:
     """k models of each group: within the slack by tail error, then by r2; equivalent ones once.
 

@@ -273,8 +273,9 @@ def smoothed(grid: DataFrame, keys: list[str], value: str, rows: int, cols: int,
 
 
 def corrected_grid(df: DataFrame, proxy: str, bias: str, in_sample: Column) -> DataFrame:
-    """df with corrected = max(proxy + bias, 0) and in_sample."""
-    return df.withColumns({"corrected": F.greatest(F.col(proxy) + F.col(bias), F.lit(0.0)), "in_sample": in_sample})
+    """df with corrected = max(proxy + bias, 0), null where either is, and in_sample."""
+    total = F.col(proxy) + F.col(bias)
+    return df.withColumns({"corrected": F.when(total.isNotNull(), F.greatest(total, F.lit(0.0))), "in_sample": in_sample})
 
 
 def cells(grid: DataFrame, inside: Column) -> DataFrame:

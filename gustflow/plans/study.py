@@ -76,6 +76,26 @@ class Checked:
             raise ValueError("; ".join(self.errors))
 
 
+class LegacyArtifact(RuntimeError):
+    """A model kept by an older schema; it must be fitted again."""
+
+
+class UnsupportedResolution(RuntimeError):
+    """A model of another time resolution than its user needs."""
+
+
+def checked_artifact(meta: dict, resolution: str | None = None, schema: int = 2, legacy: Sequence[str] = (), banned: Sequence[str] = ()) -> dict:
+    """A model's metadata if it can be used: schema and target kind are there, resolution fits, no feature is banned."""
+    if meta.get("schema_version", 1) < schema or "target_kind" not in meta or meta.get("model_name") in legacy:
+        raise LegacyArtifact(f"{meta.get('model_name')!r} has schema {meta.get('schema_version', 1)}; fit it again")
+    derived = sorted(set(meta.get("feature_names", ())) & set(banned))
+    if derived:
+        raise ValueError(f"features derived from the target: {derived}")
+    if resolution is not None and meta.get("resolution") != resolution:
+        raise UnsupportedResolution(f"the model is {meta.get('resolution')!r}, {resolution!r} is needed")
+    return meta
+
+
 def corrected_product(
     grid: DataFrame, stations: DataFrame, predictions: DataFrame, scores: DataFrame, available: DataFrame, metric: str, k: int = 15, in_sample: Column | None = None
 ) -> DataFrame:

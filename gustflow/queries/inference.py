@@ -92,6 +92,25 @@ def x43_paired_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(I.paired_interval(drawn(spark, sf_dir), "arm", ["model", "tag"], "base", "full", "rmse"), "effect", "ci_lo", "ci_hi")
 
 
+_SEASONAL = """g AS (SELECT l_suppkey % 23 AS feature, l_linestatus AS split, month(l_shipdate) % 4 AS season, avg(l_discount - l_tax * 1.25) AS g FROM lineitem GROUP BY 1, 2, 3),
+f AS (SELECT split, max(g) AS f FROM g WHERE feature = 0 GROUP BY 1), s AS (SELECT feature, split, avg(g) AS m, count(*) FILTER (g > 0) AS up FROM g WHERE feature > 0 GROUP BY 1, 2),
+kept AS (SELECT feature, split FROM s JOIN f USING (split) WHERE m > f AND up >= 3)"""
+
+
+@register(REGISTRY, f"WITH {_SEASONAL} SELECT feature, coalesce(bool_or(split = 'O'), false) AS in_first, coalesce(bool_or(split = 'F'), false) AS in_second FROM kept GROUP BY 1")
+def x43_selection_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features kept by validation (status O) against those kept by the test split (status F)."""
+    from ..operators.relations import overlap
+    from ..operators.selection import decision
+    from .tables import table
+
+    lines = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 23).alias("feature"), "l_linestatus", (F.month("l_shipdate") % 4).alias("season"), (F.col("l_discount") - F.col("l_tax") * 1.25).alias("gain")
+    )
+    kept = lambda split: decision(lines.filter(F.col("l_linestatus") == split), "feature", "season", "gain", 0).filter("decision = 'keep'")
+    return overlap(kept("O"), kept("F"), "feature")
+
+
 _PS = "ps AS (SELECT s_suppkey AS k, s_nationkey % 3 AS family, CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE ((s_suppkey * 7919) % 1000) / 1000.0 END AS p FROM supplier)"
 
 
@@ -132,10 +151,10 @@ def x09_diebold_mariano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(I.diebold_mariano(d, "day", "d").drop("p"), "mean", places=0), "dm", places=5)
 
 
-@register(REGISTRY, f"WITH {_RESID}, {_METRICS} SELECT arm, model, tag, round(quantile_cont(rmse, 0.025), 4) AS ci_lo, round(quantile_cont(rmse, 0.975), 4) AS ci_hi FROM metrics WHERE b > 0 GROUP BY 1, 2, 3")
+@register(REGISTRY, f"WITH {_RESID}, {_METRICS} SELECT arm, model, tag, round(max(rmse) FILTER (b = 0), 4) AS rmse, round(quantile_cont(rmse, 0.025) FILTER (b > 0), 4) AS ci_lo, round(quantile_cont(rmse, 0.975) FILTER (b > 0), 4) AS ci_hi, row_number() OVER (ORDER BY max(rmse) FILTER (b = 0), arm, model, tag) AS rank FROM metrics GROUP BY 1, 2, 3")
 def x36_x40_percentile_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = drawn(spark, sf_dir).filter("b > 0").groupBy("arm", "model", "tag")
-    return rounded(m.agg(F.percentile("rmse", F.lit(0.025)).alias("ci_lo"), F.percentile("rmse", F.lit(0.975)).alias("ci_hi")), "ci_lo", "ci_hi")
+    ranks = I.ranked_intervals(drawn(spark, sf_dir), ["arm", "model", "tag"], "rmse")
+    return rounded(ranks.withColumn("rank", F.col("rank").cast("long")), "rmse", "ci_lo", "ci_hi")
 
 
 @register(REGISTRY)

@@ -152,6 +152,31 @@ def w16_champion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.champion(_models(spark, sf_dir), ["arm"]).select("arm", "model")
 
 
+_SPLIT_SCORES = """scores AS (SELECT l_returnflag AS arm, 'm' || (l_suppkey % 7) AS model, CASE WHEN l_linestatus = 'O' THEN 'val' ELSE 'test' END AS split, corr(l_quantity, l_extendedprice) AS r2, stddev_pop(l_tax) * 10 AS rmse_p90 FROM lineitem GROUP BY 1, 2, 3),
+val AS (SELECT *, r2 >= max(r2) OVER (PARTITION BY arm) - 0.05 AS near FROM scores WHERE split = 'val'),
+r AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY r2 DESC, model) AS k1, row_number() OVER (PARTITION BY arm ORDER BY rmse_p90, model) AS k2, row_number() OVER (PARTITION BY arm ORDER BY near DESC, rmse_p90, model) AS k3 FROM val),
+picks AS (SELECT arm, rule, c.model, t.r2 AS test_r2, t.rmse_p90 AS test_rmse_p90 FROM (SELECT arm, model, 'r2' AS rule FROM r WHERE k1 = 1 UNION ALL SELECT arm, model, 'rmse_p90' FROM r WHERE k2 = 1 UNION ALL SELECT arm, model, 'r2_slack_then_rmse_p90' FROM r WHERE k3 = 1) c JOIN scores t USING (arm, model) WHERE t.split = 'test')"""
+
+
+def _picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.concat(F.lit("m"), (F.col("l_suppkey") % 7).cast("string"))
+    split = F.when(F.col("l_linestatus") == "O", "val").otherwise("test")
+    scores = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("arm"), model.alias("model"), split.alias("split")).agg(
+        F.corr("l_quantity", "l_extendedprice").alias("r2"), (F.stddev_pop("l_tax") * 10).alias("rmse_p90")
+    )
+    return S.champion_rules(scores, ["arm"])
+
+
+@register(REGISTRY, f"WITH {_SPLIT_SCORES} SELECT arm, rule, model, round(test_r2, 6) AS test_r2, round(test_rmse_p90, 6) AS test_rmse_p90 FROM picks")
+def w16_champion_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_picks(spark, sf_dir), "test_r2", "test_rmse_p90", places=6)
+
+
+@register(REGISTRY, f"WITH {_SPLIT_SCORES} SELECT rule, count(*) AS n, count(DISTINCT model) AS n_models, round(avg(test_r2), 6) AS test_r2, round(avg(test_rmse_p90), 6) AS test_rmse_p90 FROM picks GROUP BY 1")
+def w16_rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.rule_summary(_picks(spark, sf_dir)), "test_r2", "test_rmse_p90", places=6)
+
+
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.concat(F.lit("m"), (F.col("l_suppkey") % 7).cast("string"))
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("arm"), model.alias("model")).agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,11 +78,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame], use_cache: bool = True) -> DataFrame:
-    """The table at the path if it is complete; else it is computed, written there and read again."""
-    if not (use_cache and exists(spark, f"{path}/_SUCCESS")):
-        compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
+    """The first of the paths (new names before legacy ones) that is there; FileNotFoundError names all of them."""
+    for path in paths:
+        if exists(spark, path):
+            return path
+    raise FileNotFoundError(f"none of {list(paths)} is there")
+
+
+def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame], use_cache: bool = True, key: str | None = None) -> DataFrame:
+    """The table at the path if it is complete; else it is computed, written there and read again.
+
+    ``key`` tells versions of the source apart, as ``fingerprint`` does: each has its own folder below the path, so
+    a changed source is computed anew. A table is written beside its place and renamed, so readers see it whole.
+    """
+    place = f"{path}/key={key}" if key else path
+    if not (use_cache and exists(spark, f"{place}/_SUCCESS")):
+        beside = f"{place}.{uuid.uuid4().hex}.tmp"
+        compute().write.parquet(beside)
+        jvm = spark.sparkContext._jvm
+        at, new = jvm.org.apache.hadoop.fs.Path(place), jvm.org.apache.hadoop.fs.Path(beside)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(at):
+            files.delete(at, True)
+        if not files.rename(new, at):
+            raise OSError(f"{beside} could not be renamed to {place}")
+    return spark.read.parquet(place)
 
 
 def results(spark: SparkSession, glob: str, pattern: str, names: Sequence[str]) -> DataFrame:

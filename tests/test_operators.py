@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gustflow.operators import features as X
@@ -192,8 +193,12 @@ def test_joins_are_validated(spark):
     assert R.validated_join(a, b, ["k"], validate="many_to_one").count() == 2
     with pytest.raises(ValueError):
         R.validated_join(a, b, ["k"])
-    with pytest.raises(ValueError):
-        R.fetched_rows(b, spark.createDataFrame([(1,), (2,)], "k int"), ["k"])
+    keys = spark.createDataFrame([(1,), (2,)], "k int")
+    assert sorted(map(tuple, R.fetched_rows(b, keys, ["k"], missing="null").collect())) == [(1, "z"), (2, None)]
+    with pytest.raises(PySparkException, match="a key has no row"):
+        R.fetched_rows(b, keys, ["k"]).collect()
+    with pytest.raises(PySparkException, match="more than one row"):
+        R.fetched_rows(a, keys, ["k"], missing="null").collect()
     with pytest.raises(ValueError):
         R.parse_merges("1-2,2-3")
 
@@ -203,6 +208,87 @@ def test_permutation_keeps_values(spark):
     p = R.permuted(df, ["id"], ["v"], 3)
     assert p.select(F.sum("v")).first()[0] == df.select(F.sum("v")).first()[0]
     assert p.filter(F.col("v") != F.col("id") * 2).count() > 450
+    places = R.numbered(df.repartition(7), F.xxhash64("id"), ["id"], "place").collect()
+    assert sorted(r["place"] for r in places) == list(range(500))
+    assert len({tuple(r) for r in p.collect()} & {tuple(r) for r in R.permuted(df.repartition(5), ["id"], ["v"], 3).collect()}) == 500
+    assert R.permuted(df.filter("false"), ["id"], ["v"], 3).count() == 0
+
+
+def test_permutation_importance_by_hour_bands(spark):
+    hours = [f"t_h{h:02d}" for h in range(24)]
+    df = spark.range(300).select("id", *(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(100)).cast("double").alias(c) for c in [*hours, "place"]))
+    df = df.withColumn("y", F.col("t_h13") * 2.0).withColumn("station", F.col("id") % 2)
+    bands = L.hour_bands({"t": hours, "place": ["place"]})
+    assert list(bands)[3] == "t 12-15h" and bands["t 12-15h"] == hours[12:16] and len(bands) == 6
+    with pytest.raises(ValueError):
+        L.hour_bands({"t": hours}, 5)
+    got = L.permutation_importance(df, lambda c: c["t_h13"] * 2.0, bands, ["id"], "y", repeats=2, by=["station"]).collect()
+    assert len(got) == 6 * 2 * 2
+    for r in got:
+        moved = r["block"] == "t 12-15h"
+        assert (r["delta_rmse"] > 20) == moved and (moved or r["delta_rmse"] == r["delta_rmse_p90"] == 0)
+
+
+def test_permutation_importance_is_that_of_the_partners(spark):
+    df = spark.range(80).select("id", (F.col("id") * 1.0).alias("a"), (F.pmod(F.xxhash64("id"), F.lit(9)) * 1.0).alias("b")).withColumn("y", F.col("a") + F.col("b"))
+    rows = [r.asDict() for r in R.with_partner(df, ["id"], ["a", "b"], 4).collect()]
+    cut = float(np.percentile([r["y"] for r in rows], 90))
+    for r in L.permutation_importance(df, lambda c: c["a"] + c["b"] * 0.5, {"x": ["a"], "z": ["b"]}, ["id"], "y", repeats=1, seed=4).collect():
+        score = lambda kept: math.sqrt(np.mean([(q["a"] + q["b"] * 0.5 - q["y"]) ** 2 for q in kept]))
+        name = {"x": "a", "z": "b"}[r["block"]]
+        swapped = [q | {name: q["partner"][name]} for q in rows]
+        tail = lambda kept: [q for q in kept if q["y"] >= cut]
+        assert r["delta_rmse"] == pytest.approx(score(swapped) - score(rows))
+        assert r["delta_rmse_p90"] == pytest.approx(score(tail(swapped)) - score(tail(rows)))
+
+
+def test_champions_are_chosen_by_validation_and_scored_by_test(spark):
+    scores = [("a", "m1", "val", 0.90, 5.0), ("a", "m2", "val", 0.87, 4.0), ("a", "m3", "val", 0.2, 1.0), ("a", "m4", "val", None, 0.5)]
+    scores += [(a, m, "test", r2 and r2 - 0.1, e + 1) for a, m, _, r2, e in scores] + [("b", "m1", "val", 0.5, 1.0)]
+    picks = S.champion_rules(spark.createDataFrame(scores, "arm string, model string, split string, r2 double, rmse_p90 double"), ["arm"])
+    assert {(r["arm"], r["rule"]): (r["model"], r["test_rmse_p90"]) for r in picks.collect()} == {
+        ("a", "r2"): ("m1", 6.0), ("a", "rmse_p90"): ("m3", 2.0), ("a", "r2_slack_then_rmse_p90"): ("m2", 5.0)
+    }
+    assert [(r["n"], r["n_models"]) for r in S.rule_summary(picks).collect()] == [(1, 1)] * 3
+
+
+def test_grids_are_snapped_and_masked(spark):
+    axis = spark.createDataFrame([(0.0,), (0.25,), (0.5,)], "lat double")
+    rows = spark.createDataFrame([(1, 0.2500004, 7.0), (2, -0.0000009, 8.0)], "id int, lat double, v double")
+    mask = axis.withColumn("inside", F.col("lat") > 0)
+    got = R.masked(R.snapped(rows, "lat", axis), mask, ["lat"], ["v"])
+    assert sorted((r["id"], r["lat"], r["v"]) for r in got.collect()) == [(1, 0.25, 7.0), (2, 0.0, None)]
+    for off in (0.2500011, None):
+        with pytest.raises(PySparkException, match="not on the reference grid"):
+            R.snapped(spark.createDataFrame([(off,)], "lat double"), "lat", axis).collect()
+
+
+def test_selections_overlap(spark):
+    f = lambda *names: spark.createDataFrame([(n,) for n in names], "f string")
+    assert sorted(map(tuple, R.overlap(f("a", "b", "b"), f("b", "c"), "f").collect())) == [("a", True, False), ("b", True, True), ("c", False, True)]
+
+
+def test_artifacts_of_other_schemas_are_refused():
+    good = {"schema_version": 2, "target_kind": "absolute", "model_name": "m", "resolution": "daily", "feature_names": ["a"]}
+    assert study.checked_artifact(good, "daily") is good
+    for bad in (good | {"schema_version": 1}, {k: v for k, v in good.items() if k != "target_kind"}, good | {"model_name": "old"}):
+        with pytest.raises(study.LegacyArtifact):
+            study.checked_artifact(bad, legacy=["old"])
+    with pytest.raises(study.UnsupportedResolution):
+        study.checked_artifact(good, "hourly")
+    with pytest.raises(ValueError):
+        study.checked_artifact(good, banned=["a"])
+
+
+def test_corrected_product_adds_the_winners_residuals(spark):
+    grid = spark.createDataFrame([(1, 0.0, 0.0, day(0), 5.0), (2, 9.0, 9.0, day(0), 1.0), (3, 0.0, 0.0, day(1), 4.0)], "point int, lat double, lon double, day date, proxy double")
+    stations = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0)], "id int, lat double, lon double")
+    predictions = [(p, "arm", 1, "DJF", s, day(0), y, 5.0) for p, s, y in (("good", 1, 7.0), ("good", 2, -2.0), ("bad", 1, 50.0), ("best", 1, 99.0))]
+    predictions = spark.createDataFrame(predictions, "pipeline string, arm string, cluster int, season string, id int, day date, y_pred double, proxy double")
+    scores = spark.createDataFrame([("best", "arm", 1, "DJF", 0.1), ("good", "arm", 1, "DJF", 1.0), ("bad", "arm", 1, "DJF", 2.0)], "pipeline string, arm string, cluster int, season string, rmse double")
+    usable = scores.filter("pipeline <> 'best'").select("pipeline", "arm")
+    got = study.corrected_product(grid, stations, predictions, scores, usable, "rmse", k=1)
+    assert {r["point"]: r["corrected"] for r in got.collect()} == {1: 7.0, 2: 0.0, 3: None}
 
 
 def test_effects_find_a_known_gain(spark):
@@ -326,6 +412,13 @@ def test_scans(spark, tmp_path):
     for _ in range(2):
         assert scan.cached(spark, str(tmp_path / "cache"), make).count() == 3
     assert len(calls) == 1
+    for key in ("a", "b", "a"):
+        assert scan.cached(spark, str(tmp_path / "keyed"), make, key=key).count() == 3
+    assert len(calls) == 3 and scan.cached(spark, str(tmp_path / "cache"), make, use_cache=False).count() == 3 and len(calls) == 4
+    assert sorted(p.name for p in (tmp_path / "keyed").iterdir()) == ["key=a", "key=b"]
+    assert scan.first_existing(spark, [str(tmp_path / "new"), str(tmp_path / "keyed")]) == str(tmp_path / "keyed")
+    with pytest.raises(FileNotFoundError):
+        scan.first_existing(spark, [str(tmp_path / "new")])
     with pytest.raises(ImportError):
         scan.netcdf("x.nc")
     with pytest.raises(ValueError):
