@@ -22,11 +22,17 @@ def x12_robust_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.robust_scaled(p.filter(test), X.robust_scaling(p.filter(~test), ["y"]), ["y"]), "y", places=6)
 
 
-@register(REGISTRY)
+_CUTS = [k / 99 for k in range(100)]
+
+
+@register(REGISTRY, f"""WITH {PANEL}, f AS (SELECT quantile_cont(proxy, {_CUTS}) AS xs, quantile_cont(y, {_CUTS}) AS ys FROM panel WHERE month(day) NOT IN (1, 4, 7, 10)),
+t AS (SELECT station, day, y, proxy, xs, ys, least(greatest(len(list_filter(xs, lambda v: v <= proxy)), 1), 99) AS i FROM panel CROSS JOIN f WHERE month(day) IN (1, 4, 7, 10)),
+d AS (SELECT *, ys[i] - xs[i] AS d0, ys[i + 1] - xs[i + 1] AS d1, CASE WHEN xs[i + 1] > xs[i] THEN least(greatest((proxy - xs[i]) / (xs[i + 1] - xs[i]), 0), 1) ELSE 0 END AS share FROM t)
+SELECT station, day, y, round(proxy, 4) AS proxy, round(proxy + d0 + share * (d1 - d0), 4) AS mapped FROM d""")
 def x13_quantile_delta_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir).select("station", "day", "y", "proxy")
     test = F.month("day").isin(1, 4, 7, 10)
-    return X.quantile_delta_mapping(p.filter(~test), p.filter(test), "proxy", "y")
+    return rounded(X.quantile_delta_mapping(p.filter(~test), p.filter(test), "proxy", "y"), "proxy", "mapped")
 
 
 @register(REGISTRY, """WITH w AS (SELECT o_orderkey, (o_totalprice / (SELECT max(o_totalprice) FROM orders)) ** 2 AS w FROM orders), t AS (SELECT o_orderkey, greatest(round_even(w / (SELECT avg(w) FROM w), 0)::INT, 1) AS t FROM w)

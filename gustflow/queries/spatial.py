@@ -126,6 +126,11 @@ def t05_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.cells(g, F.col("v").isNotNull()).select(F.col("cell").cast("long").alias("cell"), "lat", "lon")
 
 
-@register(REGISTRY)
+_REFLECTED = lambda axis, n: f"(CASE WHEN ({axis} + d + {2 * n}) % {2 * n} < {n} THEN ({axis} + d + {2 * n}) % {2 * n} ELSE {2 * n - 1} - ({axis} + d + {2 * n}) % {2 * n} END)"
+
+
+@register(REGISTRY, f"""WITH {_GRID}, t AS (SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS d)), g AS (SELECT i, j, coalesce(v, 0) AS v FROM grid),
+a AS (SELECT g.i, g.j, sum(w * s.v) AS v FROM g CROSS JOIN t JOIN g s ON s.j = g.j AND s.i = {_REFLECTED('g.i', 9)} GROUP BY 1, 2)
+SELECT 1 AS day, a.i::INT AS i, a.j::INT AS j, round(sum(w * s.v), 6) AS v FROM a CROSS JOIN t JOIN a s ON s.i = a.i AND s.j = {_REFLECTED('a.j', 11)} GROUP BY 1, 2, 3""")
 def x20_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.smoothed(grid(spark).fillna(0.0).withColumn("day", F.lit(1)), ["day"], "v", 9, 11)
+    return rounded(G.smoothed(grid(spark).fillna(0.0).withColumn("day", F.lit(1)), ["day"], "v", 9, 11), "v", places=6)

@@ -280,6 +280,26 @@ def test_artifacts_of_other_schemas_are_refused():
         study.checked_artifact(good, banned=["a"])
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from gustflow.__main__ import main
+
+    at = lambda name: str(tmp_path / name)
+    main(["list"])
+    assert "a09_core_metrics" in capsys.readouterr().out.split()
+    rows = [(a, "m", t, s, day(40 * d), 10.0 + d, e * (1 + d)) for a, e in (("base", 2.0), ("full", 1.0)) for t in (0, 1) for s in (1, 2) for d in range(9)]
+    spark.createDataFrame(rows, "arm string, model string, tag int, station int, day date, y double, e double").write.parquet(at("residuals"))
+    main(["draws", at("residuals"), at("metrics"), "--n", "50"], spark)
+    main(["effects", at("metrics"), at("effects"), "--metric", "rmse"], spark)
+    effect = spark.read.parquet(at("effects")).first()
+    assert effect["effect"] == pytest.approx(math.sqrt(np.mean([(1.0 + d) ** 2 for d in range(9)]))) and effect["n_replicates"] == 2
+    scores = [("a", "DJF", "m1", s, 0.5, 1.0) for s in ("val", "test")]
+    spark.createDataFrame(scores, "arm string, season string, model string, split string, r2 double, rmse_p90 double").write.parquet(at("scores"))
+    main(["champions", at("scores"), at("champions")], spark)
+    assert spark.read.parquet(at("champions")).count() == 3
+    with pytest.raises(ValueError):
+        main(["run", "nothing", at("x"), at("y")], spark)
+
+
 def test_corrected_product_adds_the_winners_residuals(spark):
     grid = spark.createDataFrame([(1, 0.0, 0.0, day(0), 5.0), (2, 9.0, 9.0, day(0), 1.0), (3, 0.0, 0.0, day(1), 4.0)], "point int, lat double, lon double, day date, proxy double")
     stations = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0)], "id int, lat double, lon double")
