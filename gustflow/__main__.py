@@ -59,16 +59,13 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.command == "draws":
         block = (F.year("day") * 100 + F.month("day")).alias("block")
         rows = read(args.residuals).select("*", block)
-        sums = inference.block_sums(rows, ["arm", "model", "tag"], "block", "y", "e", row=["station", "day"])
+        sums = inference.block_sums(rows, ["arm", "model", "tag"], "block", "y", "e", inference.TAILS, inference.TAUS, ["station", "day"])
         months = sorted(r["block"] for r in rows.select("block").distinct().collect())  # year-months of a calendar
         return inference.drawn_metrics(sums, inference.seeded_draws(spark, months, args.n, args.seed), ["arm", "model", "tag"], "block")
     if args.command == "effects":
         metrics = read(args.metrics)
-        made = None
-        for m in args.metric or ["rmse", "rmse_p90", "bias_p90", "r2"]:
-            part = inference.paired_effects(metrics, "arm", "tag", "model", args.worse, args.better, m).withColumn("metric", F.lit(m))
-            made = part if made is None else made.unionByName(part)
-        return made
+        names = args.metric or ["rmse", "rmse_p90", "bias_p90", "r2"]
+        return inference.effect_table(metrics, "arm", "tag", "model", args.worse, args.better, names)
     if args.command == "champions":
         return selection.champion_rules(read(args.scores), ["arm", "season"], args.slack)
     scores = read(args.scores)

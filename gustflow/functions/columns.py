@@ -99,10 +99,25 @@ def variable_of(column: Column) -> Column:
 
 
 def lookback_hours(column: Column) -> Column:
-    """Hours that a column's name looks back (0 if none): ..._lag3h, ..._max_prev6h, ..._roll24h, ..._lag2 (days)."""
-    hours = F.regexp_extract(column, r"(?:lag|prev|roll)(\d+)h$", 1)
-    days = F.regexp_extract(column, r"(?:lag|roll)(\d+)d?$", 1)
-    return F.when(hours != "", hours.cast("int")).when(days != "", days.cast("int") * 24).otherwise(0)
+    """Hours that a column's name looks back, 0 if none: ..._lag3h, ..._prev6h, ..._delta3h, ..._tend_3h."""
+    hours = F.regexp_extract(column, r"(?:lag|prev|delta|tend_?)(\d+)h$", 1)
+    return F.when(hours != "", hours.cast("int")).otherwise(0)
+
+
+def purge_days(hours: Column) -> Column:
+    """Aggregate: days that a split keeps apart at its borders, for columns that look back so many hours (0 for no columns)."""
+    return F.coalesce(F.ceil(F.max(hours) / 24), F.lit(0)).cast("int")
+
+
+def column_group(column: Column, group_of: dict[str, str]) -> Column:
+    """The group of a column's name; controls (noise, permuted statics) and unknown names have groups of their own."""
+    known = F.create_map(*(F.lit(x) for pair in group_of.items() for x in pair)) if group_of else F.create_map().cast("map<string,string>")
+    return F.when(column == "ctrl_noise", "noise").when(column.startswith("perm_"), "permuted").otherwise(F.coalesce(F.try_element_at(known, column), F.lit("unknown")))
+
+
+def target_kind(kind: Column, model: Column) -> Column:
+    """What an artifact predicts: as it says, else a ratio for the multi-layer perceptron and absolute values for others."""
+    return F.coalesce(kind, F.when(model == "MLPRegressor", "ratio").otherwise("absolute"))
 
 
 def level_label(level: Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import gust_factor
+
 #: Harmonics of the climatology, and the samples a station needs.
 HARMONICS, LEAST_SAMPLES = 3, 30
 
@@ -121,6 +123,52 @@ def population_climatology(df: DataFrame, key: str, day: str, value: str, harmon
     return curve.select(key, F.posexplode("curve").alias("at", "clim")).select(key, (F.col("at") + 1).alias("doy"), "clim")
 
 
+#: The grid's columns that the station features are rebuilt from.
+REQUIRED_BASIN = (
+    "ws_mean_basin", "ws_max_basin", "ws_std_basin", "sin_dir_mean_basin", "cos_dir_mean_basin", "t2m_mean_basin",
+    "t2m_range_basin", "td_dep_mean_basin", "rh_mean_basin", "msl_mean_basin", "d_msl_basin", "tp_sum_basin",
+)
+
+
+def rebuilt_features(df: DataFrame, key: str, day: str) -> DataFrame:
+    """df (one row per key and day) with the station features under their old names; ValueError names missing columns.
+
+    Lags and rolling means follow the calendar: a lag is null if its day is not there, the means need 3 of 7
+    and 2 of 3 days.
+    """
+    missing = [c for c in REQUIRED_BASIN if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns of the grid are missing: {missing}")
+    c = F.col
+    at = F.datediff(c(day), F.lit("1970-01-01").cast("date"))
+    order = Window.partitionBy(key).orderBy(at)
+    on_day = lambda v, k: F.max(v).over(order.rangeBetween(-k, -k))
+    mean = lambda k, least: F.when(F.count("ws_max_basin").over(order.rangeBetween(1 - k, 0)) >= least, F.avg("ws_max_basin").over(order.rangeBetween(1 - k, 0)))
+    made = {
+        "wind_mag": c("ws_mean_basin"),
+        "wind_mag_max": c("ws_max_basin"),
+        "wind_mag_std": c("ws_std_basin"),
+        "wind_dir_sin": c("sin_dir_mean_basin"),
+        "wind_dir_cos": c("cos_dir_mean_basin"),
+        "2m_temperature": c("t2m_mean_basin"),
+        "t2m_range": c("t2m_range_basin"),
+        "relative_humidity": c("rh_mean_basin"),
+        "surface_pressure": c("msl_mean_basin"),
+        "pressure_tendency": c("d_msl_basin"),
+        "total_precipitation": c("tp_sum_basin"),
+        "2m_dewpoint_temperature": c("t2m_mean_basin") - c("td_dep_mean_basin"),
+        "10m_u_component_of_wind": c("ws_mean_basin") * c("cos_dir_mean_basin"),
+        "10m_v_component_of_wind": c("ws_mean_basin") * c("sin_dir_mean_basin"),
+        "gust_factor": gust_factor(c("ws_max_basin"), c("ws_mean_basin")),
+        **{f"lag{k}_wind_mag_max": on_day("ws_max_basin", k) for k in (1, 2, 3, 7)},
+        "rolling7d_wind_mag_max": mean(7, 3),
+        "rolling3d_wind_mag_max": mean(3, 2),
+    }
+    out = df.withColumns(made)
+    anomaly = c("wind_mag_max") - c("rolling7d_wind_mag_max")
+    return out.withColumns({"wind_mag_max_anom": anomaly, "lag1_pressure_tendency": on_day("pressure_tendency", 1)})
+
+
 def first_harmonic(df: DataFrame, key: str, theta: Column, value: str) -> DataFrame:
     """key, c0, c1, s1 of a least-squares fit of one harmonic, by Cramer's rule on sums alone."""
     rows = df.filter(F.col(value).isNotNull()).select(key, F.cos(theta).alias("c"), F.sin(theta).alias("s"), F.col(value).alias("y"))

@@ -14,46 +14,103 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.columns import pinball
 
-def block_sums(df: DataFrame, by: Sequence[str], block: str, y: str, error: str, q: float = 0.9, row: Sequence[str] = ()) -> DataFrame:
-    """Sums per group and block over the rows with a known error: n, squares, observations, and the tail's.
 
-    The tail is y at least its quantile over all rows. ``rows`` tells sets of rows (by the columns ``row``)
-    apart, so that two groups can be compared on the same rows only.
+#: The tails (quantiles of y) and the pinball losses of the robustness metrics.
+TAILS, TAUS = (0.90, 0.95, 0.99), (0.90, 0.95, 0.99)
+
+
+def _percent(q: float) -> int:
+    return round(100 * q)
+
+
+def block_sums(
+    df: DataFrame, by: Sequence[str], block: str, y: str, error: str, tails: Sequence[float] = (0.9,), taus: Sequence[float] = (), row: Sequence[str] = ()
+) -> DataFrame:
+    """Sums per group and block over the rows with a known error: n, squares, observations, each tail's, pinball losses.
+
+    A tail is y at least its quantile over the rows of the group that have an error. ``rows`` tells sets of rows
+    (by the columns ``row``) apart, so that two groups can be compared on the same rows only. A block may be a
+    day or a year-month.
     """
-    cut = df.agg(F.percentile(y, F.lit(q)).alias("_cut"))
     e = F.col(error)
-    tail = F.col(y) >= F.col("_cut")
-    return df.filter(e.isNotNull() & ~F.isnan(e)).crossJoin(F.broadcast(cut)).groupBy(*by, block).agg(  # one row
+    known = df.filter(e.isNotNull() & ~F.isnan(e))
+    cuts = known.groupBy(*by).agg(F.percentile(y, F.array(*map(F.lit, tails))).alias("_cuts"))
+    rows = known.join(cuts, list(by)) if by else known.crossJoin(F.broadcast(cuts))  # without groups: one row
+    of_tails = []
+    for i, q in enumerate(tails):
+        inside, name = F.col(y) >= F.get("_cuts", F.lit(i)), f"p{_percent(q)}"
+        of_tails += [
+            F.count_if(inside).cast("double").alias(f"n_{name}"),
+            F.sum(F.when(inside, e).otherwise(0.0)).alias(f"se_{name}"),
+            F.sum(F.when(inside, e * e).otherwise(0.0)).alias(f"see_{name}"),
+        ]
+    return rows.groupBy(*by, block).agg(
         F.count("*").cast("double").alias("n"),
         F.sum(e * e).alias("see"),
         F.sum(y).alias("sy"),
         F.sum(F.col(y) * F.col(y)).alias("syy"),
-        F.count_if(tail).cast("double").alias("n_tail"),
-        F.sum(F.when(tail, e).otherwise(0.0)).alias("se_tail"),
-        F.sum(F.when(tail, e * e).otherwise(0.0)).alias("see_tail"),
+        *of_tails,
+        *(F.sum(pinball(F.col(y), F.col(y) + e, t)).alias(f"pin_{_percent(t)}") for t in taus),
         F.bit_xor(F.xxhash64(*row) if row else F.lit(0).cast("long")).alias("rows"),
     )
 
 
 def drawn_metrics(sums: DataFrame, draws: DataFrame, by: Sequence[str], block: str) -> DataFrame:
-    """by, b, rmse, bias_p90, rmse_p90, r2 and rows of each draw; draws: (b, block, c), c how often a block is drawn.
+    """by, b, rmse, r2, bias and rmse of each tail, pinball losses that the sums have, and rows, for each draw.
 
-    Sums have a row for each group and block; they and the draws are computed once.
+    draws: (b, block, c), c how often a block is drawn. Sums have a row for each group and block; the draws are
+    computed once.
     """
     draws = draws.persist()
     s = lambda c: F.sum(F.col("c") * F.col(c))
     none = F.lit(0.0)
+    per = lambda c, n: s(c) / F.nullif(s(n), none)
+    tails = [c[2:] for c in sums.columns if c.startswith("n_p")]
     spread = s("syy") - s("sy") * s("sy") / F.nullif(s("n"), none)
+    of_tails = [m for t in tails for m in (per(f"se_{t}", f"n_{t}").alias(f"bias_{t}"), F.sqrt(per(f"see_{t}", f"n_{t}")).alias(f"rmse_{t}"))]
     return sums.join(F.broadcast(draws) if draws.count() <= 1_000_000 else draws, block).groupBy(*by, "b").agg(
-        F.sqrt(s("see") / F.nullif(s("n"), none)).alias("rmse"),
-        (s("se_tail") / F.nullif(s("n_tail"), none)).alias("bias_p90"),
-        F.sqrt(s("see_tail") / F.nullif(s("n_tail"), none)).alias("rmse_p90"),
+        F.sqrt(per("see", "n")).alias("rmse"),
+        *of_tails,
         (1 - s("see") / F.nullif(spread, none)).alias("r2"),
+        *(per(c, "n").alias(c.replace("pin_", "pinball_")) for c in sums.columns if c.startswith("pin_")),
         F.bit_xor("rows").alias("rows"),
     )
 
 
+def numbered_days(df: DataFrame, day: str) -> DataFrame:
+    """day, at (from 0), run_end: the days in order and the last place of their run of consecutive days.
+
+    There is one row per day, so the windows over all rows stay small.
+    """
+    order = Window.orderBy(day)
+    gap = F.when(F.datediff(F.col(day), F.lag(day).over(order)) > 1, 1).otherwise(0)
+    days = df.select(day).filter(F.col(day).isNotNull()).distinct()
+    placed = days.select(day, (F.row_number().over(order) - 1).alias("at"), gap.alias("_g")).withColumn("_run", F.sum("_g").over(order))
+    return placed.withColumn("run_end", F.max("at").over(Window.partitionBy("_run"))).drop("_g", "_run")
+
+
+def stretch_sums(sums: DataFrame, days: DataFrame, by: Sequence[str], day: str, length: int) -> DataFrame:
+    """by, start and the sums of the ``length`` days from there, for each start whose stretch stays in its run.
+
+    Draws of moving blocks meet these sums instead of days: a draw is then a row for each stretch, not for each day.
+    """
+    placed = sums.join(F.broadcast(days.select(day, "at")), day)
+    start = F.explode(F.sequence(F.greatest(F.col("at") - (length - 1), F.lit(0)), F.col("at")))
+    valid = days.filter(F.col("at") + (length - 1) <= F.col("run_end")).select(F.col("at").alias("start"))
+    values = [c for c in sums.columns if c not in (*by, day, "rows")]
+    parts = placed.withColumn("start", start).join(F.broadcast(valid), "start", "left_semi")
+    return parts.groupBy(*by, "start").agg(*(F.sum(c).alias(c) for c in values), F.bit_xor("rows").alias("rows"))
+
+
+def moving_block_metrics(sums: DataFrame, days: DataFrame, draws: DataFrame, by: Sequence[str], day: str, length: int) -> DataFrame:
+    """drawn_metrics of moving blocks (draws: b, start, c) with draw 0, which has each day once; sums are of days."""
+    once = days.select(day, F.lit(0).alias("b"), F.lit(1).alias("c"))
+    whole = drawn_metrics(sums, once, by, day)
+    return whole.unionByName(drawn_metrics(stretch_sums(sums, days, by, day, length), draws, by, "start"))
+
+
 def seeded_draws(spark: SparkSession, blocks: Sequence, n: int, seed: int) -> DataFrame:
     """(b, block, c): n multinomial draws of the blocks after draw 0, which has each once."""
     rng = np.random.default_rng(seed)
@@ -62,54 +119,70 @@ def seeded_draws(spark: SparkSession, blocks: Sequence, n: int, seed: int) -> Da
     return spark.createDataFrame(rows, "b int, block int, c int")
 
 
-def moving_block_draws(spark: SparkSession, days: int, length: int, n: int, seed: int) -> DataFrame:
-    """(b, block, c) of days: n draws of overlapping stretches of ``length`` days, cut to ``days``."""
+def moving_block_draws(spark: SparkSession, run_ends: Sequence[int], length: int, n: int, seed: int) -> DataFrame:
+    """(b, start, c): n draws of stretches of ``length`` days that stay in their run, as many as cover all days.
+
+    run_ends: for each day in order the last place of its run. ValueError if no run is that long.
+    """
+    days = len(run_ends)
+    starts = np.flatnonzero(np.arange(days) + length - 1 <= np.asarray(run_ends, dtype=int))
+    if not len(starts):
+        raise ValueError(f"no {length} consecutive days")
     rng = np.random.default_rng(seed)
-    rows = [(0, d, 1) for d in range(days)]
+    rows = []
     for b in range(1, n + 1):
-        starts = rng.integers(0, max(1, days - length + 1), size=-(-days // length))
-        drawn = (starts[:, None] + np.arange(min(length, days))).ravel()[:days]
+        drawn = rng.choice(starts, size=-(-days // length))
         rows += [(b, int(d), int(c)) for d, c in zip(*np.unique(drawn, return_counts=True), strict=True)]
-    return spark.createDataFrame(rows, "b int, block int, c int")
+    return spark.createDataFrame(rows, "b int, start int, c int")
+
 
+def stationary_draws(spark: SparkSession, run_ends: Sequence[int], mean_length: float, n: int, seed: int) -> DataFrame:
+    """(b, at, c): n draws of stretches of geometric length that end with their run at the latest, until all days are covered.
 
-def stationary_draws(spark: SparkSession, days: int, mean_length: float, n: int, seed: int) -> DataFrame:
-    """(b, block, c) of days: n draws of stretches of geometric length, round the end to the beginning."""
+    Draw 0 has each day once.
+    """
+    days, ends = len(run_ends), np.asarray(run_ends, dtype=int)
     rng = np.random.default_rng(seed)
     rows = [(0, d, 1) for d in range(days)]
     for b in range(1, n + 1):
-        fresh = rng.random(days) < 1 / mean_length
-        fresh[0] = True
-        start = np.where(fresh, rng.integers(0, days, days), 0)
-        since = np.arange(days) - np.maximum.accumulate(np.where(fresh, np.arange(days), 0))
-        drawn = (start[np.maximum.accumulate(np.where(fresh, np.arange(days), 0))] + since) % days
-        rows += [(b, int(d), int(c)) for d, c in zip(*np.unique(drawn, return_counts=True), strict=True)]
-    return spark.createDataFrame(rows, "b int, block int, c int")
+        counts = np.zeros(days, dtype=int)
+        while counts.sum() < days:
+            first = int(rng.integers(0, days))
+            counts[first : min(first + int(rng.geometric(1 / mean_length)), int(ends[first]) + 1)] += 1
+        rows += [(b, int(d), int(counts[d])) for d in np.flatnonzero(counts)]
+    return spark.createDataFrame(rows, "b int, at int, c int")
 
 
-def paired_effects(metrics: DataFrame, arm: str, tag: str, model: str, worse: str, better: str, metric: str) -> DataFrame:
-    """One row: effect (mean over models in a tag, then over tags, of draw 0), its error and interval, z and p.
+def paired_effects(metrics: DataFrame, arm: str, tag: str, model: str, worse: str, better: str, names: Sequence[str]) -> DataFrame:
+    """A row for each metric: effect (mean over models in a tag, then over tags, of draw 0), its error and interval, z and p.
 
     Errors are worse minus better; r2 and bias, which keeps its sign, are better minus worse. The error has two
     parts: over draws, and over tags (replicates; 0 for a single one). Pairs of a tag and a model that one side
-    lacks, or whose two sides cover different rows, are left out.
+    lacks, or whose two sides cover different rows, are left out; without a pair there is no row. All metrics go
+    through the same aggregations.
     """
+    values = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in names))).alias("_m")
+    rows = metrics.filter(F.col(arm).isin(worse, better)).select(arm, tag, model, "b", "rows", values)
     side = lambda of, c: F.max(F.when(F.col(arm) == of, F.col(c)))
-    gain = side(worse, metric) - side(better, metric)
-    both = metrics.filter(F.col(arm).isin(worse, better)).groupBy(tag, model, "b").agg(
-        (gain if metric.startswith("rmse") else -gain).alias("d"), (side(worse, "rows") == side(better, "rows")).alias("same")
+    gain = side(worse, "_m.v") - side(better, "_m.v")
+    signed = F.when((F.col("_metric") == "r2") | F.col("_metric").startswith("bias"), -gain).otherwise(gain)
+    both = rows.groupBy(F.col("_m.metric").alias("_metric"), tag, model, "b").agg(
+        signed.alias("d"), (side(worse, "rows") == side(better, "rows")).alias("same")
     )
-    usable = both.filter("b = 0 AND same").select(tag, model)
-    by_tag = both.join(usable, [tag, model], "left_semi").groupBy(tag, "b").agg(F.avg("d").alias("d"))
-    drawn = by_tag.groupBy("b").agg(F.avg("d").alias("d"))
-    boot = drawn.agg(F.max(F.when(F.col("b") == 0, F.col("d"))).alias("effect"), F.stddev_samp(F.when(F.col("b") > 0, F.col("d"))).alias("se_boot"))
-    rep = by_tag.filter("b = 0").agg(
+    usable = both.filter("b = 0 AND same").select(tag, model).distinct()
+    by_tag = both.join(usable, [tag, model], "left_semi").groupBy("_metric", tag, "b").agg(F.avg("d").alias("d"))
+    drawn = by_tag.groupBy("_metric", "b").agg(F.avg("d").alias("d"))
+    boot = drawn.groupBy("_metric").agg(
+        F.max(F.when(F.col("b") == 0, F.col("d"))).alias("effect"), F.stddev_samp(F.when(F.col("b") > 0, F.col("d"))).alias("se_boot")
+    )
+    rep = by_tag.filter("b = 0").groupBy("_metric").agg(
         F.count("*").alias("n_replicates"), F.coalesce(F.stddev_samp("d") / F.sqrt(F.count("*")), F.lit(0.0)).alias("se_rep")
     )
     models = usable.agg(F.count_distinct(model).alias("n_models"))
     se = F.sqrt(F.col("se_boot") * F.col("se_boot") + F.col("se_rep") * F.col("se_rep"))
     return (
-        boot.crossJoin(rep).crossJoin(models)  # one row each
+        boot.join(rep, "_metric")
+        .crossJoin(models)  # one row
         .withColumn("se", se)
         .withColumns(
             {
@@ -119,6 +192,39 @@ def paired_effects(metrics: DataFrame, arm: str, tag: str, model: str, worse: st
             }
         )
         .withColumn("p", normal_p(F.col("z")))
+        .withColumnRenamed("_metric", "metric")
+    )
+
+
+#: Fixed value: the smallest effect of interest, as a share of the metric of the reference arm.
+SESOI_SHARE = 0.01
+
+
+def effect_table(metrics: DataFrame, arm: str, tag: str, model: str, worse: str, better: str, names: Sequence[str], anchor: str | None = None) -> DataFrame:
+    """paired_effects of the metrics with sesoi and verdict.
+
+    sesoi is a share of the mean metric of the arm ``anchor`` (``worse`` if not given) in draw 0.
+    """
+    values = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in names))).alias("_m")
+    start = metrics.filter((F.col("b") == 0) & (F.col(arm) == (anchor or worse))).select(values)
+    scale = start.groupBy(F.col("_m.metric").alias("metric")).agg((SESOI_SHARE * F.abs(F.avg("_m.v"))).alias("sesoi"))
+    out = paired_effects(metrics, arm, tag, model, worse, better, names).join(scale, "metric", "left")
+    return out.withColumn("verdict", verdict(F.col("ci_lo"), F.col("ci_hi"), F.col("se"), F.col("sesoi")))
+
+
+def scheme_summary(effects: DataFrame, base: str, by: Sequence[str] = ("metric",)) -> DataFrame:
+    """scheme, median, least and greatest width of its intervals against those of the scheme ``base``, percent of equal verdicts."""
+    reference = effects.filter(F.col("scheme") == base).select(*by, (F.col("ci_hi") - F.col("ci_lo")).alias("_w"), F.col("verdict").alias("_v"))
+    ratio = (F.col("ci_hi") - F.col("ci_lo")) / F.nullif(F.col("_w"), F.lit(0.0))
+    return (
+        effects.join(reference, list(by))
+        .groupBy("scheme")
+        .agg(
+            F.percentile(ratio, F.lit(0.5)).alias("median_width"),
+            F.min(ratio).alias("least_width"),
+            F.max(ratio).alias("greatest_width"),
+            (100 * F.avg((F.col("verdict") == F.col("_v")).cast("double"))).alias("same_verdicts"),
+        )
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +14,22 @@ REGISTRY: dict = {}
 DRAWS = 2000
 _ARMS = [("base", "m1", 0.0, 1.05), ("base", "m2", 0.1, 0.95), ("full", "m1", 0.2, 0.8), ("full", "m2", 0.15, 0.9)]
 
+
+
+def _tail_sql(q: int) -> str:
+    inside = f"y >= cuts[{(90, 95, 99).index(q) + 1}]"
+    return f"count(*) FILTER ({inside})::DOUBLE AS n_p{q}, sum(CASE WHEN {inside} THEN e ELSE 0 END) AS se_p{q}, sum(CASE WHEN {inside} THEN e * e ELSE 0 END) AS see_p{q}"
+
+
+def _pin_sql(q: int) -> str:
+    return f"sum(greatest({q / 100} * -e, {q / 100 - 1:.2f} * -e)) AS pin_{q}"
+
+
 _RESID = f"""{PANEL}, resid AS (SELECT arm, model, tag, station, day, year(day) * 100 + month(day) AS block, y, y * a + proxy * (b + 0.0193 * tag) - y AS e FROM panel
  CROSS JOIN (VALUES {', '.join(map(str, _ARMS))}) t(arm, model, a, b) CROSS JOIN (VALUES (0), (1)) r(tag) WHERE month(day) IN (1, 4, 7, 10)),
-cut AS (SELECT quantile_cont(y, 0.9) AS cut FROM resid),
-sums AS (SELECT arm, model, tag, block, count(*)::DOUBLE AS n, sum(e * e) AS see, sum(y) AS sy, sum(y * y) AS syy, count(*) FILTER (y >= cut)::DOUBLE AS n_tail, sum(CASE WHEN y >= cut THEN e ELSE 0 END) AS se_tail, sum(CASE WHEN y >= cut THEN e * e ELSE 0 END) AS see_tail FROM resid CROSS JOIN cut GROUP BY 1, 2, 3, 4),
+cuts AS (SELECT arm, model, tag, quantile_cont(y, [0.9, 0.95, 0.99]) AS cuts FROM resid GROUP BY 1, 2, 3),
+sums AS (SELECT arm, model, tag, block, count(*)::DOUBLE AS n, sum(e * e) AS see, sum(y) AS sy, sum(y * y) AS syy, {', '.join(map(_tail_sql, (90, 95, 99)))}, {', '.join(map(_pin_sql, (90, 95, 99)))}
+ FROM resid JOIN cuts USING (arm, model, tag) GROUP BY 1, 2, 3, 4),
 draws AS (SELECT b, block, CASE WHEN b = 0 THEN 1 ELSE ((b * 7919 + block * 104729 + b * b * 31 + b * block * 17) % 10007) % 3 END AS c FROM (SELECT DISTINCT block FROM sums) CROSS JOIN (SELECT unnest(range({DRAWS + 1})) AS b))"""
 
 
@@ -41,7 +51,7 @@ def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each arm, model, replicate and year-month, computed once."""
-    return I.block_sums(residuals(spark, sf_dir), ["arm", "model", "tag"], "block", "y", "e", row=["station", "day"]).persist()
+    return I.block_sums(residuals(spark, sf_dir), ["arm", "model", "tag"], "block", "y", "e", I.TAILS, I.TAUS, ["station", "day"]).persist()
 
 
 def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,35 +65,85 @@ def draws(s: DataFrame) -> DataFrame:
     return s.select("block").distinct().withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DRAWS).cast("long")))).select("b", "block", c.alias("c"))
 
 
-@register(REGISTRY, f"WITH {_RESID} SELECT arm, model, tag, block, n, round(see, 0) AS see, round(sy, 2) AS sy, round(syy, 0) AS syy, n_tail, round(se_tail, 1) AS se_tail FROM sums")
+@register(REGISTRY, f"WITH {_RESID} SELECT arm, model, tag, block, n, round(see, 0) AS see, round(sy, 2) AS sy, round(syy, 0) AS syy, n_p90, round(se_p90, 1) AS se_p90, n_p95, n_p99, round(see_p99, 0) AS see_p99, round(pin_90, 4) AS pin_90, round(pin_99, 4) AS pin_99 FROM sums")
 def a18_block_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sums(spark, sf_dir).select("arm", "model", "tag", F.col("block").cast("long").alias("block"), "n", "see", "sy", "syy", "n_tail", "se_tail")
-    return rounded(rounded(rounded(s, "see", "syy", places=0), "sy", places=2), "se_tail", places=1)
+    s = sums(spark, sf_dir).select("arm", "model", "tag", F.col("block").cast("long").alias("block"), "n", "see", "sy", "syy", "n_p90", "se_p90", "n_p95", "n_p99", "see_p99", "pin_90", "pin_99")
+    return rounded(rounded(rounded(rounded(s, "see", "syy", "see_p99", places=0), "sy", places=2), "se_p90", places=1), "pin_90", "pin_99")
 
 
-_METRICS = """metrics AS (SELECT arm, model, tag, b, sqrt(sum(c * see) / nullif(sum(c * n), 0)) AS rmse, sum(c * se_tail) / nullif(sum(c * n_tail), 0) AS bias_p90, sqrt(sum(c * see_tail) / nullif(sum(c * n_tail), 0)) AS rmse_p90,
- 1 - sum(c * see) / nullif(sum(c * syy) - sum(c * sy) * sum(c * sy) / nullif(sum(c * n), 0), 0) AS r2 FROM sums JOIN draws USING (block) GROUP BY 1, 2, 3, 4)"""
+#: The ten metrics of the robustness analysis, and r2.
+NAMES = ("rmse", *(f"{m}_p{q}" for q in (90, 95, 99) for m in ("bias", "rmse")), *(f"pinball_{q}" for q in (90, 95, 99)), "r2")
 
 
-@register(REGISTRY, f"WITH {_RESID}, {_METRICS} SELECT arm, model, tag, b, round(rmse, 4) AS rmse, round(bias_p90, 4) AS bias_p90, round(rmse_p90, 4) AS rmse_p90, round(r2, 6) AS r2 FROM metrics")
+def _per(c: str, n: str) -> str:
+    return f"sum(c * {c}) / nullif(sum(c * {n}), 0)"
+
+
+def _metrics_sql(name: str, joined: str) -> str:
+    return f"""{name} AS (SELECT arm, model, tag, b, sqrt({_per('see', 'n')}) AS rmse, {', '.join(f"{_per(f'se_p{q}', f'n_p{q}')} AS bias_p{q}, sqrt({_per(f'see_p{q}', f'n_p{q}')}) AS rmse_p{q}" for q in (90, 95, 99))},
+ {', '.join(f"{_per(f'pin_{q}', 'n')} AS pinball_{q}" for q in (90, 95, 99))},
+ 1 - sum(c * see) / nullif(sum(c * syy) - sum(c * sy) * sum(c * sy) / nullif(sum(c * n), 0), 0) AS r2 FROM {joined} GROUP BY 1, 2, 3, 4)"""
+
+
+_METRICS = _metrics_sql("metrics", "sums JOIN draws USING (block)")
+
+
+@register(REGISTRY, f"WITH {_RESID}, {_METRICS} SELECT arm, model, tag, b, {', '.join(f'round({m}, {6 if m == 'r2' else 2}) AS {m}' for m in NAMES)} FROM metrics")
 def x02_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rounded(drawn(spark, sf_dir).drop("rows"), "rmse", "bias_p90", "rmse_p90"), "r2", places=6)
+    return rounded(rounded(drawn(spark, sf_dir).drop("rows"), *NAMES[:-1], places=2), "r2", places=6)
 
 
-_EFFECT = f"""WITH {_RESID}, {_METRICS}, v AS (SELECT arm, model, tag, b, unnest(['rmse', 'rmse_p90', 'r2', 'bias_p90']) AS metric, unnest([rmse, rmse_p90, r2, bias_p90]) AS value FROM metrics),
-d AS (SELECT metric, tag, model, b, (max(value) FILTER (arm = 'base') - max(value) FILTER (arm = 'full')) * CASE WHEN metric IN ('rmse', 'rmse_p90') THEN 1 ELSE -1 END AS d FROM v GROUP BY 1, 2, 3, 4),
-t AS (SELECT metric, tag, b, avg(d) AS d FROM d GROUP BY 1, 2, 3), m AS (SELECT metric, b, avg(d) AS d FROM t GROUP BY 1, 2),
-boot AS (SELECT metric, max(d) FILTER (b = 0) AS effect, stddev_samp(d) FILTER (b > 0) AS se_boot FROM m GROUP BY 1),
-rep AS (SELECT metric, count(*) AS n_replicates, stddev_samp(d) / sqrt(count(*)) AS se_rep FROM t WHERE b = 0 GROUP BY 1),
-e AS (SELECT *, 2::BIGINT AS n_models, sqrt(se_boot * se_boot + se_rep * se_rep) AS se FROM boot JOIN rep USING (metric))"""
+def _effect_sql(metrics: str, out: str) -> str:
+    """Effects with their smallest effect of interest and verdict, from a table of drawn metrics."""
+    return f"""v_{out} AS (SELECT arm, model, tag, b, unnest([{', '.join(f"'{m}'" for m in NAMES)}]) AS metric, unnest([{', '.join(NAMES)}]) AS value FROM {metrics}),
+d_{out} AS (SELECT metric, tag, model, b, (max(value) FILTER (arm = 'base') - max(value) FILTER (arm = 'full')) * CASE WHEN metric = 'r2' OR metric LIKE 'bias%' THEN -1 ELSE 1 END AS d FROM v_{out} GROUP BY 1, 2, 3, 4),
+t_{out} AS (SELECT metric, tag, b, avg(d) AS d FROM d_{out} GROUP BY 1, 2, 3), m_{out} AS (SELECT metric, b, avg(d) AS d FROM t_{out} GROUP BY 1, 2),
+boot_{out} AS (SELECT metric, max(d) FILTER (b = 0) AS effect, stddev_samp(d) FILTER (b > 0) AS se_boot FROM m_{out} GROUP BY 1),
+rep_{out} AS (SELECT metric, count(*) AS n_replicates, stddev_samp(d) / sqrt(count(*)) AS se_rep FROM t_{out} WHERE b = 0 GROUP BY 1),
+scale_{out} AS (SELECT metric, 0.01 * abs(avg(value)) AS sesoi FROM v_{out} WHERE b = 0 AND arm = 'base' GROUP BY 1),
+e_{out} AS (SELECT *, 2::BIGINT AS n_models, sqrt(se_boot * se_boot + se_rep * se_rep) AS se, effect - 1.96 * se AS ci_lo, effect + 1.96 * se AS ci_hi FROM boot_{out} JOIN rep_{out} USING (metric) JOIN scale_{out} USING (metric)),
+{out} AS (SELECT *, CASE WHEN ci_lo > sesoi THEN 'adds' WHEN ci_hi < -sesoi THEN 'harms' WHEN ci_lo >= -sesoi AND ci_hi <= sesoi THEN 'no information' ELSE 'inconclusive' END AS verdict FROM e_{out})"""
 
 
-@register(REGISTRY, _EFFECT + " SELECT metric, round(effect, 4) AS effect, round(se, 4) AS se, n_replicates, n_models, round(effect - 1.96 * se, 4) AS ci_lo, round(effect + 1.96 * se, 4) AS ci_hi, round(effect / nullif(se, 0), 3) AS z FROM e")
+@register(REGISTRY, f"""WITH {_RESID}, {_METRICS}, {_effect_sql('metrics', 'effects')} SELECT metric, round(effect, 4) AS effect, round(se, 4) AS se, n_replicates, n_models,
+ round(ci_lo, 4) AS ci_lo, round(ci_hi, 4) AS ci_hi, round(effect / nullif(se, 0), 3) AS z, round(sesoi, 4) AS sesoi, verdict FROM effects""")
 def x03_x07_paired_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = drawn(spark, sf_dir).persist()
-    each = [I.paired_effects(m, "arm", "tag", "model", "base", "full", c).withColumn("metric", F.lit(c)) for c in ("rmse", "rmse_p90", "r2", "bias_p90")]
-    e = reduce(DataFrame.unionByName, each).select("metric", "effect", "se", "n_replicates", "n_models", "ci_lo", "ci_hi", "z")
-    return rounded(rounded(e, "effect", "se", "ci_lo", "ci_hi"), "z", places=3)
+    e = I.effect_table(drawn(spark, sf_dir).persist(), "arm", "tag", "model", "base", "full", NAMES)
+    e = e.select("metric", "effect", "se", "n_replicates", "n_models", "ci_lo", "ci_hi", "z", "sesoi", "verdict")
+    return rounded(rounded(e, "effect", "se", "ci_lo", "ci_hi", "sesoi"), "z", places=3)
+
+
+#: Days of a moving block.
+STRETCH = 15
+_MOVING = f"""days AS (SELECT day, pos, sum(g) OVER (ORDER BY pos) AS run FROM (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos, CASE WHEN day - lag(day) OVER (ORDER BY day) > 1 THEN 1 ELSE 0 END AS g FROM (SELECT DISTINCT day FROM resid))),
+valid AS (SELECT s.pos AS start, row_number() OVER (ORDER BY s.pos) - 1 AS k FROM days s JOIN days t ON t.pos = s.pos + {STRETCH - 1} AND t.run = s.run),
+by_day AS (SELECT arm, model, tag, pos, count(*)::DOUBLE AS n, sum(e * e) AS see, sum(y) AS sy, sum(y * y) AS syy, {', '.join(map(_tail_sql, (90, 95, 99)))}, {', '.join(map(_pin_sql, (90, 95, 99)))} FROM resid JOIN cuts USING (arm, model, tag) JOIN days USING (day) GROUP BY 1, 2, 3, 4),
+stretches AS (SELECT arm, model, tag, start, {', '.join(f'sum({c}) AS {c}' for c in ('n', 'see', 'sy', 'syy', *(f'{s}_p{q}' for q in (90, 95, 99) for s in ('n', 'se', 'see')), 'pin_90', 'pin_95', 'pin_99'))}, 1 AS one FROM by_day JOIN valid ON pos BETWEEN start AND start + {STRETCH - 1} GROUP BY 1, 2, 3, 4),
+stretch_draws AS (SELECT b, start, count(*) AS c FROM (SELECT b, (b * 7919 + j * 104729 + b * b * 31 + b * j * 17) % 10007 % (SELECT count(*) FROM valid) AS k FROM (SELECT unnest(range(1, {DRAWS + 1})) AS b) CROSS JOIN (SELECT unnest(range(((SELECT count(*) FROM days) + {STRETCH - 1}) // {STRETCH})) AS j)) JOIN valid USING (k) GROUP BY 1, 2)"""
+
+
+@register(REGISTRY, f"""WITH {_RESID}, {_METRICS}, {_MOVING}, {_metrics_sql('moved', '(SELECT *, 0 AS b, 1 AS c FROM by_day)')}, {_metrics_sql('shifted', 'stretches JOIN stretch_draws USING (start)')},
+moving AS (SELECT * FROM moved UNION ALL SELECT * FROM shifted), {_effect_sql('metrics', 'monthly')}, {_effect_sql('moving', 'stretched')},
+u AS (SELECT 'months' AS scheme, metric, ci_hi - ci_lo AS w, verdict FROM monthly UNION ALL SELECT 'moving', metric, ci_hi - ci_lo, verdict FROM stretched)
+SELECT u.scheme, round(quantile_cont(u.w / m.w, 0.5), 4) AS median_width, round(min(u.w / m.w), 4) AS least_width, round(max(u.w / m.w), 4) AS greatest_width, round(100 * avg((u.verdict = m.verdict)::INT), 4) AS same_verdicts
+FROM u JOIN u m ON m.scheme = 'months' AND m.metric = u.metric GROUP BY 1""")
+def x10_scheme_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year-months against moving blocks of days: widths of the intervals and verdicts."""
+    keys = ["arm", "model", "tag"]
+    by_day = I.block_sums(residuals(spark, sf_dir), keys, "day", "y", "e", I.TAILS, I.TAUS, ["station", "day"]).persist()
+    days = I.numbered_days(by_day, "day").persist()
+    starts = [r["at"] for r in days.filter(F.col("at") + STRETCH - 1 <= F.col("run_end")).orderBy("at").collect()]  # days of a calendar
+    b, j = F.col("b"), F.col("j")
+    place = (b * 7919 + j * 104729 + b * b * 31 + b * j * 17) % 10007 % len(starts)
+    drawn_starts = (
+        spark.range(1, DRAWS + 1)
+        .select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-days.count() // STRETCH) - 1).cast("long"))).alias("j"))
+        .groupBy("b", F.get(F.array(*map(F.lit, starts)), place.cast("int")).alias("start"))
+        .agg(F.count("*").alias("c"))
+    )
+    schemes = {"months": drawn(spark, sf_dir), "moving": I.moving_block_metrics(by_day, days, drawn_starts, keys, "day", STRETCH)}
+    tables = [I.effect_table(m.persist(), "arm", "tag", "model", "base", "full", NAMES).withColumn("scheme", F.lit(k)) for k, m in schemes.items()]
+    return rounded(I.scheme_summary(tables[0].unionByName(tables[1]), "months"), "median_width", "least_width", "greatest_width", "same_verdicts")
 
 
 @register(REGISTRY, f"""WITH {_RESID}, {_METRICS}, d AS (SELECT model, tag, b, max(rmse) FILTER (arm = 'base') - max(rmse) FILTER (arm = 'full') AS d FROM metrics GROUP BY 1, 2, 3)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import inference as I
 from ..operators import metrics as M
+from ..operators import features as X
 from ..operators import relations as R
 from ..operators.windows import longest_run
 from .inference import _RESID, residuals
@@ -35,7 +35,7 @@ def a41_split_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(REGISTRY, f"""WITH {_RESID}, a AS (SELECT arm, model, y, e FROM resid UNION ALL SELECT 'proxy', model, y, proxy - y FROM (SELECT y, proxy FROM panel WHERE month(day) IN (1, 4, 7, 10)) CROSS JOIN (VALUES ('m1'), ('m2')) t(model)),
-m AS (SELECT arm, model, avg(CASE WHEN y >= cut THEN e END) AS bias, sqrt(avg(CASE WHEN y >= cut THEN e * e END)) AS rmse FROM a CROSS JOIN cut GROUP BY 1, 2)
+m AS (SELECT arm, model, avg(CASE WHEN y >= cut THEN e END) AS bias, sqrt(avg(CASE WHEN y >= cut THEN e * e END)) AS rmse FROM a CROSS JOIN (SELECT quantile_cont(y, 0.9) AS cut FROM resid) GROUP BY 1, 2)
 SELECT arm, round(avg(bias), 4) AS bias_p90, round(avg(rmse), 4) AS rmse_p90, count(*) AS units FROM m GROUP BY 1""")
 def a42_x11_tail_table_with_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tail performance of each arm, with the raw proxy as an arm of the same rows and models."""
@@ -109,16 +109,33 @@ def j13_peak_hour_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.validated_join(days, peaks, ["station", "day"], "left", "many_to_one")
 
 
-@register(REGISTRY, """WITH b AS (SELECT l_suppkey AS station, CAST(l_shipdate AS DATE) AS day, max(l_quantity) AS ws_max, avg(l_quantity) AS ws_mean, max(l_tax) - min(l_tax) AS range FROM lineitem GROUP BY 1, 2)
-SELECT station, day, ws_max AS wind_mag_max, round(ws_max / greatest(ws_mean, 0.1), 6) AS gust_factor, round(range, 6) AS t2m_range FROM b""")
-def p08_rebuilt_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.columns import gust_factor
+_BASIN = """b AS (SELECT l_suppkey AS station, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS ws_mean_basin, max(l_quantity) AS ws_max_basin, stddev_pop(l_quantity) AS ws_std_basin,
+ avg(sin(l_linenumber)) AS sin_dir_mean_basin, avg(cos(l_linenumber)) AS cos_dir_mean_basin, avg(l_extendedprice) AS t2m_mean_basin, max(l_tax) - min(l_tax) AS t2m_range_basin, avg(l_tax) AS td_dep_mean_basin,
+ avg(l_discount) AS rh_mean_basin, max(l_extendedprice) AS msl_mean_basin, min(l_discount) AS d_msl_basin, sum(l_tax) AS tp_sum_basin FROM lineitem GROUP BY 1, 2)"""
+
 
+@register(REGISTRY, f"""WITH {_BASIN}, l AS (SELECT a.*, {', '.join(f'l{k}.ws_max_basin AS lag{k}' for k in (1, 2, 3, 7))}, l1.d_msl_basin AS lag1_d FROM b a
+ {' '.join(f'LEFT JOIN b l{k} ON l{k}.station = a.station AND l{k}.day = a.day - {k}' for k in (1, 2, 3, 7))}),
+r AS (SELECT *, CASE WHEN count(*) OVER w7 >= 3 THEN avg(ws_max_basin) OVER w7 END AS r7, CASE WHEN count(*) OVER w3 >= 2 THEN avg(ws_max_basin) OVER w3 END AS r3 FROM l
+ WINDOW w7 AS (PARTITION BY station ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), w3 AS (PARTITION BY station ORDER BY day RANGE BETWEEN INTERVAL 2 DAYS PRECEDING AND CURRENT ROW))
+SELECT station, day, round(ws_mean_basin, 4) AS wind_mag, ws_max_basin AS wind_mag_max, round(ws_std_basin, 4) AS wind_mag_std, round(sin_dir_mean_basin, 6) AS wind_dir_sin, round(cos_dir_mean_basin, 6) AS wind_dir_cos,
+ round(t2m_mean_basin, 6) AS "2m_temperature", round(t2m_range_basin, 6) AS t2m_range, round(rh_mean_basin, 6) AS relative_humidity, msl_mean_basin AS surface_pressure, d_msl_basin AS pressure_tendency, round(tp_sum_basin, 6) AS total_precipitation,
+ round(t2m_mean_basin - td_dep_mean_basin, 6) AS "2m_dewpoint_temperature", round(ws_mean_basin * cos_dir_mean_basin, 6) AS "10m_u_component_of_wind", round(ws_mean_basin * sin_dir_mean_basin, 6) AS "10m_v_component_of_wind",
+ round(ws_max_basin / greatest(ws_mean_basin, 0.1), 6) AS gust_factor, lag1 AS lag1_wind_mag_max, lag2 AS lag2_wind_mag_max, lag3 AS lag3_wind_mag_max, lag7 AS lag7_wind_mag_max, round(r7, 4) AS rolling7d_wind_mag_max, round(r3, 4) AS rolling3d_wind_mag_max,
+ round(ws_max_basin - r7, 4) AS wind_mag_max_anom, lag1_d AS lag1_pressure_tendency FROM r""")
+def p08_rebuilt_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items stand for the grid: a column of theirs for each of the twelve that are required."""
+    q, tax, part, price = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount"), F.col("l_extendedprice")
     b = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("station"), F.to_date("l_shipdate").alias("day")).agg(
-        F.max("l_quantity").alias("ws_max"), F.avg("l_quantity").alias("ws_mean"), (F.max("l_tax") - F.min("l_tax")).alias("t2m_range")
+        F.avg(q).alias("ws_mean_basin"), F.max(q).alias("ws_max_basin"), F.stddev_pop(q).alias("ws_std_basin"),
+        F.avg(F.sin("l_linenumber")).alias("sin_dir_mean_basin"), F.avg(F.cos("l_linenumber")).alias("cos_dir_mean_basin"),
+        F.avg(price).alias("t2m_mean_basin"), (F.max(tax) - F.min(tax)).alias("t2m_range_basin"), F.avg(tax).alias("td_dep_mean_basin"),
+        F.avg(part).alias("rh_mean_basin"), F.max(price).alias("msl_mean_basin"), F.min(part).alias("d_msl_basin"), F.sum(tax).alias("tp_sum_basin"),
     )
-    out = b.select("station", "day", F.col("ws_max").alias("wind_mag_max"), gust_factor(F.col("ws_max"), F.col("ws_mean")).alias("gust_factor"), "t2m_range")
-    return rounded(out, "gust_factor", "t2m_range", places=6)
+    out = X.rebuilt_features(b, "station", "day").drop(*X.REQUIRED_BASIN)
+    four = ("wind_mag", "wind_mag_std", "rolling7d_wind_mag_max", "rolling3d_wind_mag_max", "wind_mag_max_anom")
+    six = ("2m_temperature", "2m_dewpoint_temperature", "wind_dir_sin", "wind_dir_cos", "t2m_range", "relative_humidity", "total_precipitation", "10m_u_component_of_wind", "10m_v_component_of_wind", "gust_factor")
+    return rounded(rounded(out, *four), *six, places=6)
 
 
 @register(REGISTRY, "SELECT vec_id, label * 0.25::DOUBLE AS lat, CASE WHEN label BETWEEN 2 AND 7 THEN embedding[1]::DOUBLE END AS v FROM embeddings")
@@ -131,26 +148,14 @@ def p21_p22_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.masked(R.snapped(e, "lat", axis), inside, ["lat"], ["v"]).select("vec_id", "lat", "v")
 
 
-@register(REGISTRY, "SELECT name, CASE WHEN name = 'noise' THEN 'noise' WHEN name LIKE 'perm_%' THEN 'permuted' WHEN name LIKE 'nf_%' THEN 'discovered' ELSE 'core' END AS grp FROM (SELECT DISTINCT CASE l_suppkey % 4 WHEN 0 THEN 'noise' WHEN 1 THEN 'perm_z' WHEN 2 THEN 'nf_cape' ELSE 'gust' END AS name FROM lineitem)")
+@register(REGISTRY, "SELECT p_name AS name, CASE WHEN p_name = 'ctrl_noise' THEN 'noise' WHEN p_name LIKE 'perm\\_%' ESCAPE '\\' THEN 'permuted' WHEN p_name = 'gust' THEN 'core' WHEN p_name = 'nf_cape' THEN 'discovered' ELSE 'unknown' END AS grp FROM (SELECT DISTINCT CASE p_size % 5 WHEN 0 THEN 'ctrl_noise' WHEN 1 THEN 'perm_' || p_brand WHEN 2 THEN 'nf_cape' WHEN 3 THEN 'gust' ELSE p_brand END AS p_name FROM part)")
 def p29_column_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("l_suppkey") % 4
-    name = F.when(k == 0, "noise").when(k == 1, "perm_z").when(k == 2, "nf_cape").otherwise("gust")
-    n = F.col("name")
-    grp = F.when(n == "noise", "noise").when(n.startswith("perm_"), "permuted").when(n.startswith("nf_"), "discovered").otherwise("core")
-    return table(spark, sf_dir, "lineitem").select(name.alias("name")).distinct().withColumn("grp", grp)
-
-
-@register(REGISTRY, f"""WITH {_RESID}, d AS (SELECT model, block, sum(CASE WHEN arm = 'base' THEN see ELSE -see END) AS g FROM sums GROUP BY 1, 2), w AS (SELECT model, 'blocks' AS scheme, 2 * 1.96 * stddev_samp(g) AS width FROM d GROUP BY 1
- UNION ALL SELECT model, 'years', 2 * 1.96 * stddev_samp(g) FROM (SELECT model, block // 100 AS y, sum(g) AS g FROM d GROUP BY 1, 2) GROUP BY 1)
-SELECT scheme, round(avg(width / base), 6) AS ratio FROM w JOIN (SELECT model, width AS base FROM w WHERE scheme = 'blocks') USING (model) GROUP BY 1""")
-def x10_scheme_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = I.block_sums(residuals(spark, sf_dir), ["arm", "model"], "block", "y", "e")
-    d = s.groupBy("model", "block").agg(F.sum(F.when(F.col("arm") == "base", F.col("see")).otherwise(-F.col("see"))).alias("g"))
-    width = (2 * 1.96 * F.stddev_samp("g")).alias("width")
-    blocks = d.groupBy("model").agg(width).withColumn("scheme", F.lit("blocks"))
-    years = d.groupBy("model", F.floor(F.col("block") / 100).alias("y")).agg(F.sum("g").alias("g")).groupBy("model").agg(width).withColumn("scheme", F.lit("years"))
-    base = blocks.select("model", F.col("width").alias("base"))
-    return rounded(blocks.unionByName(years).join(base, "model").groupBy("scheme").agg(F.avg(F.col("width") / F.col("base")).alias("ratio")), "ratio", places=6)
+    from ..functions.columns import column_group
+
+    k, brand = F.col("p_size") % 5, F.col("p_brand")
+    name = F.when(k == 0, "ctrl_noise").when(k == 1, F.concat(F.lit("perm_"), brand)).when(k == 2, "nf_cape").when(k == 3, "gust").otherwise(brand)
+    names = table(spark, sf_dir, "part").select(name.alias("name")).distinct()
+    return names.withColumn("grp", column_group(F.col("name"), {"gust": "core", "nf_cape": "discovered"}))
 
 
 @register(REGISTRY, f"WITH {PANEL} SELECT station % 5 AS fold, count(DISTINCT station) AS stations, round(sqrt(avg((pred - y) ** 2)), 4) AS rmse, round(avg(y), 4) AS clim FROM panel GROUP BY 1 HAVING count(*) >= 20")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import lookback_hours, variable_of
+from ..functions.columns import lookback_hours, purge_days, variable_of
 from ..operators import selection as S
 from ..operators import windows as W
 from .tables import HOURLY, PANEL, hourly, panel, register, rounded, table
@@ -216,10 +216,12 @@ def w21_station_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(REGISTRY, """SELECT name, regexp_replace(name, '(_(lag[0-9]+[hd]?|max_prev[0-9]+h|roll[0-9]+[hd]?|mean|max|min|std|diff|range))+$', '') AS variable,
- CASE WHEN regexp_extract(name, '(lag|prev|roll)([0-9]+)h$', 2) <> '' THEN regexp_extract(name, '(lag|prev|roll)([0-9]+)h$', 2)::INT WHEN regexp_extract(name, '(lag|roll)([0-9]+)d?$', 2) <> '' THEN regexp_extract(name, '(lag|roll)([0-9]+)d?$', 2)::INT * 24 ELSE 0 END AS hours
-FROM (SELECT event_type || suffix AS name FROM (SELECT DISTINCT event_type FROM events) CROSS JOIN (VALUES ('_max'), ('_lag3h'), ('_max_prev6h'), ('_roll24h_mean'), ('_lag2'), ('')) t(suffix))""")
+ coalesce(try_cast(regexp_extract(name, '(lag|prev|delta|tend_?)([0-9]+)h$', 2) AS INT), 0) AS hours, ceil(max(coalesce(try_cast(regexp_extract(name, '(lag|prev|delta|tend_?)([0-9]+)h$', 2) AS INT), 0)) OVER (PARTITION BY event_type) / 24)::INT AS purge_days
+FROM (SELECT event_type, event_type || suffix AS name FROM (SELECT DISTINCT event_type FROM events) CROSS JOIN (VALUES ('_max'), ('_lag3h'), ('_max_prev6h'), ('_roll24h_mean'), ('_lag2'), ('_tend_30h'), ('_delta3h'), ('')) t(suffix))""")
 def p17_p18_column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = table(spark, sf_dir, "events").select("event_type").distinct()
-    suffix = F.explode(F.array(*map(F.lit, ("_max", "_lag3h", "_max_prev6h", "_roll24h_mean", "_lag2", ""))))
-    names = kinds.withColumn("s", suffix).select(F.concat("event_type", "s").alias("name"))
-    return names.select("name", variable_of(F.col("name")).alias("variable"), lookback_hours(F.col("name")).alias("hours"))
+    suffix = F.explode(F.array(*map(F.lit, ("_max", "_lag3h", "_max_prev6h", "_roll24h_mean", "_lag2", "_tend_30h", "_delta3h", ""))))
+    names = kinds.withColumn("s", suffix).select("event_type", F.concat("event_type", "s").alias("name"))
+    named = names.select("event_type", "name", variable_of(F.col("name")).alias("variable"), lookback_hours(F.col("name")).alias("hours"))
+    gaps = named.groupBy("event_type").agg(purge_days(F.col("hours")).alias("purge_days"))
+    return named.join(gaps, "event_type").drop("event_type")

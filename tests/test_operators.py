@@ -312,17 +312,17 @@ def test_corrected_product_adds_the_winners_residuals(spark):
 
 
 def test_effects_find_a_known_gain(spark):
-    kinds = "arm string, tag int, model string, block int, n double, see double, sy double, syy double, n_tail double, se_tail double, see_tail double, rows long"
+    kinds = "arm string, tag int, model string, block int, n double, see double, sy double, syy double, n_p90 double, se_p90 double, see_p90 double, rows long"
     errors = {("base", 0): 4.0, ("full", 0): 1.0, ("base", 1): 9.0, ("full", 1): 1.0}  # mean squares of each replicate
     rows = [(a, t, "m", b, 10.0, e * 10, 20.0 + b, 400.0, 1.0, e, e, b) for (a, t), e in errors.items() for b in range(8)]
     rows += [("base", 1, "half", b, 10.0, 10.0, 20.0, 400.0, 1.0, 1.0, 1.0, b) for b in range(8)]
     rows += [("full", 1, "half", b, 10.0, 10.0, 20.0, 400.0, 1.0, 1.0, 1.0, b) for b in range(7)]  # other rows: left out
     draws = I.seeded_draws(spark, list(range(8)), 50, 1)
     m = I.drawn_metrics(spark.createDataFrame(rows, kinds), draws, ["arm", "tag", "model"], "block")
-    r = I.paired_effects(m, "arm", "tag", "model", "base", "full", "rmse").first()
+    r = I.paired_effects(m, "arm", "tag", "model", "base", "full", ["rmse"]).first()
     assert r["effect"] == pytest.approx(1.5) and r["n_replicates"] == 2 and r["n_models"] == 1  # (2 - 1 and 3 - 1)
     assert r["se_rep"] == pytest.approx(0.5) and r["ci_lo"] <= 1.5 <= r["ci_hi"]
-    one = I.paired_effects(m.filter("tag = 0"), "arm", "tag", "model", "base", "full", "bias_p90").first()
+    one = I.paired_effects(m.filter("tag = 0"), "arm", "tag", "model", "base", "full", ["bias_p90"]).first()
     assert one["effect"] == pytest.approx(1.0 - 4.0) and one["se_rep"] == 0.0  # with its sign: better minus worse
 
 
@@ -372,9 +372,26 @@ def test_population_climatology_fits_the_days_means(spark):
         assert np.allclose(design(range(1, 367)) @ c, [got[k][d] for d in range(1, 367)])
 
 
-def test_draws_of_days(spark):
-    for made in (I.moving_block_draws(spark, 30, 5, 3, 1), I.stationary_draws(spark, 30, 4.0, 3, 1)):
-        assert {x["s"] for x in made.groupBy("b").agg(F.sum("c").alias("s")).collect()} == {30}
+def test_draws_of_days_stay_in_their_runs(spark):
+    ends = [9] * 10 + [29] * 20
+    moving = I.moving_block_draws(spark, ends, 5, 20, 1)
+    assert {x["s"] for x in moving.groupBy("b").agg(F.sum("c").alias("s")).collect()} == {6}
+    starts = {x["start"] for x in moving.collect()}
+    assert starts <= {*range(6), *range(10, 26)} and len(starts) > 10
+    with pytest.raises(ValueError):
+        I.moving_block_draws(spark, ends, 21, 1, 1)
+    drawn = {x["b"]: x["s"] for x in I.stationary_draws(spark, ends, 4.0, 20, 1).groupBy("b").agg(F.sum("c").alias("s")).collect()}
+    assert drawn[0] == 30 and all(30 <= s < 50 for s in drawn.values())
+
+
+def test_stretch_sums_are_sums_of_their_days(spark):
+    at = [0, 1, 2, 3, 10, 11, 12]
+    rows = [("a", day(d), float(d), d) for d in at] + [("b", day(d), 1.0, d) for d in at if d != 2]
+    sums = spark.createDataFrame(rows, "arm string, day date, n double, rows long")
+    days = I.numbered_days(sums, "day")
+    assert [r["run_end"] for r in days.orderBy("at").collect()] == [3, 3, 3, 3, 6, 6, 6]
+    got = {(r["arm"], r["start"]): r["n"] for r in I.stretch_sums(sums, days, ["arm"], "day", 3).collect()}
+    assert got == {("a", 0): 3.0, ("a", 1): 6.0, ("a", 4): 33.0, ("b", 0): 2.0, ("b", 1): 2.0, ("b", 4): 3.0}
 
 
 def test_quantile_mapping_of_a_shift(spark):
