@@ -100,11 +100,18 @@ def harmonic_climatology(df: DataFrame, key: str, day: str, value: str, harmonic
 def population_climatology(df: DataFrame, key: str, day: str, value: str, harmonics: int = HARMONICS) -> DataFrame:
     """key, doy (1 to 366), clim: a least-squares fit to the means of each day of the year, all stations of a key together.
 
-    Each day of the year that has values counts once. As many harmonics are fitted as the days support,
-    (days - 1) // 2 at most; with fewer than three days the climatology is their mean. A key has 366 means at
-    most, so the fit is one small call per key.
+    Each day of the year that has values counts once.
+    """
+    known = df.filter(F.col(value).isNotNull())
+    return fitted_year(known.groupBy(key, F.dayofyear(day).alias("doy")).agg(F.avg(value).alias("m")), key, harmonics)
+
+
+def fitted_year(means: DataFrame, key: str, harmonics: int = HARMONICS) -> DataFrame:
+    """key, doy (1 to 366), clim, fitted to means (key, doy, m).
+
+    As many harmonics are fitted as the days support, (days - 1) // 2 at most; with fewer than three days the
+    climatology is their mean. A key has 366 means at most, so the fit is one small call per key.
     """
-    means = df.filter(F.col(value).isNotNull()).groupBy(key, F.dayofyear(day).alias("doy")).agg(F.avg(value).alias("m"))
     per_key = means.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("doy", "m"))).alias("obs"))
 
     @F.pandas_udf("array<double>")
@@ -123,6 +130,33 @@ def population_climatology(df: DataFrame, key: str, day: str, value: str, harmon
     return curve.select(key, F.posexplode("curve").alias("at", "clim")).select(key, (F.col("at") + 1).alias("doy"), "clim")
 
 
+def holdout_climatology(df: DataFrame, fold: str, label: str, day: str, value: str, train: str = "train") -> DataFrame:
+    """fold, doy, clim: for each fold the population climatology of the training rows of all other folds.
+
+    Rows are summed once by fold and day of the year; what the others hold is the total without the fold's own
+    part, so no row is copied to the folds that it trains.
+    """
+    rows = df.filter((F.col(label) == train) & F.col(value).isNotNull())
+    own = rows.groupBy(fold, F.dayofyear(day).alias("doy")).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
+    total = own.groupBy("doy").agg(F.sum("_s").alias("_all"), F.sum("_n").alias("_rows"))
+    grid = df.select(fold).filter(F.col(fold).isNotNull()).distinct().crossJoin(F.broadcast(total))  # at most 366 rows
+    left = grid.join(own, [fold, "doy"], "left")
+    n = F.col("_rows") - F.coalesce("_n", F.lit(0))
+    means = left.filter(n > 0).select(fold, "doy", ((F.col("_all") - F.coalesce("_s", F.lit(0.0))) / n).alias("m"))
+    return fitted_year(means, fold)
+
+
+def holdout_sizes(df: DataFrame, station: str, fold: str, label: str, train: str = "train", test: str = "test", least: int = 20) -> DataFrame:
+    """fold, stations (held out), n_train (training rows of the others), n_eval (test rows of its own), for folds with
+    at least ``least`` rows to train on and any to evaluate."""
+    own = df.groupBy(fold).agg(
+        F.count_distinct(station).alias("stations"), F.count_if(F.col(label) == train).alias("_t"), F.count_if(F.col(label) == test).alias("n_eval")
+    )
+    every = own.agg(F.sum("_t").alias("_all"))
+    out = own.crossJoin(F.broadcast(every)).select(fold, "stations", (F.col("_all") - F.col("_t")).alias("n_train"), "n_eval")  # one row
+    return out.filter((F.col("n_train") >= least) & (F.col("n_eval") > 0))
+
+
 #: The grid's columns that the station features are rebuilt from.
 REQUIRED_BASIN = (
     "ws_mean_basin", "ws_max_basin", "ws_std_basin", "sin_dir_mean_basin", "cos_dir_mean_basin", "t2m_mean_basin",

@@ -126,14 +126,26 @@ def tail_sums(df: DataFrame, by: Sequence[str], y: str, error: str, thresholds:
     return df.groupBy(*by).agg(*sums)
 
 
-def stratified(df: DataFrame, strata: Sequence[str], y: str, pred: str, least: int = 30) -> DataFrame:
-    """stratum kind, value, n, bias, rmse for each value of each stratum with at least ``least`` rows."""
+def stratified(df: DataFrame, strata: Sequence[str], y: str, pred: str, least: int = 30, least_tail: int = 10, q: float = 0.9) -> DataFrame:
+    """stratum kind, value, n, bias, rmse, n_tail, bias_p90, rmse_p90 for each value of each stratum with at least ``least`` rows.
+
+    The tail is y at least its quantile over all rows; its metrics are null below ``least_tail`` rows.
+    """
+    cut = df.agg(F.percentile(y, F.lit(q)).alias("_cut"))
     e = F.col(pred) - F.col(y)
     kinds = F.explode(F.array(*(F.struct(F.lit(s).alias("kind"), F.col(s).cast("string").alias("value")) for s in strata)))
+    rows = df.crossJoin(F.broadcast(cut)).select(kinds.alias("_s"), e.alias("_e"), (F.col(y) >= F.col("_cut")).alias("_t"))  # one row
+    n_tail, high = F.count_if("_t"), F.when(F.col("_t"), F.col("_e"))
     return (
-        df.select(kinds.alias("_s"), e.alias("_e"))
-        .groupBy("_s.kind", "_s.value")
-        .agg(F.count("*").alias("n"), F.avg("_e").alias("bias"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"))
+        rows.groupBy("_s.kind", "_s.value")
+        .agg(
+            F.count("*").alias("n"),
+            F.avg("_e").alias("bias"),
+            F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
+            n_tail.alias("n_tail"),
+            F.when(n_tail >= least_tail, F.avg(high)).alias("bias_p90"),
+            F.when(n_tail >= least_tail, F.sqrt(F.avg(high * high))).alias("rmse_p90"),
+        )
         .filter(F.col("n") >= least)
     )
 

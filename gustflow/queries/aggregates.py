@@ -178,10 +178,11 @@ def a22_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.reliability(panel(spark, sf_dir), "y", "pred", 10).withColumn("bin", F.col("bin").cast("long")), "mean_pred", "mean_obs")
 
 
-@register(REGISTRY, f"""WITH {PANEL}, s AS (SELECT 'season' AS kind, season AS value, pred - y AS e FROM panel UNION ALL SELECT 'station', station::VARCHAR, pred - y FROM panel)
-SELECT kind, value, count(*) AS n, round(avg(e), 4) AS bias, round(sqrt(avg(e * e)), 4) AS rmse FROM s GROUP BY 1, 2 HAVING count(*) >= 30""")
+@register(REGISTRY, f"""WITH {PANEL}, s AS (SELECT 'season' AS kind, season AS value, y, pred - y AS e FROM panel UNION ALL SELECT 'station', station::VARCHAR, y, pred - y FROM panel), c AS (SELECT quantile_cont(y, 0.9) AS cut FROM panel)
+SELECT kind, value, count(*) AS n, round(avg(e), 4) AS bias, round(sqrt(avg(e * e)), 4) AS rmse, count(*) FILTER (y >= cut) AS n_tail, CASE WHEN count(*) FILTER (y >= cut) >= 10 THEN round(avg(e) FILTER (y >= cut), 4) END AS bias_p90,
+ CASE WHEN count(*) FILTER (y >= cut) >= 10 THEN round(sqrt(avg(e * e) FILTER (y >= cut)), 4) END AS rmse_p90 FROM s CROSS JOIN c GROUP BY 1, 2 HAVING count(*) >= 30""")
 def a23_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.stratified(panel(spark, sf_dir), ["season", "station"], "y", "pred"), "bias", "rmse")
+    return rounded(M.stratified(panel(spark, sf_dir), ["season", "station"], "y", "pred"), "bias", "rmse", "bias_p90", "rmse_p90")
 
 
 @register(REGISTRY, f"""WITH {PANEL} SELECT cluster, {', '.join(f"round(avg(pred - y) FILTER (season = '{s}'), 4) AS {s}" for s in ('DJF', 'MAM', 'JJA', 'SON'))} FROM panel GROUP BY 1""")

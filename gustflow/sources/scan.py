@@ -113,6 +113,14 @@ def results(spark: SparkSession, glob: str, pattern: str, names: Sequence[str])
     return df.withColumns({n: F.regexp_extract(name, pattern, k) for k, n in enumerate(names, 1)})
 
 
+def artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """cluster, season (null: the pooled model), path of the model files best_model_c<cluster>[_<season>].<kind> below root."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "best_model_c*").load(root).select("path")
+    named = r"best_model_c(\d+)(?:_(DJF|MAM|JJA|SON))?\.(?:joblib|keras|json)$"
+    cluster = F.regexp_extract("path", named, 1).try_cast("int")
+    return files.select(cluster.alias("cluster"), F.nullif(F.regexp_extract("path", named, 2), F.lit("")).alias("season"), "path").filter("cluster IS NOT NULL")
+
+
 def target_rows(df: DataFrame, value: str, day: str, end: str) -> tuple[DataFrame, DataFrame]:
     """Rows with a value up to the end, and the days that they have."""
     rows = df.filter(F.col(value).isNotNull() & (F.col(day) <= F.lit(end).cast("date")))

@@ -472,3 +472,40 @@ def test_streamed_days_and_sessions(spark, tmp_path):
         q.stop()
     assert [(r["s"], r["n"], r["peak"]) for r in spark.table("days").collect()] == [(1, 24, 23.0)]
     assert sorted((r["s"], r["n"]) for r in spark.table("sessions").collect()) == [(1, 24), (2, 1)]
+
+
+def test_holdout_climatology_leaves_its_fold_out(spark):
+    rows = [(s, day(d), float(s * 10 + d % 7), "train" if d % 5 else "test") for s in range(4) for d in range(0, 300, 3) if (s + d) % 4]
+    df = spark.createDataFrame(rows, "station int, day date, y double, label string").withColumn("fold", F.col("station") % 2)
+    got = {(r["fold"], r["doy"]): r["clim"] for r in X.holdout_climatology(df, "fold", "label", "day", "y").collect()}
+    for f in (0, 1):
+        train = df.filter((F.col("label") == "train") & (F.col("fold") != f)).withColumn("k", F.lit(f))
+        wanted = {(r["k"], r["doy"]): r["clim"] for r in X.population_climatology(train, "k", "day", "y").collect()}
+        assert all(abs(got[k] - v) < 1e-6 for k, v in wanted.items()) and len(wanted) == 366
+    sizes = {r["fold"]: r["n_train"] for r in X.holdout_sizes(df, "station", "fold", "label").collect()}
+    assert sizes == {f: sum(1 for s, _, _, k in rows if k == "train" and s % 2 != f) for f in (0, 1)}
+
+
+def test_artifacts_are_found_by_name(spark, tmp_path):
+    from gustflow.sources import scan
+
+    for name in ("best_model_c1.joblib", "best_model_c12_DJF.keras", "best_model_c2_XYZ.joblib", "other.joblib"):
+        (tmp_path / name).write_text("x")
+    assert {(r["cluster"], r["season"]) for r in scan.artifacts(spark, str(tmp_path)).collect()} == {(1, None), (12, "DJF")}
+
+
+def test_names_tell_group_look_back_and_kind(spark):
+    from gustflow.functions import columns as C
+
+    names = spark.createDataFrame([("ctrl_noise",), ("perm_z",), ("gust",), ("x_lag30h",), ("tp_tend3h",)], "name string")
+    n = F.col("name")
+    got = {r["name"]: (r["g"], r["h"]) for r in names.select("name", C.column_group(n, {"gust": "core"}).alias("g"), C.lookback_hours(n).alias("h")).collect()}
+    assert got == {"ctrl_noise": ("noise", 0), "perm_z": ("permuted", 0), "gust": ("core", 0), "x_lag30h": ("unknown", 30), "tp_tend3h": ("unknown", 3)}
+    assert names.agg(C.purge_days(C.lookback_hours(n)).alias("d")).first()["d"] == 2
+    kinds = spark.createDataFrame([(None, "MLPRegressor"), (None, "Ridge"), ("absolute", "MLPRegressor")], "k string, m string")
+    assert [r["t"] for r in kinds.select(C.target_kind(F.col("k"), F.col("m")).alias("t")).collect()] == ["ratio", "absolute", "absolute"]
+
+
+def test_rebuilt_features_need_their_columns(spark):
+    with pytest.raises(ValueError, match="tp_sum_basin"):
+        X.rebuilt_features(spark.createDataFrame([(1, day(0))], "station int, day date"), "station", "day")
