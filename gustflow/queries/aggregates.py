@@ -299,11 +299,12 @@ def a39_residual_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("cluster", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names))), *names)
 
 
-@register(REGISTRY, f"WITH {HOURLY} SELECT kind, hour(ts)::BIGINT AS hour, count(*) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.1), 4) AS p10, round(quantile_cont(value, 0.9), 4) AS p90 FROM hourly GROUP BY 1, 2")
+@register(REGISTRY, f"WITH {HOURLY} SELECT kind, hour(ts)::BIGINT AS hour, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.1), 4) AS p10, round(quantile_cont(value, 0.9), 4) AS p90 FROM hourly GROUP BY 1, 2")
 def a44_hour_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.percentile("value", F.array(F.lit(0.1), F.lit(0.9)))
     out = hourly(spark, sf_dir).groupBy("kind", F.hour("ts").cast("long").alias("hour")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), q.alias("q"))
-    return rounded(out.select("kind", "hour", "n", "mean", F.get("q", F.lit(0)).alias("p10"), F.get("q", F.lit(1)).alias("p90")), "mean", "p10", "p90")
+    profile = out.select("kind", "hour", "n", "mean", F.get("q", F.lit(0)).alias("p10"), F.get("q", F.lit(1)).alias("p90"))
+    return rounded(rounded(profile, "mean", places=6), "p10", "p90")
 
 
 @register(REGISTRY, f"""WITH {HOURLY}, d AS (SELECT station, CAST(ts AS DATE) AS day, avg(value) AS m, stddev_pop(value) AS s FROM hourly GROUP BY 1, 2), w AS (SELECT s, m - avg(m) OVER (PARTITION BY station) AS c FROM d),
