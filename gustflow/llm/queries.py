@@ -12,7 +12,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, chat_format, langid, line_rules, mixing, near_dedup, order_minhash, packing, quality_fm, toxicity
+from . import (
+    bpe_codec,
+    bpe_count,
+    chat_format,
+    fill_middle,
+    langid,
+    line_rules,
+    mixing,
+    near_dedup,
+    order_minhash,
+    packing,
+    quality_fm,
+    spelling,
+    toxicity,
+)
 from .common import held_out, table
 
 
@@ -101,6 +115,50 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.observed_words(table(spark, sf_dir, "documents"))
+    return spelling.variant_groups(words).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe_codec.encode_and_decode(table(spark, sf_dir, "documents"), path)
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_fm, op2_line_rules, op3_bpe_count, op4_power_packing, op5_toxicity, op6_chat_format, op7_language_id, op8_fair_mixing, op9_order_minhash, op10_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_quality_fm,
+        op2_line_rules,
+        op3_bpe_count,
+        op4_power_packing,
+        op5_toxicity,
+        op6_chat_format,
+        op7_language_id,
+        op8_fair_mixing,
+        op9_order_minhash,
+        op10_near_dedup,
+        op11_spelling_variants,
+        op12_bpe_codec,
+        op13_fill_middle,
+    )
 }

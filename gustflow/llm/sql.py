@@ -85,4 +85,71 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 FROM docs d LEFT JOIN sizes USING (doc_id) JOIN least ON least.id = d.doc_id
 """
 
-ORACLE_SQL = {"op2_line_rules": LINE_RULES, "op6_chat_format": CHAT_FORMAT, "op10_near_dedup": NEAR_DEDUP}
+SPELLING = r"""
+WITH RECURSIVE polynomial(i, k, c) AS (  -- the table of the cyclic redundancy check, by its rule
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM polynomial WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM polynomial WHERE k = 8
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+  FROM documents
+), counted AS (
+  SELECT r, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x, count(*) AS n FROM runs GROUP BY 1, 2
+), hashed AS (
+  SELECT r, n, xor(list_reduce(
+      list_prepend(4294967295, list_transform(range(length(x) // 2), lambda j: ('0x' || x[2 * j + 1 : 2 * j + 2])::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM counted, crc
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN r[: h % length(r)] || r[h % length(r) + 2 :] ELSE r END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2
+), gaps AS (
+  SELECT word, n, i, word[: i - 1] AS a, word[i + 1 :] AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT x.word, x.n, y.word AS v, y.n AS m FROM gaps x JOIN gaps y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT g.word, g.n, w.word, w.n FROM gaps g JOIN words w ON w.word = g.a || g.b
+  UNION SELECT w.word, w.n, g.word, g.n FROM gaps g JOIN words w ON w.word = g.a || g.b
+), best AS (
+  SELECT word, count(*) AS n_near, first(v ORDER BY m DESC, v) AS v, max(m) AS m FROM near GROUP BY 1
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN v END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), led AS (
+  SELECT word, word AS r, 0 AS step FROM formed
+  UNION ALL SELECT l.word, f.form, step + 1 FROM led l JOIN formed f ON f.word = l.r WHERE f.form IS NOT NULL
+)
+SELECT word, n, n_near, form, form_n, root
+FROM formed JOIN (SELECT word, first(r ORDER BY step DESC) AS root FROM led GROUP BY 1) USING (word)
+"""
+
+FILL_MIDDLE = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+), drawn AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || x[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || x[9:16])::BIGINT % (len(u) + 1) AS c2,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || x[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+         WHEN ('0x' || x[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM units
+), parts AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1 : least(c1, c2)], '') AS p,
+    array_to_string(u[least(c1, c2) + 1 : greatest(c1, c2)], '') AS m, array_to_string(u[greatest(c1, c2) + 1 :], '') AS s
+  FROM drawn
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+ORACLE_SQL = {
+    "op2_line_rules": LINE_RULES,
+    "op6_chat_format": CHAT_FORMAT,
+    "op10_near_dedup": NEAR_DEDUP,
+    "op11_spelling_variants": SPELLING,
+    "op13_fill_middle": FILL_MIDDLE,
+}
