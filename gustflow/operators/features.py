@@ -47,15 +47,18 @@ def complete_variables(df: DataFrame, variable: str, day: str) -> DataFrame:
 def peak_rows(df: DataFrame, keys: Sequence[str], ts: str, value: str, hours: int = 1) -> DataFrame:
     """The row of each key and day with the greatest value, the earliest of equals.
 
-    Days count only with at least ``hours`` rows, all known.
+    Days count only with all values known and, where ``hours`` is above 1, with at least so many different
+    hours; there, two rows of one hour are an error.
     """
     day = F.to_date(ts)
     by = Window.partitionBy(*keys, "day")
+    counted = df.withColumn("day", day).withColumn("_known", F.count(value).over(by)).withColumn("_rows", F.count("*").over(by))
+    if hours > 1:
+        held = F.size(F.collect_set(F.hour(ts)).over(by))
+        checked = F.when(F.col("_held") == F.col("_rows"), F.col("_held")).otherwise(F.raise_error(F.lit("an hour comes twice")).cast("int"))
+        counted = counted.withColumn("_held", held).filter(checked >= hours).drop("_held")
     return (
-        df.withColumn("day", day)
-        .withColumn("_known", F.count(value).over(by))
-        .withColumn("_rows", F.count("*").over(by))
-        .filter((F.col("_known") == F.col("_rows")) & (F.col("_rows") >= hours))
+        counted.filter(F.col("_known") == F.col("_rows"))
         .withColumn("_r", F.row_number().over(by.orderBy(F.desc(value), ts)))
         .filter("_r = 1")
         .drop("_known", "_rows", "_r")

@@ -313,27 +313,34 @@ def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([student_two_sided(x, n) if known(x) and n > 0 else None for x, n in zip(t, df, strict=True)], dtype="float64")
 
 
-def loss_differential(df: DataFrame, day: str, arm: str, units: Sequence[str], error: str, worse: str, better: str) -> DataFrame:
-    """day, d: squared error of worse minus that of better, mean over stations, then over units."""
-    e2 = F.col(error) * F.col(error)
-    sides = df.filter(F.col(arm).isin(worse, better)).groupBy(*units, day).agg(
-        F.avg(F.when(F.col(arm) == worse, e2)).alias("_w"), F.avg(F.when(F.col(arm) == better, e2)).alias("_b")
-    )
-    return sides.filter(F.col("_w").isNotNull() & F.col("_b").isNotNull()).groupBy(day).agg(F.avg(F.col("_w") - F.col("_b")).alias("d"))
+def loss_differential(
+    df: DataFrame, day: str, arm: str, units: Sequence[str], error: str, worse: str, better: str, place: Sequence[str] = ("station",)
+) -> DataFrame:
+    """day, d: squared error of worse minus that of better, mean over the day's places, then over units.
+
+    A place of a unit's day counts where both arms have a finite error there; units without any such place leave the
+    day to the others. Days that no unit covers stay, with a null d, as they belong to the calendar.
+    """
+    finite = F.abs(error) < float("inf")
+    e2 = F.when(finite, F.col(error) * F.col(error))
+    side = lambda name: F.max(F.when(F.col(arm) == name, e2))  # noqa: E731  (one row of each arm)
+    pairs = df.filter(F.col(arm).isin(worse, better)).groupBy(*units, *place, day).agg((side(worse) - side(better)).alias("_d"))
+    by_unit = pairs.groupBy(*units, day).agg(F.avg("_d").alias("_d"))
+    return by_unit.groupBy(day).agg(F.avg("_d").alias("d"))
 
 
 def diebold_mariano(d: DataFrame, day: str, value: str, max_lag: int = 5) -> DataFrame:
     """One row: n, mean, dm with Bartlett weights and the small-sample correction for horizon 1, p by Student's t.
 
-    Autocovariances pair rows ``lag`` places apart, if they lie in one run of consecutive days. Days without a
-    value are left out. With fewer than 10 days mean, dm and p are null. The series has one row per day, so its
-    windows over all rows stay small.
+    Runs of consecutive days are those of all rows of ``d``. Days without a value (null or not finite) are then left
+    out, and autocovariances pair rows ``lag`` places apart that lie in one run. With fewer than 10 days mean,
+    dm and p are null. The series has one row per day, so its windows over all rows stay small.
     """
-    d = d.filter(F.col(value).isNotNull() & ~F.isnan(value))
     at = Window.orderBy(day)
     gap = F.when(F.datediff(F.col(day), F.lag(day).over(at)) > 1, 1).otherwise(0)
     numbered = d.select(day, F.col(value).alias("_x")).withColumn("_g", gap).withColumn("_run", F.sum("_g").over(at))
-    centred = numbered.withColumn("_c", F.col("_x") - F.avg("_x").over(Window.partitionBy()))
+    known = numbered.filter(F.abs("_x") < float("inf"))
+    centred = known.withColumn("_c", F.col("_x") - F.avg("_x").over(Window.partitionBy()))
     lagged = centred.select(
         "_x", "_c", *(F.when(F.lag("_run", k).over(at) == F.col("_run"), F.col("_c") * F.lag("_c", k).over(at)).alias(f"_p{k}") for k in range(1, max_lag + 1))
     )

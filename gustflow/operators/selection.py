@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,29 +79,36 @@ def rule_summary(picks: DataFrame) -> DataFrame:
 
 
 def top_models(df: DataFrame, by: Sequence[str], k: int, slack: float = 0.05, same_r2: float = 0.002, same_p90: float = 0.01) -> DataFrame:
-    """k models of each group: within the slack by tail error, then by r2; equivalent ones once.
+    """by, rank, model, r2_val, rmse_p90_val, r2_test, rmse_test, rmse_p90_test, gap_r2 (val less test), omitted.
 
-    A model equivalent to one already taken is left out, which depends on the order: each group's
-    models (some dozens) are gone through in one task.
+    df: by, model, split (val, test), r2, rmse, rmse_p90, n_nonfinite; one row for each. Models are chosen by their
+    validation scores alone: those with both scores known and nothing that diverged, first the ones within the
+    slack of the group's best r2 by tail error, then the others by r2; ties go to the model's name. A model
+    equivalent to one already taken is not taken but named with it, until k are taken. A chosen model without a
+    test row has null test scores.
     """
-    def chosen(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["n_nonfinite"] == 0].copy()
-        rows["_far"] = (rows["r2"] < rows["r2"].max() - slack).astype(int)
-        rows["_key"] = rows["rmse_p90"].where(rows["_far"] == 0, -rows["r2"])
-        taken: list[int] = []
-        for i in rows.sort_values(["_far", "_key", "model"]).index:
-            twin = any(
-                abs(rows.at[i, "r2"] - rows.at[j, "r2"]) <= same_r2 and abs(rows.at[i, "rmse_p90"] - rows.at[j, "rmse_p90"]) <= same_p90
-                for j in taken
-            )
-            if not twin and len(taken) < k:
-                taken.append(i)
-        out = rows.loc[taken, [*by, "model", "r2", "rmse_p90"]]
-        out["rank"] = range(1, len(out) + 1)
-        return out
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
-    return df.groupBy(*by).applyInPandas(chosen, f"{kinds}, model string, r2 double, rmse_p90 double, rank long")
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    val = df.filter((F.col("split") == "val") & known("r2") & known("rmse_p90") & (F.col("n_nonfinite") == 0))
+    far = F.col("r2") < F.max("r2").over(Window.partitionBy(*by)) - slack
+    kind = "array<struct<model:string,r2:double,rmse_p90:double,omitted:array<string>>>"
+    entry = lambda e, omitted: F.struct(e["model"].alias("model"), e["r2"].alias("r2"), e["rmse_p90"].alias("rmse_p90"), omitted.alias("omitted"))
+
+    def step(taken: Column, c: Column) -> Column:
+        same = lambda e: (F.abs(e["r2"] - c["r2"]) <= same_r2) & (F.abs(e["rmse_p90"] - c["rmse_p90"]) <= same_p90)
+        twin = F.get(F.filter(taken, same), F.lit(0))["model"]
+        named = F.transform(taken, lambda e: F.when(e["model"] == twin, entry(e, F.array_append(e["omitted"], c["model"]))).otherwise(e))
+        return F.when(F.size(taken) >= k, taken).when(twin.isNotNull(), named).otherwise(F.array_append(taken, entry(c, F.array().cast("array<string>"))))
+
+    # a group's models (some dozens) as one array, in the order in which they are gone through
+    order = F.struct(far.alias("far"), F.when(far, -F.col("r2")).otherwise(F.col("rmse_p90")).alias("key"), "model", "r2", "rmse_p90")
+    queue = val.withColumn("_c", order).groupBy(*by).agg(F.sort_array(F.collect_list("_c")).alias("_queue"))
+    chosen = queue.select(*by, F.posexplode(F.aggregate("_queue", F.array().cast(kind), step)).alias("_at", "_e"))
+    test = df.filter("split = 'test'").select(*by, F.col("model").alias("_m"), *(F.col(c).alias(f"{c}_test") for c in ("r2", "rmse", "rmse_p90")))
+    met = chosen.withColumn("_m", F.col("_e.model")).join(test, [*by, "_m"], "left")
+    return met.select(
+        *by, (F.col("_at") + 1).alias("rank"), F.col("_m").alias("model"), F.col("_e.r2").alias("r2_val"), F.col("_e.rmse_p90").alias("rmse_p90_val"),
+        "r2_test", "rmse_test", "rmse_p90_test", (F.col("_e.r2") - F.col("r2_test")).alias("gap_r2"), F.array_join("_e.omitted", ", ").alias("omitted"),
+    )
 
 
 def common_dates(df: DataFrame, by: Sequence[str], combo: Sequence[str], day: str) -> DataFrame:

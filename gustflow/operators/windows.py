@@ -58,20 +58,20 @@ def lookback(df: DataFrame, key: str, day: str, features: Sequence[str], length:
 
 
 def hourly_day_windows(df: DataFrame, key: str, ts: str, features: Sequence[str], offset_hours: int = 0, hours: int = 24) -> DataFrame:
-    """key, day, window (features by hour) of the days that have all their hours, once each."""
-    shifted = F.col(ts) + F.expr(f"interval {offset_hours} hours")
-    return (
-        df.withColumn("_d", F.to_date(shifted))
-        .withColumn("_h", F.hour(shifted))
-        .groupBy(key, F.col("_d").alias("day"))
-        .agg(
-            F.sort_array(F.collect_list(F.struct("_h", *features))).alias("window"),
-            F.count("*").alias("_n"),
-            F.count_distinct("_h").alias("_k"),
-        )
-        .filter((F.col("_n") == hours) & (F.col("_k") == hours))
-        .drop("_n", "_k")
+    """key, day, window (features by hour) of the days that have all their hours.
+
+    A day begins ``offset_hours`` after midnight: with 3, at 03:00. Times off the full hour and two rows of
+    one hour are errors, found where they are met; incomplete days are left out.
+    """
+    full = F.when(F.col(ts) == F.date_trunc("hour", ts), F.col(ts)).otherwise(F.raise_error(F.lit("time off the full hour")).cast("timestamp"))
+    shifted = full - F.expr(f"interval {offset_hours} hours")
+    days = df.withColumn("_t", shifted).groupBy(key, F.to_date("_t").alias("day")).agg(
+        F.sort_array(F.collect_list(F.struct(F.hour("_t").alias("_h"), *features))).alias("window"),
+        F.count("*").alias("_n"),
+        F.count_distinct(F.hour("_t")).alias("_k"),
     )
+    once = F.when(F.col("_n") == F.col("_k"), F.col("_k")).otherwise(F.raise_error(F.lit("an hour comes twice")).cast("long"))
+    return days.filter(once == hours).drop("_n", "_k")
 
 
 def month_block_label(day: Column, test_months: Sequence[int], val_units: Sequence[tuple[int, int]], first: str | None = None, last: str | None = None) -> Column:

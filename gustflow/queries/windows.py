@@ -71,10 +71,14 @@ def w06_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("station", "day", F.size("window").cast("long").alias("n"), total.alias("total")), "total")
 
 
-@register(REGISTRY, f"""WITH {HOURLY} SELECT station, CAST(ts + INTERVAL 6 HOURS AS DATE) AS day, count(*) AS hours FROM hourly GROUP BY 1, 2 HAVING count(*) = 3 AND count(DISTINCT hour(ts + INTERVAL 6 HOURS)) = 3""")
+@register(REGISTRY, f"""WITH {HOURLY}, full_hours AS (SELECT station % 2 AS station, date_trunc('hour', ts) AS ts, max(value) AS value FROM hourly GROUP BY 1, 2),
+days AS (SELECT station, CAST(ts - INTERVAL 3 HOURS AS DATE) AS day, count(*) AS hours, max(value) FILTER (hour(ts) = 3) AS first, max(value) FILTER (hour(ts) = 2) AS last FROM full_hours GROUP BY 1, 2)
+SELECT station, day, hours, round(first, 4) AS first, round(last, 4) AS last FROM days WHERE hours = 24""")
 def w07_hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = W.hourly_day_windows(hourly(spark, sf_dir), "station", "ts", ["value"], offset_hours=6, hours=3)
-    return made.select("station", "day", F.size("window").cast("long").alias("hours"))
+    full_hours = hourly(spark, sf_dir).groupBy((F.col("station") % 2).alias("station"), F.date_trunc("hour", "ts").alias("ts")).agg(F.max("value").alias("value"))
+    made = W.hourly_day_windows(full_hours, "station", "ts", ["value"], offset_hours=3)
+    out = made.select("station", "day", F.size("window").cast("long").alias("hours"), F.col("window")[0]["value"].alias("first"), F.col("window")[23]["value"].alias("last"))
+    return rounded(out, "first", "last")
 
 
 @register(REGISTRY, f"""WITH {_DENSE}, l AS (SELECT station, day, CASE WHEN y IS NULL THEN 'out' ELSE {_label_sql('day')} END AS label FROM dense),
@@ -184,9 +188,40 @@ def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(REGISTRY)
+#: Scores of arms, seasons, models and splits in two runs; some are unknown, some models diverge, some lack a test row.
+_SCORES = """scores AS (SELECT l_returnflag AS arm, quarter(l_shipdate) AS season, 'm' || l_suppkey % 13 AS model, CASE WHEN month(l_shipdate) % 3 = 0 THEN 'test' ELSE 'val' END AS split, l_linenumber % 2 AS tag,
+ round(avg(l_discount), 4) AS r2, round(avg(l_tax) * 10, 3) AS rmse_p90, round(avg(l_quantity), 2) AS rmse, count(*) FILTER (l_orderkey % 997 = 3) AS n_nonfinite FROM lineitem GROUP BY ALL),
+board AS (SELECT arm, season, model, split, CASE WHEN model = 'm4' THEN NULL ELSE round(avg(r2), 5) END AS r2, round(avg(rmse_p90), 5) AS rmse_p90, round(avg(rmse), 5) AS rmse, sum(n_nonfinite)::BIGINT AS n_nonfinite FROM scores WHERE NOT (model = 'm2' AND split = 'test') GROUP BY 1, 2, 3, 4)"""
+
+
+def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")
+    split = F.when(F.month("l_shipdate") % 3 == 0, "test").otherwise("val")
+    model = F.concat(F.lit("m"), (F.col("l_suppkey") % 13).cast("string"))
+    by_tag = l.groupBy(
+        F.col("l_returnflag").alias("arm"), F.quarter("l_shipdate").cast("long").alias("season"), model.alias("model"), split.alias("split"), (F.col("l_linenumber") % 2).alias("tag")
+    ).agg(
+        F.round(F.avg("l_discount"), 4).alias("r2"), F.round(F.avg("l_tax") * 10, 3).alias("rmse_p90"), F.round(F.avg("l_quantity"), 2).alias("rmse"),
+        F.count_if(F.col("l_orderkey") % 997 == 3).alias("n_nonfinite"),
+    )
+    board = by_tag.filter("NOT (model = 'm2' AND split = 'test')").groupBy("arm", "season", "model", "split").agg(
+        *(F.round(F.avg(c), 5).alias(c) for c in ("r2", "rmse_p90", "rmse")), F.sum("n_nonfinite").alias("n_nonfinite")
+    )
+    return board.withColumn("r2", F.when(F.col("model") != "m4", F.col("r2")))
+
+
+@register(REGISTRY, f"""WITH RECURSIVE {_SCORES}, sound AS (SELECT *, r2 >= max(r2) OVER (PARTITION BY arm, season) - 0.003 AS near FROM board WHERE split = 'val' AND r2 IS NOT NULL AND rmse_p90 IS NOT NULL AND n_nonfinite = 0),
+queue AS (SELECT *, row_number() OVER (PARTITION BY arm, season ORDER BY near DESC, CASE WHEN near THEN rmse_p90 ELSE -r2 END, model) AS pos FROM sound),
+step AS (SELECT arm, season, 0::BIGINT AS pos, []::STRUCT(model VARCHAR, r2 DOUBLE, p90 DOUBLE, omitted VARCHAR[])[] AS taken FROM (SELECT DISTINCT arm, season FROM queue)
+ UNION ALL SELECT arm, season, s.pos + 1, CASE WHEN len(twins) = 0 THEN list_append(taken, {{'model': model, 'r2': r2, 'p90': rmse_p90, 'omitted': []::VARCHAR[]}})
+   ELSE list_transform(taken, lambda e: CASE WHEN e.model = twins[1].model THEN {{'model': e.model, 'r2': e.r2, 'p90': e.p90, 'omitted': list_append(e.omitted, model)}} ELSE e END) END
+ FROM (SELECT s.*, q.model, q.r2, q.rmse_p90, list_filter(taken, lambda e: abs(e.r2 - q.r2) <= 0.0004 AND abs(e.p90 - q.rmse_p90) <= 0.004) AS twins FROM step s JOIN queue q ON q.arm = s.arm AND q.season = s.season AND q.pos = s.pos + 1 WHERE len(taken) < 4) s),
+done AS (SELECT arm, season, unnest(taken) AS e, generate_subscripts(taken, 1) AS rank FROM (SELECT arm, season, first(taken ORDER BY pos DESC) AS taken FROM step GROUP BY 1, 2))
+SELECT d.arm, d.season, d.rank::BIGINT AS rank, e.model AS model, e.r2 AS r2_val, e.p90 AS rmse_p90_val, t.r2 AS r2_test, t.rmse AS rmse_test, t.rmse_p90 AS rmse_p90_test, round(e.r2 - t.r2, 8) AS gap_r2, array_to_string(e.omitted, ', ') AS omitted
+FROM done d LEFT JOIN board t ON t.arm = d.arm AND t.season = d.season AND t.model = e.model AND t.split = 'test'""")
 def w17_top_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.top_models(_models(spark, sf_dir).withColumn("n_nonfinite", F.lit(0)), ["arm"], 3)
+    top = S.top_models(_board(spark, sf_dir), ["arm", "season"], 4, slack=0.003, same_r2=0.0004, same_p90=0.004)
+    return rounded(top.withColumn("rank", F.col("rank").cast("long")), "gap_r2", places=8)
 
 
 @register(REGISTRY, f"WITH {HOURLY} SELECT station, kind, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY station, kind ORDER BY ts DESC, value) AS k FROM hourly) WHERE k = 1")

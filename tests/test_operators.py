@@ -181,10 +181,35 @@ def test_fallback_names_the_best(spark):
     assert r["pipeline"] == "q" and r["fallback_from"] == "p/x"
 
 
-def test_top_models_drop_twins(spark):
-    rows = [("a", "m1", 0.90, 1.0, 0), ("a", "m2", 0.9005, 1.005, 0), ("a", "m3", 0.88, 1.2, 0), ("a", "m4", 0.5, 0.1, 0), ("a", "bad", 0.95, 0.1, 3)]
-    df = spark.createDataFrame(rows, "arm string, model string, r2 double, rmse_p90 double, n_nonfinite int")
-    assert [r["model"] for r in S.top_models(df, ["arm"], 3).orderBy("rank").collect()] == ["m1", "m3", "m4"]
+def test_top_models_by_validation_with_their_twins_and_test_scores(spark):
+    nan = float("nan")
+    val = [("m1", 0.90, 1.0, 0), ("m2", 0.9005, 1.005, 0), ("m3", 0.88, 1.2, 0), ("m4", 0.5, 0.1, 0), ("bad", 0.95, 0.1, 3), ("none", None, 0.1, 0), ("nan", nan, 0.1, 0), ("m5", 0.6, None, 0)]
+    rows = [("a", m, "val", r2, 9.0, p90, n) for m, r2, p90, n in val] + [("a", "m1", "test", 0.7, 2.0, 3.0, 0), ("a", "m4", "test", 0.9, 2.5, 3.5, 0)]
+    df = spark.createDataFrame(rows, "arm string, model string, split string, r2 double, rmse double, rmse_p90 double, n_nonfinite int")
+    got = S.top_models(df, ["arm"], 3).orderBy("rank").collect()
+    assert [(r["model"], r["omitted"], r["r2_test"], r["rmse_test"]) for r in got] == [("m1", "m2", 0.7, 2.0), ("m3", "", None, None), ("m4", "", 0.9, 2.5)]
+    assert got[0]["gap_r2"] == pytest.approx(0.2) and got[1]["gap_r2"] is None
+    assert [r["model"] for r in S.top_models(df, ["arm"], 1).collect()] == ["m1"]
+    assert S.top_models(df.filter("false"), ["arm"], 3).count() == 0
+
+
+def test_hour_windows_follow_the_offset_and_refuse_bad_hours(spark):
+    times = [f"2020-01-0{1 + h // 24} {h % 24:02d}:00:00" for h in range(3, 51)]  # two days from 03:00
+    df = spark.createDataFrame([("s", t, float(k)) for k, t in enumerate(times)], "s string, t string, v double").withColumn("t", F.col("t").cast("timestamp"))
+    got = W.hourly_day_windows(df, "s", "t", ["v"], offset_hours=3).orderBy("day").collect()
+    assert [(str(r["day"]), len(r["window"]), r["window"][0]["v"]) for r in got] == [("2020-01-01", 24, 0.0), ("2020-01-02", 24, 24.0)]
+    assert [str(r["day"]) for r in W.hourly_day_windows(df, "s", "t", ["v"]).collect()] == ["2020-01-02"]
+    for bad in (df.limit(1).unionByName(df), df.withColumn("t", F.expr("t + interval 1 minute"))):
+        with pytest.raises(Exception, match="twice|full hour"):
+            W.hourly_day_windows(bad, "s", "t", ["v"]).collect()
+
+
+def test_losses_are_paired_before_they_are_averaged(spark):
+    inf = float("inf")
+    rows = [("w", "a", 1, 2.0), ("w", "b", 1, 4.0), ("k", "a", 1, 1.0), ("k", "b", 1, None), ("w", "a", 2, inf), ("k", "a", 2, 1.0), ("w", "a", 3, 3.0), ("k", "c", 3, 1.0)]
+    df = spark.createDataFrame([("m", *r) for r in rows] + [("n", "w", "a", 1, 3.0), ("n", "k", "a", 1, 0.0)], "model string, arm string, station string, day int, e double")
+    got = {r["day"]: r["d"] for r in I.loss_differential(df, "day", "arm", ["model"], "e", "w", "k").collect()}
+    assert got == {1: (3.0 + 9.0) / 2, 2: None, 3: None}
 
 
 def test_joins_are_validated(spark):
@@ -345,6 +370,13 @@ def test_diebold_mariano_by_hand(spark):
         z = np.array(x) - np.mean(x)
         var = z @ z / days + sum(2 * (1 - k / 6) * (z[k:] @ z[:-k]) / days for k in range(1, 6))
         assert r["dm"] == pytest.approx(np.mean(x) / math.sqrt(var / days) * math.sqrt((days - 1) / days))
+    # a day without a value stays in its run of days, so what follows it is paired with what came before
+    x = [1.0 + math.sin(k) for k in range(30)]
+    df = spark.createDataFrame([(k, None if k == 11 else v) for k, v in enumerate(x)], "k int, d double").withColumn("day", F.expr("date_add(DATE '2020-01-01', k)"))
+    z = np.array(x[:11] + x[12:])
+    mean, z = z.mean(), z - z.mean()
+    var = z @ z / 29 + sum(2 * (1 - k / 6) * (z[k:] @ z[:-k]) / 29 for k in range(1, 6))
+    assert I.diebold_mariano(df, "day", "d").first()["dm"] == pytest.approx(mean / math.sqrt(var / 29) * math.sqrt(28 / 29))
     # table values of Student's t
     for t, n, p in ((2.228, 10, 0.05), (1.0, 1, 0.5), (2.0, 2, 0.18350342), (0.0, 5, 1.0), (12.0, 2863, 2.2e-32)):
         assert I.student_two_sided(t, n) == pytest.approx(p, rel=0.05)
