@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import gust_factor
+from .gram import correlation_matrix
 
 #: Harmonics of the climatology, and the samples a station needs.
 HARMONICS, LEAST_SAMPLES = 3, 30
@@ -309,9 +310,8 @@ def oversampled(df: DataFrame, y: str, power: float = 2.0) -> DataFrame:
 
 
 def within_group_correlation(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    """Correlation of a and b after their group means are taken away."""
-    w = Window.partitionBy(group)
-    return df.select((F.col(a) - F.avg(a).over(w)).alias("_a"), (F.col(b) - F.avg(b).over(w)).alias("_b")).agg(F.corr("_a", "_b").alias("corr"))
+    """Correlation of a and b after their group means are taken away; rows that lack either do not count."""
+    return correlation_matrix(df, [a, b], [group]).select("corr")
 
 
 def variance_parts(df: DataFrame, station: str, day: str, value: str) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import huber, pinball
 from ..operators import features as X
+from ..operators import gram as G
 from ..operators import learning as L
 from ..operators import metrics as M
+from ..plans import models as K
 from .tables import PANEL, panel, register, rounded, table
 
 REGISTRY: dict = {}
@@ -119,3 +121,89 @@ def x34_safe_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = (F.col("station") % 10 == 3) & (F.col("day") == F.lit("1997-01-08").cast("date"))
     p = panel(spark, sf_dir).withColumn("p", F.when(odd, float("nan")).otherwise(F.col("pred")))
     return rounded(M.safe_metrics(p, ["cluster"], "y", "p").select("cluster", "n_nonfinite", "rmse"), "rmse")
+
+
+#: Parts of the year as the study parts it, and the arms that are screened.
+_PARTS = "CASE WHEN month(day) IN (1, 4, 7, 10) THEN 'test' WHEN month(day) IN (2, 8) THEN 'val' ELSE 'train' END"
+_ARMS = {"wind": ["proxy"], "wind_and_day": ["proxy", "doy"]}
+_FEATURES = ["proxy", "doy"]
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel(spark, sf_dir).withColumn("doy", F.dayofyear("day").cast("double"))
+    return p.withColumn("part", F.when(F.month("day").isin(1, 4, 7, 10), "test").when(F.month("day").isin(2, 8), "val").otherwise("train"))
+
+
+def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training and validation matrices of each cluster and season, and of all seasons: one read of the panel."""
+    made = G.gram_matrices(_parts(spark, sf_dir).filter("part <> 'test'"), ["cluster", "part", "season"], _FEATURES, "y")
+    every = G.seasonal_and_pooled(made, "season", ["cluster", "part"], G.gram_size(_FEATURES))
+    return G.side_by_side(every, ["cluster", "season"], "part", {"train": "gram", "val": "val"})
+
+
+#: Moments of each cluster, part and season, and of all seasons; least squares and ridge (1 on standardised features) by their closed forms.
+_MOMENTS = f"""{PANEL}, parts AS (SELECT *, dayofyear(day)::DOUBLE AS doy, {_PARTS} AS part FROM panel),
+grouped AS (SELECT cluster, part, season, y, proxy, doy FROM parts UNION ALL SELECT cluster, part, 'ALL', y, proxy, doy FROM parts),
+mom AS (SELECT cluster, part, season, count(*) AS n, avg(y) AS my, avg(proxy) AS m1, avg(doy) AS m2, stddev_pop(proxy) AS s1, stddev_pop(doy) AS s2, var_pop(y) AS vy,
+ covar_pop(proxy, doy) AS c12, covar_pop(proxy, y) AS c1, covar_pop(doy, y) AS c2 FROM grouped GROUP BY 1, 2, 3),
+solved AS (SELECT cluster, season, n, my, m1, m2, arm, model, c1 / s1 AS r1, c2 / s2 AS r2, s1, s2, 1 + k / n AS d, CASE WHEN arm = 'wind' THEN 0 ELSE c12 / (s1 * s2) END AS r12
+ FROM mom CROSS JOIN (VALUES ('wind'), ('wind_and_day')) a(arm) CROSS JOIN (VALUES ('least_squares', 0.0), ('ridge', 1.0)) b(model, k) WHERE part = 'train' AND n >= 20),
+lines AS (SELECT cluster, season, arm, model, n, CASE WHEN arm = 'wind' THEN r1 / d ELSE (r1 * d - r2 * r12) / (d * d - r12 * r12) END / s1 AS b1,
+ CASE WHEN arm = 'wind' THEN 0 ELSE (r2 * d - r1 * r12) / (d * d - r12 * r12) / s2 END AS b2, my, m1, m2 FROM solved),
+fits AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0 FROM lines),
+evaluated AS (SELECT f.cluster, f.season, f.arm, f.model, f.n, count(*) AS n_eval, sqrt(avg((b0 + b1 * proxy + b2 * doy - y) ** 2)) AS rmse, avg(b0 + b1 * proxy + b2 * doy - y) AS bias,
+ CASE WHEN var_pop(y) > 1e-9 THEN 1 - avg((b0 + b1 * proxy + b2 * doy - y) ** 2) / var_pop(y) END AS r2 FROM fits f JOIN grouped g ON g.cluster = f.cluster AND g.season = f.season AND g.part = 'val' GROUP BY ALL)"""
+
+
+@register(REGISTRY, f"WITH {_MOMENTS} SELECT cluster, season, arm, model, n, round(b1, 7) AS proxy, round(b2, 5) AS doy, round(b0, 3) AS intercept FROM fits")
+def x21_x26_fits_by_cluster_and_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = G.fitted(_grams(spark, sf_dir), ["cluster", "season"], _FEATURES, _ARMS, ["least_squares", "ridge"])
+    b = lambda c: F.coalesce(F.try_element_at(F.map_from_arrays("features", "coefficients"), F.lit(c)), F.lit(0.0))
+    return fits.select("cluster", "season", "arm", "model", "n", F.round(b("proxy"), 7).alias("proxy"), F.round(b("doy"), 5).alias("doy"), F.round("intercept", 3).alias("intercept"))
+
+
+@register(REGISTRY, f"WITH {_MOMENTS} SELECT cluster, season, arm, model, n, n_eval, round(rmse, 2) AS rmse, round(bias, 2) AS bias, round(r2, 5) AS r2 FROM evaluated")
+def x21_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models x arms in each cluster and {ALL, four seasons}, with their errors on the validation rows."""
+    fits = G.fitted(_grams(spark, sf_dir), ["cluster", "season", "val"], _FEATURES, _ARMS, ["least_squares", "ridge"])
+    found = G.errors_of(fits, "val", _FEATURES)
+    return rounded(rounded(found.select("cluster", "season", "arm", "model", "n", "n_eval", "rmse", "bias", "r2"), "rmse", "bias", places=2), "r2", places=5)
+
+
+@register(REGISTRY, f"""WITH {_MOMENTS}, best AS (SELECT *, row_number() OVER (PARTITION BY cluster, season ORDER BY round(r2, 9) DESC, arm, model) AS k FROM evaluated WHERE r2 IS NOT NULL AND (season = 'ALL' OR n >= 60)),
+kept AS (SELECT f.* FROM best b JOIN fits f USING (cluster, season, arm, model) WHERE k = 1)
+SELECT p.station, p.day, CASE WHEN o.cluster IS NOT NULL THEN p.season WHEN a.cluster IS NOT NULL THEN 'ALL' END AS model_season,
+ round(least(greatest(coalesce(o.b0 + o.b1 * proxy + o.b2 * doy, a.b0 + a.b1 * proxy + a.b2 * doy), 0), 80000), 2) AS y_pred
+FROM parts p LEFT JOIN kept o ON o.cluster = p.cluster AND o.season = p.season LEFT JOIN kept a ON a.cluster = p.cluster AND a.season = 'ALL' WHERE part = 'test'""")
+def k12_x27_grid_by_kept_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The champion of each cluster and season with enough rows, else of its cluster, on the test rows."""
+    fits = G.fitted(_grams(spark, sf_dir), ["cluster", "season", "val"], _FEATURES, _ARMS, ["least_squares", "ridge"])
+    scored = G.errors_of(fits, "val", _FEATURES).withColumn("r2", F.round("r2", 9))
+    best = K.champions(scored.filter("season = 'ALL' OR n >= 60"), ["cluster", "season"])
+    table_of = K.model_table(best, ["cluster", "season"], "months 1, 4, 7, 10 test; 2, 8 val")
+    grid = _parts(spark, sf_dir).filter("part = 'test'").select("station", "day", "cluster", "season", "proxy", "doy")
+    out = K.score_grid(grid, table_of, _FEATURES, clip=(0.0, 80000.0))
+    return rounded(out.select("station", "day", "model_season", "y_pred"), "y_pred", places=2)
+
+
+_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register(REGISTRY, f"""WITH c AS (SELECT {', '.join(f'{c} - avg({c}) OVER (PARTITION BY l_suppkey) AS {c}' for c in _NUMBERS)} FROM lineitem),
+w AS (SELECT {', '.join(f"corr({a}, {b}) AS {a}__{b}" for k, a in enumerate(_NUMBERS) for b in _NUMBERS[k + 1:])} FROM c)
+{' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, round({a}__{b}, 8) AS corr FROM w" for k, a in enumerate(_NUMBERS) for b in _NUMBERS[k + 1:])}""")
+def a27_correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of lineitem's numbers, within suppliers."""
+    return rounded(G.correlation_matrix(table(spark, sf_dir, "lineitem"), _NUMBERS, ["l_suppkey"]), "corr", places=8)
+
+
+@register(REGISTRY, """WITH h AS (SELECT CAST(ts AS DATE) AS day, user_id % 50 AS s, max(value) AS y, """ + ", ".join(f"avg(value) FILTER (hour(ts) // 4 = {k}) AS v{k}, count(*) FILTER (hour(ts) // 4 = {k})::DOUBLE AS n{k}" for k in range(6)) + """ FROM events GROUP BY 1, 2),
+c AS (""" + " UNION ALL ".join(f"SELECT '{v}' AS variable, {k} AS hour, corr({x}{k}, y) AS corr FROM h" for v, x in (("mean", "v"), ("count", "n")) for k in range(6)) + """)
+SELECT variable, hour, round(corr, 6) AS corr FROM (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY abs(corr) DESC, hour) AS k FROM c) WHERE k = 1""")
+def a27_best_hour_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of four-hour stretches the one whose mean or number of events goes best with the day's greatest value."""
+    at = lambda k: (F.hour("ts") / 4).cast("int") == k
+    h = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), (F.col("user_id") % 50).alias("s")).agg(
+        F.max("value").alias("y"), *(F.avg(F.when(at(k), F.col("value"))).alias(f"v{k}") for k in range(6)), *(F.count_if(at(k)).cast("double").alias(f"n{k}") for k in range(6))
+    )
+    return rounded(G.best_hour_correlation(h, {"mean": {k: f"v{k}" for k in range(6)}, "count": {k: f"n{k}" for k in range(6)}}, "y"), "corr", places=6)

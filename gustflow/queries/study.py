@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import features as X
+from ..operators import gram as G
 from ..operators import relations as R
 from ..operators.windows import longest_run
 from .inference import _RESID, residuals
@@ -184,6 +185,21 @@ def x15_holdout_climatology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("fold").agg(F.count("*").alias("n_eval"), F.sqrt(F.avg(F.pow(F.col("clim") - F.col("y"), 2))).alias("rmse"))
 
 
+@register(REGISTRY, f"""WITH {_HELD}, folds AS (SELECT DISTINCT cluster, fold FROM held),
+fits AS (SELECT f.cluster, f.fold, count(*) AS n_train, regr_slope(y, proxy) AS b, regr_intercept(y, proxy) AS a FROM folds f JOIN held h ON h.cluster = f.cluster AND h.fold <> f.fold AND label = 'train' GROUP BY 1, 2 HAVING count(*) >= 20)
+SELECT cluster, fold, n_train, count(*) AS n_eval, round(sqrt(avg((a + b * proxy - y) ** 2)), 2) AS rmse FROM fits JOIN held USING (cluster, fold) WHERE label = 'test' GROUP BY 1, 2, 3""")
+def x15_refitted_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster's model refitted without the fold's stations, on the fold's test rows: one read, matrices subtracted."""
+    held = _held(spark, sf_dir)
+    size, both = G.gram_size(["proxy"]), {"train": "gram", "test": "test"}
+    grams = G.side_by_side(G.gram_matrices(held, ["cluster", "fold", "label"], ["proxy"], "y"), ["cluster", "fold"], "label", both)
+    none = F.array_repeat(F.lit(0.0), size)  # a fold without training rows has nothing to take away
+    rest = G.without_own(grams.withColumn("gram", F.coalesce("gram", none)), ["cluster"], "fold", size, keep=["test"])
+    fits = G.fitted(rest, ["cluster", "fold", "test"], ["proxy"], {"wind": ["proxy"]}, ["least_squares"])
+    found = G.errors_of(fits, "test", ["proxy"])
+    return rounded(found.select("cluster", "fold", F.col("n").alias("n_train"), "n_eval", "rmse"), "rmse", places=2)
+
+
 @register(REGISTRY, f"WITH {PANEL}, f AS (SELECT cluster, season, count(*) AS n FROM panel GROUP BY 1, 2) SELECT cluster, season, n FROM f WHERE n >= 500")
 def x35_least_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(spark, sf_dir).groupBy("cluster", "season").agg(F.count("*").alias("n")).filter("n >= 500")
