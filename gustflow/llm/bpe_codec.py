@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import private
+
 #: Words and parts of texts that a worker remembers in each of two generations, and the longest of them: its memory's bound.
-WORDS, PARTS, LONGEST = 400_000, 150_000, 64
+WORDS, PARTS, LONGEST = 250_000, 100_000, 64
 #: Characters of a text that are looked up at once.
 STRETCH = 1 << 20
 #: A Latin-1 part in lower case of letters, then marks but the apostrophe, which may begin a word of its own.
@@ -186,6 +188,20 @@ def decoded(ids: Column, path: str) -> Column:
     return texts(ids)
 
 
+def coded(text: Column, path: str) -> Column:
+    """struct<ids: array<int>, decoded: string> of a text column: ``encoded`` and ``decoded`` in one pass of one worker."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = _codec(path)
+        for texts in batches:
+            found = [codec.encode(t.as_py()) for t in texts]
+            back = pa.array([codec.decode(np.frombuffer(f, "<i4")) for f in found], pa.string())
+            yield pa.StructArray.from_arrays([_lists(found), back], ["ids", "decoded"])
+
+    return both(text)
+
+
 def encode_and_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with ids (array<int>), n_tokens (long) and decoded (string) of each whole text.
 
@@ -193,5 +209,7 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text") -> DataFra
     and all other columns stay; columns of docs named like the results give way. An empty table gives no
     rows. Nothing is shuffled; a task holds one batch of texts and a bounded memory of parts.
     """
-    coded = docs.withColumn("ids", encoded(F.col(text), path))
-    return coded.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded": decoded(F.col("ids"), path)})
+    own = private(docs) + "coded"
+    both = docs.withColumn(own, coded(F.col(text), path))
+    made = {"ids": F.col(f"{own}.ids"), "n_tokens": F.size(f"{own}.ids").cast("long"), "decoded": F.col(f"{own}.decoded")}
+    return both.withColumns(made).drop(own)

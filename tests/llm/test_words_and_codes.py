@@ -50,6 +50,8 @@ def test_codec_is_the_librarys(spark, docs):
         assert r["ids"] == ids and r["n_tokens"] == len(ids)
         assert r["decoded"] == LIBRARY.decode(ids, skip_special_tokens=False)
     assert bpe_codec.encode_and_decode(docs.filter("false"), PATH).count() == 0
+    apart = docs.select("text", bpe_codec.encoded(F.col("text"), PATH).alias("x")).withColumn("y", bpe_codec.decoded(F.col("x"), PATH))
+    assert sorted(map(str, ((r["text"], r["x"], r["y"]) for r in apart.collect()))) == sorted(map(str, ((r["text"], r["ids"], r["decoded"]) for r in got)))
 
 
 @settings(max_examples=200, deadline=None)
