@@ -92,9 +92,13 @@ def mix(
     lacking = cut.filter(F.col("_taken") < F.col("target"))
     gap = F.col("target") - F.col("_taken")
     off = F.abs(F.col("size") - gap)
+    # rows alike in the key are one document here too: they are taken together, so their sizes count together
     fillers = (
         _with_source(narrow, lacking, "source", F.col("key"))
-        .filter((rounds(F.col("key")) < epochs) & (off < gap))
+        .filter((rounds(F.col("key")) < epochs) & (F.col("size") < 2 * gap))
+        .groupBy("source", "key", "target", "_taken")
+        .agg(F.sum("size").alias("size"))
+        .filter(off < gap)
         .groupBy("source")
         .agg(F.min(F.struct(off.alias("off"), F.col("key").alias("key"))).alias("_f"))
         .select(F.col("source").alias("_fs"), F.col("_f.key").alias("_filler"))
