@@ -3,12 +3,15 @@
 A text is cut into units: words, and every letter of a script that is written without spaces by itself.
 A k-mer is a run of so many units. Each occurrence of a k-mer gets a number, counted from the text's
 start, so that k-mers that repeat count as often as they come. A fingerprint has a fixed number of places;
-each has a hash function of its own over (k-mer, number). At a place the two occurrences with the least
-hashes are selected, put back into the order that they have in the text, and hashed as a tuple. So a
+each has two hash functions of its own over (k-mer, number). At a place the occurrence with the least hash
+under each is selected, both are put back into the order that they have in the text, and hashed as a tuple. So a
 fingerprint tells texts apart that have the same k-mers in another order, and its likeness falls with the
 edit distance, not only with the change of a set.
 
-Hashes have 64 bits, positions are numbers of their own, and no step costs more than n log n for n units.
+Occurrences become rows, and a text's minima are plain aggregates over them: each row costs a hash and a comparison
+for each function, in compiled code, whatever the number of places. What is compared carries its position: 43 bits of
+hash, then 21 of the position (of texts beyond 2**21 units, of the position's part of the whole). Texts
+themselves never travel with their k-mers.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import let, materialise
 
 #: Places of a fingerprint, and units of a k-mer.
-PLACES, UNITS = 16, 2
+PLACES, UNITS = 32, 2
+#: Bits of a position beside a hash.
+POSITION = 21
 #: Rows of a range of ids that is put in order by one task, about.
 RANGE_ROWS = 250_000
 
@@ -68,39 +73,33 @@ def _numbered(kmers: Column) -> Column:
     return let(marked, both)
 
 
-def _place(kmers: Column, at: Column, hashes: Column) -> Column:
-    """The hash of the two occurrences with the least of ``hashes``, in text order (of one where there is but one)."""
+def signatures(texts: DataFrame, keys: list[str], text: str = "text", places: int = PLACES, units: int = UNITS) -> DataFrame:
+    """keys and bins (an array of ``places`` numbers, empty for a text without units) of each distinct value of the keys.
 
-    def tuple_of(h: Column, least: Column) -> Column:
-        found = lambda value: (F.array_position(h, value) - 1).cast("int")
-        return let(F.struct(found(least).alias("one"), found(F.array_min(F.array_remove(h, least))).alias("other")), ordered)
-
-    def ordered(two: Column) -> Column:
-        one, other = two["one"], two["other"]
-        first, second = F.get(kmers, one), F.get(kmers, other)
-        return (
-            F.when(other.isNull(), F.xxhash64(first))
-            .when(F.get(at, one) < F.get(at, other), F.xxhash64(first, second))
-            .otherwise(F.xxhash64(second, first))
-        )
-
-    return let(hashes, lambda h: let(F.array_min(h), lambda least: tuple_of(h, least)))
-
-
-def fingerprint(text: Column, places: int = PLACES, units: int = UNITS) -> Column:
-    """An array of ``places`` numbers, empty for a text without units; null counts as empty.
-
-    Equal texts have equal fingerprints. A text of fewer units than a k-mer's is one k-mer.
+    Rows with equal keys must have equal texts. Null texts count as empty; equal texts have equal fingerprints. A
+    text of fewer units than a k-mer's is one k-mer. Occurrences meet their key's others within a task before anything
+    is shuffled: a row for each key goes on.
     """
+    most = 1 << POSITION
+    placed = let(
+        let(_kmers(F.col(text), units), _numbered),
+        lambda found: F.when(F.size(found) <= most, found).otherwise(
+            F.transform(found, lambda k: F.struct(k["x"].alias("x"), (k["at"].cast("long") * most / F.size(found)).cast("int").alias("at")))
+        ),
+    )
+    # outer: else Spark would compute the array once more, to leave out the empty ones
+    rows = texts.select(*keys, F.inline_outer(placed))
+    low = most - 1
+    drawn = lambda j: F.xxhash64("x", F.lit(j)).bitwiseAND(F.lit(~low)).bitwiseOR(F.col("at").cast("long"))
+    minima = rows.groupBy(*keys).agg(F.count("x").alias("_n"), *(F.min(drawn(j)).alias(f"_m{j}") for j in range(2 * places)))
 
-    def of(kmers: Column, at: Column) -> Column:
-        drawn = F.transform(
-            F.sequence(F.lit(1), F.lit(places)), lambda j: _place(kmers, at, F.transform(kmers, lambda x: F.xxhash64(x, j)))
-        )
-        return F.when(F.size(kmers) > 0, drawn).otherwise(F.array().cast("array<bigint>"))
+    def in_order(a: Column, b: Column) -> Column:
+        of = lambda v: F.shiftright(v, POSITION)
+        first = a.bitwiseAND(F.lit(low)) <= b.bitwiseAND(F.lit(low))
+        return F.when(first, F.xxhash64(of(a), of(b))).otherwise(F.xxhash64(of(b), of(a)))
 
-    apart = let(let(_kmers(text, units), _numbered), lambda n: F.struct(n["x"].alias("x"), n["at"].alias("at")))
-    return let(apart, lambda n: let(n["x"], lambda x: let(n["at"], lambda at: of(x, at))))
+    tuples = F.array(*(in_order(F.col(f"_m{2 * j}"), F.col(f"_m{2 * j + 1}")) for j in range(places)))
+    return minima.select(*keys, F.when(F.col("_n") > 0, tuples).otherwise(F.array().cast("array<bigint>")).alias("bins"))
 
 
 def as_text(bins: Column) -> Column:
@@ -148,7 +147,7 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
 
     A whole text is shuffled once, by its key. What goes on to the document before is no more of a text than
     that document's edit takes, and the fingerprint. Each text is fingerprinted once before and its
-    edited text once after.
+    edited text once after; fingerprints come back to the texts by the key, which both are partitioned by.
     """
     zero = F.lit("0").cast(docs.schema[doc].dataType)
     rows = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(
@@ -165,9 +164,9 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
         after.select(*(F.col(f"_to.{k}").alias(k) for k in key), F.lit(1).alias("_given"), "_cut", F.struct(*key).alias("_by"))
     )
     # both sides of the join below read one exchange of this
-    keyed = rows.select(*key, "text", "n_chars", fingerprint(F.col("text")).alias("bins")).withColumn(
-        "_copy", F.row_number().over(Window.partitionBy(*key).orderBy("n_chars"))
-    )
+    prints = signatures(rows, key).withColumnsRenamed({k: f"_p{k}" for k in key})
+    keyed = rows.select(*key, "text", "n_chars").withColumn("_copy", F.row_number().over(Window.partitionBy(*key).orderBy("n_chars")))
+    keyed = keyed.join(prints, [F.col(k) == F.col(f"_p{k}") for k in key]).select(*key, "_copy", "text", "n_chars", "bins")
     one = asked.select(*(F.col(k).alias(f"_of{k}") for k in key), "_given", "_cut", "_by")
     met = reduce(Column.__and__, (F.col(k) == F.col(f"_of{k}") for k in key))
     given = keyed.join(one, met & (F.col("_copy") <= F.col("_given"))).select(
@@ -182,6 +181,10 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
         .withColumn("_begin", F.coalesce("_begin", F.substring("text", F.lit(1), cut)))
         .withColumn("next_bins", F.coalesce("next_bins", "bins"))
         .withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), "_begin"))
-        .withColumn("doc_id", F.when(~F.col("_null"), F.col("_id")))
     )
-    return met.select("doc_id", "text", "n_chars", "edited", "bins", fingerprint(F.col("edited")).alias("edited_bins"), "next_bins")
+    # the first of some equal rows has an edited text of its own, the others have one in common
+    row = [*key, "_copy"]
+    after_edit = signatures(met.select(*row, "edited"), row, "edited").withColumnsRenamed({**{k: f"_e{k}" for k in row}, "bins": "edited_bins"})
+    return met.join(after_edit, [F.col(k) == F.col(f"_e{k}") for k in row]).select(
+        F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), "text", "n_chars", "edited", "bins", "edited_bins", "next_bins"
+    )

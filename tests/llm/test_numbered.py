@@ -326,33 +326,47 @@ def test_fingerprints_know_order_and_occurrences(spark):
     words = [f"w{k}" for k in range(300)]
     texts = {"same": words, "shuffled": words[150:] + words[:150], "doubled": words * 2, "other": [f"v{k}" for k in range(300)]}
     df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "name string, text string")
-    f = df.select("name", order_minhash.fingerprint(F.col("text"), 64).alias("f"))
+    f = order_minhash.signatures(df, ["name"], places=64).select("name", F.col("bins").alias("f"))
     base = f.filter("name = 'same'").select(F.col("f").alias("g"))
     got = {r["name"]: r["x"] for r in f.crossJoin(base).select("name", order_minhash.likeness(F.col("f"), F.col("g")).alias("x")).collect()}
     assert got["same"] == 1.0 and got["other"] == 0.0 and 0.1 < got["shuffled"] < 0.9 and got["doubled"] < 0.9
 
 
-def test_fingerprints_are_the_minima_of_each_place(spark, docs):
-    """Brute force: k-mers as rows, numbered by a window, and each place's order sorted whole."""
+@pytest.mark.parametrize("bits", [21, 5])
+def test_fingerprints_are_the_minima_of_each_place(spark, docs, monkeypatch, bits):
+    """Brute force: k-mers as rows, numbered by a window, and each place's two orders sorted whole."""
+    monkeypatch.setattr(order_minhash, "POSITION", bits)  # with 5 bits positions beyond 32 are parts of the whole
     random.seed(12)
     texts = [t or "" for t in TEXTS[:8]] + [" ".join(random.choices("abc", k=n)) for n in (2, 3, 40, 200)] + ["漢字テスト漢字 x"]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
-    rows = []
+    rows, count = [], {}
     for k, t in enumerate(texts):
         units = re.findall(order_minhash._UNIT.replace(r"\x{20000}-\x{3FFFF}", "\U00020000-\U0003FFFF"), t)
         width = min(2, len(units))
-        rows += [(k, i, *(units[i : i + width] + [None])[:2]) for i in range(len(units) - width + 1)] if units else []
+        count[k] = len(units) - width + 1 if units else 0
+        rows += [(k, i, *(units[i : i + width] + [None])[:2]) for i in range(count[k])]
     kmers = spark.createDataFrame(rows, "k int, at int, a string, b string").withColumn("h", F.xxhash64("a", "b"))
     number = F.row_number().over(Window.partitionBy("k", "h").orderBy("at")) - 1
-    placed = kmers.withColumn("x", F.xxhash64("h", number)).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(8))))
-    rank = F.row_number().over(Window.partitionBy("k", "j").orderBy(F.xxhash64("x", "j")))
-    two = placed.withColumn("rank", rank).filter("rank <= 2").groupBy("k", "j").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("t"))
-    hashed = F.when(F.size("t") == 1, F.xxhash64(F.col("t")[0]["x"])).otherwise(F.xxhash64(F.col("t")[0]["x"], F.get("t", F.lit(1))["x"]))
+    placed = kmers.withColumn("x", F.xxhash64("h", number)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    low = (1 << bits) - 1
+    best = {}
+    for r in placed.select("k", "j", "at", F.xxhash64("x", "j").alias("v")).collect():
+        at = r["at"] if count[r["k"]] <= low + 1 else r["at"] * (low + 1) // count[r["k"]]
+        v = r["v"] & ~low | at
+        best[r["k"], r["j"]] = min(v, best.get((r["k"], r["j"]), v))
+    pairs = []
+    for k in range(len(texts)):
+        for p in range(8 if count[k] else 0):
+            a, b = best[k, 2 * p], best[k, 2 * p + 1]
+            a, b = (a, b) if a & low <= b & low else (b, a)
+            pairs.append((k, p, a >> bits, b >> bits))
     want = {}
-    for r in two.select("k", "j", hashed.alias("v")).collect():
-        want.setdefault(r["k"], {})[r["j"]] = r["v"]
-    for r in df.select("k", order_minhash.fingerprint(F.col("text"), 8).alias("f")).collect():
-        assert r["f"] == [v for _, v in sorted(want.get(r["k"], {}).items())]
+    for r in spark.createDataFrame(pairs, "k int, p int, a long, b long").select("k", "p", F.xxhash64("a", "b").alias("v")).collect():
+        want.setdefault(r["k"], {})[r["p"]] = r["v"]
+    got = order_minhash.signatures(df, ["k"], places=8).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["bins"] == [v for _, v in sorted(want.get(r["k"], {}).items())]
 
 
 def test_next_documents_in_ranges(spark, monkeypatch):
