@@ -163,28 +163,29 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     asked = materialise(
         after.select(*(F.col(f"_to.{k}").alias(k) for k in key), F.lit(1).alias("_given"), "_cut", F.struct(*key).alias("_by"))
     )
-    # both sides of the join below read one exchange of this
-    prints = signatures(rows, key).withColumnsRenamed({k: f"_p{k}" for k in key})
-    keyed = rows.select(*key, "text", "n_chars").withColumn("_copy", F.row_number().over(Window.partitionBy(*key).orderBy("n_chars")))
-    keyed = keyed.join(prints, [F.col(k) == F.col(f"_p{k}") for k in key]).select(*key, "_copy", "text", "n_chars", "bins")
-    one = asked.select(*(F.col(k).alias(f"_of{k}") for k in key), "_given", "_cut", "_by")
-    met = reduce(Column.__and__, (F.col(k) == F.col(f"_of{k}") for k in key))
-    given = keyed.join(one, met & (F.col("_copy") <= F.col("_given"))).select(
-        *(F.col(f"_by.{k}").alias(k) for k in key),
-        F.lit(1).alias("_copy"),
-        F.substring("text", F.lit(1), F.col("_cut")).alias("_begin"),
-        F.col("bins").alias("next_bins"),
-    )
+    on = lambda prefix: reduce(Column.__and__, (F.col(k) == F.col(prefix + k) for k in key))
+    named = lambda df, prefix: df.withColumnsRenamed({k: prefix + k for k in key})
+    # all joins go by the key alone, so that whatever needs the texts reads one exchange of them
+    texts = rows.select(*key, "text", "n_chars").withColumn("_copy", F.row_number().over(Window.partitionBy(*key).orderBy("n_chars")))
+    one = named(asked.select(*key, "_given", "_cut", "_by"), "_of")
+    by = [F.col(f"_by.{k}").alias(f"_b{k}") for k in key]
+    begins = texts.join(one, on("_of") & (F.col("_copy") <= F.col("_given"))).select(*by, F.substring("text", F.lit(1), F.col("_cut")).alias("_begin"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
-    met = (
-        keyed.join(given, [*key, "_copy"], "left")
-        .withColumn("_begin", F.coalesce("_begin", F.substring("text", F.lit(1), cut)))
-        .withColumn("next_bins", F.coalesce("next_bins", "bins"))
-        .withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), "_begin"))
+    begin = F.coalesce("_begin", F.substring("text", F.lit(1), cut))
+    met = texts.join(begins, on("_b") & (F.col("_copy") == 1), "left").select(
+        *key, "_copy", "text", "n_chars", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), begin).alias("edited")
     )
     # the first of some equal rows has an edited text of its own, the others have one in common
-    row = [*key, "_copy"]
-    after_edit = signatures(met.select(*row, "edited"), row, "edited").withColumnsRenamed({**{k: f"_e{k}" for k in row}, "bins": "edited_bins"})
-    return met.join(after_edit, [F.col(k) == F.col(f"_e{k}") for k in row]).select(
-        F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), "text", "n_chars", "edited", "bins", "edited_bins", "next_bins"
+    first = F.col("_copy") == 1
+    edits = met.filter(F.col("_copy").isin(1, 2)).select(*key, first.alias("_first"), "edited")
+    after_edit = signatures(edits, [*key, "_first"], "edited").withColumnRenamed("bins", "edited_bins")
+    prints = signatures(rows, key)
+    following = named(prints, "_p").join(one, reduce(Column.__and__, (F.col("_p" + k) == F.col("_of" + k) for k in key))).select(
+        *by, F.col("bins").alias("next_bins")
+    )
+    out = met.join(named(prints, "_p"), on("_p")).join(following, on("_b") & first, "left").join(
+        named(after_edit, "_e"), on("_e") & F.when(first, F.col("_first")).otherwise(~F.col("_first"))
+    )
+    return out.select(
+        F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), "text", "n_chars", "edited", "bins", "edited_bins", F.coalesce("next_bins", "bins").alias("next_bins")
     )
