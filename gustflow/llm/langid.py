@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import chance, columns_of, fold, private, slices
 
-#: Words that a worker remembers before it starts afresh; bounds its memory.
-REMEMBERED = 250_000
+#: Words that a worker remembers before it starts afresh, and their numbers (one for each language); bound its memory.
+REMEMBERED, NUMBERS = 250_000, 5_000_000
+#: Words of up to BLOCK characters times languages that are summed at once, and characters of longer ones.
+CELLS, LONG_CELLS = 200_000, 2_000_000
 #: Characters of a block, after which the forward sums are scaled anew; so few that none gets too small.
 BLOCK = 24
 #: What a text has when it is null or has no letter.
@@ -156,8 +158,44 @@ class Lattice:
         return out
 
     def expected(self, runs: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """(pieces, languages): how often each piece is expected in runs of at most BLOCK characters that come
-        counts (runs, languages) times."""
+        """(pieces, languages): how often each piece is expected in whole runs that come counts (runs, languages) times.
+
+        Runs of more than BLOCK characters are summed in logarithms, as their probabilities get too small.
+        """
+        total = np.zeros((self.size, p.shape[1]))
+        short = np.flatnonzero([len(r) <= BLOCK for r in runs])
+        step = max(1, CELLS // p.shape[1])
+        for at in range(0, len(short), step):
+            some = short[at : at + step]
+            total += self._expected([runs[i] for i in some], counts[some], p)
+        for i in sorted(set(range(len(runs))).difference(short.tolist()), key=lambda i: len(runs[i])):
+            total += self._expected_long(runs[i], counts[i], np.log(p))
+        return total
+
+    def _expected_long(self, run: str, counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """``expected`` of one run of any length, some languages at a time."""
+        edges = self.edges([run])
+        _, start, end, piece = edges.T
+        back = edges[np.lexsort((edges[:, 2], -edges[:, 1]))]
+        out = np.zeros(logs.shape)
+        step = max(1, LONG_CELLS // (len(run) + 1))
+        for k in range(0, logs.shape[1], step):
+            lp = logs[:, k : k + step]
+            alpha = np.full((len(run) + 1, lp.shape[1]), -np.inf)
+            alpha[0] = 0.0
+            for stop, some in _by(end):
+                alpha[stop] = np.logaddexp.reduce(alpha[start[some]] + lp[piece[some]], axis=0)
+            beta = np.full_like(alpha, -np.inf)
+            beta[-1] = 0.0
+            for at, some in _by(-back[:, 1]):
+                beta[-at] = np.logaddexp.reduce(beta[back[some, 2]] + lp[back[some, 3]], axis=0)
+            for j in range(lp.shape[1]):
+                share = np.exp(alpha[start, j] + lp[piece, j] + beta[end, j] - alpha[-1, j]) * counts[k + j]
+                out[:, k + j] += np.bincount(piece, weights=share, minlength=self.size)
+        return out
+
+    def _expected(self, runs: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """``expected`` of runs of at most BLOCK characters."""
         edges = self.edges(runs)
         lengths = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
         alpha = np.zeros((len(runs), int(lengths.max(initial=0)) + 1, p.shape[1]))
@@ -208,8 +246,8 @@ def fit(
 ) -> LanguageModel:
     """Piece probabilities by expectation maximisation, from even ones; deterministic.
 
-    docs_of: how many documents each language has, for its prior (default: as in the examples). What is
-    learned from are runs of BLOCK characters at most: longer words of the examples are parted.
+    docs_of: how many documents each language has, for its prior (default: as in the examples). Words are learned
+    from whole, whatever their length.
     """
     languages = sorted(set(langs))
     place = {x: k for k, x in enumerate(languages)}
@@ -217,8 +255,7 @@ def fit(
     for text, lang in zip(texts, langs, strict=True):
         for word, n in Counter(words_of(text)).items():
             marked = _marked(word)
-            for at in range(0, len(marked), BLOCK):
-                counted[lang][marked[at : at + BLOCK]] += n
+            counted[lang][marked] += n
     words = sorted(set().union(*counted.values())) if counted else []
     counts = np.zeros((len(words), len(languages)))
     for x, c in counted.items():
@@ -226,9 +263,7 @@ def fit(
     lattice = Lattice(pieces)
     p = np.full((lattice.size, max(1, len(languages))), 1.0 / lattice.size)
     for _ in range(rounds if words else 0):
-        total = np.full(p.shape, smoothing)
-        for at in range(0, len(words), 10_000):
-            total += lattice.expected(words[at : at + 10_000], counts[at : at + 10_000], p)
+        total = smoothing + lattice.expected(words, counts, p)
         p = total / total.sum(axis=0)
     of = np.array([1.0 + (docs_of or Counter(langs))[x] for x in languages]) if languages else np.ones(1)
     return LanguageModel(pieces, languages, np.log(of / of.sum()), p)
@@ -242,16 +277,18 @@ class Identifier:
         self.lattice = Lattice(model.pieces)
         self.known: dict[str, int] = {}
         self.logs = np.zeros((0, model.p.shape[1]))
+        self.most = min(REMEMBERED, NUMBERS // model.p.shape[1])
+        self.step = max(1, CELLS // model.p.shape[1])
 
     def name(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, its posterior probability) of each text."""
         parted = [words_of(t) if has_letter(t) else [] for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.most:
             self.known.clear()
             self.logs = self.logs[:0]
         new = list(set().union(*parted).difference(self.known))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
+        for at in range(0, len(new), self.step):
+            some = new[at : at + self.step]
             self.known.update(zip(some, range(len(self.logs), len(self.logs) + len(some)), strict=True))
             self.logs = np.concatenate([self.logs, self.lattice.log_probability(some, self.model.p)])
         named = [self._named(words) for words in parted]
