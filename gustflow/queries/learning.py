@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import losses
 from ..functions.columns import huber, pinball
+from ..functions.sql import register_sql
+from ..operators import explain as E
 from ..operators import features as X
 from ..operators import gram as G
 from ..operators import learning as L
@@ -207,3 +210,37 @@ def a27_best_hour_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("value").alias("y"), *(F.avg(F.when(at(k), F.col("value"))).alias(f"v{k}") for k in range(6)), *(F.count_if(at(k)).cast("double").alias(f"n{k}") for k in range(6))
     )
     return rounded(G.best_hour_correlation(h, {"mean": {k: f"v{k}" for k in range(6)}, "count": {k: f"n{k}" for k in range(6)}}, "y"), "corr", places=6)
+
+
+@register(REGISTRY, f"""WITH {PANEL} SELECT season, round(avg(0.7 * greatest(0.9 * (y - pred), -0.1 * (y - pred)) + 0.3 * abs(y - pred) + 1e-6 * (y - pred) * (y - pred)), 3) AS combined FROM panel GROUP BY 1""")
+def x25_combined_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = losses.build("combined", components=[{"name": "pinball", "tau": 0.9, "weight": 0.7}, {"name": "mae", "weight": 0.3}, {"name": "mse", "weight": 1e-6}])
+    out = panel(spark, sf_dir).groupBy("season").agg(F.avg(mixed(F.col("y"), F.col("pred"))).alias("combined"))
+    return rounded(out, "combined", places=3)
+
+
+@register(REGISTRY, f"""WITH {PANEL}, r AS (SELECT station, day, season, y, proxy, sum(g) OVER (PARTITION BY station ORDER BY day) AS run FROM (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY station ORDER BY day) > 1 THEN 1 ELSE 0 END AS g FROM panel))
+SELECT station, run::BIGINT AS run, min(season) AS season, count(*) AS days, round(sum(greatest(0.9 * (y - proxy), -0.1 * (y - proxy))), 6) AS loss FROM r GROUP BY 1, 2 HAVING count(*) > 1""")
+def f12_functions_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of days by a table function and losses by scalar ones, in one SQL statement."""
+    register_sql(spark)
+    panel(spark, sf_dir).select(F.col("station").cast("string").alias("station"), "day", "y", "proxy").createOrReplaceTempView("gustflow_panel")
+    return spark.sql(
+        """WITH r AS (SELECT * FROM day_runs(TABLE(SELECT station, day FROM gustflow_panel) PARTITION BY station ORDER BY day))
+        SELECT CAST(station AS BIGINT) AS station, run, min(season_of(p.day)) AS season, count(*) AS days, round(sum(pinball_loss(y, proxy, 0.9D)), 6) AS loss
+        FROM r JOIN gustflow_panel p ON p.station = r.key AND p.day = r.day GROUP BY 1, 2 HAVING count(*) > 1"""
+    )
+
+
+_TREE_FEATURES = ["proxy", "doy", "cluster"]
+
+
+@register(REGISTRY)
+def x31_x42_tree_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and greatest share of each group of features over the seasons, of boosted trees' exact contributions."""
+    rows = _parts(spark, sf_dir).filter("cluster IS NOT NULL").withColumn("cluster", F.col("cluster").cast("double"))
+    x = L.assembled(rows.filter("part = 'train'"), _TREE_FEATURES)
+    model = L.ZOO["boosted"]().setLabelCol("y").setPredictionCol("y_pred").fit(x)
+    test = model.transform(L.assembled(rows.filter("part = 'test'"), _TREE_FEATURES)).select("season", *_TREE_FEATURES, "y_pred")
+    sound = E.checked_additive(E.tree_contributions(test, model, _TREE_FEATURES), "y_pred")
+    return E.share_ranges(E.group_shares(sound, _TREE_FEATURES, {"proxy": "wind", "doy": "time", "cluster": "place"}, ["season"]))
