@@ -125,12 +125,3 @@ def target_rows(df: DataFrame, value: str, day: str, end: str) -> tuple[DataFram
     """Rows with a value up to the end, and the days that they have."""
     rows = df.filter(F.col(value).isNotNull() & (F.col(day) <= F.lit(end).cast("date")))
     return rows, rows.select(day).distinct()
-
-
-def netcdf(*_: object, **__: object) -> DataFrame:
-    """NetCDF needs a reader library; without it, export to a long parquet table and use ``scan``."""
-    try:
-        import netCDF4  # noqa: F401
-    except ImportError as e:
-        raise ImportError("reading NetCDF needs netCDF4; scan() reads a long parquet export") from e
-    raise NotImplementedError("export the file to a long parquet table and use scan()")

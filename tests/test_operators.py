@@ -488,8 +488,6 @@ def test_scans(spark, tmp_path):
     assert scan.first_existing(spark, [str(tmp_path / "new"), str(tmp_path / "keyed")]) == str(tmp_path / "keyed")
     with pytest.raises(FileNotFoundError):
         scan.first_existing(spark, [str(tmp_path / "new")])
-    with pytest.raises(ImportError):
-        scan.netcdf("x.nc")
     with pytest.raises(ValueError):
         scan.single_variable(spark.createDataFrame([(1, 2, 3)], "valid_time int, a int, b int"), ["time"])
 
