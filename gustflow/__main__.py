@@ -21,6 +21,10 @@ from .plans.study import corrected_product
 from .queries import registered
 
 
+#: Metrics that ``draws`` writes.
+METRICS = ["rmse", *(f"{m}_p{q}" for q in (90, 95, 99) for m in ("bias", "rmse")), *(f"pinball_{q}" for q in (90, 95, 99)), "r2"]
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="gustflow")
     sub = top.add_subparsers(dest="command", required=True)
@@ -39,7 +43,8 @@ def parser() -> argparse.ArgumentParser:
     effects = command("effects", "metrics")
     effects.add_argument("--worse", default="base")
     effects.add_argument("--better", default="full")
-    effects.add_argument("--metric", action="append", choices=["rmse", "rmse_p90", "bias_p90", "r2"])
+    effects.add_argument("--anchor", help="arm whose metrics scale the smallest effect of interest; that of --worse if left out")
+    effects.add_argument("--metric", action="append", choices=METRICS, help="may be given again; all if left out")
     champions = command("champions", "scores")
     champions.add_argument("--slack", type=float, default=0.05)
     correct = command("correct", "grid", "stations", "predictions", "scores")
@@ -64,8 +69,7 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         return inference.drawn_metrics(sums, inference.seeded_draws(spark, months, args.n, args.seed), ["arm", "model", "tag"], "block")
     if args.command == "effects":
         metrics = read(args.metrics)
-        names = args.metric or ["rmse", "rmse_p90", "bias_p90", "r2"]
-        return inference.effect_table(metrics, "arm", "tag", "model", args.worse, args.better, names)
+        return inference.effect_table(metrics, "arm", "tag", "model", args.worse, args.better, args.metric or METRICS, args.anchor)
     if args.command == "champions":
         return selection.champion_rules(read(args.scores), ["arm", "season"], args.slack)
     scores = read(args.scores)

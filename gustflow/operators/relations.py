@@ -13,12 +13,20 @@ def repeated_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def validated_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", validate: str = "one_to_one") -> DataFrame:
-    """left joined with right; ValueError if a side that must have unique keys repeats one."""
-    for side, df in (("left", left), ("right", right)):
-        unique = {"one_to_one": ("left", "right"), "many_to_one": ("right",), "one_to_many": ("left",)}[validate]
-        if side in unique and not repeated_keys(df, on).isEmpty():
-            raise ValueError(f"the {side} side repeats keys {list(on)}; {validate} was asked for")
-    return left.join(right, list(on), how)
+    """left joined with right; a key that repeats on a side that must have unique ones is an error, found where it is met.
+
+    The check counts a key's rows on the partitioning that the join needs anyway, so neither side is computed twice.
+    """
+    unique = {"one_to_one": ("left", "right"), "many_to_one": ("right",), "one_to_many": ("left",)}[validate]
+
+    def checked(df: DataFrame, side: str) -> DataFrame:
+        if side not in unique:
+            return df
+        said = F.raise_error(F.lit(f"the {side} side repeats keys {list(on)}; {validate} was asked for")).cast("boolean")
+        counted = df.withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy(*on)))
+        return counted.filter(F.when(F.col("_times") == 1, F.lit(True)).otherwise(said)).drop("_times")
+
+    return checked(left, "left").join(checked(right, "right"), list(on), how)
 
 
 def combine_first(left: DataFrame, right: DataFrame, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -62,10 +70,17 @@ def sequences_at(rows: DataFrame, keys: DataFrame, station: str, ts: str, value:
     )
 
 
+def compared_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: only_a and only_b (how many rows, as often as they come, the other lacks) and same (neither has any)."""
+    both = a.withColumn("_n", F.lit(1)).unionByName(b.select(*a.columns).withColumn("_n", F.lit(-1)))
+    found = both.groupBy(*a.columns).agg(F.sum("_n").alias("_n"))
+    sides = found.agg(*(F.coalesce(F.sum(F.greatest(s * F.col("_n"), F.lit(0))), F.lit(0)).alias(c) for s, c in ((1, "only_a"), (-1, "only_b"))))
+    return sides.withColumn("same", (F.col("only_a") == 0) & (F.col("only_b") == 0))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether both have the same rows, as often, in any order."""
-    b = b.select(*a.columns)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    return compared_rows(a, b).first()["same"]
 
 
 def greatest_difference(a: DataFrame, b: DataFrame, on: Sequence[str], value: str) -> DataFrame:

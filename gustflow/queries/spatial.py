@@ -120,17 +120,28 @@ def x19_corrected_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.corrected_grid(e, "proxy", "bias", F.col("label") < 5).select("vec_id", "corrected", "in_sample")
 
 
-@register(REGISTRY, f"WITH {_GRID} SELECT row_number() OVER (ORDER BY lat DESC, lon) - 1 AS cell, lat, lon FROM grid WHERE v IS NOT NULL")
+@register(REGISTRY, """WITH nodes AS (SELECT c_custkey % 37 AS i, c_nationkey AS j, max(c_acctbal) AS v FROM customer GROUP BY 1, 2)
+SELECT row_number() OVER (ORDER BY i, j) - 1 AS cell, (-20.0 - 0.5 * i)::DOUBLE AS lat, (-48.0 + 0.5 * j)::DOUBLE AS lon FROM nodes WHERE v > 1000""")
 def t05_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = grid(spark).select((-20.0 - 0.5 * F.col("i")).alias("lat"), (-48.0 + 0.5 * F.col("j")).alias("lon"), "v")
-    return G.cells(g, F.col("v").isNotNull()).select(F.col("cell").cast("long").alias("cell"), "lat", "lon")
+    """Nodes where customers of some balance live."""
+    nodes = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 37).alias("i"), F.col("c_nationkey").alias("j")).agg(F.max("c_acctbal").alias("v"))
+    g = nodes.select((-20.0 - 0.5 * F.col("i")).alias("lat"), (-48.0 + 0.5 * F.col("j")).alias("lon"), "v")
+    return G.cells(g, F.col("v") > 1000).select(F.col("cell").cast("long").alias("cell"), "lat", "lon")
 
 
 _REFLECTED = lambda axis, n: f"(CASE WHEN ({axis} + d + {2 * n}) % {2 * n} < {n} THEN ({axis} + d + {2 * n}) % {2 * n} ELSE {2 * n - 1} - ({axis} + d + {2 * n}) % {2 * n} END)"
 
 
-@register(REGISTRY, f"""WITH {_GRID}, t AS (SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS d)), g AS (SELECT i, j, coalesce(v, 0) AS v FROM grid),
-a AS (SELECT g.i, g.j, sum(w * s.v) AS v FROM g CROSS JOIN t JOIN g s ON s.j = g.j AND s.i = {_REFLECTED('g.i', 9)} GROUP BY 1, 2)
-SELECT 1 AS day, a.i::INT AS i, a.j::INT AS j, round(sum(w * s.v), 6) AS v FROM a CROSS JOIN t JOIN a s ON s.i = a.i AND s.j = {_REFLECTED('a.j', 11)} GROUP BY 1, 2, 3""")
+@register(REGISTRY, f"""WITH sold AS (SELECT year(l_shipdate) AS year, l_suppkey % 9 AS i, l_partkey % 11 AS j, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3),
+t AS (SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS d)),
+g AS (SELECT year, i, j, coalesce(v, 0) AS v FROM (SELECT DISTINCT year FROM sold) CROSS JOIN (SELECT unnest(range(9)) AS i) CROSS JOIN (SELECT unnest(range(11)) AS j) LEFT JOIN sold USING (year, i, j)),
+a AS (SELECT g.year, g.i, g.j, sum(w * s.v) AS v FROM g CROSS JOIN t JOIN g s ON s.year = g.year AND s.j = g.j AND s.i = {_REFLECTED('g.i', 9)} GROUP BY 1, 2, 3)
+SELECT a.year::INT AS year, a.i::INT AS i, a.j::INT AS j, round(sum(w * s.v), 6) AS v FROM a CROSS JOIN t JOIN a s ON s.year = a.year AND s.i = a.i AND s.j = {_REFLECTED('a.j', 11)} GROUP BY 1, 2, 3""")
 def x20_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.smoothed(grid(spark).fillna(0.0).withColumn("day", F.lit(1)), ["day"], "v", 9, 11), "v", places=6)
+    """Quantities sold each year over a grid of suppliers and parts, smoothed; nodes without sales are 0."""
+    node = [(F.col("l_suppkey") % 9).cast("int").alias("i"), (F.col("l_partkey") % 11).cast("int").alias("j")]
+    sold = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("year"), *node).agg(F.avg("l_quantity").alias("v"))
+    axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    every = sold.select("year").distinct().withColumn("i", axis(9)).withColumn("j", axis(11))
+    full = every.join(sold, ["year", "i", "j"], "left").fillna(0.0, ["v"])
+    return rounded(G.smoothed(full, ["year"], "v", 9, 11), "v", places=6)

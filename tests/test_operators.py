@@ -216,8 +216,13 @@ def test_joins_are_validated(spark):
     a = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
     b = spark.createDataFrame([(1, "z")], "k int, w string")
     assert R.validated_join(a, b, ["k"], validate="many_to_one").count() == 2
-    with pytest.raises(ValueError):
-        R.validated_join(a, b, ["k"])
+    assert R.validated_join(b, b.withColumnRenamed("w", "x"), ["k"]).count() == 1
+    for left, right, validate in ((a, b, "one_to_one"), (b, a, "many_to_one"), (a, b, "one_to_many")):
+        with pytest.raises(PySparkException, match="repeats keys"):
+            R.validated_join(left, right, ["k"], validate=validate).collect()
+    twice = a.unionByName(a.limit(1))
+    assert R.same_rows(a, a.repartition(3)) and not R.same_rows(a, twice)
+    assert tuple(R.compared_rows(twice, a).first()) == (1, 0, False) and tuple(R.compared_rows(a.filter("false"), a.filter("false")).first()) == (0, 0, True)
     keys = spark.createDataFrame([(1,), (2,)], "k int")
     assert sorted(map(tuple, R.fetched_rows(b, keys, ["k"], missing="null").collect())) == [(1, "z"), (2, None)]
     with pytest.raises(PySparkException, match="a key has no row"):
