@@ -17,12 +17,15 @@ def write_units(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def missing_units(spark: SparkSession, path: str, wanted: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The units that the path lacks."""
+def missing_units(spark: SparkSession, path: str, wanted: DataFrame, by: Sequence[str], fingerprint: str | None = None) -> DataFrame:
+    """The units that the path lacks; with a fingerprint, also those that were computed under another one."""
     if not exists(spark, path):
         return wanted
     kinds = {f.name: f.dataType for f in wanted.schema}
-    done = spark.read.parquet(path).select(*(F.col(c).cast(kinds[c]).alias(c) for c in by)).distinct()
+    there = spark.read.parquet(path)
+    if fingerprint is not None:
+        there = there.filter(F.col("fingerprint") == fingerprint) if "fingerprint" in there.columns else there.filter("false")
+    done = there.select(*(F.col(c).cast(kinds[c]).alias(c) for c in by)).distinct()
     return wanted.join(done, list(by), "left_anti")
 
 
