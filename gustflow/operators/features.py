@@ -59,7 +59,7 @@ def peak_rows(df: DataFrame, keys: Sequence[str], ts: str, value: str, hours: in
         checked = F.when(F.col("_held") == F.col("_rows"), F.col("_held")).otherwise(F.raise_error(F.lit("an hour comes twice")).cast("int"))
         counted = counted.withColumn("_held", held).filter(checked >= hours).drop("_held")
     return (
-        counted.filter(F.col("_known") == F.col("_rows"))
+        counted.filter(F.col("_rows") - F.col("_known") == 0)  # an equality would let Spark put one for the other in the check
         .withColumn("_r", F.row_number().over(by.orderBy(F.desc(value), ts)))
         .filter("_r = 1")
         .drop("_known", "_rows", "_r")

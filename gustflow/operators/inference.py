@@ -212,6 +212,76 @@ def effect_table(metrics: DataFrame, arm: str, tag: str, model: str, worse: str,
     return out.withColumn("verdict", verdict(F.col("ci_lo"), F.col("ci_hi"), F.col("se"), F.col("sesoi")))
 
 
+def study_effects(
+    metrics: DataFrame,
+    arm: str,
+    tag: str,
+    model: str,
+    comparisons: Sequence[tuple[str, str, str, str, str]],
+    family_of: dict[str, str],
+    names: Sequence[str],
+    primary: dict[str, str] | None = None,
+) -> DataFrame:
+    """A row for each comparison, model family (and all models together) and metric, all in the same aggregations.
+
+    comparisons: (name, worse, better, axis, anchor). Columns: comparison, axis, family, metric and those of
+    ``paired_effects``, then sesoi, q and verdict. Models without a family are ``other``. An axis is judged by its
+    ``primary`` metric (rmse unless given) over all models: there q is that of Benjamini-Hochberg among the axis's
+    comparisons, and the verdict is given; other rows have neither. sesoi is a share of that metric's mean in the axis's
+    anchors. Pairs of a tag and a model that lack a side, or cover other rows on it, are left out, as are comparisons
+    without a pair.
+    """
+    of_axis = primary or {}
+    listed = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(x, ("comparison", "worse", "better", "axis", "anchor"), strict=True))) for x in comparisons))
+    known = F.create_map(*(F.lit(x) for pair in family_of.items() for x in pair)) if family_of else F.lit(None).cast("map<string,string>")
+    family = F.coalesce(F.try_element_at(known, F.col(model)), F.lit("other"))
+    values = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in names))
+    # a row of metrics takes part in the comparisons that its arm is a side of
+    meant = F.filter(listed, lambda c: (c["worse"] == F.col(arm)) | (c["better"] == F.col(arm)))
+    rows = metrics.select(arm, tag, model, "b", "rows", F.explode(meant).alias("_c"), values.alias("_all")).select("*", F.explode("_all").alias("_m"))
+    is_worse = F.col(arm) == F.col("_c.worse")
+    side = lambda worse, c: F.max(F.when(is_worse if worse else ~is_worse, F.col(c)))
+    gain = side(True, "_m.v") - side(False, "_m.v")
+    both = rows.groupBy(F.col("_c.comparison").alias("comparison"), F.col("_c.axis").alias("axis"), F.col("_m.metric").alias("metric"), tag, model, "b").agg(
+        F.when((F.col("metric") == "r2") | F.col("metric").startswith("bias"), -gain).otherwise(gain).alias("_d"),
+        F.coalesce(side(True, "rows") == side(False, "rows"), F.lit(False)).alias("_same"),
+    )
+    usable = both.filter("_same").withColumn("family", F.explode(F.array(family, F.lit("all"))))
+    keys = ["comparison", "axis", "family", "metric"]
+    by_tag = usable.groupBy(*keys, tag, "b").agg(F.avg("_d").alias("_d"), F.collect_set(model).alias("_models"))
+    drawn = by_tag.groupBy(*keys, "b").agg(
+        F.avg("_d").alias("_d"),
+        F.when(F.col("b") == 0, F.count("*")).alias("_n"),
+        F.when(F.col("b") == 0, F.coalesce(F.stddev_samp("_d") / F.sqrt(F.count("*")), F.lit(0.0))).alias("_rep"),
+        F.when(F.col("b") == 0, F.size(F.array_distinct(F.flatten(F.collect_list("_models"))))).alias("_models"),
+    )
+    first = lambda c: F.max(F.when(F.col("b") == 0, F.col(c)))
+    found = drawn.groupBy(*keys).agg(
+        first("_d").alias("effect"), F.stddev_samp(F.when(F.col("b") > 0, F.col("_d"))).alias("se_boot"), first("_rep").alias("se_rep"),
+        first("_n").alias("n_replicates"), first("_models").cast("long").alias("n_models"),
+    )
+    se = F.sqrt(F.col("se_boot") * F.col("se_boot") + F.col("se_rep") * F.col("se_rep"))
+    out = found.withColumn("se", se).withColumns(
+        {
+            "ci_lo": F.col("effect") - 1.96 * F.col("se"),
+            "ci_hi": F.col("effect") + 1.96 * F.col("se"),
+            "z": F.col("effect") / F.nullif(F.col("se"), F.lit(0.0)),
+        }
+    )
+    out = out.withColumn("p", normal_p(F.col("z")))
+    axes = sorted({x[3] for x in comparisons})
+    judged_by = F.create_map(*(F.lit(x) for a in axes for x in (a, of_axis.get(a, "rmse"))))
+    anchors = F.array(*(F.struct(F.lit(a).alias("axis"), F.lit(n).alias("anchor")) for a, n in sorted({(x[3], x[4]) for x in comparisons})))
+    at_anchor = F.filter(anchors, lambda x: x["anchor"] == F.col(arm))
+    start = metrics.filter(F.col("b") == 0).select(F.explode(at_anchor).alias("_a"), values.alias("_all")).select("_a", F.explode("_all").alias("_m"))
+    mean = start.filter(F.col("_m.metric") == judged_by[F.col("_a.axis")]).groupBy("_a.axis", "_a.anchor").agg(F.avg("_m.v").alias("_v"))
+    scale = mean.groupBy("axis").agg((SESOI_SHARE * F.abs(F.avg("_v"))).alias("sesoi"))  # a row for each axis
+    judged = (F.col("family") == "all") & (F.col("metric") == judged_by[F.col("axis")])
+    # a row for each comparison, family and metric: the windows of the q values are small
+    met = benjamini_hochberg(out.join(F.broadcast(scale), "axis", "left").withColumn("_p", F.when(judged, F.col("p"))), "_p", ["axis"]).drop("_p")
+    return met.withColumn("verdict", F.when(judged, verdict(F.col("ci_lo"), F.col("ci_hi"), F.col("se"), F.col("sesoi"))))
+
+
 def scheme_summary(effects: DataFrame, base: str, by: Sequence[str] = ("metric",)) -> DataFrame:
     """scheme, median, least and greatest width of its intervals against those of the scheme ``base``, percent of equal verdicts."""
     reference = effects.filter(F.col("scheme") == base).select(*by, (F.col("ci_hi") - F.col("ci_lo")).alias("_w"), F.col("verdict").alias("_v"))

@@ -113,6 +113,30 @@ def x03_x07_paired_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(e, "effect", "se", "ci_lo", "ci_hi", "sesoi"), "z", places=3)
 
 
+_COMPARED = [("full", "base", "full", "features", "base"), ("back", "full", "base", "selection", "full")]
+
+
+def _family_sql(name: str, worse: str, better: str, axis: str, anchor: str, primary: str) -> str:
+    """Effects of one comparison by family, from the drawn metrics ``v``."""
+    sign = "CASE WHEN metric = 'r2' OR metric LIKE 'bias%' THEN -1 ELSE 1 END"
+    return f"""SELECT '{name}' AS comparison, '{axis}' AS axis, family, metric, effect, sqrt(se_boot * se_boot + se_rep * se_rep) AS se, n_replicates, n_models, '{primary}' = metric AND family = 'all' AS judged,
+ (SELECT 0.01 * abs(avg(value)) FROM v WHERE b = 0 AND arm = '{anchor}' AND metric = '{primary}') AS sesoi FROM (
+ SELECT family, metric, max(d) FILTER (b = 0) AS effect, stddev_samp(d) FILTER (b > 0) AS se_boot, coalesce(max(rep) FILTER (b = 0), 0) AS se_rep, max(n) AS n_replicates, max(k) AS n_models FROM (
+  SELECT family, metric, b, avg(d) AS d, stddev_samp(d) / sqrt(count(*)) AS rep, count(*) AS n, max(k) AS k FROM (
+   SELECT family, metric, tag, b, avg(d) AS d, count(*) AS k FROM (SELECT metric, tag, model, b, (max(value) FILTER (arm = '{worse}') - max(value) FILTER (arm = '{better}')) * {sign} AS d FROM v GROUP BY 1, 2, 3, 4)
+   JOIN (VALUES ('m1', 'linear'), ('m2', 'other'), ('m1', 'all'), ('m2', 'all')) f(model, family) USING (model) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+@register(REGISTRY, f"""WITH {_RESID}, {_METRICS}, v AS (SELECT arm, model, tag, b, unnest([{', '.join(f"'{m}'" for m in NAMES)}]) AS metric, unnest([{', '.join(NAMES)}]) AS value FROM metrics),
+e AS ({' UNION ALL '.join(_family_sql(*c, p) for c, p in zip(_COMPARED, ('rmse', 'rmse_p90'), strict=True))})
+SELECT comparison, axis, family, metric, round(effect, 4) AS effect, round(se, 4) AS se, n_replicates, n_models, round(sesoi, 4) AS sesoi,
+ CASE WHEN judged THEN CASE WHEN effect - 1.96 * se > sesoi THEN 'adds' WHEN effect + 1.96 * se < -sesoi THEN 'harms' WHEN effect - 1.96 * se >= -sesoi AND effect + 1.96 * se <= sesoi THEN 'no information' ELSE 'inconclusive' END END AS verdict FROM e""")
+def x03_effects_by_family_and_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two comparisons on two axes, by model family and over all models."""
+    e = I.study_effects(drawn(spark, sf_dir).persist(), "arm", "tag", "model", _COMPARED, {"m1": "linear"}, NAMES, {"selection": "rmse_p90"})
+    return rounded(e.select("comparison", "axis", "family", "metric", "effect", "se", "n_replicates", "n_models", "sesoi", "verdict"), "effect", "se", "sesoi")
+
+
 #: Days of a moving block.
 STRETCH = 15
 _MOVING = f"""days AS (SELECT day, pos, sum(g) OVER (ORDER BY pos) AS run FROM (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos, CASE WHEN day - lag(day) OVER (ORDER BY day) > 1 THEN 1 ELSE 0 END AS g FROM (SELECT DISTINCT day FROM resid))),

@@ -64,6 +64,10 @@ def test_peak_takes_the_earliest_of_equals(spark):
     df = spark.createDataFrame(rows, "s int, ts timestamp_ntz, v double")
     got = X.peak_rows(df, ["s"], "ts", "v", hours=24).collect()
     assert [(r["s"], r["ts"].hour) for r in got] == [(1, 3)]
+    twice = df.filter("s = 1").unionByName(df.filter("s = 1").limit(1))
+    with pytest.raises(PySparkException, match="an hour comes twice"):
+        X.peak_rows(twice, ["s"], "ts", "v", hours=24).collect()
+    assert X.peak_rows(twice, ["s"], "ts", "v").count() == 1
     assert [(r["s"]) for r in X.complete_days(df, ["s"], "ts", "v").collect()] == [1]
 
 
@@ -341,6 +345,37 @@ def test_corrected_product_adds_the_winners_residuals(spark):
     assert {r["point"]: r["corrected"] for r in got.collect()} == {1: 7.0, 2: 0.0, 3: None}
 
 
+def test_effects_by_family_and_axis(spark):
+    """Each row is that of the plain effect over its family's models; q values are shared out among an axis's comparisons."""
+    rng = np.random.default_rng(6)
+    arms, models, tags = {"base": 0.0, "good": -0.3, "same": 0.0, "bad": 2.0}, ["m1", "m2", "m3"], [0, 1]
+    rows = [
+        (a, t, m, b, 10 if (a, m) != ("same", "m3") else 9, 5 + off + 0.05 * rng.normal(), 3 + 2 * off + 0.1 * rng.normal(), 0.5 - off + 0.01 * rng.normal())
+        for a, off in arms.items() for t in tags for m in models for b in range(60)
+    ]
+    df = spark.createDataFrame(rows, "arm string, tag int, model string, b int, rows int, rmse double, rmse_p90 double, r2 double").persist()
+    comparisons = [("good", "base", "good", "features", "base"), ("same", "base", "same", "features", "base"), ("bad", "base", "bad", "selection", "bad")]
+    got = {
+        (r["comparison"], r["family"], r["metric"]): r
+        for r in I.study_effects(df, "arm", "tag", "model", comparisons, {"m1": "linear", "m2": "tree"}, ["rmse", "rmse_p90", "r2"], {"selection": "rmse_p90"}).collect()
+    }
+    families = {"linear": ["m1"], "tree": ["m2"], "other": ["m3"], "all": models}
+    assert len(got) == 3 * 4 * 3 - 3  # m3 covers other rows in arm same, so that family has no pair there
+    for (name, family, metric), r in got.items():
+        worse, better = next((w, b) for n, w, b, _, _ in comparisons if n == name)
+        one = I.paired_effects(df.filter(F.col("model").isin(families[family])), "arm", "tag", "model", worse, better, [metric]).first()
+        for c in ("effect", "se_boot", "se_rep", "se", "ci_lo", "ci_hi", "z", "p", "n_replicates", "n_models"):
+            assert r[c] == pytest.approx(one[c]), (name, family, metric, c)
+        judged = family == "all" and metric == ("rmse_p90" if name == "bad" else "rmse")
+        assert (r["verdict"] is not None) == judged == (r["q"] is not None)
+    ps = sorted((got[n, "all", "rmse"]["p"], n) for n in ("good", "same"))
+    assert got[ps[1][1], "all", "rmse"]["q"] == pytest.approx(ps[1][0])
+    assert got[ps[0][1], "all", "rmse"]["q"] == pytest.approx(min(2 * ps[0][0], ps[1][0]))
+    assert got["bad", "all", "rmse_p90"]["q"] == pytest.approx(got["bad", "all", "rmse_p90"]["p"])
+    assert got["good", "all", "rmse"]["verdict"] == "adds" and got["bad", "all", "rmse_p90"]["verdict"] == "harms"
+    assert got["good", "all", "rmse"]["sesoi"] == pytest.approx(0.05, rel=0.02) and got["bad", "all", "rmse_p90"]["sesoi"] == pytest.approx(0.07, rel=0.05)
+
+
 def test_effects_find_a_known_gain(spark):
     kinds = "arm string, tag int, model string, block int, n double, see double, sy double, syy double, n_p90 double, se_p90 double, see_p90 double, rows long"
     errors = {("base", 0): 4.0, ("full", 0): 1.0, ("base", 1): 9.0, ("full", 1): 1.0}  # mean squares of each replicate
