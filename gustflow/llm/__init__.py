@@ -1,4 +1,4 @@
-"""Training-data operators: the ten numbered operators, their queries and their SQL.
+"""Training-data operators: the thirteen numbered operators, their queries and their SQL.
 
 Nothing else in the package imports this subpackage.
 """

@@ -102,5 +102,5 @@ def test_stages_stand_edge_cases_and_foreign_columns(spark):
     assert len({r["sequence_id"] for r in packed}) == len(packed)
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_all_thirteen_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
