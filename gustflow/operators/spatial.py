@@ -36,9 +36,14 @@ def cell(value: Column, origin: float, size: float, level: Column) -> Column:
     return F.floor((value - origin) / (F.lit(size) / F.pow(F.lit(2.0), level))).cast("long")
 
 
-def inside_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Whether (x, y) lies inside a closed ring of (x, y) structs, by ray casting; points on an edge are outside."""
-    edges = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("p"), F.slice(ring, 2, F.size(ring) - 1).alias("q"))
+def within_parts(x: Column, y: Column, parts: Column) -> Column:
+    """Whether (x, y) lies within closed rings of (x, y) structs, by ray casting over the edges of all of them.
+
+    A ring within another is a hole, a ring within a hole an island, rings apart are parts of one shape; points on
+    an edge of any ring are outside. Null parts and rings hold no point.
+    """
+    of_ring = lambda r: F.arrays_zip(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))).alias("p"), F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))).alias("q"))
+    edges = F.flatten(F.transform(F.filter(parts, lambda r: r.isNotNull()), of_ring))
     crosses = lambda e: ((e["p"]["y"] > y) != (e["q"]["y"] > y)) & (
         x < (e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"]) + e["p"]["x"]
     )
@@ -47,28 +52,37 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
         & (x >= F.least(e["p"]["x"], e["q"]["x"])) & (x <= F.greatest(e["p"]["x"], e["q"]["x"]))
         & (y >= F.least(e["p"]["y"], e["q"]["y"])) & (y <= F.greatest(e["p"]["y"], e["q"]["y"]))
     )
-    return (F.size(F.filter(edges, crosses)) % 2 == 1) & ~F.exists(edges, on_edge)
+    return F.coalesce((F.size(F.filter(edges, crosses)) % 2 == 1) & ~F.exists(edges, on_edge), F.lit(False))
+
+
+def inside_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether (x, y) lies inside one closed ring; points on an edge are outside."""
+    return within_parts(x, y, F.array(ring))
 
 
 def assign_polygon(points: DataFrame, polygons: DataFrame, x: str, y: str, out: str = "cluster", none: int = -1, limit: int = REFERENCE_ROWS) -> DataFrame:
-    """points with the least id of the polygons (id, ring) that a point lies within, -1 for none.
+    """points with the least id of the polygons that a point lies within, ``none`` (-1) for none.
 
-    Beyond ``limit`` polygons, each is posted in the cells, four at most, that its bounding box touches at
+    A polygon is (id, ring), or (id, parts) where it has holes or several parts (``within_parts``); empty ones hold no
+    point. Beyond ``limit`` polygons, each is posted in the cells, four at most, that its bounding box touches at
     the level whose cells are as wide as the box, and a place looks into one cell of each level in use.
     """
-    if is_small(polygons, limit):
-        held = as_array(polygons.select("id", "ring"), "_polygons")
-        found = F.filter("_polygons", lambda p: inside_ring(F.col(x), F.col(y), p["ring"]))
+    shaped = polygons.select("id", F.col("parts") if "parts" in polygons.columns else F.array("ring").alias("parts"))
+    if is_small(shaped, limit):
+        held = as_array(shaped, "_polygons")
+        found = F.filter("_polygons", lambda p: within_parts(F.col(x), F.col(y), p["parts"]))
         return (
             points.crossJoin(F.broadcast(held))  # one row
             .withColumn(out, F.coalesce(F.get(found, F.lit(0))["id"], F.lit(none)))
             .drop("_polygons")
         )
-    edge = lambda f, c: f(F.transform("ring", lambda p: p[c]))
-    boxed = polygons.select(
-        "id", "ring", edge(F.array_min, "x").alias("_x0"), edge(F.array_max, "x").alias("_x1"), edge(F.array_min, "y").alias("_y0"), edge(F.array_max, "y").alias("_y1")
-    )
+    edge = lambda f, c: f(F.transform(F.flatten("parts"), lambda p: p[c]))
+    boxed = shaped.select(
+        "id", "parts", edge(F.array_min, "x").alias("_x0"), edge(F.array_max, "x").alias("_x1"), edge(F.array_min, "y").alias("_y0"), edge(F.array_max, "y").alias("_y1")
+    ).filter("_x0 IS NOT NULL")
     box = boxed.agg(*(f(c).alias(c) for c, f in (("_x0", F.min), ("_x1", F.max), ("_y0", F.min), ("_y1", F.max)))).first()
+    if box["_x0"] is None:  # empty shapes only
+        return points.withColumn(out, F.lit(none))
     size = max(box["_x1"] - box["_x0"], box["_y1"] - box["_y0"]) or 1.0
     wide = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(size * 2.0**-DEEPEST))
     level = F.floor(F.log2(F.lit(size) / wide)).cast("int")
@@ -77,13 +91,13 @@ def assign_polygon(points: DataFrame, polygons: DataFrame, x: str, y: str, out:
         boxed.withColumn("_l", level)
         .withColumn("_i", across("_x0", "_x1", box["_x0"]))
         .withColumn("_j", across("_y0", "_y1", box["_y0"]))
-        .select("_l", "_i", "_j", "id", "ring")
+        .select("_l", "_i", "_j", "id", "parts")
     )
     levels = as_array(posted.select("_l").distinct(), "_levels")  # DEEPEST + 1 rows at most
     places = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
     looking = places.crossJoin(F.broadcast(levels)).select("_x", "_y", F.explode("_levels._l").alias("_l"))
     met = looking.withColumns({"_i": cell(F.col("_x"), box["_x0"], size, F.col("_l")), "_j": cell(F.col("_y"), box["_y0"], size, F.col("_l"))}).join(posted, ["_l", "_i", "_j"])
-    first = met.filter(inside_ring(F.col("_x"), F.col("_y"), F.col("ring"))).groupBy("_x", "_y").agg(F.min("id").alias("_in"))
+    first = met.filter(within_parts(F.col("_x"), F.col("_y"), F.col("parts"))).groupBy("_x", "_y").agg(F.min("id").alias("_in"))
     return (
         points.join(first, (points[x] == first["_x"]) & (points[y] == first["_y"]), "left")
         .withColumn(out, F.coalesce("_in", F.lit(none)))

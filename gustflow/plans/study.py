@@ -9,8 +9,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import cluster_number
 from ..operators.selection import winners_with_fallback
-from ..operators.spatial import corrected_grid, idw, idw_weights, k_nearest
+from ..operators.spatial import assign_polygon, corrected_grid, idw, idw_weights, k_nearest
 
 
 @dataclass(frozen=True)
@@ -112,3 +113,15 @@ def corrected_product(
     weights = idw_weights(k_nearest(nodes, stations, k), "point")
     spread = idw(weights, bias, "point", "day", "bias")
     return corrected_grid(grid.join(spread, ["point", "day"], "left"), "proxy", "bias", in_sample if in_sample is not None else F.lit(False))
+
+
+def station_clusters(stations: DataFrame, shapes: DataFrame, station: str, lon: str = "lon", lat: str = "lat", label: str = "cluster", out: str = "cluster_id") -> DataFrame:
+    """station, cluster_id: the number in the label of the shape that a station lies within, -1 for none.
+
+    ``shapes`` is what ``sources.shapes.scan_shapes`` reads. A station's first place counts (the least longitude, then
+    latitude, of several) and, of several shapes around it, the first of the file; a label that is no number is -1.
+    """
+    placed = stations.groupBy(station).agg(F.min(F.struct(F.col(lon).alias("x"), F.col(lat).alias("y"))).alias("_at")).select(station, "_at.x", "_at.y")
+    within = assign_polygon(placed, shapes.select(F.col("shape_id").alias("id"), "parts"), "x", "y", out="_shape")
+    numbers = shapes.select(F.col("shape_id").alias("_shape"), cluster_number(F.col(label).cast("string")).alias(out))
+    return within.join(numbers, "_shape", "left").select(station, F.coalesce(out, F.lit(-1)).alias(out))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import spatial as G
+from ..plans.study import station_clusters
 from .tables import register, rounded, table
 
 REGISTRY: dict = {}
@@ -52,6 +53,28 @@ def j01_point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.assign_polygon(points(spark, sf_dir), polygons, "lon", "lat").select("id", "cluster")
 
 
+def nation_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, parts, cluster: a square with a square hole and a second square in it for each nation; neighbours overlap."""
+    n = F.col("n_nationkey")
+    x0, y0 = -48.0 + (n % 5) * 1.0, -24.5 + F.floor(n / 5) * 0.75
+
+    def square(a: float, b: float) -> Column:
+        at = lambda dx, dy: F.struct((x0 + dx).alias("x"), (y0 + dy).alias("y"))
+        return F.array(at(a, a), at(b, a), at(b, b), at(a, b), at(a, a))
+
+    label = F.when(n % 7 != 3, F.format_string("%02d", n)).otherwise(F.concat(n.cast("string"), F.lit("-x")))
+    return table(spark, sf_dir, "nation").select(n.cast("long").alias("shape_id"), F.array(square(0.0, 1.25), square(0.25, 1.0), square(0.5, 0.75)).alias("parts"), label.alias("cluster"))
+
+
+@register(REGISTRY, f"""WITH {_POINTS}, shapes AS (SELECT n_nationkey AS n, -48.0::DOUBLE + (n_nationkey % 5) AS x, -24.5::DOUBLE + 0.75::DOUBLE * (n_nationkey // 5) AS y FROM nation),
+within AS (SELECT id, min(n) AS n FROM points JOIN shapes
+  ON (lon > x AND lon < x + 1.25 AND lat > y AND lat < y + 1.25 AND NOT (lon >= x + 0.25 AND lon <= x + 1.0 AND lat >= y + 0.25 AND lat <= y + 1.0))
+  OR (lon > x + 0.5 AND lon < x + 0.75 AND lat > y + 0.5 AND lat < y + 0.75) GROUP BY id)
+SELECT id, CAST(CASE WHEN n IS NULL OR n % 7 = 3 THEN -1 ELSE n END AS INTEGER) AS cluster_id FROM points LEFT JOIN within USING (id)""")
+def j01_parts_and_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return station_clusters(points(spark, sf_dir), nation_shapes(spark, sf_dir), "id")
+
+
 @register(REGISTRY, f"WITH {_POINTS}, {_GRID}, p AS (SELECT *, (lat + 20.0::DOUBLE) / -0.5::DOUBLE AS a, (lon + 48.0::DOUBLE) / 0.5::DOUBLE AS b FROM points) SELECT id, v FROM p LEFT JOIN grid ON i = floor(a + 0.5) AND j = floor(b + 0.5) AND a BETWEEN 0 AND 8 AND b BETWEEN 0 AND 10")
 def j02_nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.nearest_values(points(spark, sf_dir), grid(spark), LAT, LON, ["v"]).select("id", "v")
