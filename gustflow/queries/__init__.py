@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("aggregates", "windows", "relations", "spatial", "inference", "learning", "study")
+MODULES = ("aggregates", "windows", "relations", "spatial", "inference", "learning", "study", "reports")
 
 
 def registered() -> tuple[dict, dict]:
