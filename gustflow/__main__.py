@@ -2,6 +2,11 @@
 
     list                              names of the registered queries
     run NAME SF_DIR OUT               one query's rows
+    arms OUT                          arms of a study from base and new features and their groups
+    prepare ROWS OUT                  complete rows with train, val and test by months, purged at borders
+    screen PREPARED ARMS OUT          models of each arm by cluster and season, with validation errors
+    study PREPARED MODELS OUT         test residuals of each arm and model, as draws reads them
+    aggregate RESIDUALS OUT           metrics of each arm and model, by cluster and of all
     draws RESIDUALS OUT               bootstrap metrics of residuals (arm, model, tag, station, day, y, e) by year-month
     effects METRICS OUT               paired effects of one arm over another from what draws wrote
     champions SCORES OUT              what each champion rule chooses (arm, season, model, split, r2, rmse_p90)
@@ -16,7 +21,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import inference, selection
+from .functions.columns import season
+from .operators import inference, metrics, selection
+from .plans import arms as A
 from .plans.study import corrected_product
 from .queries import registered
 
@@ -25,6 +32,14 @@ from .queries import registered
 METRICS = ["rmse", *(f"{m}_p{q}" for q in (90, 95, 99) for m in ("bias", "rmse")), *(f"pinball_{q}" for q in (90, 95, 99)), "r2"]
 
 
+def names(text: str) -> list[str]:
+    return [t.strip() for t in text.split(",") if t.strip()]
+
+
+def numbers(text: str) -> list[int]:
+    return [int(t) for t in names(text)]
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="gustflow")
     sub = top.add_subparsers(dest="command", required=True)
@@ -37,6 +52,25 @@ def parser() -> argparse.ArgumentParser:
         return made
 
     command("run", "name", "sf_dir")
+    made = command("arms")
+    made.add_argument("--base", type=names, required=True, help="features, parted by commas")
+    made.add_argument("--new", type=names, required=True)
+    made.add_argument("--group", action="append", default=[], metavar="NAME=FEATURES", help="a group's features; may be given again")
+    made.add_argument("--sets", type=names, default=["anchors", "groups", "controls"])
+    made.add_argument("--static", type=names, default=[])
+    prepare = command("prepare", "rows")
+    prepare.add_argument("--features", type=names, required=True)
+    prepare.add_argument("--discovered", type=names, default=[])
+    prepare.add_argument("--test-months", type=numbers, default=[1, 4, 7, 10])
+    prepare.add_argument("--val", type=names, default=[], help="validation blocks, such as 2001-02,2003-05")
+    prepare.add_argument("--gap", type=int, default=0, help="days purged after a border of splits")
+    screen = command("screen", "prepared", "arms")
+    screen.add_argument("--y", default="y")
+    screen.add_argument("--models", type=names, default=["least_squares", "ridge"])
+    screen.add_argument("--least", type=int, default=20)
+    study = command("study", "prepared", "models")
+    study.add_argument("--y", default="y")
+    command("aggregate", "residuals")
     draws = command("draws", "residuals")
     draws.add_argument("--n", type=int, default=2000)
     draws.add_argument("--seed", type=int, default=42)
@@ -61,6 +95,20 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         if args.name not in known:
             raise ValueError(f"there is no query {args.name!r}; see list")
         return known[args.name](spark, args.sf_dir)
+    if args.command == "arms":
+        group_of = {f: g for g, _, some in (given.partition("=") for given in args.group) for f in names(some)}
+        return A.arm_table(spark, A.study_arms(args.base, args.new, group_of, args.sets, args.static))
+    if args.command == "prepare":
+        label = A.month_blocks(args.test_months, [tuple(map(int, v.split("-"))) for v in args.val])
+        rows = read(args.rows)
+        rows = rows if "season" in rows.columns else rows.withColumn("season", season(F.col("day")))
+        return A.prepared(rows, args.features, "cluster", "station", "day", label, args.gap, args.discovered)
+    if args.command == "screen":
+        return A.screened_arms(read(args.prepared), A.read_arms(read(args.arms)), ["cluster"], "season", args.y, args.models, args.least)
+    if args.command == "study":
+        return A.arm_residuals(read(args.prepared), read(args.models), ["cluster"], "season", "station", "day", args.y)
+    if args.command == "aggregate":
+        return metrics.grouping_metrics(read(args.residuals), [["arm", "model"], ["arm", "model", "cluster"]], "y", "y_pred")
     if args.command == "draws":
         block = (F.year("day") * 100 + F.month("day")).alias("block")
         rows = read(args.residuals).select("*", block)
@@ -68,8 +116,8 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         months = sorted(r["block"] for r in rows.select("block").distinct().collect())  # year-months of a calendar
         return inference.drawn_metrics(sums, inference.seeded_draws(spark, months, args.n, args.seed), ["arm", "model", "tag"], "block")
     if args.command == "effects":
-        metrics = read(args.metrics)
-        return inference.effect_table(metrics, "arm", "tag", "model", args.worse, args.better, args.metric or METRICS, args.anchor)
+        drawn = read(args.metrics)
+        return inference.effect_table(drawn, "arm", "tag", "model", args.worse, args.better, args.metric or METRICS, args.anchor)
     if args.command == "champions":
         return selection.champion_rules(read(args.scores), ["arm", "season"], args.slack)
     scores = read(args.scores)
