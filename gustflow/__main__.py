@@ -63,6 +63,8 @@ def parser() -> argparse.ArgumentParser:
     prepare.add_argument("--discovered", type=names, default=[])
     prepare.add_argument("--test-months", type=numbers, default=[1, 4, 7, 10])
     prepare.add_argument("--val", type=names, default=[], help="validation blocks, such as 2001-02,2003-05")
+    prepare.add_argument("--controls", action="store_true", help="add the control columns: noise, and --static features of other stations")
+    prepare.add_argument("--static", type=names, default=[])
     prepare.add_argument("--gap", type=int, default=0, help="days purged after a border of splits")
     screen = command("screen", "prepared", "arms")
     screen.add_argument("--y", default="y")
@@ -102,7 +104,8 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         label = A.month_blocks(args.test_months, [tuple(map(int, v.split("-"))) for v in args.val])
         rows = read(args.rows)
         rows = rows if "season" in rows.columns else rows.withColumn("season", season(F.col("day")))
-        return A.prepared(rows, args.features, "cluster", "station", "day", label, args.gap, args.discovered)
+        made = A.prepared(rows, args.features, "cluster", "station", "day", label, args.gap, args.discovered)
+        return A.with_controls(made, args.static, "station", "day") if args.controls else made
     if args.command == "screen":
         return A.screened_arms(read(args.prepared), A.read_arms(read(args.arms)), ["cluster"], "season", args.y, args.models, args.least)
     if args.command == "study":

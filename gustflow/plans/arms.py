@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gram
 from ..operators.features import complete_rows
+from ..operators.relations import noise_columns, numbered
 from ..operators.windows import month_block_label, purge_boundaries
 from ..sources.scan import exists
 from .study import Arm
@@ -109,6 +110,25 @@ def keep_arms(spark: SparkSession, path: str, arms: Sequence[Arm]) -> list[str]:
     return sorted({*known, *(a.name for a in arms)})
 
 
+def with_controls(df: DataFrame, static: Sequence[str], station: str, day: str, seed: int = 42) -> DataFrame:
+    """df with the control columns: noise by row, and each static feature (``perm_<name>``) as another station has it.
+
+    Stations stand in the order of a hash and take the values of the next one, the last those of the first, so none keeps
+    its own and the features of a station stay together. A station's least known value counts; with fewer than two
+    stations there are no permuted columns.
+    """
+    noisy = noise_columns(df, [station, day], seed, NOISE)
+    if not static:
+        return noisy
+    values = df.filter(F.col(station).isNotNull()).groupBy(station).agg(*(F.min(f).alias(PERMUTED + f) for f in static))
+    n = values.count()
+    if n < 2:
+        return noisy
+    placed = numbered(values, F.xxhash64(station, F.lit(seed)), [station], "_place")
+    donors = placed.select(F.pmod(F.col("_place") - 1, F.lit(n)).alias("_place"), *(PERMUTED + f for f in static))
+    return noisy.join(placed.select(station, "_place").join(donors, "_place").drop("_place"), station, "left")
+
+
 def month_blocks(test_months: Sequence[int], val_units: Sequence[tuple[int, int]]) -> Callable[[Column], Column]:
     return lambda day: month_block_label(day if isinstance(day, Column) else F.col(day), test_months, val_units)
 

@@ -51,6 +51,19 @@ def test_selection_by_variables(spark):
     assert [r[0] for r in table.select(variable_of(F.col("n"))).collect()] == [A.base_variable(n) for n in names]
 
 
+def test_controls_come_from_other_stations(spark):
+    rows = [(s, d, s * 1.0 if d else None, -s * 10.0) for s in range(7) for d in range(3)]
+    df = spark.createDataFrame(rows, "s int, d int, h double, g double")
+    found = A.with_controls(df, ["h", "g"], "s", "d").collect()
+    assert len(found) == 21 and len({r["ctrl_noise"] for r in found}) == 21
+    donor = {r["s"]: r["perm_h"] for r in found}
+    assert all(r["perm_h"] == donor[r["s"]] and r["perm_g"] == -10 * r["perm_h"] for r in found)  # one donor for all features
+    assert sorted(donor.values()) == list(range(7)) and all(s != h for s, h in donor.items())
+    assert {tuple(r) for r in A.with_controls(df.repartition(5), ["h", "g"], "s", "d").collect()} == {tuple(r) for r in found}
+    assert A.with_controls(df.filter("s = 1"), ["h"], "s", "d").columns == ["s", "d", "h", "g", "ctrl_noise"]
+    assert A.with_controls(df.filter("false"), ["h"], "s", "d").count() == 0
+
+
 def test_kept_arms_are_added_once(spark, tmp_path):
     path = str(tmp_path / "arms")
     first = A.study_arms(["a"], ["c"], GROUPS, ["anchors"])
