@@ -164,9 +164,13 @@ class Automaton:
             errors = [ask[there], self.target[edge], count[there] + self.skip[edge], place[there] + 1]
             at += 1
             if at % 16 == 0:  # one letter put in or left out of a run of equal ones is the same error at each place
-                coded = (errors[0] * len(self.final) + errors[1]) * (letters.shape[1] + 2) + errors[3]
-                first = np.unique(coded, return_index=True)[1]
-                errors = [x[first] for x in errors]
+                # paths of different words can meet in one state: their numbers tell them apart
+                asked = errors[0] * (len(self.words) + 1) + errors[2]
+                reached = errors[1] * (letters.shape[1] + 2) + errors[3]
+                order = np.lexsort((reached, asked))
+                fresh = np.diff(asked[order], prepend=-1) != 0
+                fresh |= np.diff(reached[order], prepend=-1) != 0
+                errors = [x[order[fresh]] for x in errors]
         pairs = np.unique(np.concatenate(found))
         return pairs // len(self.words), pairs % len(self.words)
 

@@ -181,3 +181,15 @@ def test_automaton_is_minimal_and_numbers_words(some):
             at += int(made.skip[edge[0]])
             state = made.target[edge]
         assert made.final[state[0]] and at == number
+
+
+def test_errors_of_long_words_are_all_found(spark):
+    """Errors at two places of a long word lead to one state; both words are near it."""
+    random.seed(7)
+    long = ["".join(random.choice("abcdefgh") for _ in range(random.randint(18, 70))) for _ in range(12)]
+    table = {w: 3 for w in long}
+    for w in long:
+        for i in range(0, len(w), 2):
+            table |= {w[:i] + "z" + w[i + 1 :]: 5 + i, w[:i] + w[i + 1 :]: 40 + i, w[:i] + "y" + w[i:]: 7}
+    got = spelling.variant_groups(spark.createDataFrame(list(table.items()), "word string, n long")).select(*COLUMNS).collect()
+    assert sorted(tuple(r) for r in got) == grouped(table)
