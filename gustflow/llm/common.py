@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scan import materialise  # noqa: F401  (the operators take it from here)
+
 #: Words of the contracts: runs of anything but space and \t \n \v \f \r.
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -18,21 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage in the shared checkpoint folder.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Where that is unset, a single machine
-    (tests) takes a temporary folder, a cluster a folder in the warehouse, which its nodes share.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="gustflow-checkpoint-")
-        context.setCheckpointDir(folder or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def private(df: DataFrame) -> str:
     """A beginning that no column of df has, for columns of one's own beside them."""
     names = [c.lower() for c in df.columns]

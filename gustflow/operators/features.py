@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import gust_factor
 from .gram import correlation_matrix
+from .quantiles import place, quantiles
 
 #: Harmonics of the climatology, and the samples a station needs.
 HARMONICS, LEAST_SAMPLES = 3, 30
@@ -271,8 +272,7 @@ def without_sparse_columns(df: DataFrame, columns: Sequence[str], limit: float =
 
 def robust_scaling(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: exact median and interquartile range of each column (a range of 0 counts as 1)."""
-    q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = train.agg(*(q(c).alias(c) for c in columns))
+    found = quantiles(train, [], columns, [0.25, 0.5, 0.75])
     spread = lambda c: F.get(c, F.lit(2)) - F.get(c, F.lit(0))
     return found.select(
         *(F.get(c, F.lit(1)).alias(f"{c}_median") for c in columns),
@@ -288,11 +288,10 @@ def robust_scaled(df: DataFrame, scaling: DataFrame, columns: Sequence[str]) ->
 def quantile_delta_mapping(train: DataFrame, df: DataFrame, proxy: str, y: str, n: int = 100) -> DataFrame:
     """df with ``mapped``: proxy plus the difference of the quantiles of y and proxy at the proxy's
     place, linear between the n quantiles, flat beyond them."""
-    cuts = F.array(*(F.lit(k / (n - 1)) for k in range(n)))
-    fitted = train.agg(F.percentile(proxy, cuts).alias("_x"), F.percentile(y, cuts).alias("_y"))
+    fitted = quantiles(train, [], [proxy, y], [k / (n - 1) for k in range(n)]).select(F.col(proxy).alias("_x"), F.col(y).alias("_y"))
     wide = df.crossJoin(F.broadcast(fitted))  # one row
     x = F.col(proxy)
-    low = F.least(F.greatest(F.size(F.filter("_x", lambda v: v <= x)) - 1, F.lit(0)), F.lit(n - 2))
+    low = F.least(F.greatest(place("_x", n, x, inclusive=True) - 1, F.lit(0)), F.lit(n - 2))
     at = wide.withColumn("_i", low)
     g = lambda c, k: F.get(c, F.col("_i") + k)
     share = F.when(g("_x", 1) > g("_x", 0), F.least(F.greatest((x - g("_x", 0)) / (g("_x", 1) - g("_x", 0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)

@@ -11,6 +11,8 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, Generaliz
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantile, quantiles
+
 #: The model zoo: name -> estimator over "features".
 ZOO = {
     "linear": lambda: LinearRegression(),
@@ -79,7 +81,7 @@ def permutation_importance(
     from .relations import with_partner
 
     features = list(dict.fromkeys(c for b in blocks.values() for c in b))
-    cut = df.agg(F.percentile(y, F.lit(q)).alias("_cut"))
+    cut = quantile(df, [], y, q, "_cut")
     rows = df.crossJoin(F.broadcast(cut))  # one row
     tail = F.col(y) >= F.col("_cut")
 
@@ -133,7 +135,8 @@ def linear_shap_shares(df: DataFrame, coefficients: dict[str, float], group_of:
 
 def partial_dependence(df: DataFrame, predict, features: Sequence[str], swept: str, steps: int = 200) -> DataFrame:
     """step, value, y_pred: the median row with one feature swept over its range."""
-    middle = df.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in features), F.min(swept).alias("_lo"), F.max(swept).alias("_hi"))
+    medians = quantiles(df, [], features, [0.5]).select(*(F.get(c, F.lit(0)).alias(c) for c in features))
+    middle = medians.crossJoin(df.agg(F.min(swept).alias("_lo"), F.max(swept).alias("_hi")))  # one row
     line = middle.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     value = F.col("_lo") + F.col("step") * (F.col("_hi") - F.col("_lo")) / (steps - 1)
     at = line.withColumn("value", value)

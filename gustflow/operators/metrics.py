@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import pinball
+from .quantiles import place, quantile, quantiles
 
 METRICS = ("r2", "rmse", "bias", "bias_p90", "rmse_p90")
 
@@ -18,8 +19,7 @@ def _joined(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def with_tail(df: DataFrame, by: Sequence[str], y: str, q: float = 0.9, out: str = "tail_from") -> DataFrame:
     """df with its group's exact quantile of y (linear between ranks) as ``out``."""
-    found = df.groupBy(*by).agg(F.percentile(y, F.lit(q)).alias(out))
-    return _joined(df, found, by)
+    return _joined(df, quantile(df, by, y, q, out), by)
 
 
 def core_metrics(df: DataFrame, by: Sequence[str], y: str, pred: str, q: float = 0.9) -> DataFrame:
@@ -94,11 +94,11 @@ def contingency(df: DataFrame, by: Sequence[str], y: str, pred: str, threshold:
 def reliability(df: DataFrame, y: str, pred: str, bins: int = 11) -> DataFrame:
     """Mean prediction and observation in bins between quantiles of the prediction; empty bins are left out."""
     cuts = [k / bins for k in range(bins + 1)]
-    edges = df.agg(F.percentile(pred, F.array(*map(F.lit, cuts))).alias("edges"))
-    place = F.size(F.filter("edges", lambda e: e <= F.col(pred))) - 1
+    edges = quantiles(df, [], [pred], cuts).select(F.col(pred).alias("edges"))
+    at = place("edges", bins + 1, F.col(pred), inclusive=True) - 1
     return (
         df.crossJoin(F.broadcast(edges))  # one row
-        .withColumn("bin", F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)))
+        .withColumn("bin", F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1)))
         .groupBy("bin")
         .agg(F.count("*").alias("n"), F.avg(pred).alias("mean_pred"), F.avg(y).alias("mean_obs"))
     )
@@ -131,7 +131,7 @@ def stratified(df: DataFrame, strata: Sequence[str], y: str, pred: str, least: i
 
     The tail is y at least its quantile over all rows; its metrics are null below ``least_tail`` rows.
     """
-    cut = df.agg(F.percentile(y, F.lit(q)).alias("_cut"))
+    cut = quantile(df, [], y, q, "_cut")
     e = F.col(pred) - F.col(y)
     kinds = F.explode(F.array(*(F.struct(F.lit(s).alias("kind"), F.col(s).cast("string").alias("value")) for s in strata)))
     rows = df.crossJoin(F.broadcast(cut)).select(kinds.alias("_s"), e.alias("_e"), (F.col(y) >= F.col("_cut")).alias("_t"))  # one row

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import _joined, core_metrics
+from .quantiles import quantiles
 
 #: Whiskers end at the last value within so many interquartile ranges of the box.
 WHISKER = 1.5
@@ -50,7 +51,7 @@ def slices(cards: DataFrame, value: str, ties: Sequence[str], k: int = 10) -> Da
     first = max(n // 2 - k // 2, 0)
     last = min(n // 2 - k // 2 + k, n) - 1
     reach = [max(first - 1, 0) / max(n - 1, 1), min(last + 1, max(n - 1, 0)) / max(n - 1, 1)]
-    bounds = known.agg(F.percentile(value, F.array(*map(F.lit, reach))).alias("_b"))
+    bounds = quantiles(known, [], [value], reach).select(F.col(value).alias("_b"))
     placed = known.crossJoin(F.broadcast(bounds))  # one row
     below = placed.agg(F.count_if(F.col(value) < F.col("_b")[0]).alias("_below"))
     near = placed.filter((F.col(value) >= F.col("_b")[0]) & (F.col(value) <= F.col("_b")[1])).drop("_b")
@@ -96,7 +97,7 @@ def colour_scales(differences: DataFrame) -> DataFrame:
 def boxes(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """by, n, q1, median, q3, low, high, outside: quartiles, ends of the whiskers, and how many values lie beyond them."""
     rows = df.filter(F.col(value).isNotNull()).select(*by, value)
-    quartiles = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    quartiles = quantiles(rows, by, [value], [0.25, 0.5, 0.75]).withColumnRenamed(value, "_q")
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     v, reach = F.col(value), WHISKER * (q3 - q1)
     inside = (v >= q1 - reach) & (v <= q3 + reach)

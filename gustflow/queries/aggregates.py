@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import features as X
 from ..operators import metrics as M
 from ..operators import selection as S
+from ..operators.quantiles import quantiles
 from ..operators.windows import longest_run
 from .tables import HOURLY, PANEL, hourly, panel, register, rounded, table
 
@@ -293,8 +294,8 @@ def a38_model_and_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(REGISTRY, f"""WITH {PANEL} SELECT cluster, round(quantile_cont(pred - y, 0.05), 4) AS q05, round(quantile_cont(pred - y, 0.25), 4) AS q25, round(quantile_cont(pred - y, 0.5), 4) AS q50,
  round(quantile_cont(pred - y, 0.75), 4) AS q75, round(quantile_cont(pred - y, 0.95), 4) AS q95 FROM panel GROUP BY 1""")
 def a39_residual_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.percentile(F.col("pred") - F.col("y"), F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
-    out = panel(spark, sf_dir).groupBy("cluster").agg(q.alias("q"))
+    off = panel(spark, sf_dir).select("cluster", (F.col("pred") - F.col("y")).alias("q"))
+    out = quantiles(off, ["cluster"], ["q"], (0.05, 0.25, 0.5, 0.75, 0.95))
     names = ("q05", "q25", "q50", "q75", "q95")
     return rounded(out.select("cluster", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names))), *names)
 

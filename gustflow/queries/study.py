@@ -9,6 +9,7 @@ from ..operators import metrics as M
 from ..operators import features as X
 from ..operators import gram as G
 from ..operators import relations as R
+from ..operators.quantiles import quantile
 from ..operators.windows import longest_run
 from .inference import _RESID, residuals
 from .tables import HOURLY, PANEL, hourly, panel, register, rounded, table
@@ -45,7 +46,7 @@ def a42_x11_tail_table_with_proxy(spark: SparkSession, sf_dir: str) -> DataFrame
         F.lit("proxy").alias("arm"), F.explode(F.array(F.lit("m1"), F.lit("m2"))).alias("model"), "y", (F.col("proxy") - F.col("y")).alias("e")
     )
     everything = r.unionByName(raw)
-    cut = r.agg(F.percentile("y", F.lit(0.9)).alias("cut"))
+    cut = quantile(r, [], "y", 0.9, "cut")
     tail = F.col("y") >= F.col("cut")
     m = everything.crossJoin(F.broadcast(cut)).groupBy("arm", "model").agg(  # one row
         F.avg(F.when(tail, F.col("e"))).alias("bias"), F.sqrt(F.avg(F.when(tail, F.col("e") * F.col("e")))).alias("rmse")
