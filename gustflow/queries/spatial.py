@@ -102,9 +102,13 @@ _NEAR = """near AS (SELECT p.id AS point, s.id, sqrt((s.lat - p.lat) ** 2 + (s.l
  FROM points p CROSS JOIN stations s)"""
 
 
-def _weights(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+def _near(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     p = points(spark, sf_dir).withColumnRenamed("id", "point")
-    return G.idw_weights(G.k_nearest(p, stations(spark, sf_dir), k), "point")
+    return G.k_nearest(p, stations(spark, sf_dir), k)
+
+
+def _weights(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    return G.idw_weights(_near(spark, sf_dir, k), "point")
 
 
 @register(REGISTRY, f"WITH {_POINTS}, {_STATIONS}, {_NEAR} SELECT point, id, round(1 / greatest(d, 1e-10) ** 2, 6) AS w FROM near WHERE k <= 5 AND d > 1e-6")
@@ -114,7 +118,7 @@ def j18_k_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(REGISTRY, f"WITH {_POINTS}, {_STATIONS}, {_NEAR}, {_DAYS} SELECT point, day, round(sum(v / greatest(d, 1e-10) ** 2) / sum(1 / greatest(d, 1e-10) ** 2), 5) AS v FROM near JOIN days USING (id) WHERE k <= 5 GROUP BY 1, 2")
 def x16_idw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.idw(_weights(spark, sf_dir), station_days(spark, sf_dir), "point", "day", "v"), "v", places=5)
+    return rounded(G.over_places(_near(spark, sf_dir), lambda w: G.idw(w, station_days(spark, sf_dir), "_place", "day", "v"), "point", "day", "v"), "v", places=5)
 
 
 @register(REGISTRY, f"""WITH {_POINTS}, {_STATIONS}, days AS (SELECT l_suppkey AS id, CAST(date_trunc('month', l_shipdate) AS DATE) AS day, max(l_quantity) AS v FROM lineitem WHERE {_FLAGGED} GROUP BY 1, 2),
@@ -132,7 +136,7 @@ def x18_idw_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.columns import vector_from_direction
 
     days = station_days(spark, sf_dir).withColumn("v", F.col("v") * 7)
-    out = G.idw_direction(_weights(spark, sf_dir), days, "point", "day", "v")
+    out = G.over_places(_near(spark, sf_dir), lambda w: G.idw_direction(w, days, "_place", "day", "v"), "point", "day", "v")
     u, v = vector_from_direction(F.col("v"))
     return rounded(out.filter(F.abs(u) + F.abs(v) > 1e-3), "v", places=3)
 
