@@ -173,9 +173,9 @@ def j26_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(REGISTRY, "SELECT 'lineitem' AS name, true AS same UNION ALL SELECT 'shifted', false")
 def j27_u07_same_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    b = a.repartition(4).withColumn("l_linenumber", F.col("l_linenumber") + 1)
+    b = a.repartition("l_linenumber", "l_orderkey").withColumn("l_linenumber", F.col("l_linenumber") + 1)
     named = lambda name, other: R.compared_rows(a, other).select(F.lit(name).alias("name"), "same")
-    return named("lineitem", a.repartition(3)).unionByName(named("shifted", b))
+    return named("lineitem", a.repartition("l_orderkey")).unionByName(named("shifted", b))
 
 
 @register(REGISTRY, """SELECT vec_id, round(sqrt(u * u + v * v), 6) AS speed, round(sqrt((a - u) * (a - u) + (b - v) * (b - v)), 6) AS shear, round(sin(atan2(v, u)), 6) AS sin_dir, round(cos(atan2(v, u)), 6) AS cos_dir
