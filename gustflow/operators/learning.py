@@ -34,12 +34,10 @@ def screened(train: DataFrame, other: DataFrame, features: Sequence[str], y: str
     """other's rows with model and y_pred, once for each model of the zoo fitted on train."""
     x = assembled(train, features)
     z = assembled(other, features)
-    out = None
-    for name in models:
-        fitted = ZOO[name]().setLabelCol(y).setFeaturesCol("features").setPredictionCol("y_pred").fit(x)
-        part = fitted.transform(z).select(*other.columns, F.lit(name).alias("model"), "y_pred")
-        out = part if out is None else out.unionByName(part)
-    return out
+    for i, name in enumerate(models):  # each adds its column, so that other is read once
+        z = ZOO[name]().setLabelCol(y).setFeaturesCol("features").setPredictionCol(f"_p{i}").fit(x).transform(z)
+    each = F.array(*(F.struct(F.lit(name).alias("model"), F.col(f"_p{i}").alias("y_pred")) for i, name in enumerate(models)))
+    return z.select(*other.columns, F.explode(each).alias("_m")).select(*other.columns, "_m.model", "_m.y_pred")
 
 
 def simple_regressions(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
