@@ -6,8 +6,10 @@ import datetime as dt
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 
 #: name(parameters) RETURNS type -> expression; SQL functions, so nothing leaves the JVM.
 SCALARS = {
@@ -21,18 +23,25 @@ SCALARS = {
 
 
 class DayRuns:
-    """key, day, run: rows of a table (key, day) PARTITION BY key ORDER BY day with the number of their run of days."""
+    """key, day, run: rows of a table (key, day) PARTITION BY key ORDER BY day with the number of their run of days.
+
+    Rows come in batches; a batch goes on where the last one of its key stopped.
+    """
 
     def __init__(self) -> None:
-        self.before: dt.date | None = None
+        self.before: int | None = None
         self.run = 0
 
-    def eval(self, row: Row) -> Iterator[tuple[str, dt.date, int]]:
-        key, day = row[0], row[1]
-        if self.before is not None and (day - self.before).days > 1:
-            self.run += 1
-        self.before = day
-        yield None if key is None else str(key), day, self.run
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        keys, days = rows.column(0), rows.column(1).cast(pa.date32(), safe=False)
+        if not pa.types.is_string(keys.type):
+            held = keys.dictionary_encode()
+            keys = pa.array([None if k is None else str(k) for k in held.dictionary.to_pylist()], pa.string()).take(held.indices)
+        at = days.cast(pa.int32()).to_numpy(zero_copy_only=False).astype(float)  # unknown days: nan, which is far from none
+        gaps = np.diff(at, prepend=np.nan if self.before is None else self.before) > 1
+        runs = self.run + np.cumsum(gaps)
+        self.before, self.run = (None if np.isnan(at[-1]) else int(at[-1])), int(runs[-1])
+        yield pa.table({"key": keys, "day": days, "run": pa.array(runs, pa.int64())})
 
 
 class Lookback:
@@ -53,5 +62,5 @@ def register_sql(spark: SparkSession) -> None:
     """Make the functions known to ``spark.sql``: SCALARS, day_runs(TABLE) and lookback(length, TABLE)."""
     for signature, body in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
-    spark.udtf.register("day_runs", udtf(DayRuns, returnType="key string, day date, run bigint"))
+    spark.udtf.register("day_runs", arrow_udtf(DayRuns, returnType="key string, day date, run bigint"))
     spark.udtf.register("lookback", udtf(Lookback, returnType="key string, day date, window array<double>"))

@@ -105,3 +105,20 @@ def test_functions_are_called_from_sql(spark):
     assert sorted((r["key"], r["day"].day, r["run"]) for r in runs) == [("x", 1, 0), ("x", 2, 0), ("x", 4, 1), ("x", 5, 1), ("x", 9, 2), ("y", 3, 0), ("y", 4, 0)]
     back = spark.sql("SELECT * FROM lookback(2, TABLE(SELECT s, day, v FROM days_of_test) PARTITION BY s ORDER BY day)").collect()
     assert sorted((r["key"], tuple(r["window"])) for r in back) == [("x", (1.0, 2.0)), ("x", (2.0, 4.0)), ("x", (4.0, 5.0)), ("x", (5.0, 9.0)), ("y", (3.0, 4.0))]
+
+
+def test_day_runs_take_batches(spark):
+    """Rows pass the table function by batches, and a key's run goes on from one batch to the next."""
+    register_sql(spark)
+    rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(days=d + d // 5)) for k in (7, 8) for d in range(40)] + [(9, None), (9, dt.date(2020, 1, 1)), (9, dt.date(2020, 1, 2)), (None, dt.date(2020, 1, 1))]
+    spark.createDataFrame(rows, "k bigint, day date").createOrReplaceTempView("batches_of_test")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = spark.sql("SELECT * FROM day_runs(TABLE(SELECT k, day FROM batches_of_test) PARTITION BY k ORDER BY day)")
+        assert "ArrowEvalPythonUDTF" in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["key"], r["day"]): r["run"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert len(got) == len(rows) and all(got[(str(k), day)] == (day - dt.date(2020, 1, 1)).days // 6 for k, day in rows[:80])
+    assert all(got[(None if k is None else str(k), day)] == 0 for k, day in rows[80:])
