@@ -75,13 +75,15 @@ def permutation_importance(
 
     One permutation of all rows in each repeat gives every row its partner; each block then takes the partner's
     values of its columns only, and all blocks are scored in one aggregation. The tail is y at least its quantile.
+    The rows that all repeats read are computed once.
     """
     from .relations import with_partner
 
     features = list(dict.fromkeys(c for b in blocks.values() for c in b))
-    cut = quantile(df, [], y, q, "_cut")
-    rows = df.crossJoin(F.broadcast(cut))  # one row
-    tail = F.col(y) >= F.col("_cut")
+    read = df.select(*dict.fromkeys([*by, *keys, *features, y])).persist()
+    cut = quantile(read, [], y, q, "_cut")
+    rows = read.crossJoin(F.broadcast(cut)).withColumn("_tail", F.col(y) >= F.col("_cut")).drop("_cut")  # one row
+    tail = F.col("_tail")
 
     def errors(swapped: Sequence[str]) -> tuple[Column, Column]:
         p = predict({c: F.col(f"_o.{c}") if c in swapped else F.col(c) for c in features})

@@ -163,9 +163,10 @@ def numbered(df: DataFrame, order: Column, ties: Sequence[str], out: str) -> Dat
     table of ``BUCKETS`` rows at most, so that no sort goes over all rows.
     """
     low = F.shiftrightunsigned(order, 64 - BUCKETS.bit_length() + 1)
-    rows = df.withColumn("_h", order).withColumn("_k", low)
+    # the hash itself, which no compression shortens, is computed again where the rows are
+    rows = df.withColumn("_k", low).repartition("_k").withColumn("_h", order)
     before = F.sum("_n").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
-    counts = rows.groupBy("_k").agg(F.count("*").alias("_n"))
+    counts = df.groupBy(low.alias("_k")).agg(F.count("*").alias("_n"))
     offsets = counts.select("_k", F.coalesce(before, F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_k").orderBy("_h", *ties)) - 1
     return rows.withColumn("_at", place).join(F.broadcast(offsets), "_k").withColumn(out, F.col("_before") + F.col("_at")).drop("_h", "_k", "_at", "_before")
