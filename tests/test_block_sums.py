@@ -42,7 +42,7 @@ def sized(spark, tmp_path_factory):
     return found
 
 
-@pytest.mark.parametrize("query", [inference.x03_effects_by_family_and_axis, inference.x03_x07_paired_effect, inference.x06_seeded_draws])
+@pytest.mark.parametrize("query", [inference.x03_effects_by_family_and_axis, inference.x03_x07_paired_effect, inference.x06_seeded_draws, inference.a18_block_sums])
 def test_no_task_reads_a_group(spark, sized, monkeypatch, query):
     """Eight times the lines: the largest task reads less than three times as much. Exact percentiles read all of a group."""
     monkeypatch.setattr(tables, "DEALT", 30_000, raising=False)
