@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scan import materialise
 from .metrics import _joined, core_metrics
-from .quantiles import quantiles
+from .quantiles import GROUPS, beside, quantile, quantiles
 
 #: Whiskers end at the last value within so many interquartile ranges of the box.
 WHISKER = 1.5
@@ -115,10 +116,11 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, bins: int = 39, q: f
     value only has one bin, of no width and without a density.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    spans = rows.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.count("*").alias("_all"), F.percentile("_v", F.lit(q)).alias("marker"))
-    spans = spans.withColumn("_w", (F.col("_z") - F.col("_a")) / bins)
+    spans = rows.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.count("*").alias("_all"))
+    spans = materialise(beside(spans, quantile(rows, by, "_v", q, "marker"), by).withColumn("_w", (F.col("_z") - F.col("_a")) / bins))
     place = F.when(F.col("_w") > 0, F.least(F.floor((F.col("_v") - F.col("_a")) / F.col("_w")), F.lit(bins - 1))).otherwise(0).cast("int")
-    counts = _joined(rows, spans, by).groupBy(*by, place.alias("bin")).agg(F.count("*").alias("n"))
+    few = spans.count() <= GROUPS
+    counts = _joined(rows, F.broadcast(spans) if few else spans, by).groupBy(*by, place.alias("bin")).agg(F.count("*").alias("n"))
     every = spans.withColumn("bin", F.explode(F.when(F.col("_w") > 0, F.sequence(F.lit(0), F.lit(bins - 1))).otherwise(F.array(F.lit(0)))))
     edge = lambda k: F.col("_a") + k * F.col("_w")
     n = F.coalesce("n", F.lit(0)).cast("long")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gustflow.operators import metrics, quantiles
+from gustflow.operators import metrics, quantiles, reports
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +53,11 @@ def test_tails_hold_no_group_in_one_task(rows):
     df = rows.select("g", F.col("a").alias("y"), F.col("b").alias("p"))
     found = metrics.core_metrics(df, ["g"], "y", "p")
     assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_markers_hold_no_group_in_one_task(rows):
+    """No exact percentile over a histogram's rows is left; groups whose key is null stay."""
+    bars = reports.histogram(rows.filter("g IS NULL OR g != 'odd'"), ["g"], "a", q=0.7)
+    assert "percentile(" not in bars._jdf.queryExecution().optimizedPlan().toString()
+    markers = rows.filter("a IS NOT NULL AND (g IS NULL OR g != 'odd')").groupBy("g").agg(F.percentile("a", F.lit(0.7))).collect()
+    assert sorted(str(tuple(r)) for r in bars.select("g", "marker").distinct().collect()) == sorted(str(tuple(r)) for r in markers)
